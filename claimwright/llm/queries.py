@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimwright.llm import bpe, language, mixing, topk
+from claimwright.llm import bpe, language, mixing, pii, topk, winnow
 from claimwright.llm.common import read
 
 #: The hot source is held back, the others share the rest equally.
@@ -35,10 +35,18 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_edits(read(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(read(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"), MIX_WEIGHTS)
 
@@ -46,7 +54,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_exact_top_k": op4_exact_top_k,
+    "op6_winnowing": op6_winnowing,
     "op7_bpe": op7_bpe,
+    "op9_pii": op9_pii,
     "op10_source_mixing": op10_source_mixing,
     "llm_language_id_pages": llm_language_id_pages,
 }
