@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimwright.llm import bpe, language, mixing, pii, topk, winnow
+from claimwright.llm import bpe, language, mixing, near, pii, topk, winnow
 from claimwright.llm.common import read
 
 #: The hot source is held back, the others share the rest equally.
@@ -31,6 +31,10 @@ def llm_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "language", F.round("posterior", 6).alias("posterior"), "n_trigrams", "kept")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(read(spark, sf_dir, "documents"), percent=85).drop("key")
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -53,6 +57,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op3_near_dedup": op3_near_dedup,
     "op4_exact_top_k": op4_exact_top_k,
     "op6_winnowing": op6_winnowing,
     "op7_bpe": op7_bpe,
