@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimwright.llm import bpe, language, mixing, near, pii, topk, winnow
+from claimwright.llm import bpe, language, mixing, near, pii, substring, topk, winnow
 from claimwright.llm.common import read
 
 #: The hot source is held back, the others share the rest equally.
@@ -21,6 +21,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(read(spark, sf_dir, "documents"), width=35)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = language.identify(language.document_view(read(spark, sf_dir, "documents")), min_posterior=MIN_POSTERIOR)
     return judged.select("doc_id", "language", F.round("posterior", 6).alias("posterior"), "n_trigrams", "kept")
@@ -56,6 +60,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
     "op3_near_dedup": op3_near_dedup,
     "op4_exact_top_k": op4_exact_top_k,
