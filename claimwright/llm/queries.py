@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimwright.llm import bpe, language, mixing, near, pii, substring, topk, winnow
+from claimwright.llm import bpe, chat, language, mixing, near, pii, quality, substring, topk, winnow
 from claimwright.llm.common import read
 
 #: The hot source is held back, the others share the rest equally.
@@ -43,6 +43,11 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.format_conversations(read(spark, sf_dir, "conversations"))
+    return turns.withColumn("rendered_sha256", F.sha2(F.col("rendered").cast("binary"), 256))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_edits(read(spark, sf_dir, "documents"))
 
@@ -51,6 +56,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    rounded = [F.round(c, 6).alias(c) for c in ("text_score", "meta_score", "quality")]
+    return quality.score(docs, model).select("doc_id", *rounded, "kept")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(read(spark, sf_dir, "documents"))
 
@@ -64,8 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_near_dedup": op3_near_dedup,
     "op4_exact_top_k": op4_exact_top_k,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_winnowing": op6_winnowing,
     "op7_bpe": op7_bpe,
+    "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_source_mixing": op10_source_mixing,
     "llm_language_id_pages": llm_language_id_pages,
