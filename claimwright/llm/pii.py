@@ -150,8 +150,8 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         return found.select("doc_id", "row_hash", "base"), added
     # documents with each such term, over whole texts of all documents
     each = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    # counted before the join, so that it makes a row for each term and not for each place of one
-    n_t = each.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(small_or_shuffled(terms, n_terms, BROADCAST_ROWS), "term", "left_semi")
+    # counted before the join (an inner one: a semi join would be pushed below the count), so that it makes a row a term
+    n_t = each.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(small_or_shuffled(terms, n_terms, BROADCAST_ROWS), "term")
     n = F.lit(float(n_docs))
     pmi = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
     told = pairs.join(n_t, "term").withColumn("share", pmi / F.greatest(F.log(n / F.col("n_e")), F.lit(1e-9)))
