@@ -14,12 +14,13 @@ works on classes.
 * A bucket is never expanded into its pairs.  First each member meets the
   bucket's first document.  Estimates that lie more than six standard
   deviations under the threshold drop out, the rest is confirmed on full sets.
-* Buckets whose members then still lie in several components go on.  A class
-  of which too many shingles occur in no other member of such buckets can reach
-  the threshold with nobody and leaves.  The rest meets ``LEADERS``
-  pseudo-random members of each bucket, and what is left after that meets the
-  members of other components of the same bucket (estimate first, then full
-  sets), so that no link between components is lost.
+* Buckets whose members then still lie in several components go on.  Shingles
+  that no other member of such buckets has bound what a member can share with
+  anybody; where sizes and these bounds exclude a link, no pair is made.
+  Members outside a bucket's largest component meet ``LEADERS`` pseudo-random
+  members of the bucket, and what is left after that meets the members of other
+  components of the same bucket that sizes and bounds leave (estimate first,
+  then full sets), so that no link between components is lost.
 
 Nulls: a document without words (or null) has an empty set and no links.  Rows
 with a null id link like others; a component's id is its least non-null one.
@@ -200,8 +201,8 @@ def _contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(every.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
-def _reachable(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(c) of members that share enough shingles with other members to reach the threshold with any."""
+def _own(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(c, own): how many shingles of a member no other member has."""
     rows = members.select("c").distinct().join(texts, "c")
 
     def run(batches):
@@ -215,9 +216,27 @@ def _reachable(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     each = rows.select("c", "text").mapInArrow(run, "c binary, s long")
     # a shingle of one member only keeps that member's name, so it can be counted for it
-    alone = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.first("c").alias("c")).filter("df = 1").groupBy("c").agg(F.count(F.lit(1)).alias("own"))
-    sizes = members.select("c", "n").distinct()
-    return sizes.join(alone, "c", "left").filter(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= percent * F.col("n")).select("c")
+    alone = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.first("c").alias("c")).filter("df = 1")
+    return alone.groupBy("c").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _may_link(n: str, m: str, r: str, q: str, percent: int) -> Column:
+    """Whether sets of sizes n and m, of which r and q shingles occur elsewhere at all, can reach the threshold."""
+    n, m, r, q = (F.col(x) for x in (n, m, r, q))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(r, q) >= percent * (n + m))
+
+
+def _open(left: DataFrame, percent: int) -> DataFrame:
+    """(bucket, c, n, r, label, m): members outside their bucket's largest component that could link to its members of size m.
+
+    Each pair across components has an end outside the largest one, and sizes
+    are few, so members that can link to nobody leave before any pair is made.
+    """
+    counts = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("many"))
+    most = counts.groupBy("bucket").agg(F.max_by("label", F.struct("many", "label")).alias("most"))
+    sizes = left.groupBy(F.col("bucket").alias("b"), F.col("n").alias("m")).agg(F.max("r").alias("q"))
+    outside = left.join(most, "bucket").filter("label <> most")
+    return outside.join(sizes, (F.col("bucket") == F.col("b")) & _may_link("n", "m", "r", "q", percent)).select("bucket", "c", "n", "r", "label", "m")
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,18 +268,22 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id
     labels = components(found)
     left = cut(_several(members, labels))
     if left.limit(1).count():
-        left = left.join(_reachable(left, texts, percent), "c")
-        left = cut(_several(left.select("bucket", "c", "n"), labels))
-        # pseudo-random leaders by a minimum for each seed: partial aggregates, however large a bucket is
-        picks = [F.min_by("c", F.xxhash64("c", F.lit(seed))) for seed in range(LEADERS)]
-        leaders = left.groupBy("bucket").agg(F.array_distinct(F.array(*picks)).alias("leaders")).select("bucket", F.explode("leaders").alias("leader"))
-        star = left.join(leaders, "bucket").filter("leader <> c").select(ends[0].alias("a"), ends[1].alias("b"))
-        labels = _contracted(labels, cut(links.confirmed(links.likely(star))))
-        left = cut(_several(left.select("bucket", "c", "n"), labels))
-        if left.limit(1).count():
-            other = left.select("bucket", F.col("c").alias("d"), F.col("label").alias("other"))
-            rest = left.join(other, "bucket").filter("label <> other AND c < d").select(F.col("c").alias("a"), F.col("d").alias("b"))
-            labels = _contracted(labels, cut(links.confirmed(links.likely(rest))))
+        left = cut(left.join(_own(left, texts), "c", "left").select("bucket", "c", "n", "label", (F.col("n") - F.coalesce("own", F.lit(0))).alias("r")))
+        for all_members in (False, True):
+            some = cut(_open(left, percent))
+            if not some.limit(1).count():
+                break
+            if all_members:
+                others = left.select(F.col("bucket").alias("b"), F.col("c").alias("leader"), F.col("n").alias("l_n"), F.col("r").alias("l_r"), F.col("label").alias("l_label"))
+                met = some.join(others, (F.col("bucket") == F.col("b")) & (F.col("m") == F.col("l_n")) & (F.col("label") != F.col("l_label")) & _may_link("n", "l_n", "r", "l_r", percent))
+            else:
+                # pseudo-random leaders by a minimum for each seed: partial aggregates, however large a bucket is
+                picks = [F.min(F.struct(F.xxhash64("c", F.lit(seed)).alias("h"), F.col("c").alias("leader"), F.col("n").alias("l_n"), F.col("r").alias("l_r"), F.col("label").alias("l_label"))) for seed in range(LEADERS)]
+                leaders = left.groupBy(F.col("bucket").alias("b")).agg(F.array(*picks).alias("x")).select("b", F.explode("x").alias("x")).select("b", "x.*")
+                met = some.drop("m").distinct().join(leaders, (F.col("bucket") == F.col("b")) & (F.col("label") != F.col("l_label")) & _may_link("n", "l_n", "r", "l_r", percent))
+            pairs = met.select(ends[0].alias("a"), ends[1].alias("b"))
+            labels = _contracted(labels, cut(links.confirmed(links.likely(pairs))))
+            left = cut(_several(left.select("bucket", "c", "n", "r"), labels))
     # classes without a link are their own component
     grouped = done.join(labels.select(F.col("node").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     ids = grouped.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component"))
