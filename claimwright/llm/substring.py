@@ -9,11 +9,12 @@ neighbours, compared word by word, are repeats.
 
 * Equal windows have equal minimisers, so a minimiser that occurs once holds no
   repeat: only hashes travel to find that out, and such super-k-mers stay home.
-* Equal strings are merged (and counted) before they go to a bucket, so copies
-  of a passage, however many, arrive as one.
-* A minimiser with more than ``HOT`` distinct strings, as in a line that many
-  documents share, is split: each of its windows travels to a bucket of its own
-  hash instead.
+* Equal strings of a batch of documents are merged (and counted) before they go
+  to a bucket, and those of different batches where they meet, one after the
+  other, so copies of a passage, however many, are held as one.
+* A minimiser with many distinct strings (some hundreds: enough to set all bits
+  of a 64-bit sketch of them), as in a line that many documents share, is split:
+  each of its windows travels to a bucket of its own hash instead.
 * A bucket's strings are streamed in order of the bucket; only one stretch of
   whole buckets is held at a time.
 
@@ -34,8 +35,8 @@ from claimwright.llm.common import WordHashes, cut, mix64, windows_hash
 
 WIDTH = 35
 MER = 6
-#: Distinct strings of one minimiser that a bucket takes; beyond, its windows are dealt out singly.
-HOT = 500
+#: Bits of a minimiser's sketch of distinct strings that split it: its windows are then dealt out singly.
+HOT = 64
 #: Words that a stretch of whole buckets may hold before it is worked off.
 STRETCH_WORDS = 1 << 20
 CHUNK_WORDS = 1 << 20
@@ -116,15 +117,26 @@ def _range_hash(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 def packed(wanted: DataFrame, width: int, strings: bool) -> DataFrame:
-    """(row, text, runs) -> row, start, bucket, sid and, if asked, the string of each wanted super-k-mer or single window."""
-    names = ["row", "start", "bucket", "sid", *(["packed"] if strings else [])]
+    """(row, text, runs) -> the wanted super-k-mers and single windows.
+
+    Their places (row, start, bucket, sid), or their strings (bucket, sid,
+    packed, times), merged within a batch of documents.
+    """
 
     def run(batches):
         import pyarrow as pa
 
+        def emitted(out, merged):
+            if not strings:
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["row", "start", "bucket", "sid"])
+            columns = [[k[0] for k in merged], [k[1] for k in merged], [v[0] for v in merged.values()], [v[1] for v in merged.values()]]
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "sid", "packed", "times"])
+
         known = WordHashes()
         for batch in batches:
-            out: list[list] = [[] for _ in names]
+            out: list[list] = [[] for _ in range(4)]
+            merged: dict[tuple[int, int], list] = {}
             size = 0
             for row, words, runs in zip(batch.column(0).to_pylist(), _word_lists(batch.column(1)), batch.column(2), strict=True):
                 h = known.of(words)
@@ -139,32 +151,28 @@ def packed(wanted: DataFrame, width: int, strings: bool) -> DataFrame:
                 starts = np.concatenate((start[cold], single))
                 lengths = np.concatenate((count[cold] + width - 1, np.full(len(single), width)))
                 sid = _range_hash(h, starts, lengths).view(np.int64)
-                bucket = np.concatenate((mini[cold], sid[cold.sum() :]))
-                if not strings:
-                    parts = [np.full(len(starts), row), starts, bucket, sid]
+                bucket = np.concatenate((mini[cold], windows_hash(h, width)[single].view(np.int64)))
+                if strings:
+                    for b, s, a, n in zip(bucket.tolist(), sid.tolist(), starts.tolist(), lengths.tolist(), strict=True):
+                        if (b, s) in merged:
+                            merged[b, s][1] += 1
+                        else:
+                            merged[b, s] = [b" ".join(words[a : a + n]).decode(), 1]
+                            size += n
                 else:
-                    text = [b" ".join(words[a : a + n]).decode() for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
-                    parts = [np.full(len(starts), row), starts, bucket, sid, text]
-                for o, p in zip(out, parts, strict=True):
-                    o.append(p)
-                size += int(lengths.sum())
+                    for o, p in zip(out, (np.full(len(starts), row), starts, bucket, sid), strict=True):
+                        o.append(p)
+                    size += len(starts)
                 if size >= CHUNK_WORDS:
-                    yield _emit(pa, out, names)
-                    out, size = [[] for _ in names], 0
-            if out[0]:
-                yield _emit(pa, out, names)
+                    yield emitted(out, merged)
+                    out, merged, size = [[] for _ in range(4)], {}, 0
+            if size:
+                yield emitted(out, merged)
 
-    kinds = "row long, start long, bucket long, sid long" + (", packed string" if strings else "")
+    kinds = "bucket long, sid long, packed string, times long" if strings else "row long, start long, bucket long, sid long"
     return wanted.select("row", "text", "runs").mapInArrow(run, kinds)
 
 
-def _emit(pa, out, names):
-    arrays = [pa.array(np.concatenate(o)) for o in out[:4]]
-    if len(out) > 4:
-        arrays.append(pa.array([s for o in out[4] for s in o], pa.string()))
-    return pa.RecordBatch.from_arrays(arrays, names=names)
-
-
 def repeated_windows(strings: list[list[bytes]], counts: np.ndarray, width: int) -> list[np.ndarray]:
     """Of each string, the windows that occur again in it, in another, or by its count: exact."""
     lengths = np.array([len(s) for s in strings])
@@ -198,16 +206,16 @@ def repeated_windows(strings: list[list[bytes]], counts: np.ndarray, width: int)
 
 
 def counted(distinct: DataFrame, width: int) -> DataFrame:
-    """(bucket, sid, packed, times), dealt and sorted by bucket -> (sid, bucket, offsets array<int>) of strings with repeats."""
+    """(bucket, sid, packed, times), dealt and sorted by bucket and sid -> (sid, bucket, offsets array<int>) of strings with repeats."""
 
     def run(batches):
         import pyarrow as pa
 
-        held: list[tuple] = []
+        held: list[list] = []
         size = 0
 
         def work():
-            found = repeated_windows([s for _, _, s, _ in held], np.array([t for *_, t in held]), width)
+            found = repeated_windows([s for _, _, s, _, _ in held], np.array([t for *_, t in held]), width)
             some = [i for i, f in enumerate(found) if len(f)]
             ends = np.cumsum([0, *(len(found[i]) for i in some)]).astype(np.int32)
             flat = np.concatenate([found[i] for i in some]).astype(np.int32) if some else np.empty(0, np.int32)
@@ -218,8 +226,11 @@ def counted(distinct: DataFrame, width: int) -> DataFrame:
                 if size >= STRETCH_WORDS and held[-1][0] != bucket:
                     yield work()
                     held, size = [], 0
+                if held and held[-1][:2] == [bucket, sid] and held[-1][3] == text:  # the same string from another batch
+                    held[-1][4] += times
+                    continue
                 words = text.encode().split()
-                held.append((bucket, sid, words, times))
+                held.append([bucket, sid, words, text, times])
                 size += len(words)
         if held:
             yield work()
@@ -244,15 +255,14 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id
     rows = docs.select(ident.alias("doc_id"), F.xxhash64(ident, text).alias("row"), text.alias("text"))
     every = listed(rows, width)
     # by hashes alone: minimisers that occur again, and those with many different strings
-    strings = every.groupBy("mini", "sid").agg(F.count(F.lit(1)).alias("times"))
-    minis = strings.groupBy("mini").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("kinds")).filter("times > 1")
-    again = minis.select("mini", (F.col("kinds") > HOT).alias("hot"))
-    runs = every.join(again, "mini").groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "windows", "mini", "hot"))).alias("runs"))
-    runs = cut(runs)
+    sketch = F.expr("bit_or(shiftleft(1L, cast(sid & 63 as int)))")
+    minis = every.groupBy("mini").agg(F.count(F.lit(1)).alias("times"), F.bit_count(sketch).alias("bits")).filter("times > 1")
+    again = minis.select("mini", (F.col("bits") >= HOT).alias("hot"))
+    runs = every.select("row", F.col("start").cast("int"), F.col("windows").cast("int"), "mini").join(again, "mini")
+    runs = cut(runs.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "windows", "mini", "hot"))).alias("runs")))
     wanted = rows.select("row", "text").join(runs, "row")
-    # equal strings become one, with their number, before they travel
-    distinct = packed(wanted, width, True).groupBy("bucket", "sid", "packed").agg(F.count(F.lit(1)).alias("times"))
-    found = cut(counted(distinct.repartition("bucket").sortWithinPartitions("bucket", "sid"), width))
+    strings = packed(wanted, width, True).repartition("bucket").sortWithinPartitions("bucket", "sid", "packed")
+    found = cut(counted(strings, width))
     hits = packed(wanted, width, False).join(found, ["bucket", "sid"]).select("row", "start", F.explode("offsets").alias("offset")).select("row", (F.col("start") + F.col("offset")).alias("at"))
     starts = hits.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("starts"))
     judged = rows.join(starts, "row", "left").select("doc_id", "text", "starts")
