@@ -86,6 +86,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+        k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM p),
+        m AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM k JOIN m USING (h)),
+        x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, count(g.j) AS n_removed,
+               sha256(coalesce(string_agg(x.word, ' ' ORDER BY x.j) FILTER (WHERE g.j IS NULL), '')) AS kept_sha256
+        FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id AND g.j = x.j
+        GROUP BY d.doc_id, len(d.w)
+    """,
+    "op3_near_dedup": r"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+          FROM documents),
+        s AS (
+          SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS sh
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        b AS (SELECT a.doc_id AS x, c.doc_id AS y, count(*) AS i FROM s a JOIN s c ON a.sh = c.sh AND a.doc_id < c.doc_id GROUP BY 1, 2),
+        l AS (
+          SELECT x, y FROM b JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 85 * (nx.n + ny.n - i)),
+        u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r(doc_id, to_id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, u.y FROM r JOIN u ON u.x = r.to_id),
+        c AS (SELECT doc_id, min(to_id) AS component_id FROM r GROUP BY doc_id)
+        SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept
+        FROM c LEFT JOIN n ON n.doc_id = c.doc_id
+    """,
     "op4_exact_top_k": """
         WITH v AS (
           SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
