@@ -102,18 +102,29 @@ def listed(rows: DataFrame, width: int) -> DataFrame:
 
 
 _ODD = 0x9E3779B97F4A7C15
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n of the odd base and of its inverse modulo 2^64, kept for the next document."""
+    if len(_POWERS.get("up", ())) <= n:
+        size = 1 << max(12, n.bit_length())
+        one = np.ones(1, np.uint64)
+        with np.errstate(over="ignore"):
+            for name, base in (("up", _ODD), ("down", pow(_ODD, -1, 1 << 64))):
+                _POWERS[name] = np.concatenate((one, np.cumprod(np.full(size, base, np.uint64), dtype=np.uint64)))
+    return _POWERS["up"], _POWERS["down"]
 
 
 def _range_hash(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Hash of h[start : start + length], equal for equal sequences: polynomial prefix sums modulo 2^64, of odd base."""
     n = len(h)
+    up, down = _powers(n)
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(n + 1, _ODD, np.uint64), dtype=np.uint64)
-        prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(h) * powers[:n], dtype=np.uint64)))
+        prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix64(h) * up[:n], dtype=np.uint64, out=prefix[1:])
         part = prefix[starts + lengths] - prefix[starts]
-        inverse = np.uint64(pow(_ODD, -1, 1 << 64))
-        back = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, inverse, np.uint64), dtype=np.uint64)))
-        return mix64(part * back[starts] + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return mix64(part * down[starts] + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def packed(wanted: DataFrame, width: int, strings: bool) -> DataFrame:
