@@ -638,3 +638,124 @@ def a22(spark, sf):
 def o3(spark, sf):
     order = Window.partitionBy("c_nationkey").orderBy(F.col("c_acctbal").desc(), "c_custkey")
     return D.table(spark, sf, "customer").withColumn("place", F.row_number().over(order)).filter("place <= 6").select("c_custkey", "c_nationkey", "place")
+
+
+# ---- pairing, changes and chains --------------------------------------------------------------------
+@query("j1_declared_registered", f"""WITH {HOLDINGS}, dec AS (SELECT o_orderkey AS company, CAST(o_orderkey % 100 + 1 AS BIGINT) AS holder FROM orders),
+  r AS (SELECT company, max(valid_from) AS changed FROM hold GROUP BY 1), l AS (SELECT company, list_sort(list(DISTINCT CAST(holder AS VARCHAR))) AS hs FROM live GROUP BY 1)
+  SELECT d.company AS claim, CASE WHEN hs IS NULL THEN 'unregistered' WHEN list_contains(hs, CAST(d.holder AS VARCHAR)) THEN 'corroborated' ELSE 'contradicted' END AS status, CAST(d.holder AS VARCHAR) AS declared,
+  coalesce(array_to_string(hs, '|'), '') AS counterparts, CAST(DATE '1996-06-30' - changed AS INTEGER) AS staleness_days FROM dec d LEFT JOIN l USING (company) LEFT JOIN r USING (company)""")
+def j1(spark, sf):
+    from claimwright.operators import pairing
+
+    o = D.table(spark, sf, "orders")
+    declared = o.select(F.col("o_orderkey").alias("claim"), F.col("o_orderkey").alias("subject"), F.lit("owns").alias("predicate"), (F.pmod("o_orderkey", F.lit(100)) + 1).cast("string").alias("value"))
+    registered = D.owns(spark, sf).select(F.col("company").alias("subject"), F.lit("owns").alias("predicate"), F.col("holder").cast("string").alias("value"), "valid_from", "valid_to")
+    return pairing.paired(declared, registered, AS_OF)
+
+
+@query("j7_identifier_join", "SELECT c_custkey AS id, s_suppkey AS target FROM customer JOIN supplier ON c_custkey = s_suppkey AND c_nationkey = s_nationkey")
+def j7(spark, sf):
+    from claimwright.operators import pairing
+
+    rows = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").cast("string").alias("identifier"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("country"))
+    targets = D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("target"), F.col("s_suppkey").cast("string").alias("identifier"), F.array(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))).alias("countries"))
+    return pairing.by_identifier(rows, targets)
+
+
+@query("j13_similar_names", """WITH p AS (SELECT p_partkey AS e, p_brand AS s, list_sort(list_distinct([x FOR x IN string_split(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), ' ') IF length(x) > 1 AND x <> 'the'])) AS t FROM part)
+  SELECT DISTINCT least(x.e, y.e) AS a, greatest(x.e, y.e) AS b FROM p x JOIN p y ON x.s <> y.s AND len(x.t) > 0 AND list_has_all(y.t, x.t)""")
+def j13(spark, sf):
+    from claimwright.operators import pairing
+
+    parts = D.table(spark, sf, "part").select(F.col("p_partkey").alias("entity"), F.col("p_brand").alias("source"), E.core_tokens(F.col("p_name"), ("the",)).alias("tokens"))
+    return pairing.similar_names(parts)
+
+
+@query("j14_disagreements", """WITH r AS (SELECT o_custkey AS topic, o_orderkey AS pos, o_orderstatus AS source, o_orderpriority AS value, o_orderkey % 5 = 0 AS negated FROM orders),
+  p AS (SELECT a.topic, a.pos AS a, b.pos AS b, row_number() OVER (PARTITION BY a.topic ORDER BY a.pos, b.pos) AS place FROM r a JOIN r b ON a.topic = b.topic AND a.pos < b.pos AND a.source <> b.source AND (a.value <> b.value OR a.negated <> b.negated))
+  SELECT topic, a, b, CAST(place AS INTEGER) AS place FROM p WHERE place <= 6""")
+def j14(spark, sf):
+    from claimwright.operators import pairing
+
+    o = D.table(spark, sf, "orders")
+    return pairing.disagreements(o.select(F.col("o_custkey").alias("topic"), F.col("o_orderkey").alias("pos"), F.col("o_orderstatus").alias("source"), F.col("o_orderpriority").alias("value"), (F.pmod("o_orderkey", F.lit(5)) == 0).alias("negated")))
+
+
+@query("a21_majority_changes", f"""WITH {HOLDINGS}, d AS (SELECT company, valid_from, array_to_string(list_sort(list(DISTINCT CAST(holder AS VARCHAR))), '|') AS hs FROM (SELECT company, holder, bp, valid_from FROM hold UNION ALL SELECT company, holder + 1, bp + 1, valid_from + 1 FROM hold WHERE company % 2 = 0) WHERE bp > 5000 GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER w AS rn, lead(hs) OVER w AS earlier FROM d WINDOW w AS (PARTITION BY company ORDER BY valid_from DESC))
+  SELECT company, CAST(valid_from AS DATE) AS changed_on, earlier, hs AS later FROM r WHERE rn = 1 AND earlier IS NOT NULL AND earlier <> hs""")
+def a21(spark, sf):
+    from claimwright.operators import pairing
+
+    o = D.owns(spark, sf).select("company", "holder", "share", "valid_from")
+    later = o.filter(F.pmod("company", F.lit(2)) == 0).select("company", (F.col("holder") + 1).alias("holder"), (F.col("share") + F.lit("0.0001").cast(S.SHARE)).cast(S.SHARE).alias("share"), F.date_add("valid_from", 1).alias("valid_from"))
+    return pairing.majority_changes(o.unionByName(later))
+
+
+@query("a25_staleness_buckets", f"""WITH {HOLDINGS}, s AS (SELECT company, DATE '1999-01-01' - max(valid_from) AS days FROM hold GROUP BY 1)
+  SELECT CASE WHEN days < 0 THEN 'after' WHEN days <= 365 THEN 'a year' WHEN days <= 1095 THEN 'three years' WHEN days <= 1825 THEN 'five years' ELSE 'longer' END AS bucket, count(*) AS n FROM s GROUP BY 1""")
+def a25(spark, sf):
+    days = F.datediff(F.lit("1999-01-01").cast("date"), F.max("valid_from"))
+    s = D.owns(spark, sf).groupBy("company").agg(days.alias("days"))
+    d = F.col("days")
+    return s.groupBy(F.when(d < 0, "after").when(d <= 365, "a year").when(d <= 1095, "three years").when(d <= 1825, "five years").otherwise("longer").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _chain(spark, sf):
+    return g2(spark, sf)
+
+
+@query("p16_chain_shape", f"""WITH {_EDGES}, l1 AS (SELECT owned AS root, owner AS node FROM ed WHERE owned LIKE 's:%'), l2 AS (SELECT DISTINCT l1.root, ed.owner AS node FROM l1 JOIN ed ON ed.owned = l1.node), a AS (SELECT root, node, 1 AS d FROM l1 UNION ALL SELECT root, node, 2 FROM l2), g AS (SELECT root, count(*) AS n, max(d) AS d FROM a GROUP BY 1)
+  SELECT 's:' || s_suppkey AS root, CASE WHEN n IS NULL THEN 'UNKNOWABLE' ELSE 'TRUE' END AS value, coalesce(n, 0) + 1 AS nodes, coalesce(d, 0) AS depth FROM supplier LEFT JOIN g ON g.root = 's:' || s_suppkey""")
+def p16(spark, sf):
+    from claimwright.operators import chain_predicates
+
+    return chain_predicates.shape(_chain(spark, sf))
+
+
+@query("p17_chain_ends", "SELECT 's:' || s_suppkey AS root, 'FALSE' AS value FROM supplier")
+def p17(spark, sf):
+    from claimwright.operators import chain_predicates
+
+    return chain_predicates.terminates_unresolvable(_chain(spark, sf))
+
+
+@query("p21_named_owners", f"WITH {_EDGES} SELECT 's:' || s_suppkey AS root, CASE WHEN 's:' || s_suppkey IN (SELECT owned FROM ed) THEN 'TRUE' ELSE 'UNKNOWABLE' END AS value FROM supplier")
+def p21(spark, sf):
+    from claimwright.operators import chain_predicates
+
+    return chain_predicates.owners_are_named_persons(_chain(spark, sf), D.ownership_edges(spark, sf))
+
+
+@query("p20_designated_in_chain", f"""WITH {_EDGES}, l1 AS (SELECT owned AS root, owner AS node FROM ed WHERE owned LIKE 's:%'), l2 AS (SELECT DISTINCT l1.root, ed.owner AS node FROM l1 JOIN ed ON ed.owned = l1.node), a AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2)
+  SELECT root, min(node) AS node FROM a WHERE node IN (SELECT 'n:' || n_nationkey FROM nation WHERE n_nationkey % 3 = 0) GROUP BY 1""")
+def p20(spark, sf):
+    from claimwright.operators import chain_predicates
+
+    nations = D.table(spark, sf, "nation")
+    key = F.concat(F.lit("n:"), F.col("n_nationkey").cast("string"))
+    labels = nations.select(key.alias("node"), E.normal_identifier(F.col("n_name")).alias("name_key"))
+    listed = nations.filter(F.pmod("n_nationkey", F.lit(3)) == 0).select(E.normal_identifier(F.col("n_name")).alias("name_key"))
+    return chain_predicates.designated(_chain(spark, sf), labels, listed)
+
+
+@query("w8_flags_in_force", f"""WITH {LOG}, ob AS (SELECT user_id AS subject, event_type AS kind, md5(props) AS pin, event_id AS seq FROM events WHERE event_type IN ('view', 'signup')), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY seq DESC) AS rn FROM ob) WHERE rn = 1),
+  n AS (SELECT DISTINCT resource_id, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY source, resource_id ORDER BY fetched_at DESC, seq) AS rn FROM f WHERE http_status = 200) WHERE rn = 1)
+  SELECT subject, CASE WHEN kind = 'signup' THEN 'withdrawn' WHEN NOT EXISTS (SELECT 1 FROM n WHERE n.resource_id = l.subject AND n.content_hash = l.pin) THEN 'stale' ELSE 'active' END AS state FROM l""")
+def w8(spark, sf):
+    from claimwright.operators import pairing
+
+    e = D.table(spark, sf, "events").filter(F.col("event_type").isin("view", "signup"))
+    observations = e.select(F.col("user_id").alias("subject"), F.when(F.col("event_type") == "signup", "withdraw").otherwise("suppress").alias("kind"), F.array(F.md5(F.col("props").cast("binary"))).alias("pinned"), F.col("event_id").alias("seq"))
+    current = logs.latest_successful(D.fetches(spark, sf), ["source", "resource_id"]).select(F.col("resource_id").alias("subject"), "content_hash")
+    return pairing.flag_in_force(observations, current)
+
+
+@query("j20_context_windows", "SELECT doc_id, sha256(substr(text, greatest(0, length(text) // 2 - 600) + 1, least(6000, least(length(text), length(text) // 2 + 650) - greatest(0, length(text) // 2 - 600)))) AS context_sha256 FROM documents WHERE text IS NOT NULL")
+def j20(spark, sf):
+    from claimwright.operators import pairing
+
+    middle = F.floor(F.length("text") / 2).cast("int")
+    window = pairing.context_window(F.col("text"), middle, middle + 50)
+    return D.table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.sha2(window.cast("binary"), 256).alias("context_sha256"))
