@@ -90,14 +90,19 @@ def visible_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"\s+", " "))
 
 
+# How a page states its founding year and its headcount.
+FOUNDED = r"(?i)\b(?:grundlagt|etableret|stiftet|founded|established|since|siden|est\.?)\b[^.\n]{0,24}?\b((?:18|19|20)\d{2})\b"
+EMPLOYEES = r"(?i)\b(\d{1,3}(?:[.\s]\d{3})*|\d{1,5})\s*\+?\s*\b(?:medarbejdere|ansatte|employees|people|kolleger|specialister)\b"
+
+
 def founded_year(text: Column) -> Column:
     """Year near a founding word, if plausible."""
-    year = F.regexp_extract(text, r"(?i)\b(?:grundlagt|etableret|stiftet|founded|established|since|siden|est\.?)\b[^.\n]{0,24}?\b((?:18|19|20)\d{2})\b", 1).try_cast("int")
+    year = F.regexp_extract(text, FOUNDED, 1).try_cast("int")
     return F.when((year > 1600) & (year < 2100), year)
 
 
 def employee_count(text: Column) -> Column:
-    n = F.regexp_replace(F.regexp_extract(text, r"(?i)\b(\d{1,3}(?:[.\s]\d{3})*|\d{1,5})\s*\+?\s*\b(?:medarbejdere|ansatte|employees|people|kolleger|specialister)\b", 1), r"[.\s]", "").try_cast("int")
+    n = F.regexp_replace(F.regexp_extract(text, EMPLOYEES, 1), r"[.\s]", "").try_cast("int")
     return F.when((n > 0) & (n < 500_000), n)
 
 
