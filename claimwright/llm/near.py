@@ -14,13 +14,14 @@ works on classes.
 * A bucket is never expanded into its pairs.  First each member meets the
   bucket's first document.  Estimates that lie more than six standard
   deviations under the threshold drop out, the rest is confirmed on full sets.
-* Buckets whose members then still lie in several components go on.  Shingles
-  that no other member of such buckets has bound what a member can share with
-  anybody; where sizes and these bounds exclude a link, no pair is made.
+* Buckets whose members then still lie in several components go on.  Members
+  that share a rare shingle (at most ``RARE`` members have it) meet.  For all
+  other pairs, shingles that are rare or a member's own bound what can be
+  shared; where sizes and these bounds exclude a link, no pair is made.
   Members outside a bucket's largest component meet ``LEADERS`` pseudo-random
   members of the bucket, and what is left after that meets the members of other
-  components of the same bucket that sizes and bounds leave (estimate first,
-  then full sets), so that no link between components is lost.
+  components of the same bucket that sizes, bounds and estimates leave (then
+  confirmed on full sets), so that no link between components is lost.
 
 Nulls: a document without words (or null) has an empty set and no links.  Rows
 with a null id link like others; a component's id is its least non-null one.
@@ -34,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimwright.llm.common import WordHashes, cut, mix64, windows_hash
+from claimwright.llm.common import WordHashes, cut, mix64, small_or_shuffled, windows_hash
 from claimwright.llm.graph import components
 
 SHINGLE = 5
@@ -44,6 +45,9 @@ BITS = 2
 PLACES = ROWS * BANDS
 LEADERS = 4
 CHUNK_WORDS = 1 << 20
+#: A shingle that at most so many members share is rare; its members meet each other.
+RARE = 8
+BROADCAST_ROWS = 200_000
 
 _A = mix64(np.arange(1, PLACES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -201,8 +205,8 @@ def _contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(every.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
-def _own(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(c, own): how many shingles of a member no other member has."""
+def _sharing(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(c, own): how many shingles of a member no other member has; (s, c): those that two to ``RARE`` members have."""
     rows = members.select("c").distinct().join(texts, "c")
 
     def run(batches):
@@ -216,8 +220,10 @@ def _own(members: DataFrame, texts: DataFrame) -> DataFrame:
 
     each = rows.select("c", "text").mapInArrow(run, "c binary, s long")
     # a shingle of one member only keeps that member's name, so it can be counted for it
-    alone = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.first("c").alias("c")).filter("df = 1")
-    return alone.groupBy("c").agg(F.count(F.lit(1)).alias("own"))
+    spread = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.first("c").alias("c"))
+    own = spread.filter("df = 1").groupBy("c").agg(F.count(F.lit(1)).alias("own"))
+    few = cut(spread.filter((F.col("df") > 1) & (F.col("df") <= RARE)).select("s"))
+    return own, cut(each.join(small_or_shuffled(few, few.count(), BROADCAST_ROWS), "s").select("s", "c"))
 
 
 def _may_link(n: str, m: str, r: str, q: str, percent: int) -> Column:
@@ -255,7 +261,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id
     least = F.min(F.struct("doc_id", "c")).alias("least")
     buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), least).filter("size > 1").select("bucket", F.col("least.c").alias("leader"))
     members = cut(banded.join(buckets, "bucket").select("bucket", "c", "n", "leader"))
-    inside = classes.join(members.select("c").distinct(), "c", "left_semi").select("c", "key", "n", "sig")
+    inside = classes.join(members.select("c").distinct(), "c", "left_semi").select("c", "key", "n", "sig", "bands")
     inside = cut(inside)
     # the texts of bucket members, once: later rounds shuffle these only
     texts = rows.select("key", "text").join(inside.select("c", "key"), "key").select("c", "text").dropDuplicates(["c"])
@@ -268,14 +274,28 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id
     labels = components(found)
     left = cut(_several(members, labels))
     if left.limit(1).count():
-        left = cut(left.join(_own(left, texts), "c", "left").select("bucket", "c", "n", "label", (F.col("n") - F.coalesce("own", F.lit(0))).alias("r")))
+        own, rare = _sharing(left, texts)
+        named = rare.join(left.select("c", "n", "label").distinct(), "c")
+        twin = named.select("s", *(F.col(x).alias(f"l_{x}") for x in ("c", "n", "label")))
+        alike = (F.col("c") < F.col("l_c")) & (F.col("label") != F.col("l_label")) & (100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n"))
+        met = named.join(twin, (named["s"] == twin["s"]) & alike).select(F.col("c").alias("a"), F.col("l_c").alias("b"))
+        labels = _contracted(labels, cut(links.confirmed(links.likely(met))))
+        # pairs that share a rare shingle are done; for the others rare shingles count as a member's own
+        less = F.col("n") - F.coalesce("own", F.lit(0)) - F.coalesce("rare", F.lit(0))
+        counts = own.join(rare.groupBy("c").agg(F.count(F.lit(1)).alias("rare")), "c", "full_outer")
+        left = left.select("bucket", "c", "n").join(counts, "c", "left").select("bucket", "c", "n", less.alias("r"))
+        left = cut(_several(left, labels))
         for all_members in (False, True):
             some = cut(_open(left, percent))
             if not some.limit(1).count():
                 break
             if all_members:
-                others = left.select(F.col("bucket").alias("b"), F.col("c").alias("leader"), F.col("n").alias("l_n"), F.col("r").alias("l_r"), F.col("label").alias("l_label"))
-                met = some.join(others, (F.col("bucket") == F.col("b")) & (F.col("m") == F.col("l_n")) & (F.col("label") != F.col("l_label")) & _may_link("n", "l_n", "r", "l_r", percent))
+                signs = inside.select("c", "sig", "bands")
+                theirs = left.join(signs, "c")
+                others = theirs.select(F.col("bucket").alias("b"), F.col("c").alias("leader"), *(F.col(x).alias(f"l_{x}") for x in ("n", "r", "label", "sig", "bands")))
+                # a pair that shares several buckets is made in the first of them, and only if its estimate allows a link
+                here = (F.col("bucket") == F.array_min(F.array_intersect("bands", "l_bands"))) & (estimate("sig", "l_sig") >= least_estimate(percent / 100))
+                met = some.join(signs, "c").join(others, (F.col("bucket") == F.col("b")) & (F.col("m") == F.col("l_n")) & (F.col("label") != F.col("l_label")) & _may_link("n", "l_n", "r", "l_r", percent) & here)
             else:
                 # pseudo-random leaders by a minimum for each seed: partial aggregates, however large a bucket is
                 picks = [F.min(F.struct(F.xxhash64("c", F.lit(seed)).alias("h"), F.col("c").alias("leader"), F.col("n").alias("l_n"), F.col("r").alias("l_r"), F.col("label").alias("l_label"))) for seed in range(LEADERS)]
