@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimwright.llm.common import WordHashes, cut, mix64, windows_hash
+from claimwright.llm.common import WordHashes, cut, mix64, small_or_shuffled, windows_hash
 
 WIDTH = 35
 MER = 6
@@ -40,6 +40,8 @@ HOT = 64
 #: Words that a stretch of whole buckets may hold before it is worked off.
 STRETCH_WORDS = 1 << 20
 CHUNK_WORDS = 1 << 20
+#: Documents with hot minimisers up to this many are broadcast (their runs only), else shuffled.
+BROADCAST_ROWS = 10_000
 
 
 def super_kmers(hashes: np.ndarray, width: int = WIDTH, mer: int = MER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,6 +68,30 @@ def _word_lists(column) -> Iterator[list[bytes]]:
         yield (t.as_py() or "").encode().split()
 
 
+def _packed_words(column) -> Iterator[list[bytes]]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    for z in column:
+        yield unpack(z.as_py()).split()
+
+
+def compressed(rows: DataFrame) -> DataFrame:
+    """(doc_id, row, text) -> doc_id, row, z: texts as they are shuffled, at under half their size."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            z = [pack((t.as_py() or "").encode()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], names=["doc_id", "row", "z"])
+
+    return rows.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {kind}, row long, z binary")
+
+
 def listed(rows: DataFrame, width: int) -> DataFrame:
     """(doc_id, row, text) -> row, start, windows, mini, sid: every super-k-mer by hashes only."""
 
@@ -128,7 +154,7 @@ def _range_hash(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 def packed(wanted: DataFrame, width: int, strings: bool) -> DataFrame:
-    """(row, text, runs) -> the wanted super-k-mers and single windows.
+    """(row, z, runs) -> the wanted super-k-mers and single windows.
 
     Their places (row, start, bucket, sid), or their strings (bucket, sid,
     packed, times), merged within a batch of documents.
@@ -149,7 +175,7 @@ def packed(wanted: DataFrame, width: int, strings: bool) -> DataFrame:
             out: list[list] = [[] for _ in range(4)]
             merged: dict[tuple[int, int], list] = {}
             size = 0
-            for row, words, runs in zip(batch.column(0).to_pylist(), _word_lists(batch.column(1)), batch.column(2), strict=True):
+            for row, words, runs in zip(batch.column(0).to_pylist(), _packed_words(batch.column(1)), batch.column(2), strict=True):
                 h = known.of(words)
                 runs = runs.values
                 start, count, mini, hot = (runs.field(i).to_numpy(zero_copy_only=False) for i in range(4))
@@ -181,7 +207,7 @@ def packed(wanted: DataFrame, width: int, strings: bool) -> DataFrame:
                 yield emitted(out, merged)
 
     kinds = "bucket long, sid long, packed string, times long" if strings else "row long, start long, bucket long, sid long"
-    return wanted.select("row", "text", "runs").mapInArrow(run, kinds)
+    return wanted.select("row", "z", "runs").mapInArrow(run, kinds)
 
 
 def repeated_windows(strings: list[list[bytes]], counts: np.ndarray, width: int) -> list[np.ndarray]:
@@ -264,19 +290,25 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id
     """doc_id, n_words, n_removed, kept_sha256 (and ``kept``) for every row."""
     ident, text = F.col(id_col), F.col(text_col).cast("string")
     rows = docs.select(ident.alias("doc_id"), F.xxhash64(ident, text).alias("row"), text.alias("text"))
+    small = compressed(rows)
     every = listed(rows, width)
     # by hashes alone: minimisers that occur again, and those with many different strings
     sketch = F.expr("bit_or(shiftleft(1L, cast(sid & 63 as int)))")
     minis = every.groupBy("mini").agg(F.count(F.lit(1)).alias("times"), F.bit_count(sketch).alias("bits")).filter("times > 1")
     again = minis.select("mini", (F.col("bits") >= HOT).alias("hot"))
-    runs = every.select("row", F.col("start").cast("int"), F.col("windows").cast("int"), "mini").join(again, "mini")
-    runs = cut(runs.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "windows", "mini", "hot"))).alias("runs")))
-    wanted = rows.select("row", "text").join(runs, "row")
+    runs = every.select("row", F.col("start").cast("int"), F.col("windows").cast("int"), "mini", "sid").join(again, "mini")
+    runs = cut(runs.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "windows", "mini", "hot", "sid"))).alias("runs")))
+    wanted = small.join(runs, "row")
     strings = packed(wanted, width, True).repartition("bucket").sortWithinPartitions("bucket", "sid", "packed")
     found = cut(counted(strings, width))
-    hits = packed(wanted, width, False).join(found, ["bucket", "sid"]).select("row", "start", F.explode("offsets").alias("offset")).select("row", (F.col("start") + F.col("offset")).alias("at"))
+    # where strings stand: known from the hashes, but for the single windows of hot minimisers
+    cold = runs.select("row", F.explode(F.filter("runs", lambda r: ~r["hot"])).alias("r")).select("row", F.col("r.start").cast("long").alias("start"), F.col("r.mini").alias("bucket"), F.col("r.sid").alias("sid"))
+    hot = cut(runs.select("row", F.filter("runs", lambda r: r["hot"]).alias("runs")).filter(F.size("runs") > 0))
+    n_hot = hot.count()
+    single = packed(small.join(small_or_shuffled(hot, n_hot, BROADCAST_ROWS), "row"), width, False)
+    hits = (cold.unionByName(single) if n_hot else cold).join(found, ["bucket", "sid"]).select("row", "start", F.explode("offsets").alias("offset")).select("row", (F.col("start") + F.col("offset")).alias("at"))
     starts = hits.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("starts"))
-    judged = rows.join(starts, "row", "left").select("doc_id", "text", "starts")
+    judged = small.join(starts, "row", "left").select("doc_id", "z", "starts")
     kind = judged.schema["doc_id"].dataType.simpleString()
     more = ", kept string" if kept_text else ""
 
@@ -287,7 +319,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id
 
         for batch in batches:
             n_words, n_removed, digest, kept = [], [], [], []
-            for words, at in zip(_word_lists(batch.column(1)), batch.column(2), strict=True):
+            for words, at in zip(_packed_words(batch.column(1)), batch.column(2), strict=True):
                 left, gone = without(words, at.values.to_numpy() if at.is_valid else np.empty(0, np.int64), width)
                 whole = b" ".join(left)
                 n_words.append(len(words))
