@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimwright.llm.common import WordHashes, cut, mix64, small_or_shuffled, windows_hash
+from claimwright.llm.common import WordHashes, cut, mix64, windows_hash
 
 WIDTH = 35
 MER = 6
@@ -40,8 +40,6 @@ HOT = 64
 #: Words that a stretch of whole buckets may hold before it is worked off.
 STRETCH_WORDS = 1 << 20
 CHUNK_WORDS = 1 << 20
-#: Documents with hot minimisers up to this many are broadcast (their runs only), else shuffled.
-BROADCAST_ROWS = 10_000
 
 
 def super_kmers(hashes: np.ndarray, width: int = WIDTH, mer: int = MER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,7 +152,7 @@ def _range_hash(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 def packed(wanted: DataFrame, width: int, strings: bool) -> DataFrame:
-    """(row, z, runs) -> the wanted super-k-mers and single windows.
+    """(doc_id, row, z, runs) -> the wanted super-k-mers and single windows.
 
     Their places (row, start, bucket, sid), or their strings (bucket, sid,
     packed, times), merged within a batch of documents.
@@ -175,7 +173,7 @@ def packed(wanted: DataFrame, width: int, strings: bool) -> DataFrame:
             out: list[list] = [[] for _ in range(4)]
             merged: dict[tuple[int, int], list] = {}
             size = 0
-            for row, words, runs in zip(batch.column(0).to_pylist(), _packed_words(batch.column(1)), batch.column(2), strict=True):
+            for row, words, runs in zip(batch.column(1).to_pylist(), _packed_words(batch.column(2)), batch.column(3), strict=True):
                 h = known.of(words)
                 runs = runs.values
                 start, count, mini, hot = (runs.field(i).to_numpy(zero_copy_only=False) for i in range(4))
@@ -207,7 +205,8 @@ def packed(wanted: DataFrame, width: int, strings: bool) -> DataFrame:
                 yield emitted(out, merged)
 
     kinds = "bucket long, sid long, packed string, times long" if strings else "row long, start long, bucket long, sid long"
-    return wanted.select("row", "z", "runs").mapInArrow(run, kinds)
+    # doc_id comes along so that the shuffle is the one that the last join makes too
+    return wanted.select("doc_id", "row", "z", "runs").mapInArrow(run, kinds)
 
 
 def repeated_windows(strings: list[list[bytes]], counts: np.ndarray, width: int) -> list[np.ndarray]:
@@ -304,9 +303,8 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id
     # where strings stand: known from the hashes, but for the single windows of hot minimisers
     cold = runs.select("row", F.explode(F.filter("runs", lambda r: ~r["hot"])).alias("r")).select("row", F.col("r.start").cast("long").alias("start"), F.col("r.mini").alias("bucket"), F.col("r.sid").alias("sid"))
     hot = cut(runs.select("row", F.filter("runs", lambda r: r["hot"]).alias("runs")).filter(F.size("runs") > 0))
-    n_hot = hot.count()
-    single = packed(small.join(small_or_shuffled(hot, n_hot, BROADCAST_ROWS), "row"), width, False)
-    hits = (cold.unionByName(single) if n_hot else cold).join(found, ["bucket", "sid"]).select("row", "start", F.explode("offsets").alias("offset")).select("row", (F.col("start") + F.col("offset")).alias("at"))
+    single = packed(small.join(hot, "row"), width, False)
+    hits = (cold.unionByName(single) if hot.limit(1).count() else cold).join(found, ["bucket", "sid"]).select("row", "start", F.explode("offsets").alias("offset")).select("row", (F.col("start") + F.col("offset")).alias("at"))
     starts = hits.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("starts"))
     judged = small.join(starts, "row", "left").select("doc_id", "z", "starts")
     kind = judged.schema["doc_id"].dataType.simpleString()
