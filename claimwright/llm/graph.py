@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from claimwright.llm.common import cut
@@ -23,8 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         heard = both.join(labels.withColumnsRenamed({"node": "dst"}), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("heard"))
         near = labels.join(heard, "node").select("node", "label", F.least("label", "heard").alias("next"))
         up = labels.select(F.col("node").alias("next"), F.col("label").alias("up"))
-        new = cut(near.join(up, "next").select("node", F.least("next", "up").alias("label"), (F.least("next", "up") != F.col("label")).alias("moved")))
-        moved = new.filter("moved").limit(1).count()
-        labels = new.select("node", "label")
-        if not moved:
+        moved = Observation()
+        new = near.join(up, "next").select("node", F.least("next", "up").alias("label"), (F.least("next", "up") != F.col("label")).alias("moved"))
+        labels = cut(new.observe(moved, F.max("moved").alias("any"))).select("node", "label")
+        if not moved.get["any"]:
             return labels

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimwright.llm.common import WordHashes, cut, mix64, small_or_shuffled, windows_hash
+from claimwright.llm.common import WordHashes, cut, cut_counted, mix64, small_or_shuffled, windows_hash
 from claimwright.llm.graph import components
 
 SHINGLE = 5
@@ -199,7 +199,11 @@ def _contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
     at = labels.select(F.col("node").alias("k"), F.col("label").alias("l"))
     ends = links.join(at.withColumnsRenamed({"k": "a", "l": "la"}), "a", "left").join(at.withColumnsRenamed({"k": "b", "l": "lb"}), "b", "left")
     ends = ends.select(F.col("a"), F.col("b"), F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
-    merged = components(ends.filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    # ends under one label are known already
+    ends, new = cut_counted(ends.filter("la <> lb"))
+    if not new:
+        return labels
+    merged = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
     every = labels.select("node", "label").union(ends.select("a", "la")).union(ends.select("b", "lb")).distinct()
     to = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
     return cut(every.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
@@ -222,8 +226,8 @@ def _sharing(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame
     # a shingle of one member only keeps that member's name, so it can be counted for it
     spread = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.first("c").alias("c"))
     own = spread.filter("df = 1").groupBy("c").agg(F.count(F.lit(1)).alias("own"))
-    few = cut(spread.filter((F.col("df") > 1) & (F.col("df") <= RARE)).select("s"))
-    return own, cut(each.join(small_or_shuffled(few, few.count(), BROADCAST_ROWS), "s").select("s", "c"))
+    few, many = cut_counted(spread.filter((F.col("df") > 1) & (F.col("df") <= RARE)).select("s"))
+    return own, cut(each.join(small_or_shuffled(few, many, BROADCAST_ROWS), "s").select("s", "c"))
 
 
 def _may_link(n: str, m: str, r: str, q: str, percent: int) -> Column:
@@ -272,8 +276,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id
     star = members.filter("leader <> c").select(ends[0].alias("a"), ends[1].alias("b"))
     found = cut(links.confirmed(links.likely(star)))
     labels = components(found)
-    left = cut(_several(members, labels))
-    if left.limit(1).count():
+    left, many = cut_counted(_several(members, labels))
+    if many:
         own, rare = _sharing(left, texts)
         named = rare.join(left.select("c", "n", "label").distinct(), "c")
         twin = named.select("s", *(F.col(x).alias(f"l_{x}") for x in ("c", "n", "label")))
@@ -286,8 +290,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id
         left = left.select("bucket", "c", "n").join(counts, "c", "left").select("bucket", "c", "n", less.alias("r"))
         left = cut(_several(left, labels))
         for all_members in (False, True):
-            some = cut(_open(left, percent))
-            if not some.limit(1).count():
+            some, many = cut_counted(_open(left, percent))
+            if not many:
                 break
             if all_members:
                 signs = inside.select("c", "sig", "bands")
