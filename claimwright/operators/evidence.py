@@ -101,10 +101,13 @@ def missing_references(rows: DataFrame, column: str, targets: DataFrame, target:
 
 
 def report_chain(turns: DataFrame, conv: str, turn: str, speaker: str) -> DataFrame:
-    """Each statement with the speakers before it, outermost first (at most the ``8`` nearest)."""
+    """Each statement with all the speakers before it, outermost first.
+
+    The chains of one conversation grow with the square of its turns, as each holds the whole of it.
+    """
     from pyspark.sql import Window
 
-    before = Window.partitionBy(conv).orderBy(turn).rowsBetween(-8, -1)
+    before = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
     return turns.withColumn("chain", F.array_join(F.collect_list(speaker).over(before), ">"))
 
 
