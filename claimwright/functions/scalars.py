@@ -93,17 +93,30 @@ def visible_text(html: Column) -> Column:
 # How a page states its founding year and its headcount.
 FOUNDED = r"(?i)\b(?:grundlagt|etableret|stiftet|founded|established|since|siden|est\.?)\b[^.\n]{0,24}?\b((?:18|19|20)\d{2})\b"
 EMPLOYEES = r"(?i)\b(\d{1,3}(?:[.\s]\d{3})*|\d{1,5})\s*\+?\s*\b(?:medarbejdere|ansatte|employees|people|kolleger|specialister)\b"
+EMPLOYEES_REV = r"(?i)\b(?:medarbejdere|ansatte|employees|team\s+of)\b[^.\n]{0,12}?\b(\d{1,5})\b"
+
+
+def founded_years(text: Column) -> Column:
+    """Distinct plausible years near a founding word, in the order of the text."""
+    years = F.transform(F.regexp_extract_all(text, F.lit(FOUNDED), F.lit(1)), lambda y: y.try_cast("int"))
+    return F.array_distinct(F.filter(years, lambda y: (y > 1600) & (y < 2100)))
+
+
+def employee_counts(text: Column) -> Column:
+    """Distinct plausible headcounts: those before the noun, then those after it."""
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (EMPLOYEES, EMPLOYEES_REV)))
+    counts = F.transform(found, lambda n: F.regexp_replace(n, r"[.\s]", "").try_cast("int"))
+    return F.array_distinct(F.filter(counts, lambda n: (n > 0) & (n < 500_000)))
 
 
 def founded_year(text: Column) -> Column:
-    """Year near a founding word, if plausible."""
-    year = F.regexp_extract(text, FOUNDED, 1).try_cast("int")
-    return F.when((year > 1600) & (year < 2100), year)
+    """The first plausible year."""
+    return F.get(founded_years(text), F.lit(0))
 
 
 def employee_count(text: Column) -> Column:
-    n = F.regexp_replace(F.regexp_extract(text, EMPLOYEES, 1), r"[.\s]", "").try_cast("int")
-    return F.when((n > 0) & (n < 500_000), n)
+    """The first plausible headcount."""
+    return F.get(employee_counts(text), F.lit(0))
 
 
 # Words that tie a statement to an implicit now, report, negate or hedge.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimwright.functions.scalars import normal_text
+from claimwright.functions.scalars import employee_counts, founded_years, normal_text
 from claimwright.operators.temporal import known_by
 
 
@@ -40,6 +40,14 @@ def same_text(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
     return pages.groupBy(sha.alias("text_sha")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).filter("n > 1")
 
 
+def website_facts(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, founded, employees: a row for each statement of a page, with one of the two; a page without any has one row of nulls."""
+    none = F.lit(None).cast("int")
+    founded = F.transform(founded_years(F.col(text)), lambda y: F.struct(y.alias("founded"), none.alias("employees")))
+    employees = F.transform(employee_counts(F.col(text)), lambda n: F.struct(none.alias("founded"), n.alias("employees")))
+    return pages.select(key, F.explode_outer(F.concat(founded, employees)).alias("x")).select(key, "x.founded", "x.employees")
+
+
 def claim_groups(claims: DataFrame, parts: list[str]) -> DataFrame:
     """group_id, n_claims, n_sources, n_polarities of claims that say the same."""
     key = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(p).cast("string"), F.lit("\x1e")) for p in parts)), 256)

@@ -533,7 +533,7 @@ def t7(spark, sf):
 @query("s19_website_facts")
 def s19(spark, sf):
     pages = D.table(spark, sf, "pages").select("page_id", E.visible_text(F.col("html")).alias("text"))
-    return pages.select("page_id", E.founded_year(F.col("text")).alias("founded"), E.employee_count(F.col("text")).alias("employees"))
+    return evidence.website_facts(pages, "page_id")
 
 
 _HOST = "regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^www\\.', '')"
