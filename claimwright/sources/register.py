@@ -12,13 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimwright import schemas as S
+from claimwright.functions.scalars import valid_company_number
 
 _PERIOD = "periode struct<gyldigFra:string,gyldigTil:string>"
 _VALUES = f"attributter array<struct<type:string,vaerdier:array<struct<vaerdi:string,{_PERIOD.replace(' ', ':', 1)}>>>>"
 _P = _PERIOD.replace(" ", ":", 1)
 _A = _VALUES.replace(" ", ":", 1)
+# The headcounts of a document, the first stated one counts.
+HEADCOUNTS = ("nyesteAarsbeskaeftigelse", "nyesteKvartalsbeskaeftigelse", "nyesteErstMaanedsbeskaeftigelse", "nyesteMaanedsbeskaeftigelse")
+_ADDRESSES = f"beliggenhedsadresse:array<struct<vejkode:string,husnummerFra:string,etage:string,sidedoer:string,postnummer:string,kommune:struct<kommuneKode:string>,{_P}>>"
 COMPANY = (
     "struct<cvrNummer:bigint,"
+    f"virksomhedMetadata:struct<sammensatStatus:string,stiftelsesDato:string,{','.join(f'{k}:struct<antalAnsatte:bigint>' for k in HEADCOUNTS)}>,"
+    f"livsforloeb:array<struct<{_P}>>,{_ADDRESSES},hovedbranche:array<struct<branchekode:string,{_P}>>,penheder:array<struct<{_ADDRESSES}>>,"
     f"navne:array<struct<navn:string,{_P}>>,virksomhedsstatus:array<struct<status:string,{_P}>>,"
     f"virksomhedsform:array<struct<langBeskrivelse:string,{_P}>>,hjemmeside:array<struct<kontaktoplysning:string,hemmelig:boolean,{_P}>>,"
     f"elektroniskPost:array<struct<kontaktoplysning:string,hemmelig:boolean,{_P}>>,{_A},"
@@ -34,7 +40,15 @@ ATTRIBUTES = {
     "KAPITAL": "capital_changed",
     "TEGNINGSREGEL": "signing_rule",
     "FORMÅL": "purpose",
+    "OMFATTET_AF_LOV_OM_HVIDVASK_OG_TERRORFINANSIERING": "aml_obliged_entity",
+    "BØRSNOTERET": "is_listed",
+    "GENOPTAGELSE_TVANGSOPLØSNING": "reinstated_after_dissolution",
+    "OFFENTLIG_EJERBOG": "publishes_shareholder_register",
+    "TILSYN_KATEGORI": "supervisory_category",
+    "OPLØSNINGSTRUSSEL_SENESTE": "dissolution_threat",
 }
+# Organisations whose members have a predicate of their own.
+ROLES = {"STIFTERE": "founded_by", "REVISION": "audited_by"}
 
 
 def unwrapped(documents: DataFrame, col: str = "json") -> DataFrame:
@@ -63,8 +77,17 @@ def _rows(d: DataFrame, predicate: Column | str, subject: Column, obj: Column, p
     )
 
 
+def address_key(a: Column) -> Column:
+    parts = (a["vejkode"], a["husnummerFra"], a["etage"], a["sidedoer"], a["postnummer"], a["kommune"]["kommuneKode"])
+    return F.concat_ws("|", *(F.coalesce(p, F.lit("")) for p in parts))
+
+
 def company_claims(docs: DataFrame) -> DataFrame:
-    """Names, states, forms, websites, mail domains and mapped attributes of each company."""
+    """Names, states, forms, websites, mail domains, addresses, industries, life, founding, headcount and mapped attributes of each company.
+
+    A composite state counts from the newest start of a state.  ``role`` tells
+    composite states and the addresses of production units from others.
+    """
     me = company_key(F.col("company.cvrNummer"))
     parts = []
     for field, value, predicate in (("navne", "navn", "has_name"), ("virksomhedsstatus", "status", "has_status"), ("virksomhedsform", "langBeskrivelse", "has_form")):
@@ -73,6 +96,20 @@ def company_claims(docs: DataFrame) -> DataFrame:
     for field, predicate, obj in (("hjemmeside", "has_website", F.col("v.kontaktoplysning")), ("elektroniskPost", "has_mail_domain", F.lower(F.substring_index("v.kontaktoplysning", "@", -1)))):
         x = docs.select(me.alias("me"), F.explode(f"company.{field}").alias("v")).filter("NOT coalesce(v.hemmelig, false)")  # secret rows never become claims
         parts.append(_rows(x, predicate, F.col("me"), obj, F.col("v.periode")))
+    for field, predicate, obj in (("livsforloeb", "has_lifecycle", F.lit("active")), ("hovedbranche", "has_industry", F.col("v.branchekode")), ("beliggenhedsadresse", "registered_at", address_key(F.col("v")))):
+        x = docs.select(me.alias("me"), F.explode(f"company.{field}").alias("v"))
+        parts.append(_rows(x, predicate, F.col("me"), obj, F.col("v.periode"), role=F.lit("registered_office") if predicate == "registered_at" else None))
+    x = docs.select(me.alias("me"), F.explode("company.penheder").alias("u")).select("me", F.explode("u.beliggenhedsadresse").alias("v"))
+    parts.append(_rows(x, "registered_at", F.col("me"), address_key(F.col("v")), F.col("v.periode"), role=F.lit("production_unit")))
+    meta = F.col("company.virksomhedMetadata")
+    never = F.lit(None).cast("string")
+    undated = F.struct(never.alias("gyldigFra"), never.alias("gyldigTil"))
+    starts = F.array_max(F.transform("company.virksomhedsstatus", lambda v: _day(v["periode"]["gyldigFra"])))
+    since = F.struct(starts.cast("string").alias("gyldigFra"), never.alias("gyldigTil"))
+    parts.append(_rows(docs.filter(meta["sammensatStatus"] != ""), "has_status", me, meta["sammensatStatus"], since, role=F.lit("composite")))
+    parts.append(_rows(docs.filter(meta["stiftelsesDato"] != ""), "founded_on", me, _day(meta["stiftelsesDato"]).cast("string"), undated))
+    staff = F.coalesce(*(meta[k]["antalAnsatte"] for k in HEADCOUNTS))
+    parts.append(_rows(docs.filter(staff.isNotNull()), "employs", me, staff.cast("string"), undated))
     known = F.create_map(*(F.lit(x) for kv in ATTRIBUTES.items() for x in kv))
     x = docs.select(me.alias("me"), F.explode("company.attributter").alias("a")).select("me", known[F.col("a.type")].alias("p"), F.explode("a.vaerdier").alias("v")).filter("p IS NOT NULL")
     parts.append(_rows(x, F.col("p"), F.col("me"), F.col("v.vaerdi"), F.col("v.periode")))
@@ -80,9 +117,9 @@ def company_claims(docs: DataFrame) -> DataFrame:
 
 
 def participant_key(p: Column) -> Column:
-    """A company's number, a person's unit, or an opaque key that no register resolves."""
+    """A company's valid number, a person's unit, or an opaque key that no register resolves."""
     opaque = F.when(p["enhedstype"] == "ANDEN_DELTAGER", "anden:").otherwise("enh:")
-    company = (p["enhedstype"] == "VIRKSOMHED") & p["forretningsnoegle"].isNotNull()
+    company = (p["enhedstype"] == "VIRKSOMHED") & valid_company_number(p["forretningsnoegle"].cast("string"))
     return F.when(company, company_key(p["forretningsnoegle"])).when(p["enhedstype"] == "PERSON", F.concat(F.lit("p:"), p["enhedsNummer"].cast("string"))).otherwise(F.concat(opaque, p["enhedsNummer"].cast("string")))
 
 
@@ -105,12 +142,13 @@ def relation_claims(docs: DataFrame) -> DataFrame:
     votes = _rows(value.filter(is_owner & (F.col("type") == "EJERANDEL_STEMMERET_PROCENT")), S.VOTES, F.col("who"), F.col("me"), F.col("v.periode"), share)
     has = F.coalesce(F.exists("m.attributter", lambda a: a["type"].startswith("EJERANDEL")), F.lit(False))
     bare = _rows(member.filter(is_owner & ~has), S.OWNS, F.col("who"), F.col("me"), F.col("m.periode"))
+    predicate = F.coalesce(F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv))[F.col("kind")], F.lit(S.ROLE))
     role = value.filter(~is_owner & (F.col("type") == "FUNKTION"))
     inner, outer = F.col("v.periode"), F.col("outer")
     period = F.struct(F.greatest(inner["gyldigFra"], outer["gyldigFra"]).alias("gyldigFra"), F.least(inner["gyldigTil"], outer["gyldigTil"]).alias("gyldigTil"))
-    roles = _rows(role.withColumn("__p", period), S.ROLE, F.col("who"), F.col("me"), F.col("__p"), None, F.col("v.vaerdi"))
+    roles = _rows(role.withColumn("__p", period), predicate, F.col("who"), F.col("me"), F.col("__p"), None, F.col("v.vaerdi"))
     named = ~F.coalesce(F.exists("m.attributter", lambda a: a["type"] == "FUNKTION"), F.lit(False))
-    plain = _rows(member.filter(~is_owner & named), S.ROLE, F.col("who"), F.col("me"), F.col("m.periode"), None, F.col("name"))
+    plain = _rows(member.filter(~is_owner & named), predicate, F.col("who"), F.col("me"), F.col("m.periode"), None, F.col("name"))
     return reduce(DataFrame.unionByName, (owns, votes, bare, roles, plain))
 
 
