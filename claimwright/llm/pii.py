@@ -5,14 +5,16 @@ leftmost and non-overlapping per kind; matches that fail their check are
 dropped without retrying.
 
 The method adds spans for terms that reveal a protected entity (the value of a
-base span).  A context is the up to ``CONTEXT_WORDS`` words on each side of a
-base span.  Over all documents, ``n_e`` counts the distinct contexts of entity
-e, ``n_te`` those that hold term t, ``n_t`` the documents with t and ``N`` all
-documents.  The term discloses the share ``PMI(t; e) / IC(e)`` of what there is
-to know about e, with ``PMI = ln(n_te N / (n_t n_e))`` and ``IC = ln(N / n_e)``.
-In the contexts of e, terms at or above ``REMOVE`` are removed, those at or
-above ``GENERALISE`` generalised.  Terms seen in fewer than ``MIN_CONTEXTS``
-distinct contexts of e say nothing; copies of one context count once.
+base span).  A context is the up to ``CONTEXT_WORDS`` words of letters on each
+side of a base span, however far they lie.  Over all distinct texts, ``n_e``
+counts the distinct contexts of entity e, ``n_te`` those that hold term t,
+``n_t`` the texts with t and ``N`` all texts; copies of a text or a context
+count once.  The term discloses the share ``PMI(t; e) / IC(e)`` of what there
+is to know about e, with ``IC = ln(N / n_e)`` and ``PMI = ln(p N / n_t)``, where
+``p = (n_te + PRIOR n_t / N) / (n_e + PRIOR)`` is the term's share of the
+contexts, drawn towards its share of the texts: terms of an entity with one or
+two contexts are told apart by how rare they are.  In the contexts of e, terms
+at or above ``REMOVE`` are removed, those at or above ``GENERALISE`` generalised.
 
 The patterns are written so that no text makes them backtrack at length: a
 match begins where its first run of characters begins, or right after the
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 from claimwright.llm.common import cut, small_or_shuffled
 
 CONTEXT_WORDS = 5
-CONTEXT_CHARS = 120
-MIN_CONTEXTS = 3
+#: Where this many characters hold enough words, only they are searched.
+NEAR_CHARS = 200
+#: Weight, in contexts, of a term's share of the texts.
+PRIOR = 1.0
 GENERALISE = 0.5
 REMOVE = 0.8
 BROADCAST_ROWS = 200_000
@@ -112,17 +116,25 @@ def _value(kind: Column, value: Column) -> Column:
     return F.when(kind.isin("card", "phone"), _digits(value)).otherwise(F.lower(value))
 
 
+def _nearest(side: Column) -> Column:
+    """The beginning of a text up to the end of its word ``CONTEXT_WORDS + 1``, or all of its words."""
+    words = lambda n: rf"\A(?:(?s:.*?){TERM}){{{n}}}"
+    near = F.substr(side, F.lit(1), F.lit(NEAR_CHARS))
+    # the last of these words may be cut, those before it are whole
+    enough = near.rlike(words(CONTEXT_WORDS + 2))
+    return F.regexp_extract(F.when(enough, near).otherwise(side), words(f"0,{CONTEXT_WORDS + 1}"), 0)
+
+
 def _context(text: Column, span: Column) -> Column:
     """array<SPAN> of the terms on both sides of a span, offsets within the text."""
-    left_at = F.greatest(F.lit(0), span["start"] - CONTEXT_CHARS)
-    left = F.substr(text, left_at + 1, span["start"] - left_at)
-    right = F.substr(text, span["end"] + 1, F.lit(CONTEXT_CHARS))
+    before = F.reverse(_nearest(F.reverse(F.substr(text, F.lit(1), span["start"]))))
+    after = _nearest(F.substr(text, span["end"] + 1, F.length(text)))
     moved = lambda terms, by: F.transform(terms, lambda t: F.struct(t["kind"].alias("kind"), (t["start"] + by).alias("start"), (t["end"] + by).alias("end"), F.lower(t["value"]).alias("value")))
-    # a term cut by the context's edge, or touching the span, is not a word of it
-    on_left = F.filter(located(left, TERM, "term"), lambda t: ((t["start"] > 0) | (left_at == 0)) & (t["end"] < span["start"] - left_at))
-    on_right = F.filter(located(right, TERM, "term"), lambda t: (t["end"] < F.length(right)) & (t["start"] > 0))
+    # a term touching the span is not a word of it
+    on_left = F.filter(located(before, TERM, "term"), lambda t: t["end"] < F.length(before))
+    on_right = F.filter(located(after, TERM, "term"), lambda t: t["start"] > 0)
     n = F.size(on_left)
-    return F.concat(moved(F.slice(on_left, F.greatest(F.lit(1), n - CONTEXT_WORDS + 1), CONTEXT_WORDS), left_at), moved(F.slice(on_right, 1, CONTEXT_WORDS), span["end"]))
+    return F.concat(moved(F.slice(on_left, F.greatest(F.lit(1), n - CONTEXT_WORDS + 1), CONTEXT_WORDS), span["start"] - F.length(before)), moved(F.slice(on_right, 1, CONTEXT_WORDS), span["end"]))
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -136,24 +148,25 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     contexts = F.transform("base", lambda s: F.struct(_value(s["kind"], s["value"]).alias("entity"), _context(F.col("text"), s).alias("terms")))
     # one scan of the texts; what is kept of it is the spans and their contexts
     found = cut(spans.select("doc_id", "row_hash", "base", F.when(F.size("base") > 0, contexts).alias("contexts")))
-    n_docs = max(1, found.count())
+    n_docs = max(1, found.select("row_hash").distinct().count())
     seen = found.select("doc_id", "row_hash", F.explode("contexts").alias("c")).select("doc_id", "row_hash", "c.entity", "c.terms")
     words = F.transform("terms", lambda t: t["value"])
     distinct = seen.select("entity", F.xxhash64(words).alias("context"), F.array_distinct(words).alias("words")).dropDuplicates(["entity", "context"])
     n_e = distinct.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    pairs = distinct.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= MIN_CONTEXTS)
+    pairs = distinct.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
     pairs = cut(pairs.join(n_e, "entity"))
     terms = cut(pairs.select("term").distinct())
     n_terms = terms.count()
     if n_terms == 0:
         added = found.filter(F.lit(False)).select("doc_id", "row_hash", F.col("base").alias("added"))
         return found.select("doc_id", "row_hash", "base"), added
-    # documents with each such term, over whole texts of all documents
-    each = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    # distinct texts with each such term, over whole texts of all documents
+    own = rows.select("row_hash", "text").dropDuplicates(["row_hash"])
+    each = own.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
     # counted before the join (an inner one: a semi join would be pushed below the count), so that it makes a row a term
     n_t = each.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(small_or_shuffled(terms, n_terms, BROADCAST_ROWS), "term")
     n = F.lit(float(n_docs))
-    pmi = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
+    pmi = F.log((F.col("n_te") * n / F.col("n_t") + PRIOR) / (F.col("n_e") + PRIOR))
     told = pairs.join(n_t, "term").withColumn("share", pmi / F.greatest(F.log(n / F.col("n_e")), F.lit(1e-9)))
     telling = cut(told.filter((F.col("share") >= GENERALISE) & (F.col("n_e") < n)).select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind")))
     n_telling = telling.count()
