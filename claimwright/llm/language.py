@@ -17,7 +17,7 @@ A document is rejected if its text has no trigram of letters, or if no
 language reaches the posterior ``min_posterior``.
 
 Nulls: a null text has no trigrams and is rejected; a null declaration, suffix
-or host is a value of its own.  Ties go to the language first in code-point
+or host is a value of its own, and an empty declaration is a null one.  Ties go to the language first in code-point
 order.  Repeated rows get equal results.  An empty table gives an empty result.
 """
 
@@ -34,7 +34,6 @@ from claimwright.llm.common import cut, small_or_shuffled
 
 #: The sample that trigram models are fitted on holds about this many rows at most.
 SAMPLE_ROWS = 12_000
-MAX_LANGUAGES = 64
 BUCKETS = 1 << 15
 TEXT_TRIGRAMS = 60
 #: Evidence tables up to this many keys are broadcast, larger ones shuffled.
@@ -80,7 +79,7 @@ class TextModel:
 
 
 def fit_text_model(docs: DataFrame, text: str, declared: str, key: str) -> TextModel:
-    """Trigram counts of a hash-chosen sample of declared rows."""
+    """Trigram counts of a hash-chosen sample of declared rows, for every label in it."""
     known = docs.filter(F.col(declared).isNotNull() & F.col(text).isNotNull())
     one_in = max(1, math.ceil(docs.count() / SAMPLE_ROWS))
     sample = known.filter(F.pmod(F.xxhash64(F.col(key), F.lit("language")), F.lit(one_in)) == 0).select(F.col(declared).cast("string"), F.col(text).cast("string"))
@@ -88,27 +87,25 @@ def fit_text_model(docs: DataFrame, text: str, declared: str, key: str) -> TextM
     def run(batches):
         import pyarrow as pa
 
-        held: dict[str, np.ndarray] = {}
         for batch in batches:
             labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            by_label: dict[str, list[str]] = {}
             for label, t in zip(labels, texts, strict=True):
-                keys, _ = trigrams([t])
-                if label not in held and len(held) >= 4 * MAX_LANGUAGES:
-                    continue  # far more labels than languages: the rarest never count
-                held.setdefault(label, np.zeros(BUCKETS + 1, np.int64))
-                held[label] += np.bincount(keys, minlength=BUCKETS + 1)
-        names = list(held)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([held[n][:BUCKETS].tobytes() for n in names], pa.binary())], names=["label", "counts"])
-
-    by_label: dict[str, np.ndarray] = {}
-    for row in sample.repartition(8).mapInArrow(run, "label string, counts binary").toLocalIterator():  # 8 fixed-size rows a label
-        counts = np.frombuffer(row["counts"], np.int64)
-        by_label[row["label"]] = by_label.get(row["label"], 0) + counts
-    top = sorted(sorted(by_label), key=lambda x: -by_label[x].sum())[:MAX_LANGUAGES]
-    languages = sorted(top)
+                by_label.setdefault(label, []).append(t)
+            for label, some in by_label.items():
+                keys, _ = trigrams(some)
+                found, n = np.unique(keys[keys < BUCKETS], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.string()), pa.array(found.astype(np.int32)), pa.array(n.astype(np.int64))], names=["label", "bucket", "n"])
+
+    # the sample bounds the rows, so the (label, trigram) counts are bounded too, however many labels there are
+    counted = sample.mapInArrow(run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names = counted.column("label").to_pylist()
+    languages = sorted(set(names))
     if not languages:
         return TextModel(["und"], np.zeros((BUCKETS + 1, 1)))
-    counts = np.stack([by_label[x] for x in languages], axis=1).astype(float)
+    place = {x: i for i, x in enumerate(languages)}
+    counts = np.zeros((BUCKETS, len(languages)))
+    counts[counted.column("bucket").to_numpy(), [place[x] for x in names]] = counted.column("n").to_numpy()
     seen = counts.sum(axis=1) > 0
     logs = np.log((counts + 0.5) / (counts + 0.5).sum(axis=0))
     logs[~seen] = logs.min()  # a trigram of no language speaks for none
@@ -149,7 +146,8 @@ def identify(docs: DataFrame, *, text: str = "text", declared: str = "declared",
         F.col(key),
         F.xxhash64(F.col(text)).alias("row_hash"),
         F.col(text).alias("text"),
-        *(F.col(c).cast("string").alias(a) for c, a in ((declared, "declared"), (suffix, "suffix"), (host, "host"), (parent, "parent"))),
+        F.when(F.trim(F.col(declared).cast("string")) != "", F.col(declared).cast("string")).alias("declared"),
+        *(F.col(c).cast("string").alias(a) for c, a in ((suffix, "suffix"), (host, "host"), (parent, "parent"))),
     )
     model = fit_text_model(base, "text", "declared", key)
     n = len(model.languages)
