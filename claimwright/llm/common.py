@@ -7,7 +7,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators of every contract here: space and TAB..CR.  ``bytes.split()``
@@ -38,11 +38,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs in one process (tests)."""
     sc = spark.sparkContext
     there = sc.getCheckpointDir()
     if there is None:
-        there = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cw-checkpoint-")
+        there = spark.conf.get("spark.checkpoint.dir", None)
+        if there is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            there = tempfile.mkdtemp(prefix="cw-checkpoint-")
         sc.setCheckpointDir(there)
     return there
 
@@ -64,6 +68,11 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
     return done, seen.get["rows"]
 
 
+def row_keys(*columns: Column) -> tuple[Column, Column]:
+    """``k1`` and ``k2``: 128 bits that tell rows apart by these columns."""
+    return F.xxhash64(F.lit(1), *columns).alias("k1"), F.xxhash64(F.lit(2), *columns).alias("k2")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 over uint64 (wraps on purpose)."""
     with np.errstate(over="ignore"):

@@ -11,31 +11,32 @@ works on classes.
   chance collisions that b bits give.
 * Candidates: classes that share a band of ``ROWS`` minima share a bucket.  At
   similarity 0.85 a pair shares none with probability 2e-8.
-* A bucket is never expanded into its pairs.  First each member meets the
-  bucket's first document.  Estimates that lie more than six standard
-  deviations under the threshold drop out, the rest is confirmed on full sets.
-* Buckets whose members then still lie in several components go on.  Members
-  that share a rare shingle (at most ``RARE`` members have it) meet.  For all
-  other pairs, shingles that are rare or a member's own bound what can be
-  shared; where sizes and these bounds exclude a link, no pair is made.
-  Members outside a bucket's largest component meet ``LEADERS`` pseudo-random
-  members of the bucket, and what is left after that meets the members of other
-  components of the same bucket that sizes, bounds and estimates leave (then
-  confirmed on full sets), so that no link between components is lost.
+* A bucket is never expanded into its pairs.  Each member meets the bucket's
+  first document.  Estimates that lie more than six standard deviations under
+  the threshold drop out, the rest is confirmed on full sets, and the links
+  give components.
+* What a first document can't tell are links between members of different
+  components.  They are found by a prefix filter over all bucket members: with
+  shingles ordered by frequency, two sets that link share a shingle among the
+  first ``n - ceil(threshold * n) + 1`` of each.  Members meet at such a shingle
+  only if they are in different components, and if sizes, the shingles that no
+  other member has, the places of the shared one and the estimate allow a link;
+  all of that is asked within the join, so that hardly a pair leaves it that is
+  not then confirmed.  No pair is dropped otherwise.
 
 Nulls: a document without words (or null) has an empty set and no links.  Rows
 with a null id link like others; a component's id is its least non-null one.
 Rows that repeat an id belong together only if their sets link.  An empty table
-gives an empty result.
+gives an empty result.  Extra columns take no part.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimwright.llm.common import WordHashes, cut, cut_counted, mix64, small_or_shuffled, windows_hash
+from claimwright.llm.common import WORD_BREAK, WordHashes, cut, cut_counted, mix64, row_keys, ship, windows_hash
 from claimwright.llm.graph import components
 
 SHINGLE = 5
@@ -43,11 +44,8 @@ ROWS = 4
 BANDS = 24
 BITS = 2
 PLACES = ROWS * BANDS
-LEADERS = 4
 CHUNK_WORDS = 1 << 20
-#: A shingle that at most so many members share is rare; its members meet each other.
-RARE = 8
-BROADCAST_ROWS = 200_000
+NO_ID = 2**63 - 1
 
 _A = mix64(np.arange(1, PLACES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -80,14 +78,14 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> doc_id, key (of id and text), c (class), n, sig array<long>, bands array<long>."""
+    """(doc_id, k1, k2, text) -> doc_id, k1, k2, c (class), n, sig array<long>, bands array<long>."""
 
     def run(batches):
         import pyarrow as pa
 
         hashes = WordHashes()
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(3).to_pylist()
             at = 0
             while at < len(texts):
                 stop, held = at, 0
@@ -116,18 +114,17 @@ def signed(docs: DataFrame) -> DataFrame:
                 rows = batch.slice(at, stop - at)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rows.column(0),
-                        rows.column(1),
+                        *rows.columns[:3],
                         pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(sigs, pa.list_(pa.int64())),
                         pa.array(bands, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "key", "c", "n", "sig", "bands"],
+                    names=["doc_id", "k1", "k2", "c", "n", "sig", "bands"],
                 )
                 at = stop
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, c binary, n long, sig array<long>, bands array<long>")
+    return docs.select("doc_id", "k1", "k2", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, c binary, n long, sig array<long>, bands array<long>")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -146,180 +143,144 @@ def least_estimate(threshold: float) -> float:
     return threshold - 6 * (p * (1 - p) / PLACES) ** 0.5 / (1 - chance)
 
 
-class _Links:
-    """Confirms candidate pairs of classes of one corpus."""
-
-    def __init__(self, texts: DataFrame, classes: DataFrame, percent: int):
-        self.texts, self.percent = texts, percent
-        self.sides = {s: classes.select(F.col("c").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}")) for s in "ab"}
-
-    def likely(self, pairs: DataFrame) -> DataFrame:
-        """Distinct (a, b) whose sizes and estimate allow the threshold."""
-        ratio = self.percent / 100
-        pairs = pairs.filter("a < b").distinct().join(self.sides["a"], "a").join(self.sides["b"], "b")
-        sizes = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
-        return pairs.filter(sizes).filter(estimate("sig_a", "sig_b") >= least_estimate(ratio)).select("a", "b")
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) that reach the threshold on full sets."""
-        percent = self.percent
-
-        def run(batches):
-            import pyarrow as pa
-
-            hashes = WordHashes()
-            last: tuple[bytes, np.ndarray] | None = None
-            for batch in batches:
-                a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-                keep = []
-                for i in range(len(a)):
-                    if last is None or last[0] != a[i]:
-                        last = (a[i], shingle_set(ta[i], hashes))
-                    x, y = last[1], shingle_set(tb[i], hashes)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= percent * (len(x) + len(y) - both):
-                        keep.append(i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
-
-        left = self.texts.select(F.col("c").alias("a"), F.col("text").alias("text_a"))
-        right = self.texts.select(F.col("c").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        return both.mapInArrow(run, "a binary, b binary")
-
-
-def _several(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows (bucket, c, label) of buckets whose members have several labels."""
-    known = members.join(labels.select(F.col("node").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    split = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-    return known.join(split, "bucket")
-
-
-def _contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after more links between classes."""
-    at = labels.select(F.col("node").alias("k"), F.col("label").alias("l"))
-    ends = links.join(at.withColumnsRenamed({"k": "a", "l": "la"}), "a", "left").join(at.withColumnsRenamed({"k": "b", "l": "lb"}), "b", "left")
-    ends = ends.select(F.col("a"), F.col("b"), F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
-    # ends under one label are known already
-    ends, new = cut_counted(ends.filter("la <> lb"))
-    if not new:
-        return labels
-    merged = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    every = labels.select("node", "label").union(ends.select("a", "la")).union(ends.select("b", "lb")).distinct()
-    to = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return cut(every.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
-
-
-def _sharing(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(c, own): how many shingles of a member no other member has; (s, c): those that two to ``RARE`` members have."""
-    rows = members.select("c").distinct().join(texts, "c")
+def _sizes_allow(n: str, m: str, percent: int) -> Column:
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def likely(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) whose sizes and estimate allow the threshold."""
+    for side in "ab":
+        pairs = pairs.join(members.select(F.col("i").alias(side), F.col("n").alias(f"n_{side}"), F.col("sig").alias(f"sig_{side}")), side)
+    return pairs.filter(_sizes_allow("n_a", "n_b", percent)).filter(estimate("sig_a", "sig_b") >= least_estimate(percent / 100)).select("a", "b")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) that reach the threshold on full sets."""
 
     def run(batches):
         import pyarrow as pa
 
         hashes = WordHashes()
+        last: tuple[int, np.ndarray] | None = None
         for batch in batches:
-            for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingle_set(t, hashes)
-                yield pa.RecordBatch.from_arrays([pa.array([c] * len(s), pa.binary()), pa.array(s.astype(np.int64))], names=["c", "s"])
-
-    each = rows.select("c", "text").mapInArrow(run, "c binary, s long")
-    # a shingle of one member only keeps that member's name, so it can be counted for it
-    spread = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.first("c").alias("c"))
-    own = spread.filter("df = 1").groupBy("c").agg(F.count(F.lit(1)).alias("own"))
-    few, many = cut_counted(spread.filter((F.col("df") > 1) & (F.col("df") <= RARE)).select("s"))
-    return own, cut(each.join(small_or_shuffled(few, many, BROADCAST_ROWS), "s").select("s", "c"))
-
-
-def _may_link(n: str, m: str, r: str, q: str, percent: int) -> Column:
-    """Whether sets of sizes n and m, of which r and q shingles occur elsewhere at all, can reach the threshold."""
-    n, m, r, q = (F.col(x) for x in (n, m, r, q))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(r, q) >= percent * (n + m))
+            a, ta, tb = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            keep = []
+            for i in range(len(a)):
+                if last is None or last[0] != a[i]:
+                    last = (a[i], shingle_set(ta[i], hashes))
+                x, y = last[1], shingle_set(tb[i], hashes)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], names=["a", "b"])
+
+    left = texts.select(F.col("i").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("i").alias("b"), F.col("text").alias("text_b"))
+    # the side with many pairs a text comes last, so that its text is held once
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def _shingles(texts: DataFrame) -> DataFrame:
+    """(i, n, s): the shingles of every member."""
 
+    def run(batches):
+        import pyarrow as pa
 
-def _open(left: DataFrame, percent: int) -> DataFrame:
-    """(bucket, c, n, r, label, m): members outside their bucket's largest component that could link to its members of size m.
+        hashes = WordHashes()
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = shingle_set(t, hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i, np.int64)), pa.array(np.full(len(s), len(s), np.int64)), pa.array(s.astype(np.int64))], names=["i", "n", "s"])
 
-    Each pair across components has an end outside the largest one, and sizes
-    are few, so members that can link to nobody leave before any pair is made.
-    """
-    counts = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("many"))
-    most = counts.groupBy("bucket").agg(F.max_by("label", F.struct("many", "label")).alias("most"))
-    sizes = left.groupBy(F.col("bucket").alias("b"), F.col("n").alias("m")).agg(F.max("r").alias("q"))
-    outside = left.join(most, "bucket").filter("label <> most")
-    return outside.join(sizes, (F.col("bucket") == F.col("b")) & _may_link("n", "m", "r", "q", percent)).select("bucket", "c", "n", "r", "label", "m")
+    return texts.select("i", "text").mapInArrow(run, "i long, n long, s long")
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key, n_shingles, component_id, kept: one row for every row of ``docs``.
+def _prefixes(texts: DataFrame, percent: int) -> DataFrame:
+    """(s, i, n, r, place): shared shingles in the prefix of members that can link to anyone.
 
-    Links join sets with ``100 * intersection >= percent * union``.  ``key`` is
-    ``xxhash64(doc_id, text)``.
+    ``r`` counts a member's shingles that another member has, ``place`` is the
+    shingle's in the order by frequency, where unshared ones come first.
     """
+    each = _shingles(texts)
+    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    own = Window.partitionBy("i")
+    shared = each.join(often, "s").select("s", "i", "n", F.count(F.lit(1)).over(own).alias("r"), F.row_number().over(own.orderBy("df", "s")).alias("rn"))
+    placed = shared.select("s", "i", "n", "r", (F.col("n") - F.col("r") + F.col("rn")).alias("place"))
+    longest = F.col("n") - F.ceil(percent * F.col("n") / 100.0) + 1
+    # the least partner has percent of the size
+    return placed.filter((F.col("place") <= longest) & (100 * F.col("r") >= percent * F.col("n"))).select("s", "i", "n", "r", "place")
+
+
+def _across(prefixes: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of different components that may link."""
+    known = prefixes.join(members.select("i", "sig"), "i").join(labels.withColumnRenamed("node", "i"), "i", "left").withColumn("label", F.coalesce("label", "i"))
+    twin = known.select(*(F.col(c).alias(f"t_{c}") for c in known.columns))
+    total = percent * (F.col("n") + F.col("t_n"))
+    bound = F.least(F.col("r"), F.col("t_r"), F.col("n") - F.col("place") + 1, F.col("t_n") - F.col("t_place") + 1)
+    may = (F.col("i") < F.col("t_i")) & (F.col("label") != F.col("t_label")) & _sizes_allow("n", "t_n", percent) & ((100 + percent) * bound >= total)
+    met = known.join(twin, (F.col("s") == F.col("t_s")) & may & (estimate("sig", "t_sig") >= least_estimate(percent / 100)))
+    return met.select(F.col("i").alias("a"), F.col("t_i").alias("b")).distinct()
+
+
+def grouped(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, k1, k2 (the row's key), n (set size), label (of its component, null without words), component (least non-null id)."""
+    ship(docs.sparkSession)
     ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    rows = docs.select(ident.alias("doc_id"), F.xxhash64(ident, text).alias("key"), text.alias("text"))
+    rows = docs.select(ident.alias("doc_id"), *row_keys(ident, text), text.alias("text"))
     done = cut(signed(rows))
     # one class for each distinct set, told by its first document
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "key", "n", "sig", "bands"))
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "k1", "k2", "n", "sig", "bands"))
     classes = done.filter("c IS NOT NULL").groupBy("c").agg(first.alias("x")).select("c", "x.*")
-    banded = classes.select("c", "doc_id", "n", F.explode("bands").alias("bucket"))
-    least = F.min(F.struct("doc_id", "c")).alias("least")
-    buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), least).filter("size > 1").select("bucket", F.col("least.c").alias("leader"))
-    members = cut(banded.join(buckets, "bucket").select("bucket", "c", "n", "leader"))
-    inside = classes.join(members.select("c").distinct(), "c", "left_semi").select("c", "key", "n", "sig", "bands")
-    inside = cut(inside)
-    # the texts of bucket members, once: later rounds shuffle these only
-    texts = rows.select("key", "text").join(inside.select("c", "key"), "key").select("c", "text").dropDuplicates(["c"])
-    texts = cut(texts)
-    links = _Links(texts, inside, percent)
-
-    ends = F.array_sort(F.array("leader", "c"))
-    star = members.filter("leader <> c").select(ends[0].alias("a"), ends[1].alias("b"))
-    found = cut(links.confirmed(links.likely(star)))
-    labels = components(found)
-    left, many = cut_counted(_several(members, labels))
-    if many:
-        own, rare = _sharing(left, texts)
-        named = rare.join(left.select("c", "n", "label").distinct(), "c")
-        twin = named.select("s", *(F.col(x).alias(f"l_{x}") for x in ("c", "n", "label")))
-        alike = (F.col("c") < F.col("l_c")) & (F.col("label") != F.col("l_label")) & (100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n"))
-        met = named.join(twin, (named["s"] == twin["s"]) & alike).select(F.col("c").alias("a"), F.col("l_c").alias("b"))
-        labels = _contracted(labels, cut(links.confirmed(links.likely(met))))
-        # pairs that share a rare shingle are done; for the others rare shingles count as a member's own
-        less = F.col("n") - F.coalesce("own", F.lit(0)) - F.coalesce("rare", F.lit(0))
-        counts = own.join(rare.groupBy("c").agg(F.count(F.lit(1)).alias("rare")), "c", "full_outer")
-        left = left.select("bucket", "c", "n").join(counts, "c", "left").select("bucket", "c", "n", less.alias("r"))
-        left = cut(_several(left, labels))
-        for all_members in (False, True):
-            some, many = cut_counted(_open(left, percent))
-            if not many:
-                break
-            if all_members:
-                signs = inside.select("c", "sig", "bands")
-                theirs = left.join(signs, "c")
-                others = theirs.select(F.col("bucket").alias("b"), F.col("c").alias("leader"), *(F.col(x).alias(f"l_{x}") for x in ("n", "r", "label", "sig", "bands")))
-                # a pair that shares several buckets is made in the first of them, and only if its estimate allows a link
-                here = (F.col("bucket") == F.array_min(F.array_intersect("bands", "l_bands"))) & (estimate("sig", "l_sig") >= least_estimate(percent / 100))
-                met = some.join(signs, "c").join(others, (F.col("bucket") == F.col("b")) & (F.col("m") == F.col("l_n")) & (F.col("label") != F.col("l_label")) & _may_link("n", "l_n", "r", "l_r", percent) & here)
-            else:
-                # pseudo-random leaders by a minimum for each seed: partial aggregates, however large a bucket is
-                picks = [F.min(F.struct(F.xxhash64("c", F.lit(seed)).alias("h"), F.col("c").alias("leader"), F.col("n").alias("l_n"), F.col("r").alias("l_r"), F.col("label").alias("l_label"))) for seed in range(LEADERS)]
-                leaders = left.groupBy(F.col("bucket").alias("b")).agg(F.array(*picks).alias("x")).select("b", F.explode("x").alias("x")).select("b", "x.*")
-                met = some.drop("m").distinct().join(leaders, (F.col("bucket") == F.col("b")) & (F.col("label") != F.col("l_label")) & _may_link("n", "l_n", "r", "l_r", percent))
-            pairs = met.select(ends[0].alias("a"), ends[1].alias("b"))
-            labels = _contracted(labels, cut(links.confirmed(links.likely(pairs))))
-            left = cut(_several(left.select("bucket", "c", "n", "r"), labels))
+    # numbers are short; they stay, as they are written
+    classes = cut(classes.withColumn("i", F.monotonically_increasing_id()))
+    banded = classes.select("i", "doc_id", F.explode("bands").alias("bucket"))
+    least = F.min(F.struct("doc_id", "i")).alias("least")
+    buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), least).filter("size > 1").select("bucket", F.col("least.i").alias("leader"))
+    met = banded.join(buckets, "bucket").filter("leader <> i")
+    # the leader, which has many pairs, is always a
+    star = cut(met.select(F.col("leader").alias("a"), F.col("i").alias("b")).distinct())
+    ends = star.select(F.col("a").alias("i")).union(star.select("b")).distinct()
+    members = cut(classes.select("i", "k1", "k2", "n", "sig").join(ends, "i", "left_semi"))
+    # the texts of bucket members, once: what follows shuffles these only
+    texts = cut(rows.select("k1", "k2", "text").join(members.select("i", "k1", "k2"), ["k1", "k2"]).select("i", "text").dropDuplicates(["i"]))
+    links = cut(confirmed(likely(star, members, percent), texts, percent))
+    labels = components(links)
+    more, found = cut_counted(confirmed(_across(_prefixes(texts, percent), members, labels, percent), texts, percent))
+    if found:
+        labels = components(links.union(more), labels)
     # classes without a link are their own component
-    grouped = done.join(labels.select(F.col("node").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    ids = grouped.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component"))
-    out = grouped.select("doc_id", "key", "n", "label").join(ids, "label", "left")
+    named = classes.select("c", "i", "doc_id").join(labels.withColumnRenamed("node", "i"), "i", "left").withColumn("label", F.coalesce("label", "i"))
+    ids = named.groupBy("label").agg(F.min("doc_id").alias("component"))
+    of_class = named.join(ids, "label").select("c", "label", F.when(F.col("component") != NO_ID, F.col("component")).alias("component"))
+    out = done.select("doc_id", "k1", "k2", "c", "n").join(of_class, "c", "left")
     component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "k1", "k2", "n", "label", component.alias("component"))
 
 
-def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``docs`` with one document of each group: the one with the least id; columns unchanged."""
+def near_duplicates(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for every row of ``docs``.
+
+    Links join sets with ``100 * intersection >= percent * union``.
+    """
+    out = grouped(docs, percent=percent, id_col=id_col, text_col=text_col)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, percent: int = 85, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group, that of the least id (nulls last); columns unchanged.
+
+    Rows that repeat an id and a text are one document, of which one row stays.
+    Documents without words link with nothing and all stay.
+    """
     names = docs.columns
-    judged = near_duplicates(docs, percent=percent)
-    dropped = judged.filter(~F.col("kept")).select(F.col("key").alias("__key")).distinct()
-    marked = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return marked.join(dropped, F.col("__row") == F.col("__key"), "left_anti").select(*names)
+    ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "k1", "k2")).alias("x")
+    best = grouped(docs, percent=percent, id_col=id_col, text_col=text_col).filter("label IS NOT NULL").groupBy("label").agg(first)
+    best = best.select(F.col("x.k1").alias("__b1"), F.col("x.k2").alias("__b2"))
+    wordless = F.regexp_replace(F.coalesce(text, F.lit("")), WORD_BREAK, "") == ""
+    k1, k2 = row_keys(ident, text)
+    keyed = docs.filter(~wordless).select("*", k1.alias("__k1"), k2.alias("__k2"))
+    # repeated rows shrink where they are read, before the shuffle that the join then uses too
+    once = keyed.dropDuplicates(["__k1", "__k2"])
+    kept = once.join(best, (F.col("__k1") == F.col("__b1")) & (F.col("__k2") == F.col("__b2")), "left_semi")
+    return kept.select(*names).unionByName(docs.filter(wordless).select(*names))

@@ -36,7 +36,7 @@ def llm_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_duplicates(read(spark, sf_dir, "documents"), percent=85).drop("key")
+    return near.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
