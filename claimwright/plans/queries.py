@@ -759,3 +759,7 @@ def j20(spark, sf):
     middle = F.floor(F.length("text") / 2).cast("int")
     window = pairing.context_window(F.col("text"), middle, middle + 50)
     return D.table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.sha2(window.cast("binary"), 256).alias("context_sha256"))
+
+
+# these register themselves in the same tables
+from claimwright.plans import research_queries  # noqa: E402, F401
