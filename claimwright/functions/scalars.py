@@ -162,8 +162,8 @@ PROVIDERS = (
 
 
 def mail_provider(hosts: Column) -> Column:
-    """Provider of the first host (sorted) that any pattern names; none without hosts, else other."""
-    named = F.transform(F.array_sort(hosts), _provider)
+    """Provider of the first host (sorted) that any pattern names; none without hosts, else other.  Hosts may end in a dot."""
+    named = F.transform(F.array_sort(F.transform(hosts, lambda h: F.rtrim(h, F.lit(".")))), _provider)
     first = F.get(F.filter(named, lambda x: x.isNotNull()), F.lit(0))
     return F.when(F.coalesce(F.size(hosts), F.lit(0)) == 0, "none").otherwise(F.coalesce(first, F.lit("other")))
 

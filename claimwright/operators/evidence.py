@@ -10,28 +10,43 @@ from claimwright.operators.temporal import known_by
 
 
 def quoted_in(quotes: DataFrame, texts: DataFrame, *, words: int = 5, text_key: str = "doc_id", quote_key: str = "item_id") -> DataFrame:
-    """(quote_key, text_key) where the normalised quote occurs in the normalised text.
+    """(quote_key, text_key) where the normalised quote occurs in the normalised text, word borders or not.
 
-    Pairs come from the quote's first ``words`` whole words as they stand in the
-    text, so only texts that hold them are compared with the whole quote.
-    Quotes of fewer words meet texts by their first word.  Quotes are taken to
-    begin and end at word borders.
+    A quote's first and last word may be parts of words, those between are whole
+    ones, so texts that hold the first ``words`` of these are compared with the
+    whole quote.  Quotes too short for that meet texts by their first four
+    characters, or by their first one.  Only keys and hashes are exploded and
+    joined; texts are joined to the distinct pairs that are left.
     """
-    def grams(rows: DataFrame, text: str, n: int, first_only: bool) -> DataFrame:
-        # the words are a column of their own: a lambda would split the text again for each place
-        words_of = rows.withColumn("__words", F.split(F.col(text), " "))
-        starts = F.lit(0) if first_only else F.greatest(F.size("__words") - n, F.lit(0))
-        each = F.transform(F.sequence(F.lit(0), starts), lambda i: F.xxhash64(F.array_join(F.slice("__words", i + 1, n), " ")))
-        return words_of.withColumn("__gram", F.explode(F.array_distinct(each))).drop("__words")
-
-    q = quotes.select(quote_key, normal_text(F.col("text")).alias("__quote")).filter("__quote <> ''").withColumn("__n", F.size(F.split("__quote", " ")))
+    q = quotes.select(quote_key, normal_text(F.col("text")).alias("__quote")).filter("__quote <> ''")
     t = texts.select(text_key, normal_text(F.col("text")).alias("__text")).filter("__text <> ''")
-    found = None
-    for n, some in ((words, F.col("__n") >= words), (1, F.col("__n") < words)):
-        pairs = grams(t, "__text", n, False).join(grams(q.filter(some), "__quote", n, True), "__gram")
-        pairs = pairs.filter(F.contains("__text", F.col("__quote"))).select(quote_key, text_key)
-        found = pairs if found is None else found.unionByName(pairs)
-    return found.distinct()
+    inner = F.split("__quote", " ")
+    kind = F.when(F.size(inner) >= words + 2, "words").when(F.length("__quote") >= 4, "four").otherwise("one")
+    q = q.withColumn("__kind", kind)
+    starts = {"words": F.xxhash64(F.array_join(F.slice(inner, 2, words), " ")), "four": F.xxhash64(F.substring("__quote", 1, 4)), "one": F.xxhash64(F.substring("__quote", 1, 1))}
+
+    def grams(k: str) -> DataFrame:
+        if k == "words":
+            # the words are a column of their own: a lambda would split the text again for each place
+            split = t.select(text_key, F.split("__text", " ").alias("__w")).filter(F.size("__w") >= words)
+            each = F.transform(F.sequence(F.lit(1), F.size("__w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("__w", i, words), " ")))
+            return split.select(text_key, F.explode(F.array_distinct(each)).alias("__gram"))
+        size = 4 if k == "four" else 1
+        long = t.filter(F.length("__text") >= size)
+        each = F.transform(F.sequence(F.lit(1), F.length("__text") - size + 1), lambda i: F.xxhash64(F.substr("__text", i, F.lit(size))))
+        return long.select(text_key, F.explode(F.array_distinct(each)).alias("__gram"))
+
+    # three kinds at most: texts are gone through only for those that occur
+    kinds = sorted(r["__kind"] for r in q.select("__kind").distinct().collect())
+    met = None
+    for k in kinds:
+        asked = q.filter(F.col("__kind") == k).select(quote_key, starts[k].alias("__gram"))
+        pairs = grams(k).join(asked, "__gram").select(quote_key, text_key)
+        met = pairs if met is None else met.unionByName(pairs)
+    if met is None:
+        return q.select(quote_key).join(t.select(text_key), F.lit(False))
+    both = met.distinct().join(q.select(quote_key, "__quote"), quote_key).join(t, text_key)
+    return both.filter(F.contains("__text", F.col("__quote"))).select(quote_key, text_key)
 
 
 def same_text(pages: DataFrame, key: str, text: str = "text") -> DataFrame:

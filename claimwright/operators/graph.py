@@ -13,7 +13,12 @@ from claimwright import schemas as S
 def _cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cw-checkpoint-"))
+        there = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if there is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            there = tempfile.mkdtemp(prefix="cw-checkpoint-")
+        sc.setCheckpointDir(there)
     return df.checkpoint(eager=True)
 
 
@@ -78,6 +83,32 @@ def expand(roots: DataFrame, edges: DataFrame, kinds: DataFrame, *, max_depth: i
     return known.select("root", "node", "depth", "stop")
 
 
+def cycle_marks(chain: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
+    """root, node: known nodes that an expansion meets again as an owner and that own themselves through others.
+
+    An edge back to a known owner closes a cycle if the owner's own owners lead
+    up to the edge's other end.  A node that owns itself directly is no cycle.
+    """
+    inner = chain.filter("stop IS NULL").select("root", F.col("node").alias("owned"), F.col("depth").alias("__d")).join(edges.select("owned", "owner"), "owned")
+    inner = inner.join(chain.select("root", F.col("node").alias("owner"), F.col("depth").alias("__e")), ["root", "owner"]).filter("owner <> owned")
+    inner = _cut(inner.distinct())
+    up = inner.select("root", F.col("owned").alias("at"), F.col("owner").alias("next"))
+    walk = inner.filter("__e <= __d").select("root", "owner", F.col("owned").alias("goal"), F.col("owner").alias("at"))
+    found: DataFrame | None = None
+    for _ in range(max_depth):
+        step = walk.join(up, ["root", "at"])
+        here = step.filter("next = goal").select("root", F.col("owner").alias("node"))
+        found = here if found is None else found.unionByName(here)
+        walk = _cut(step.filter("next <> goal").select("root", "owner", "goal", F.col("next").alias("at")).distinct())
+    return found.distinct()
+
+
+def with_cycles(chain: DataFrame, marks: DataFrame) -> DataFrame:
+    """The chain with ``cycle`` as the stop of marked nodes."""
+    m = marks.withColumn("__cycle", F.lit(True))
+    return chain.join(m, ["root", "node"], "left").select("root", "node", "depth", F.when(F.col("__cycle"), "cycle").otherwise(F.col("stop")).alias("stop"))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component): the least node each node is linked with, by min-label rounds until none moves."""
     both = _cut(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(edges.select("b", "a")).distinct())

@@ -57,15 +57,21 @@ def similar_names(entities: DataFrame, tokens: str = "tokens") -> DataFrame:
 def disagreements(rows: DataFrame, most: int = 6) -> DataFrame:
     """topic, a, b, place: the first pairs of a topic whose sources differ and whose values or polarities do.
 
-    Only the pairs with the first ``most + 1`` rows of each topic can be among
-    its first ``most`` by place, so later rows meet those alone.
+    How many later rows disagree with a row follows from counts of later rows
+    by source, by value and by both, so only the rows that the first ``most``
+    pairs begin with, at most ``most`` of a topic, meet the rows after them.
     """
-    order = Window.partitionBy("topic").orderBy("pos")
-    first = rows.withColumn("rn", F.row_number().over(order))
-    a = first.select("topic", F.col("pos").alias("a"), F.col("source").alias("s_a"), F.col("value").alias("v_a"), F.col("negated").alias("n_a"))
-    b = first.select(F.col("topic").alias("t2"), F.col("pos").alias("b"), F.col("source").alias("s_b"), F.col("value").alias("v_b"), F.col("negated").alias("n_b"))
+    def later(*same: str) -> Column:
+        return F.count(F.lit(1)).over(Window.partitionBy("topic", *same).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1))
+
+    value = ("value", "negated")
+    partners = later() - later("source") - later(*value) + later("source", *value)
+    counted = rows.withColumn("__n", partners)
+    earlier = F.coalesce(F.sum("__n").over(Window.partitionBy("topic").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    a = counted.withColumn("__before", earlier).filter((F.col("__n") > 0) & (F.col("__before") < most)).select("topic", F.col("pos").alias("a"), F.col("source").alias("s_a"), F.col("value").alias("v_a"), F.col("negated").alias("n_a"))
+    b = rows.select(F.col("topic").alias("t2"), F.col("pos").alias("b"), F.col("source").alias("s_b"), F.col("value").alias("v_b"), F.col("negated").alias("n_b"))
     differ = (F.col("s_a") != F.col("s_b")) & ((F.col("v_a") != F.col("v_b")) | (F.col("n_a") != F.col("n_b")))
-    pairs = a.join(b, (F.col("topic") == F.col("t2")) & (F.col("a") < F.col("b"))).filter(differ)
+    pairs = a.join(b, (F.col("topic") == F.col("t2")) & (F.col("a") < F.col("b")) & differ)
     place = F.row_number().over(Window.partitionBy("topic").orderBy("a", "b"))
     return pairs.withColumn("place", place).filter(F.col("place") <= most).select("topic", "a", "b", "place")
 

@@ -143,9 +143,17 @@ def governed(results: DataFrame) -> DataFrame:
     return fired.join(F.broadcast(rules), ["predicate", "value"], "left").withColumn("disposition", F.coalesce("disposition", F.lit("ungoverned")))
 
 
-def screen_colour(dispositions: DataFrame, blocked: DataFrame) -> DataFrame:
-    """company, colour: amber with a raised finding, grey where a material predicate is unknowable, else green."""
+def screen_colour(dispositions: DataFrame, blocked: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """company, colour: red, else amber with a raised finding, grey where a material predicate is unknowable, else green.
+
+    Red asks for an adjudicated finding (company, ground, authority, citation,
+    hops) with all of its parts and about the company itself (no hops).
+    """
     raised = dispositions.groupBy("company").agg(F.max((F.col("disposition") == "raise").cast("int")).alias("raised"))
     limits = blocked.groupBy("company").agg(F.max((F.col("value") == S.UNKNOWABLE).cast("int")).alias("limits"))
-    colour = F.when(F.coalesce("raised", F.lit(0)) == 1, "amber").when(F.col("limits") == 1, "grey").otherwise("green")
-    return limits.join(raised, "company", "left").select("company", colour.alias("colour"))
+    rows = limits.join(raised, "company", "left").withColumn("red", F.lit(False))
+    if findings is not None:
+        proven = findings.filter("ground IS NOT NULL AND authority IS NOT NULL AND citation IS NOT NULL AND hops = 0").select("company", F.lit(True).alias("__red")).distinct()
+        rows = rows.join(proven, "company", "left").withColumn("red", F.coalesce("__red", F.lit(False)))
+    colour = F.when(F.col("red"), "red").when(F.coalesce("raised", F.lit(0)) == 1, "amber").when(F.col("limits") == 1, "grey").otherwise("green")
+    return rows.select("company", colour.alias("colour"))

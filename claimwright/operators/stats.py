@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimwright import schemas as S
+from claimwright.operators.graph import _cut
 
 #: Two-sided 95 % normal quantile (a fixed value).
 Z95 = 1.959963984540054
@@ -53,18 +54,32 @@ def feature_separation(features: DataFrame, arms: DataFrame, least: int = 20) ->
     return rows.select("feature", "cases", "controls", ratio.alias("ratio"), low.alias("low"), high.alias("high"))
 
 
+def ranked(rows: DataFrame, keys: list[str], ident: str, out: str = "rank") -> DataFrame:
+    """Rows numbered from 1 within each stratum by id, however large a stratum is.
+
+    Rows are dealt by ranges of (stratum, id); each range numbers its own, and
+    adds what the ranges before it hold of the stratum.
+    """
+    dealt = _cut(rows.repartitionByRange(*keys, ident).withColumn("__range", F.spark_partition_id()))
+    own = F.row_number().over(Window.partitionBy("__range", *keys).orderBy(ident))
+    counts = dealt.groupBy("__range", *keys).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__range", *keys, before.alias("__before"))
+    # strata may be null in any key
+    same = F.col("o.__range") == F.col("r.__range")
+    for k in keys:
+        same = same & F.col(f"o.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return dealt.withColumn("__own", own).alias("r").join(offsets.alias("o"), same).select(*(F.col(f"r.{c}") for c in rows.columns), (F.col("__own") + F.col("__before")).alias(out))
+
+
 def matched_pairs(cases: DataFrame, controls: DataFrame, keys: list[str], *, ident: str = "subject") -> DataFrame:
     """Greedy 1:1 pairs without replacement: the i-th case of a stratum meets its i-th control, by id.
 
     With keys that do not depend on the case's date, taking the first free
-    control in id order gives exactly the pairs of equal rank.  Ranks come from
-    a sort by (stratum, id); each stratum's rows are numbered by its own window.
+    control in id order gives exactly the pairs of equal rank.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(*keys).orderBy(ident)
-    a = cases.select(*keys, F.col(ident).alias("case"), F.row_number().over(order).alias("rank"))
-    b = controls.select(*keys, F.col(ident).alias("control"), F.row_number().over(order).alias("rank"))
+    a = ranked(cases.select(*keys, F.col(ident).alias("case")), keys, "case")
+    b = ranked(controls.select(*keys, F.col(ident).alias("control")), keys, "control")
     return a.join(b, [*keys, "rank"]).select(*keys, "case", "control")
 
 

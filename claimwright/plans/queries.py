@@ -358,11 +358,15 @@ def p24(spark, sf):
     return shares.governed(_all_results(spark, sf)).select("company", "predicate", "value", "disposition")
 
 
-@query("p28_screen_colour", f"""{_FIVE} SELECT company, CASE WHEN bool_or(value = 'UNKNOWABLE') THEN 'grey' ELSE 'green' END AS colour FROM res WHERE predicate IN ('ownership_residual_unaccounted', 'majority_owner_unresolvable') GROUP BY 1""")
+@query("p28_screen_colour", f"""{_FIVE} SELECT company, CASE WHEN company % 17 = 0 AND company % 34 <> 0 AND company % 3 = 0 THEN 'red' WHEN company % 5 = 0 THEN 'amber' WHEN bool_or(value = 'UNKNOWABLE') THEN 'grey' ELSE 'green' END AS colour FROM res WHERE predicate IN ('ownership_residual_unaccounted', 'majority_owner_unresolvable') GROUP BY 1""")
 def p28(spark, sf):
     results = _all_results(spark, sf)
     material = results.filter(F.col("predicate").isin("ownership_residual_unaccounted", "majority_owner_unresolvable"))
-    return shares.screen_colour(shares.governed(results), material)
+    k = F.col("company")
+    listed = D.companies(spark, sf).filter(k % 5 == 0).select("company", F.lit("designated_holder_candidate").alias("predicate"), F.lit("TRUE").alias("value"))
+    findings = D.companies(spark, sf).filter(k % 17 == 0).select("company", F.lit("designation").alias("ground"), F.when(k % 34 != 0, "EU").alias("authority"), F.lit("list").alias("citation"), (k % 3).alias("hops"))
+    fired = shares.governed(results.select("company", "predicate", "value").unionByName(listed))
+    return shares.screen_colour(fired, material, findings)
 
 
 @query("a11_tally", f"""{_FIVE}, t AS (SELECT predicate, o_orderstatus AS arm, count(*) FILTER (WHERE value = 'TRUE') AS n_true, count(*) FILTER (WHERE value = 'FALSE') AS n_false, count(*) FILTER (WHERE value = 'UNKNOWN') AS n_unknown, count(*) FILTER (WHERE value = 'UNKNOWABLE') AS n_unknowable
@@ -714,18 +718,51 @@ def p16(spark, sf):
     return chain_predicates.shape(_chain(spark, sf))
 
 
-@query("p17_chain_ends", "SELECT 's:' || s_suppkey AS root, 'FALSE' AS value FROM supplier")
+def _mixed_chain(spark, sf):
+    """A chain whose nodes stop for every reason: opaque, unknown or named owners, and our own depth limit."""
+    node = F.col("node")
+    number = F.substring_index(node, ":", -1).cast("long")
+    kind = F.when(node.startswith("n:"), F.when(number % 6 == 0, "company").when(number % 6 == 1, "opaque").otherwise("person")).otherwise(F.when(number % 37 == 0, "opaque").when(number % 41 == 0, None).otherwise("company"))
+    edges = D.ownership_edges(spark, sf)
+    kinds = edges.select(F.col("owner").alias("node")).distinct().withColumn("kind", kind).filter("kind IS NOT NULL")
+    return graph.expand(_roots(spark, sf), edges, kinds, max_depth=2), edges
+
+
+_MIXED = f"""{_EDGES}, l1 AS (SELECT DISTINCT owned AS root, owner AS node, CASE WHEN CAST(substr(owner, 3) AS BIGINT) % 37 = 0 THEN 'unresolvable' WHEN CAST(substr(owner, 3) AS BIGINT) % 41 = 0 THEN 'not_found' END AS stop FROM ed WHERE owned LIKE 's:%'),
+  l2 AS (SELECT DISTINCT l1.root, ed.owner AS node, CASE CAST(substr(ed.owner, 3) AS BIGINT) % 6 WHEN 0 THEN 'max_depth' WHEN 1 THEN 'unresolvable' ELSE 'natural_person' END AS stop FROM l1 JOIN ed ON ed.owned = l1.node WHERE l1.stop IS NULL),
+  al AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2),
+  g AS (SELECT 's:' || s_suppkey AS root, count(*) FILTER (WHERE stop = 'unresolvable') AS opaque, count(*) FILTER (WHERE stop = 'max_depth') AS cut, count(stop) AS leaves, count(*) FILTER (WHERE stop IS NOT NULL AND stop <> 'natural_person') AS other FROM supplier LEFT JOIN al ON al.root = 's:' || s_suppkey GROUP BY 1)"""
+
+
+@query("p17_chain_ends", f"WITH {_MIXED} SELECT root, CASE WHEN opaque > 0 THEN 'TRUE' WHEN cut > 0 THEN 'UNKNOWN' ELSE 'FALSE' END AS value FROM g")
 def p17(spark, sf):
     from claimwright.operators import chain_predicates
 
-    return chain_predicates.terminates_unresolvable(_chain(spark, sf))
+    return chain_predicates.terminates_unresolvable(_mixed_chain(spark, sf)[0])
 
 
-@query("p21_named_owners", f"WITH {_EDGES} SELECT 's:' || s_suppkey AS root, CASE WHEN 's:' || s_suppkey IN (SELECT owned FROM ed) THEN 'TRUE' ELSE 'UNKNOWABLE' END AS value FROM supplier")
+@query("p21_named_owners", f"WITH {_MIXED} SELECT root, CASE WHEN leaves = 0 THEN 'UNKNOWABLE' WHEN cut > 0 THEN 'UNKNOWN' WHEN other = 0 THEN 'TRUE' ELSE 'FALSE' END AS value FROM g")
 def p21(spark, sf):
     from claimwright.operators import chain_predicates
 
-    return chain_predicates.owners_are_named_persons(_chain(spark, sf), D.ownership_edges(spark, sf))
+    return chain_predicates.owners_are_named_persons(*_mixed_chain(spark, sf))
+
+
+@query("g3_cycles", """WITH s AS (SELECT s_suppkey AS k, s_suppkey // 3 AS b, (SELECT max(s_suppkey) FROM supplier) AS top FROM supplier)
+  SELECT 's:' || k AS root, 's:' || k AS node, 0 AS depth, CASE WHEN b % 2 = 0 AND b * 3 + 2 <= top THEN 'cycle' END AS stop FROM s
+  UNION ALL SELECT 's:' || k, 's:' || (b * 3 + (k + 1) % 3), 1, NULL FROM s WHERE (b % 2 = 0 OR k % 3 <> 2) AND b * 3 + 2 <= top
+  UNION ALL SELECT 's:' || k, 's:' || (b * 3 + (k + 2) % 3), 2, NULL FROM s WHERE (b % 2 = 0 OR k % 3 = 0) AND b * 3 + 2 <= top""")
+def g3(spark, sf):
+    """Rings of three suppliers, every other one left open, and suppliers that own themselves."""
+    key = lambda c: F.concat(F.lit("s:"), c.cast("string"))
+    k = F.col("s_suppkey")
+    s = D.table(spark, sf, "supplier").select(k, F.floor(k / 3).alias("b"))
+    whole = s.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter("n = 3").select("b")
+    ring = s.join(whole, "b").filter((F.col("b") % 2 == 0) | (k % 3 != 2)).select(key(k).alias("owned"), key(F.col("b") * 3 + (k + 1) % 3).alias("owner"))
+    edges = ring.unionByName(s.filter(k % 5 == 0).select(key(k).alias("owned"), key(k).alias("owner")))
+    kinds = _roots(spark, sf).select(F.col("root").alias("node"), F.lit("company").alias("kind"))
+    chain = graph.expand(_roots(spark, sf), edges, kinds)
+    return graph.with_cycles(chain, graph.cycle_marks(chain, edges))
 
 
 @query("p20_designated_in_chain", f"""WITH {_EDGES}, l1 AS (SELECT owned AS root, owner AS node FROM ed WHERE owned LIKE 's:%'), l2 AS (SELECT DISTINCT l1.root, ed.owner AS node FROM l1 JOIN ed ON ed.owned = l1.node), a AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2)

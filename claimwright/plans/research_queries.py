@@ -481,3 +481,114 @@ def a14(spark, sf):
     case, hit = F.col("o_orderstatus") == "F", F.col("o_orderkey") % 3 == 0
     c = D.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("p")).agg(F.count_if(case & hit).alias("a"), F.count_if(case).alias("n"), F.count_if(~case & hit).alias("c"), F.count_if(~case).alias("m"))
     return c.select("p", F.round(stats.smoothed_ratio(*map(F.col, "ancm")), 9).alias("ratio"))
+
+
+# ---- register documents ----------------------------------------------------------------------------
+def _documents(spark, sf):
+    """One stored document for each order, in one of three shapes: holders are its lines, attributes its priority."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    k, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    period = lambda a, b=none: F.struct(day(a).alias("gyldigFra"), b.alias("gyldigTil"))
+    value = lambda v, p: F.array(F.struct(v.cast("string").alias("vaerdi"), p.alias("periode")))
+    kind = of("l_suppkey", "PERSON", "VIRKSOMHED", "ANDEN_DELTAGER")
+    name = F.when(F.col("l_suppkey") % 2 == 0, "Handel GmbH").otherwise("Someone")
+    is_board = F.col("l_linenumber") % 3 == 0
+    share = F.struct(F.lit("EJERANDEL_PROCENT").alias("type"), value(F.col("l_quantity").cast("int") / 100, period("l_shipdate")).alias("vaerdier"))
+    seat = F.struct(F.lit("FUNKTION").alias("type"), value(F.lit("chair"), period("l_shipdate")).alias("vaerdier"))
+    member = F.array(F.struct(period("l_shipdate").alias("periode"), F.array(F.when(is_board, seat).otherwise(share)).alias("attributter")))
+    organ = F.array(F.struct(F.when(is_board, "LEDELSESORGAN").otherwise("REGISTER").alias("hovedtype"), F.array(F.struct(F.lit("x").alias("navn"))).alias("organisationsNavn"), member.alias("medlemsData")))
+    party = F.struct(F.col("l_suppkey").alias("enhedsNummer"), kind.alias("enhedstype"), (F.col("l_suppkey") * 11).alias("forretningsnoegle"), F.array(F.struct(name.alias("navn"))).alias("navne"))
+    lines = D.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(party.alias("deltager"), organ.alias("organisationer"))).alias("rel"))
+    o = D.table(spark, sf, "orders").join(lines, "o_orderkey", "left")
+    secret = F.array(F.struct(F.lit("w.example").alias("kontaktoplysning"), (k % 2 == 0).alias("hemmelig"), period("o_orderdate").alias("periode")))
+    company = F.struct(
+        k.alias("cvrNummer"),
+        F.array(F.struct(F.col("o_orderpriority").alias("navn"), period("o_orderdate").alias("periode"))).alias("navne"),
+        F.array(F.struct(F.col("o_orderstatus").alias("status"), period("o_orderdate").alias("periode"))).alias("virksomhedsstatus"),
+        secret.alias("hjemmeside"),
+        F.array(F.struct(F.when(k % 3 == 0, "KAPITAL").otherwise("NOT_MAPPED").alias("type"), value(k, period("o_orderdate")).alias("vaerdier"))).alias("attributter"),
+        F.struct(F.when(k % 5 == 0, "UNDERKONKURS").alias("sammensatStatus"), F.when(k % 4 == 0, day("o_orderdate")).alias("stiftelsesDato")).alias("virksomhedMetadata"),
+        F.col("rel").alias("deltagerRelation"),
+    )
+    bare = F.to_json(F.struct(company.alias("Vrvirksomhed")))
+    wrapped = F.when(k % 3 == 0, bare).when(k % 3 == 1, F.concat(F.lit('{"hits":{"hits":[{"_source":'), bare, F.lit("}]}}"))).otherwise(F.concat(F.lit("["), bare, F.lit("]")))
+    return o.select(wrapped.alias("json"))
+
+
+NUMBERED = "n AS (SELECT o_orderkey AS k, lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS me, CAST(o_orderdate AS DATE) AS d, o_orderpriority AS p, o_orderstatus AS s FROM orders)"
+
+
+@query("s2_company_claims", f"""WITH {NUMBERED} SELECT me AS subject_key, 'has_name' AS predicate, p AS object_repr, d AS valid_from FROM n UNION ALL SELECT me, 'has_status', s, d FROM n UNION ALL SELECT me, 'has_website', 'w.example', d FROM n WHERE k % 2 <> 0
+  UNION ALL SELECT me, 'capital_changed', CAST(k AS VARCHAR), d FROM n WHERE k % 3 = 0 UNION ALL SELECT me, 'has_status', 'UNDERKONKURS', d FROM n WHERE k % 5 = 0 UNION ALL SELECT me, 'founded_on', CAST(d AS VARCHAR), NULL FROM n WHERE k % 4 = 0""")
+def s2(spark, sf):
+    from claimwright.sources import register
+
+    return register.company_claims(register.unwrapped(_documents(spark, sf))).select("subject_key", "predicate", "object_repr", "valid_from")
+
+
+PARTY = "CASE l_suppkey % 3 WHEN 0 THEN 'p:' || l_suppkey WHEN 1 THEN CASE WHEN list_sum([CAST(substr(num, i, 1) AS INTEGER) * ([2,7,6,5,4,3,2,1])[i] FOR i IN range(1, 9)]) % 11 = 0 THEN num ELSE 'enh:' || l_suppkey END ELSE CASE WHEN l_linenumber % 3 = 0 THEN 'fp:' WHEN l_suppkey % 2 = 0 THEN 'fc:' ELSE 'anden:' END || l_suppkey END"
+
+
+@query("s5_relation_claims", f"""WITH l AS (SELECT *, lpad(CAST(l_suppkey * 11 AS VARCHAR), 8, '0') AS num FROM lineitem)
+  SELECT {PARTY} AS subject_key, CASE WHEN l_linenumber % 3 = 0 THEN 'has_role' ELSE 'owns' END AS predicate, lpad(CAST(l_orderkey AS VARCHAR), 8, '0') AS object_repr, CAST(l_shipdate AS DATE) AS valid_from,
+    CASE WHEN l_linenumber % 3 <> 0 THEN CAST(l_quantity AS BIGINT) * 100 END AS share_bp, CASE WHEN l_linenumber % 3 = 0 THEN 'chair' END AS role FROM l WHERE l_orderkey IN (SELECT o_orderkey FROM orders)""")
+def s5(spark, sf):
+    from claimwright.sources import register
+
+    rel = register.relation_claims(register.unwrapped(_documents(spark, sf)))
+    return rel.select("subject_key", "predicate", "object_repr", "valid_from", F.round(F.col("share") * 10000).cast("long").alias("share_bp"), "role")
+
+
+def _second(spark, sf):
+    c = F.col("c_custkey")
+    person = F.struct(of("c_custkey", "J", "F", "F").alias("isiku_tyyp"), F.lit("Ann").alias("eesnimi"), F.col("c_name").alias("nimi_arinimi"), F.when(c % 2 == 0, c.cast("string")).otherwise("").alias("isikukood_registrikood"), F.concat((c % 90).cast("string"), F.lit(",5")).alias("osaluse_protsent"), F.lit("01.02.2019").alias("algus_kpv"))
+    return D.table(spark, sf, "customer").select(c.cast("string").alias("code"), F.col("c_name").alias("name"), F.lit("R").alias("status"), F.when(c % 4 == 0, "registered").alias("status_text"), F.when(c % 3 == 0, "OÜ").alias("legal_form"), F.when(c % 5 > 0, "07.02.2013").alias("registered"), F.lit("Tee 1").alias("address"), F.to_json(F.array(person)).alias("osanikud"))
+
+
+@query("s10_second_register", """WITH c AS (SELECT c_custkey AS k, 'ee:' || c_custkey AS me, c_name, CASE WHEN c_custkey % 5 > 0 THEN DATE '2013-02-07' END AS d FROM customer)
+  SELECT me AS subject_key, 'has_name' AS predicate, c_name AS object_repr, d AS valid_from FROM c UNION ALL SELECT me, 'has_status', CASE WHEN k % 4 = 0 THEN 'registered' ELSE 'R' END, d FROM c UNION ALL SELECT me, 'has_form', 'OÜ', d FROM c WHERE k % 3 = 0
+  UNION ALL SELECT me, 'founded_on', '2013-02-07', NULL FROM c WHERE d IS NOT NULL UNION ALL SELECT me, 'registered_at', 'ee-addr:tee 1', d FROM c""")
+def s10(spark, sf):
+    from claimwright.sources import second_register
+
+    return second_register.company_claims(_second(spark, sf)).select("subject_key", "predicate", "object_repr", "valid_from")
+
+
+@query("i9_holders", """SELECT CASE WHEN c_custkey % 2 = 1 THEN 'name:ann ' || lower(c_name) WHEN c_custkey % 3 = 0 THEN 'ee:' || c_custkey ELSE 'ee-person:' || c_custkey END AS subject_key, 'ee:' || c_custkey AS object_repr, DATE '2019-02-01' AS valid_from, CAST(c_custkey % 90 * 100 + 50 AS BIGINT) AS share_bp FROM customer WHERE c_custkey % 7 = 0""")
+def i9(spark, sf):
+    from claimwright.sources import second_register
+
+    rows = _second(spark, sf)
+    wanted = rows.filter("code % 7 = 0").select("code")
+    claims = second_register.holder_claims(second_register.holders(rows, wanted))
+    return claims.select("subject_key", "object_repr", "valid_from", F.round(F.col("share") * 10000).cast("long").alias("share_bp"))
+
+
+WALLS = ("Please verify you are human", "short", "a page that is long enough to be read " * 4, "captcha " + "and words that make the page longer than any wall " * 70)
+
+
+@query("t7_wall_kinds", f"SELECT page_id, {of_sql('page_id', 'wall', 'empty', None, None)} AS reason FROM pages")
+def t7_kinds(spark, sf):
+    from claimwright.functions.scalars import is_wall
+
+    return D.table(spark, sf, "pages").select("page_id", is_wall(of("page_id", *WALLS)).alias("reason"))
+
+
+STATEMENTS = ("Founded in 1998. Established back in 2004, with 1.200 employees.", "0 people at first, then a team of 40", "since long ago, nobody counts", "etableret 1875")
+
+
+@query("s19_page_statements", """SELECT page_id, x.f AS founded, x.e AS employees FROM (SELECT page_id, unnest(CASE page_id % 4 WHEN 0 THEN [{'f': 1998, 'e': NULL}, {'f': 2004, 'e': NULL}, {'f': NULL, 'e': 1200}] WHEN 1 THEN [{'f': NULL, 'e': 40}] WHEN 2 THEN [{'f': NULL, 'e': NULL}] ELSE [{'f': 1875, 'e': NULL}] END) AS x FROM pages)""")
+def s19_statements(spark, sf):
+    from claimwright.operators import evidence
+
+    return evidence.website_facts(D.table(spark, sf, "pages").select("page_id", of("page_id", *STATEMENTS).alias("text")), "page_id")
+
+
+@query("s14_import_audit", """WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)) AS r FROM orders WHERE o_orderkey % 3 = 0)
+  SELECT f AS field, CASE f WHEN 'deltagerRelation' THEN r ELSE n END AS documents, o AS outcome, w AS reason FROM n, (VALUES ('cvrNummer', 'ignored', 'the key'), ('navne', 'imported', NULL), ('virksomhedsstatus', 'imported', NULL), ('hjemmeside', 'imported', NULL), ('attributter', 'dropped', NULL), ('virksomhedMetadata', 'dropped', NULL), ('deltagerRelation', 'ignored', 'made by relation claims')) v(f, o, w)""")
+def s14(spark, sf):
+    from claimwright.sources import register
+
+    docs = _documents(spark, sf).filter(F.col("json").startswith('{"Vr'))
+    required = {"navne": "has_name", "virksomhedsstatus": "has_status", "hjemmeside": "has_website", "attributter": "never_made"}
+    return register.import_audit(docs, register.company_claims(register.unwrapped(docs)), required, {"cvrNummer": "the key", "deltagerRelation": "made by relation claims"})

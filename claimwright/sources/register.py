@@ -32,7 +32,7 @@ COMPANY = (
     f"organisationer:array<struct<hovedtype:string,organisationsNavn:array<struct<navn:string>>,medlemsData:array<struct<{_P},{_A}>>>>>>>"
 )
 #: The shapes a stored document may have: bare, a hit, or a whole answer.
-WRAPPED = f"Vrvirksomhed {COMPANY}, _source struct<Vrvirksomhed:{COMPANY}>, hits struct<hits:array<struct<_source:struct<Vrvirksomhed:{COMPANY}>>>>"
+WRAPPED = f"Vrvirksomhed {COMPANY}, _source struct<Vrvirksomhed:{COMPANY}>, hits struct<hits:array<struct<Vrvirksomhed:{COMPANY},_source:struct<Vrvirksomhed:{COMPANY}>>>>"
 
 # Attribute types that become claims.
 ATTRIBUTES = {
@@ -52,9 +52,13 @@ ROLES = {"STIFTERE": "founded_by", "REVISION": "audited_by"}
 
 
 def unwrapped(documents: DataFrame, col: str = "json") -> DataFrame:
-    d = documents.withColumn("__d", F.from_json(F.col(col), WRAPPED))
-    company = F.coalesce("__d.Vrvirksomhed", "__d._source.Vrvirksomhed", F.get("__d.hits.hits", F.lit(0))["_source"]["Vrvirksomhed"])
-    return d.withColumn("company", company).drop("__d").filter("company IS NOT NULL")
+    """A row for each company of a stored document: bare, a hit, a list of either, or an answer with all its hits."""
+    # a list reads like the hits of an answer
+    text = F.when(F.trim(col).startswith("["), F.concat(F.lit('{"hits":{"hits":'), F.col(col), F.lit("}}"))).otherwise(F.col(col))
+    d = documents.withColumn("__d", F.from_json(text, WRAPPED))
+    hits = F.transform(F.coalesce("__d.hits.hits", F.array()), lambda h: F.coalesce(h["_source"]["Vrvirksomhed"], h["Vrvirksomhed"]))
+    every = F.filter(F.concat(F.array("__d.Vrvirksomhed", "__d._source.Vrvirksomhed"), hits), lambda c: c.isNotNull())
+    return d.withColumn("company", F.explode(every)).drop("__d")
 
 
 def _day(x: Column) -> Column:
@@ -116,11 +120,30 @@ def company_claims(docs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def participant_key(p: Column) -> Column:
-    """A company's valid number, a person's unit, or an opaque key that no register resolves."""
-    opaque = F.when(p["enhedstype"] == "ANDEN_DELTAGER", "anden:").otherwise("enh:")
-    company = (p["enhedstype"] == "VIRKSOMHED") & valid_company_number(p["forretningsnoegle"].cast("string"))
-    return F.when(company, company_key(p["forretningsnoegle"])).when(p["enhedstype"] == "PERSON", F.concat(F.lit("p:"), p["enhedsNummer"].cast("string"))).otherwise(F.concat(opaque, p["enhedsNummer"].cast("string")))
+# Legal forms at the end of a name.
+LEGAL_FORM = r"(?i)(?:\b|\s)(?:A/S|ApS|IVS|K/S|I/S|P/S|S\.?\s?[àa]\.?\s?r\.?\s?l\.?|S\.?A\.?R\.?L\.?|GmbH|AG|mbH|B\.?V\.?|N\.?V\.?|Ltd\.?|Limited|LLC|L\.?L\.?C\.?|Inc\.?|Corp\.?|Corporation|PLC|S\.?A\.?|S\.?p\.?A\.?|AB|Oy|Oyj|AS|ASA|SE|SARL|SAS|Kft|Sp\.? z o\.?o\.?|Pty|Pte)\s*$"
+
+
+def other_party(name: Column, organs: Column) -> Column:
+    """What a party without a number is: members of a management body are persons by law, a legal form tells a company."""
+    return F.when(F.coalesce(F.array_contains(organs, "LEDELSESORGAN"), F.lit(False)), "person").when(F.trim(name).rlike(LEGAL_FORM), "company").otherwise("other_party")
+
+
+def participant_key(p: Column, organs: Column | None = None) -> Column:
+    """A company's valid number, a person's unit, or an opaque key that no register resolves.
+
+    ``organs`` are the kinds of organisation that a participant belongs to.
+    """
+    unit = p["enhedsNummer"].cast("string")
+    company = (p["enhedstype"] == "VIRKSOMHED") & valid_company_number(company_key(p["forretningsnoegle"]))
+    kind = other_party(F.element_at(p["navne"], -1)["navn"], F.array().cast("array<string>") if organs is None else organs)
+    other = F.when(kind == "person", "fp:").when(kind == "company", "fc:").otherwise("anden:")
+    return (
+        F.when(company, company_key(p["forretningsnoegle"]))
+        .when(p["enhedstype"] == "PERSON", F.concat(F.lit("p:"), unit))
+        .when(p["enhedstype"] == "ANDEN_DELTAGER", F.concat(other, unit))
+        .otherwise(F.concat(F.lit("enh:"), unit))
+    )
 
 
 def relation_claims(docs: DataFrame) -> DataFrame:
@@ -131,7 +154,7 @@ def relation_claims(docs: DataFrame) -> DataFrame:
     """
     me = company_key(F.col("company.cvrNummer"))
     rel = docs.select(me.alias("me"), F.explode("company.deltagerRelation").alias("r"))
-    org = rel.select("me", participant_key(F.col("r.deltager")).alias("who"), F.explode("r.organisationer").alias("o"))
+    org = rel.select("me", participant_key(F.col("r.deltager"), F.col("r.organisationer.hovedtype")).alias("who"), F.explode("r.organisationer").alias("o"))
     name = F.element_at(F.col("o.organisationsNavn.navn"), -1)
     member = org.select("me", "who", F.col("o.hovedtype").alias("kind"), name.alias("name"), F.explode_outer("o.medlemsData").alias("m"))
     attr = member.select("me", "who", "kind", "name", F.col("m.periode").alias("outer"), F.explode_outer("m.attributter").alias("a"))
@@ -159,3 +182,14 @@ def silent_drops(documents: DataFrame, claims: DataFrame, required: dict[str, st
     made = [r["predicate"] for r in claims.select("predicate").distinct().collect()]  # a closed vocabulary
     covered = [f for f, p in required.items() if p in made]
     return present.filter(~F.col("field").isin(*covered, *ignored, ""))
+
+
+def import_audit(documents: DataFrame, claims: DataFrame, required: dict[str, str], ignored: dict[str, str], col: str = "json") -> DataFrame:
+    """field, documents, outcome, reason for every top-level field: imported, ignored for a written reason, or dropped without one."""
+    fields = documents.select(F.explode(F.map_keys(F.from_json(F.get_json_object(F.col(col), "$.Vrvirksomhed"), "map<string,string>"))).alias("field"))
+    present = fields.groupBy("field").agg(F.count(F.lit(1)).alias("documents"))
+    known = documents.sparkSession.createDataFrame([(f, p, None) for f, p in required.items()] + [(f, None, r) for f, r in ignored.items()], "field string, predicate string, reason string")
+    made = claims.select("predicate").distinct().withColumn("__made", F.lit(True))
+    rows = present.join(F.broadcast(known), "field", "left").join(made, "predicate", "left")  # two short vocabularies
+    outcome = F.when(F.col("__made"), "imported").when(F.col("reason").isNotNull(), "ignored").otherwise("dropped")
+    return rows.select("field", "documents", outcome.alias("outcome"), "reason")
