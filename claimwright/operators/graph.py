@@ -133,3 +133,78 @@ def shared_labels(entities: DataFrame) -> DataFrame:
     slug = F.regexp_replace(F.regexp_replace(F.lower("label"), "[^a-z0-9]+", "-"), "^-|-$", "")
     rows = entities.select(slug.alias("slug"), "source").filter("slug <> ''")
     return rows.groupBy("slug").agg(F.count_distinct("source").alias("n_sources")).filter("n_sources >= 2")
+
+
+def statement_graph(statements: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, kind, label) and edges (src, dst, kind) of checked statements; a node keeps its first label.
+
+    ``statements``: (uid, source, claim, subject, object, predicate, defects),
+    ``reports``: (uid, depth, verb, speaker), outermost at 0.  Statements whose
+    report has defects say nothing here.
+    """
+    ok = statements.filter("defects = 0")
+    r = reports.join(ok.select("uid"), "uid", "left_semi")
+    last = r.groupBy("uid").agg(F.max("depth").alias("depth"))
+    report = lambda depth: F.concat_ws(":", F.lit("report"), "uid", depth)
+    claim = F.concat(F.lit("claim:"), F.col("uid").cast("string"))
+    some = ok.filter("object IS NOT NULL")
+    edges = [
+        r.select(report(F.col("depth")).alias("src"), F.col("speaker").alias("dst"), F.lit("by").alias("kind")),
+        r.filter("depth > 0").select(report(F.col("depth") - 1).alias("src"), report(F.col("depth")).alias("dst"), F.lit("content").alias("kind")),
+        last.select(report(F.col("depth")).alias("src"), claim.alias("dst"), F.lit("content").alias("kind")),
+        ok.select(claim.alias("src"), F.col("subject").alias("dst"), F.lit("subject").alias("kind")),
+        some.select(claim.alias("src"), F.col("object").alias("dst"), F.lit("object").alias("kind")),
+        some.filter("predicate IS NOT NULL").select(F.col("subject").alias("src"), F.col("object").alias("dst"), F.concat(F.lit("rel:"), "predicate").alias("kind")),
+    ]
+    label = lambda d, ident, kind, text: d.select(ident.alias("id"), F.lit(kind).alias("kind"), text.alias("label"), F.col("uid"))
+    nodes = [
+        label(ok, F.col("source"), "source", F.col("source")),
+        label(r, report(F.col("depth")), "report", F.col("verb")),
+        label(r, F.col("speaker"), "entity", F.col("speaker")),
+        label(ok, claim, "claim", F.col("claim")),
+        label(ok, F.col("subject"), "entity", F.col("subject")),
+        label(some, F.col("object"), "entity", F.col("object")),
+    ]
+    every = nodes[0]
+    for n in nodes[1:]:
+        every = every.unionByName(n)
+    joined = edges[0]
+    for e in edges[1:]:
+        joined = joined.unionByName(e)
+    return every.groupBy("id").agg(F.min_by(F.struct("kind", "label"), F.struct("uid", "kind", "label")).alias("x")).select("id", "x.kind", "x.label"), joined
+
+
+def lineage(items: DataFrame, most: int = 64) -> DataFrame:
+    """id, chain (own id first): parents until one is missing or comes round again.
+
+    Chains grow by one for each round of one join; ``most`` bounds the rounds of
+    a run, and chains that are longer than that raise an error.
+    """
+    parents = items.select(F.col("id").alias("__p"), F.col("parent").alias("__next"))
+    known = items.select(F.col("id").alias("__known"))
+    start = items.select("id", F.array("id").alias("chain"), "parent")
+    done: DataFrame | None = None
+    for _ in range(most):
+        step = start.join(known, F.col("parent") == F.col("__known"), "left")
+        more = F.col("__known").isNotNull() & ~F.array_contains("chain", F.col("parent"))
+        step = _cut(step.withColumn("__more", F.coalesce(more, F.lit(False))))
+        ended = step.filter("NOT __more").select("id", "chain")
+        done = ended if done is None else done.unionByName(ended)
+        going = step.filter("__more").select("id", F.concat("chain", F.array("parent")).alias("chain"), F.col("parent").alias("at"))
+        if not going.limit(1).count():
+            return done
+        start = going.join(parents, F.col("at") == F.col("__p")).select("id", "chain", F.col("__next").alias("parent"))
+    raise ValueError(f"a chain of parents has more than {most} members")
+
+
+def foreign_expansions(entries: DataFrame, registers: DataFrame, resolved: DataFrame, home: str) -> DataFrame:
+    """person, entity, country, register, because: entities outside the home country to look up, each once for a person.
+
+    ``entries``: (person, entity, country, seq); a country without a register is
+    told as a limit of coverage.
+    """
+    abroad = entries.filter((F.coalesce("country", F.lit("")) != "") & (F.col("country") != home)).join(resolved.select("entity").distinct(), "entity", "left_anti")
+    first = abroad.groupBy("person", "entity").agg(F.min_by("country", "seq").alias("country"))
+    known = first.join(F.broadcast(registers), "country", "left")  # a short table of registers
+    because = F.when(F.col("register").isNotNull(), F.concat("country", F.lit("'s register is "), "register")).otherwise(F.concat(F.lit("no connected register covers "), "country"))
+    return known.select("person", "entity", "country", "register", because.alias("because"))

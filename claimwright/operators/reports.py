@@ -143,3 +143,38 @@ def licensed(rows: DataFrame, registry: DataFrame) -> DataFrame:
     """Rows with ``quotable``: whether their source's licence is open or asks for attribution only; an unknown source is not."""
     known = registry.select("source", F.upper("licence").isin("OPEN", "ATTRIBUTION").alias("__ok"))
     return rows.join(known, "source", "left").withColumn("quotable", F.coalesce("__ok", F.lit(False))).drop("__ok")
+
+
+def agenda_order(items: DataFrame) -> DataFrame:
+    """Cheapest first, then by key and subject."""
+    return items.orderBy("cost", "key", "subject")
+
+
+def predicate_vector(results: DataFrame, predicates: tuple[str, ...], key: str = "company") -> DataFrame:
+    """One row for each company with a boolean for each predicate; null where it was not evaluated."""
+    fired = lambda p: F.max(F.when(F.col("predicate") == p, F.col("value") == S.TRUE))
+    return results.groupBy(key).agg(*(fired(p).alias(p) for p in predicates))
+
+
+def arms_compared(results: DataFrame) -> DataFrame:
+    """predicate, arm, evaluable, n_true, unknowable_rate: the arms of a test side by side; what is unknowable has a rate of its own."""
+    n = lambda v: F.count_if(F.col("value") == v)
+    each = results.groupBy("predicate", "arm").agg(n(S.TRUE).alias("n_true"), n(S.UNKNOWABLE).alias("n_unknowable"), F.count(F.lit(1)).alias("n"))
+    return each.select("predicate", "arm", (F.col("n") - F.col("n_unknowable")).alias("evaluable"), "n_true", (F.col("n_unknowable").cast("double") / F.col("n")).alias("unknowable_rate"))
+
+
+def gaps(subjects: DataFrame, facts: DataFrame, expectations: DataFrame, asked: DataFrame, rates: DataFrame) -> DataFrame:
+    """subject, expectation, closable, base_rate: where an expectation is triggered and its check is not there.
+
+    ``facts``: (subject, fact); ``expectations``: (expectation, trigger, check,
+    source).  A gap is closable while nobody has asked its source (``asked``:
+    subject, source); ``rates`` says how often it occurs.
+    """
+    has = facts.select("subject", "fact").distinct()
+    few = F.broadcast(expectations)  # a table of rules
+    due = subjects.select("subject").join(has.withColumnRenamed("fact", "trigger"), "subject").join(few, "trigger")
+    met = has.select("subject", F.col("fact").alias("check"))
+    open_ = due.join(met, ["subject", "check"], "left_anti")
+    known = asked.select("subject", "source").distinct().withColumn("__asked", F.lit(True))
+    rows = open_.join(known, ["subject", "source"], "left").join(F.broadcast(rates), "expectation", "left")
+    return rows.select("subject", "expectation", F.col("__asked").isNull().alias("closable"), "base_rate")

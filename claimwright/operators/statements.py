@@ -199,3 +199,103 @@ def origin_warnings(sources: DataFrame) -> DataFrame:
     # groups of one outlet are the declared names, few by nature
     each = declared.select("outlet", F.trim("origin").alias("origin")).distinct().groupBy("outlet").agg(F.array_sort(F.collect_list("origin")).alias("groups"))
     return each.filter(F.size("groups") > 1).select("outlet", F.size("groups").cast("long").alias("n_groups"), F.array_join("groups", ",").alias("groups"))
+
+
+# Where a document's date may be stated, most trusted first.
+DATE_BASES = ("json-ld datePublished", "citation meta", "jats pub-date", "record firstPublicationDate", "record pubYear", "meta tag", "arxiv", "pdf:creationdate")
+
+
+def picked_date(candidates: DataFrame, key: str) -> DataFrame:
+    """key, date, basis, conflict of dates (key, basis, pos, value) that a document states.
+
+    The first of the most trusted basis counts.  A first of January beside
+    another date of its year is that year, a coarse date takes the finest one
+    that agrees with it, and dates that don't agree are a conflict.  An arXiv
+    record also has its revisions' dates: those after its first month don't conflict.
+    """
+    # dates of one document are few
+    raw = candidates.groupBy(key).agg(F.collect_list(F.struct("basis", "pos", "value")).alias("c"))
+    values = F.array_distinct(F.transform("c", lambda x: x["value"]))
+    padded = lambda v: v.endswith("-01-01") & F.exists(values, lambda w: (F.substring(w, 1, 4) == F.substring(v, 1, 4)) & (w != v))
+    norm = lambda v: F.when(padded(v), F.substring(v, 1, 4)).otherwise(v)
+    rank = F.array_position(F.array(*map(F.lit, DATE_BASES)), F.lit("arxiv"))
+    order = lambda x: F.struct(F.array_position(F.array(*map(F.lit, DATE_BASES)), x["basis"]).alias("rank"), x["pos"].alias("pos"), norm(x["value"]).alias("value"))
+    rows = raw.select(key, F.array_distinct(F.transform(values, norm)).alias("v"), F.array_sort(F.filter(F.transform("c", order), lambda o: o["rank"] > 0)).alias("o"))
+    revised = F.get(F.filter("o", lambda o: o["rank"] == rank), F.lit(0))["value"]
+    rows = rows.select(key, "o", F.substring(revised, 1, 7).alias("first"), "v")
+    kept = F.when(F.col("first").isNull(), F.col("v")).otherwise(F.array_distinct(F.concat(F.filter("v", lambda x: F.substring(x, 1, 7) <= F.col("first")), F.array("first"))))
+    fits = lambda a, b: F.substring(a, 1, 7).startswith(F.substring(b, 1, 7)) | F.substring(b, 1, 7).startswith(F.substring(a, 1, 7))
+    rows = rows.select(key, F.get("o", F.lit(0)).alias("top"), kept.alias("v"))
+    conflict = F.exists("v", lambda a: F.exists("v", lambda b: ~fits(a, b)))
+    finest = F.aggregate(F.array_sort(F.filter("v", lambda x: x.startswith(F.col("top.value")))), F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
+    basis = F.get(F.array(*map(F.lit, DATE_BASES)), (F.col("top.rank") - 1).cast("int"))
+    return rows.select(key, F.when(F.col("top").isNotNull(), F.when(finest != "", finest).otherwise(F.col("top.value"))).alias("date"), F.coalesce(basis, F.lit("none")).alias("basis"), (F.col("top").isNotNull() & conflict).alias("conflict"))
+
+
+def original_date(date: Column, words: Column, note: Column, text: Column) -> Column:
+    """A declared date of the document that a source is a copy of, if three or more exact words of the source state its year; else null."""
+    w = normal_text(F.coalesce(words, F.lit("")))
+    good = date.rlike(r"^\d{4}(-\d{2}(-\d{2})?)?$") & (F.trim(F.coalesce(note, F.lit(""))) != "") & (F.size(F.split(w, " ")) >= 3) & F.contains(words, F.substring(date, 1, 4)) & F.contains(normal_text(text), w)
+    return F.when(good, date)
+
+
+@F.pandas_udf("double")
+def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the matching characters over all, by longest common blocks."""
+    import difflib
+
+    return pd.Series([difflib.SequenceMatcher(None, y, x).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype=float)
+
+
+def close_ids(new: DataFrame, known: DataFrame, cutoff: float = 0.75, most: int = 3) -> DataFrame:
+    """id, near, place: known ids that a new one resembles, nearest first.
+
+    A ratio of ``cutoff`` means that at least ``cutoff`` of the longer one's
+    characters match in blocks; ids of at least six characters then share a
+    pair of neighbouring characters, shorter ones meet by single characters.
+    """
+    pairs_of = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2))))
+    singles = lambda c: F.array_distinct(F.split(c, ""))
+    keys = lambda c: F.concat(pairs_of(c), F.when(F.length(c) < 9, singles(c)).otherwise(F.array().cast("array<string>")))
+    a = new.select("id", F.explode(keys(F.col("id"))).alias("__g"))
+    b = known.select(F.col("id").alias("near"), F.explode(keys(F.col("id"))).alias("__g"))
+    la, lb = F.length("id"), F.length("near")
+    met = a.join(b, "__g").filter(2.0 * F.least(la, lb) >= cutoff * (la + lb)).select("id", "near").distinct()
+    scored = met.withColumn("__r", likeness("id", "near")).filter(F.col("__r") >= cutoff)
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("__r").desc(), F.col("near").desc()))
+    return scored.withColumn("place", place).filter(F.col("place") <= most).select("id", "near", "place")
+
+
+def intake(atoms: DataFrame, held: DataFrame) -> DataFrame:
+    """uid, outcome: refused for defects, a duplicate of one held or of an earlier one, else open or closed."""
+    known = held.select(F.col("uid").alias("__uid")).distinct()
+    first = F.row_number().over(Window.partitionBy("uid").orderBy("seq"))
+    rows = atoms.withColumn("__rn", first).join(known, F.col("uid") == F.col("__uid"), "left")
+    outcome = F.when(F.col("defects") > 0, "refused").when(F.col("__uid").isNotNull() | (F.col("__rn") > 1), "duplicate").when(F.col("open") > 0, "open").otherwise("closed")
+    return rows.select("uid", "seq", outcome.alias("outcome"))
+
+
+def cached_verdicts(wanted: DataFrame, cache: DataFrame, keys: list[str], most_calls: int) -> DataFrame:
+    """The wanted keys with their verdict from the cache; of the misses, the first ``most_calls`` in order are to be asked (``ask``), the rest wait."""
+    rows = wanted.select(*keys).distinct().join(cache, keys, "left")
+    budget = rows.filter("verdict IS NULL").orderBy(*keys).limit(most_calls).select(*keys).withColumn("ask", F.lit(True))  # a budget of calls
+    return rows.join(budget, keys, "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
+
+
+def evidence_status(log: DataFrame, passages: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """evidence, status, passage: valid declarations: an allowed status, a note, and at least three words that the passage holds."""
+    both = log.filter(F.col("status").isin(*allowed) & (F.trim(F.coalesce("note", F.lit(""))) != "")).join(passages, "passage")
+    w = normal_text(F.coalesce("words", F.lit("")))
+    return both.filter((F.size(F.split(w, " ")) >= 3) & F.contains(normal_text(F.col("text")), w)).select("evidence", "status", "passage")
+
+
+def attestations(rows: DataFrame, pairable: tuple[str, ...]) -> DataFrame:
+    """Claims that a person attests: the quote must be in its excerpt and the predicate one that a register can be asked about."""
+    good = rows.filter(F.contains(normal_text(F.col("excerpt")), normal_text(F.col("quote"))) & (normal_text(F.col("quote")) != "") & F.col("predicate").isin(*pairable))
+    return good.select("subject", "predicate", "value", F.lit("self_declared").alias("tier"))
+
+
+def observation_claims(rows: DataFrame) -> DataFrame:
+    """subject, predicate, value, tier, place: an analyst's verdicts as claims, oldest first."""
+    place = F.row_number().over(Window.partitionBy("subject").orderBy("at", "seq"))
+    return rows.select("subject", F.lit("analyst_verdict").alias("predicate"), F.col("verdict").alias("value"), F.lit("analyst").alias("tier"), place.alias("place"))

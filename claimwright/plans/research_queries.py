@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from claimwright.functions import names as N
 from claimwright.functions.scalars import day_of
-from claimwright.operators import reports, screening, stats, statements
+from claimwright.operators import graph, reports, screening, stats, statements
 from claimwright.plans.queries import AS_OF, EVENTS_AS_OF, HISTORY, query
 from claimwright.sources import datasets as D
 
@@ -592,3 +592,253 @@ def s14(spark, sf):
     docs = _documents(spark, sf).filter(F.col("json").startswith('{"Vr'))
     required = {"navne": "has_name", "virksomhedsstatus": "has_status", "hjemmeside": "has_website", "attributter": "never_made"}
     return register.import_audit(docs, register.company_claims(register.unwrapped(docs)), required, {"cvrNummer": "the key", "deltagerRelation": "made by relation claims"})
+
+
+# ---- pages ------------------------------------------------------------------------------------------
+BLOCKS = (
+    "CVR-nr. 12 34 56 78 and VAT DK10000009, cvr: 00000051",
+    "We are part of Nordic Steel Group, owned by the Big Blue Holding. Kontakt",
+    "Havnegade 12, 2200 København N Tlf 1234, 2010 Year, 8000 Aarhusgade",
+    "Anna Berg, founder of the firm",
+    "nothing to see",
+    "Bo Holm ceo and Ida Lund cfo",
+)
+
+
+def _block(spark, sf):
+    return D.table(spark, sf, "pages").select("page_id", of("page_id", *BLOCKS).alias("text"))
+
+
+@query("s18_identifiers", f"SELECT page_id, {of_sql('page_id', 'DK10000009|DK00000051', '', '', '', '', '')} AS found FROM pages")
+def s18(spark, sf):
+    from claimwright.functions import website
+
+    return _block(spark, sf).select("page_id", F.array_join(website.stated_identifiers(F.col("text")), "|").alias("found"))
+
+
+@query("s21_groups", f"SELECT page_id, {of_sql('page_id', '', 'Nordic Steel Group|the Big Blue Holding', '', '', '', '')} AS found FROM pages")
+def s21(spark, sf):
+    from claimwright.functions import website
+
+    return _block(spark, sf).select("page_id", F.array_join(website.stated_groups(F.col("text")), "|").alias("found"))
+
+
+@query("s22_towns", f"SELECT page_id, {of_sql('page_id', '', '', '2200 København N', '', '', '')} AS found FROM pages")
+def s22(spark, sf):
+    from claimwright.functions import website
+
+    return _block(spark, sf).select("page_id", F.array_join(website.stated_towns(F.col("text")), "|").alias("found"))
+
+
+@query("s23_people", f"SELECT page_id, {of_sql('page_id', '', '', '', 'Anna Berg:founder:11', '', '')} AS found FROM pages")
+def s23(spark, sf):
+    from claimwright.functions import website
+
+    people = F.transform(website.stated_people("text"), lambda p: F.concat_ws(":", p["name"], p["role"], p["distance"]))
+    return _block(spark, sf).select("page_id", F.array_join(people, "|").alias("found"))
+
+
+@query("s17_text_blocks", "SELECT page_id, 'T' || page_id || '|one two|three|x' AS blocks, 4 AS n FROM pages")
+def s17(spark, sf):
+    from claimwright.functions import website
+
+    html = F.concat(F.lit("<html><head><title>T"), F.col("page_id").cast("string"), F.lit("</title><style>p {}</style></head><body><p>one <b>two</b>\n</p><script>no()</script><div>three<br>x<!-- y --></div></body></html>"))
+    blocks = website.text_blocks(html)
+    return D.table(spark, sf, "pages").select("page_id", F.array_join(blocks, "|").alias("blocks"), F.size(blocks).alias("n"))
+
+
+# ---- publications and patents -----------------------------------------------------------------------
+def _author_json(spark, sf):
+    k = F.col("l_orderkey")
+    line = F.struct(F.struct(F.concat(F.lit("https://o.example/I"), F.col("l_suppkey").cast("string")).alias("id"), F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("https://ror.example/r"), F.col("l_suppkey").cast("string"))).alias("ror"), F.when(F.col("l_suppkey") % 5 > 0, "Inst").alias("display_name"), F.lit("DK").alias("country_code")).alias("institution"), F.array(F.year("l_shipdate"), F.year("l_shipdate") + 1).alias("years"))
+    a = D.table(spark, sf, "lineitem").groupBy(k).agg(F.collect_list(line).alias("affiliations"))
+    author = F.to_json(F.struct(F.concat(F.lit("https://o.example/A"), k.cast("string")).alias("id"), F.when(k % 7 > 0, "Ann").alias("display_name"), "affiliations"))
+    return a.select(F.when(k % 2 == 0, author).otherwise(F.concat(F.lit('{"results":['), author, F.lit("]}"))).alias("json"))
+
+
+@query("s13_affiliations", """WITH y AS (SELECT *, unnest([year(l_shipdate), year(l_shipdate) + 1]) AS y FROM lineitem WHERE l_orderkey % 7 > 0 AND l_suppkey % 5 > 0)
+  SELECT 'openalex:A' || l_orderkey AS subject_key, CASE WHEN l_suppkey % 2 = 0 THEN 'ror:r' || l_suppkey ELSE 'openalex:I' || l_suppkey END AS object_key, 'DK' AS country, make_date(y, 1, 1) AS valid_from, make_date(y, 12, 31) AS valid_to FROM y""")
+def s13(spark, sf):
+    from claimwright.sources import publications
+
+    return publications.author_affiliations(_author_json(spark, sf))
+
+
+@query("s13_work_claims", """WITH w AS (SELECT l_orderkey AS k, l_linenumber AS n, l_suppkey AS s, CASE WHEN l_orderkey % 3 = 0 THEN DATE '2020-01-01' ELSE CAST(l_shipdate AS DATE) END AS d FROM lineitem WHERE l_linenumber < 8)
+  SELECT 'openalex:A1' AS subject_key, 'has_affiliation' AS predicate, 'openalex:I' || s AS object_key, 'W' || k || '-' || n AS work, d AS valid_from FROM w
+  UNION ALL SELECT 'openalex:A1', 'co_authored_with', 'openalex:A' || (s + 2), 'W' || k || '-' || n, d FROM w""")
+def s13_works(spark, sf):
+    from claimwright.sources import publications
+
+    k, s = F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string")
+    person = lambda ident, name: F.struct(F.concat(F.lit("https://o.example/A"), ident).alias("id"), F.lit(name).alias("display_name"))
+    inst = F.array(F.struct(F.concat(F.lit("https://o.example/I"), s).alias("id"), F.lit("Inst").alias("display_name")))
+    authors = F.array(F.struct(person(F.lit("1"), "Me").alias("author"), inst.alias("institutions")), F.struct(person((F.col("l_suppkey") + 2).cast("string"), "Other").alias("author"), inst.alias("institutions")))
+    work = F.struct(F.concat(F.lit("https://o.example/W"), k, F.lit("-"), F.col("l_linenumber").cast("string")).alias("id"), F.when(F.col("l_orderkey") % 3 > 0, F.date_format("l_shipdate", "yyyy-MM-dd")).alias("publication_date"), F.lit(2020).alias("publication_year"), authors.alias("authorships"))
+    docs = D.table(spark, sf, "lineitem").filter("l_linenumber < 8").select(F.to_json(F.struct(F.array(work).alias("results"))).alias("json"))
+    return publications.work_claims(docs, "A1")
+
+
+@query("s11_patent_claims", """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'EP' || c_custkey ELSE 'DK' || c_custkey || 'A1' END AS n, DATE '2015-03-04' AS d FROM customer WHERE c_custkey > 0)
+  SELECT 'name:acme ' || k AS subject_key, 'holds_patent_application' AS predicate, 'patent:' || n AS object_key, d AS valid_from, 'DK' AS country FROM c
+  UNION ALL SELECT 'name:bo berg', 'named_as_inventor', 'patent:' || n, d, '' FROM c WHERE k % 3 = 0""")
+def s11(spark, sf):
+    from claimwright.sources import publications
+
+    c = D.table(spark, sf, "customer").filter("c_custkey > 0")
+    k = F.col("c_custkey").cast("string")
+    scalar = lambda v: F.concat(F.lit('{"$":"'), v, F.lit('"}'))
+    ident = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('[{"@document-id-type":"docdb","doc-number":{"$":"9"}},{"@document-id-type":"epodoc","doc-number":'), scalar(F.concat(F.lit("EP"), k)), F.lit(',"date":{"$":"20150304"}}]')))
+    ident = ident.otherwise(F.concat(F.lit('{"@document-id-type":"docdb","country":{"$":"DK"},"kind":{"$":"A1"},"date":{"$":"20150304"},"doc-number":'), scalar(k), F.lit("}")))
+    applicant = lambda name: F.concat(F.lit('{"applicant-name":{"name":'), scalar(name), F.lit("}}"))
+    inventors = F.when(F.col("c_custkey") % 3 == 0, F.lit(',"inventors":{"inventor":{"inventor-name":{"name":{"$":"Bo  Berg"}}}}')).otherwise(F.lit(""))
+    doc = F.concat(F.lit('{"exchange-document":{"bibliographic-data":{"publication-reference":{"document-id":'), ident, F.lit('},"parties":{"applicants":{"applicant":['), applicant(F.concat(F.lit("ACME "), k, F.lit(" [DK]"))), F.lit(","), applicant(F.concat(F.lit("Acme "), k)), F.lit("]}"), inventors, F.lit("}}}}"))
+    many = F.when(F.col("c_custkey") % 5 == 0, doc).otherwise(F.concat(F.lit("["), doc, F.lit("]")))
+    return publications.patent_claims(c.select(F.concat(F.lit('{"ops:world-patent-data":{"ops:biblio-search":{"ops:search-result":{"exchange-documents":'), many, F.lit("}}}}")).alias("json")))
+
+
+@query("s12_transfers", "SELECT event_id AS publication, 'Transfer Of Rights' AS description, CASE WHEN event_id % 2 = 0 THEN DATE '2014-05-06' END AS valid_from FROM events WHERE event_type = 'purchase'")
+def s12(spark, sf):
+    from claimwright.sources import publications
+
+    text = F.when(F.col("event_type") == "purchase", "TRANSFER OF RIGHTS").when(F.col("event_type") == "click", "transfer of rights: change of name of the owner").otherwise("FEE PAID")
+    slot = lambda d, v: F.struct(F.lit(d).alias("desc"), v.alias("value"))
+    slots = F.create_map(F.lit("ops:L001EP"), slot("Code", F.lit("20010101")), F.lit("ops:L007EP"), slot("Gazette date", F.when(F.col("event_id") % 2 == 0, "20140506").otherwise("none")))
+    e = D.table(spark, sf, "events").select(F.col("event_id").alias("publication"), text.alias("description"), slots.alias("slots"))
+    return publications.transfers(e, ("TRANSFER OF RIGHTS", "ASSIGNMENT"), ("CHANGE OF NAME OF THE OWNER",))
+
+
+# ---- declarations and graphs ------------------------------------------------------------------------
+@query("s25_attestations", "SELECT l_orderkey AS subject, CASE l_linenumber % 3 WHEN 0 THEN 'owns' ELSE 'employs' END AS predicate, CAST(l_suppkey AS VARCHAR) AS value, 'self_declared' AS tier FROM lineitem WHERE l_linenumber % 3 <> 1 AND l_suppkey % 2 = 0")
+def s25(spark, sf):
+    rows = D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("subject"), of("l_linenumber", "owns", "likes", "employs").alias("predicate"), F.col("l_suppkey").cast("string").alias("value"), F.lit("we  own it\nall").alias("excerpt"), F.when(F.col("l_suppkey") % 2 == 0, "Own it all").otherwise("own none").alias("quote"))
+    return statements.attestations(rows, ("owns", "employs"))
+
+
+@query("s26_observations", "SELECT user_id AS subject, 'analyst_verdict' AS predicate, event_type AS value, 'analyst' AS tier, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS place FROM events")
+def s26(spark, sf):
+    e = D.table(spark, sf, "events")
+    return statements.observation_claims(e.select(F.col("user_id").alias("subject"), F.col("event_type").alias("verdict"), F.col("ts").alias("at"), F.col("event_id").alias("seq")))
+
+
+@query("m5_evidence_status", "SELECT l_suppkey AS evidence, CASE l_linenumber % 3 WHEN 0 THEN 'retracted' ELSE 'disputed' END AS status, l_orderkey AS passage FROM lineitem WHERE l_linenumber % 3 <> 1 AND l_suppkey % 2 = 0 AND l_returnflag <> 'N' AND l_orderkey IN (SELECT o_orderkey FROM orders)")
+def m5(spark, sf):
+    log = D.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("evidence"), of("l_linenumber", "retracted", "loved", "disputed").alias("status"), F.col("l_orderkey").alias("passage"), F.when(F.col("l_suppkey") % 2 == 0, "study WAS withdrawn").otherwise("was withdrawn").alias("words"), F.when(F.col("l_returnflag") != "N", "seen").otherwise(" ").alias("note"))
+    return statements.evidence_status(log, D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("passage"), F.lit("The study was\nwithdrawn.").alias("text")), ("retracted", "disputed"))
+
+
+@query("t23_intake", """WITH a AS (SELECT l_partkey AS uid, l_orderkey * 10 + l_linenumber AS seq, l_suppkey % 4 = 0 AS bad, l_suppkey % 3 = 0 AS op, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber) AS rn FROM lineitem)
+  SELECT uid, seq, CASE WHEN bad THEN 'refused' WHEN uid % 10 = 0 OR rn > 1 THEN 'duplicate' WHEN op THEN 'open' ELSE 'closed' END AS outcome FROM a""")
+def t23(spark, sf):
+    k = F.col("l_suppkey")
+    atoms = D.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("uid"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (k % 4 == 0).cast("int").alias("defects"), (k % 3 == 0).cast("int").alias("open"))
+    held = D.table(spark, sf, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("uid"))
+    return statements.intake(atoms, held)
+
+
+@query("t24_cached_verdicts", """WITH w AS (SELECT DISTINCT l_partkey AS span, l_linenumber AS words FROM lineitem), m AS (SELECT span, words FROM w WHERE span % 2 = 1 ORDER BY span, words LIMIT 50)
+  SELECT w.span, w.words, CASE WHEN w.span % 2 = 0 THEN 'held' END AS verdict, m.span IS NOT NULL AS ask FROM w LEFT JOIN m ON m.span = w.span AND m.words = w.words""")
+def t24(spark, sf):
+    w = D.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("span"), F.col("l_linenumber").alias("words"))
+    cache = w.filter("span % 2 = 0").distinct().withColumn("verdict", F.lit("held"))
+    return statements.cached_verdicts(w, cache, ["span", "words"], 50)
+
+
+DATES = ("json-ld datePublished=2025-01-01;meta tag=2025-08-08", "meta tag=2020;pdf:creationdate=2020-03-04", "arxiv=2023-05-02;record pubYear=2024-07-01", "meta tag=2019-01-02;citation meta=2018-05-06", "unknown=2011")
+
+
+@query("t9_picked_date", f"SELECT o_orderkey, nullif({of_sql('o_orderkey', '2025-08-08', '2020-03-04', '2024-07-01', '2018-05-06', '')}, '') AS date, {of_sql('o_orderkey', 'json-ld datePublished', 'meta tag', 'record pubYear', 'citation meta', 'none')} AS basis, o_orderkey % 5 = 3 AS conflict FROM orders")
+def t9(spark, sf):
+    c = D.table(spark, sf, "orders").select("o_orderkey", F.posexplode(F.split(of("o_orderkey", *DATES), ";")).alias("pos", "x"))
+    return statements.picked_date(c.select("o_orderkey", "pos", F.substring_index("x", "=", 1).alias("basis"), F.substring_index("x", "=", -1).alias("value")), "o_orderkey")
+
+
+@query("t10_original_date", f"SELECT o_orderkey, nullif({of_sql('o_orderkey', '1998-05', '', '', '', '')}, '') AS original FROM orders")
+def t10(spark, sf):
+    k = "o_orderkey"
+    when, words, note = of(k, "1998-05", "1998-05", "199", "1998", "1999"), of(k, "printed in May 1998", "in 1998", "printed in May 1998", "not there in 1998", "printed in May 1998"), F.lit("a copy")
+    return D.table(spark, sf, "orders").select(k, statements.original_date(when, words, note, F.lit("It was printed  in May 1998 by them")).alias("original"))
+
+
+@query("g6_foreign_expansions", """WITH e AS (SELECT l_suppkey AS person, l_orderkey % 50 AS entity, CASE l_orderkey % 50 % 5 WHEN 0 THEN 'DK' WHEN 1 THEN 'EE' WHEN 2 THEN 'XX' WHEN 3 THEN '' END AS country FROM lineitem)
+  SELECT DISTINCT person, entity, country, CASE country WHEN 'EE' THEN 'ariregister' END AS register, CASE country WHEN 'EE' THEN 'EE''s register is ariregister' ELSE 'no connected register covers XX' END AS because FROM e WHERE country IN ('EE', 'XX') AND entity % 7 > 0""")
+def g6(spark, sf):
+    entity = F.col("l_orderkey") % 50
+    e = D.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("person"), entity.alias("entity"), F.when(entity % 5 == 0, "DK").when(entity % 5 == 1, "EE").when(entity % 5 == 2, "XX").when(entity % 5 == 3, "").alias("country"), F.col("l_orderkey").alias("seq"))
+    registers = spark.createDataFrame([("EE", "ariregister"), ("NO", "brreg")], "country string, register string")
+    return graph.foreign_expansions(e, registers, spark.range(0, 50, 7).select(F.col("id").alias("entity")), "DK")
+
+
+@query("g13_lineage", """WITH RECURSIVE h AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 = 9 THEN s_suppkey - 3 WHEN s_suppkey % 10 = 0 THEN NULL ELSE CASE WHEN s_suppkey % 10 = 6 AND s_suppkey % 20 >= 10 THEN s_suppkey + 3 ELSE s_suppkey - 1 END END AS parent FROM supplier),
+  c AS (SELECT id, [id] AS chain, parent FROM h UNION ALL SELECT c.id, list_append(c.chain, p.id), p.parent FROM c JOIN h p ON p.id = c.parent WHERE NOT list_contains(c.chain, p.id)),
+  l AS (SELECT id, chain, row_number() OVER (PARTITION BY id ORDER BY len(chain) DESC) AS rn FROM c) SELECT id, array_to_string(chain, '>') AS chain FROM l WHERE rn = 1""")
+def g13(spark, sf):
+    k = F.col("s_suppkey")
+    parent = F.when(k % 10 == 9, k - 3).when(k % 10 == 0, None).when((k % 10 == 6) & (k % 20 >= 10), k + 3).otherwise(k - 1)
+    found = graph.lineage(D.table(spark, sf, "supplier").select(k.alias("id"), parent.alias("parent")))
+    return found.select("id", F.concat_ws(">", F.col("chain").cast("array<string>")).alias("chain"))
+
+
+def _statement_graph(spark, sf):
+    o, k = D.table(spark, sf, "orders"), F.col("o_orderkey")
+    s = o.select(k.alias("uid"), F.concat(F.lit("s"), (k % 9).cast("string")).alias("source"), F.col("o_orderpriority").alias("claim"), F.concat(F.lit("e"), F.col("o_custkey").cast("string")).alias("subject"), F.when(k % 2 == 0, F.concat(F.lit("e"), (k % 100).cast("string"))).alias("object"), F.when(k % 3 > 0, "owns").alias("predicate"), (k % 11 == 0).cast("int").alias("defects"))
+    r = o.select(k.alias("uid"), F.explode(F.sequence(F.lit(0), (k % 2).cast("int"))).alias("depth"))
+    return graph.statement_graph(s, r.select("uid", "depth", F.lit("says").alias("verb"), F.concat(F.lit("p"), (F.col("uid") % 5 + F.col("depth")).cast("string")).alias("speaker")))
+
+
+BUILT = "o AS (SELECT o_orderkey AS k, 'e' || o_custkey AS s, CASE WHEN o_orderkey % 2 = 0 THEN 'e' || (o_orderkey % 100) END AS ob, CASE WHEN o_orderkey % 3 > 0 THEN 'owns' END AS p, o_orderpriority AS c FROM orders WHERE o_orderkey % 11 <> 0), r AS (SELECT k, unnest(range(0, k % 2 + 1)) AS d FROM o)"
+
+
+@query("g8_statement_edges", f"""WITH {BUILT} SELECT 'report:' || k || ':' || d AS src, 'p' || (k % 5 + d) AS dst, 'by' AS kind FROM r UNION ALL SELECT 'report:' || k || ':0', 'report:' || k || ':1', 'content' FROM r WHERE d = 1
+  UNION ALL SELECT 'report:' || k || ':' || (k % 2), 'claim:' || k, 'content' FROM o UNION ALL SELECT 'claim:' || k, s, 'subject' FROM o UNION ALL SELECT 'claim:' || k, ob, 'object' FROM o WHERE ob IS NOT NULL UNION ALL SELECT s, ob, 'rel:owns' FROM o WHERE ob IS NOT NULL AND p IS NOT NULL""")
+def g8_edges(spark, sf):
+    return _statement_graph(spark, sf)[1]
+
+
+@query("g8_statement_nodes", f"""WITH {BUILT}, n AS (SELECT 'report:' || k || ':' || d AS id, 'report' AS kind, 'says' AS label FROM r UNION SELECT 'p' || (k % 5 + d), 'entity', 'p' || (k % 5 + d) FROM r UNION SELECT 'claim:' || k, 'claim', c FROM o UNION SELECT s, 'entity', s FROM o UNION SELECT ob, 'entity', ob FROM o WHERE ob IS NOT NULL UNION SELECT 's' || (k % 9), 'source', 's' || (k % 9) FROM o) SELECT * FROM n""")
+def g8_nodes(spark, sf):
+    return _statement_graph(spark, sf)[0]
+
+
+@query("j15_close_ids")
+def j15(spark, sf):
+    """Nearest known ids by block matching, which SQL cannot express; a test holds it against brute force."""
+    p = D.table(spark, sf, "part")
+    known = p.filter("p_partkey % 2 = 0").select(F.concat(F.lower("p_brand"), F.lit("-"), F.col("p_partkey").cast("string")).alias("id"))
+    new = p.filter("p_partkey % 20 = 1").select(F.concat(F.lower("p_brand"), F.lit("_"), F.col("p_partkey").cast("string")).alias("id"))
+    return statements.close_ids(new, known)
+
+
+# ---- cohorts ------------------------------------------------------------------------------------------
+RESULTS = "r AS (SELECT l_orderkey AS company, CASE l_linenumber % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS predicate, CASE l_suppkey % 4 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'FALSE' WHEN 2 THEN 'UNKNOWN' ELSE 'UNKNOWABLE' END AS value, CASE WHEN l_orderkey % 2 = 0 THEN 'case' ELSE 'control' END AS arm FROM lineitem)"
+
+
+def _results(spark, sf):
+    return D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("company"), of("l_linenumber", "a", "b", "c").alias("predicate"), of("l_suppkey", "TRUE", "FALSE", "UNKNOWN", "UNKNOWABLE").alias("value"), F.when(F.col("l_orderkey") % 2 == 0, "case").otherwise("control").alias("arm"))
+
+
+@query("a9_predicate_vector", f"WITH {RESULTS} SELECT company, max(value = 'TRUE') FILTER (WHERE predicate = 'a') AS a, max(value = 'TRUE') FILTER (WHERE predicate = 'b') AS b, max(value = 'TRUE') FILTER (WHERE predicate = 'c') AS c FROM r GROUP BY 1")
+def a9(spark, sf):
+    return reports.predicate_vector(_results(spark, sf), ("a", "b", "c"))
+
+
+@query("a33_arms_compared", f"WITH {RESULTS} SELECT predicate, arm, count(*) FILTER (WHERE value <> 'UNKNOWABLE') AS evaluable, count(*) FILTER (WHERE value = 'TRUE') AS n_true, count(*) FILTER (WHERE value = 'UNKNOWABLE')::DOUBLE / count(*) AS unknowable_rate FROM r GROUP BY 1, 2")
+def a33(spark, sf):
+    return reports.arms_compared(_results(spark, sf))
+
+
+@query("p26_gaps", """WITH f AS (SELECT DISTINCT l_orderkey AS subject, 'f' || (l_suppkey % 6) AS fact FROM lineitem), x(expectation, trigger, chk, source, base_rate) AS (VALUES ('officer', 'f0', 'f1', 'register', 0.027), ('parent', 'f2', 'f3', 'lei', 0.03), ('archive', 'f4', 'f5', 'archive', NULL)),
+  q AS (SELECT DISTINCT l_orderkey AS subject, 'lei' AS source FROM lineitem WHERE l_orderkey % 2 = 0)
+  SELECT f.subject, x.expectation, q.subject IS NULL AS closable, CAST(x.base_rate AS DOUBLE) AS base_rate FROM f JOIN x ON x.trigger = f.fact LEFT JOIN f g ON g.subject = f.subject AND g.fact = x.chk LEFT JOIN q ON q.subject = f.subject AND q.source = x.source WHERE g.subject IS NULL AND f.subject IN (SELECT o_orderkey FROM orders)""")
+def p26(spark, sf):
+    lines = D.table(spark, sf, "lineitem")
+    facts = lines.select(F.col("l_orderkey").alias("subject"), F.concat(F.lit("f"), (F.col("l_suppkey") % 6).cast("string")).alias("fact"))
+    rules = spark.createDataFrame([("officer", "f0", "f1", "register"), ("parent", "f2", "f3", "lei"), ("archive", "f4", "f5", "archive")], "expectation string, trigger string, check string, source string")
+    asked = lines.filter("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("subject"), F.lit("lei").alias("source"))
+    rates = spark.createDataFrame([("officer", 0.027), ("parent", 0.03)], "expectation string, base_rate double")
+    return reports.gaps(D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("subject")), facts, rules, asked, rates)
+
+
+@query("o2_agenda_order", "SELECT event_id % 5 AS cost, event_type AS key, user_id AS subject FROM events")
+def o2(spark, sf):
+    return reports.agenda_order(D.table(spark, sf, "events").select((F.col("event_id") % 5).alias("cost"), F.col("event_type").alias("key"), F.col("user_id").alias("subject")))
