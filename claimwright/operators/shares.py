@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimwright import schemas as S
-from claimwright.operators.temporal import in_force, started_by
+from claimwright.operators.temporal import has_begun, in_force, started_by
 
 
 def per_holder(claims: DataFrame, on: date | str) -> DataFrame:
@@ -92,6 +92,50 @@ def ownership_events(companies: DataFrame, owns: DataFrame, on: date | str) -> D
     return _result(companies, facts, "ownership_register_events", value, F.col("n").cast(S.SHARE))
 
 
+def share_predicates(companies: DataFrame, owns: DataFrame, votes: DataFrame, on: date | str, opaque: Column) -> DataFrame:
+    """Five predicates of the cap table at once: equity and votes are dealt by company and gone through once.
+
+    The rows are those of ``voting_exceeds_equity``, ``ownership_residual``,
+    ``subthreshold_aggregate``, ``ownership_events`` and ``majority_unresolvable``.
+    """
+    side = lambda rows, kind: rows.select("company", "holder", "share", "valid_from", in_force(on).alias("live"), has_begun(on).alias("begun"), F.lit(kind).alias("kind"))
+    both = side(owns, "equity").unionByName(side(votes, "votes")).repartition("company")
+    live = lambda kind: F.col("live") & (F.col("kind") == kind)
+    each = both.groupBy("company", "holder").agg(
+        F.max(F.when(live("equity"), F.col("share"))).alias("equity"),
+        F.max(F.when(live("votes"), F.col("share"))).alias("votes"),
+        F.count_if(live("equity") & F.col("share").isNull()).alias("bare"),
+        F.collect_set(F.when(F.col("begun") & (F.col("kind") == "equity"), F.col("valid_from"))).alias("days"),
+    )
+    zero, half = F.lit(0).cast(S.SHARE), F.lit("0.5").cast(S.SHARE)
+    gap = F.col("votes") - F.coalesce("equity", zero)
+    under = F.col("equity") < half
+    facts = each.groupBy("company").agg(
+        F.max(F.when(gap >= F.lit(S.MIN_DIVERGENCE), gap)).alias("gap"),
+        F.count(F.coalesce("equity", "votes")).alias("filed"),
+        F.sum("equity").cast(S.SHARE).alias("total"),
+        F.sum("bare").alias("bare"),
+        F.count("equity").alias("holders"),
+        F.count_if(under).alias("n_under"),
+        F.coalesce(F.sum(F.when(under, F.col("equity"))), zero).cast(S.SHARE).alias("under"),
+        F.max(F.when(opaque & (F.col("equity") > half), F.col("equity"))).alias("top"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("days")))).alias("n_days"),
+    )
+    rows = companies.join(facts, "company", "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
+    rest = F.when(~none("holders") | ~none("bare"), F.lit(1).cast(S.SHARE) - F.coalesce("total", zero))
+    yes = lambda c: F.when(c, S.TRUE).otherwise(S.FALSE)
+    results = (
+        ("voting_exceeds_equity", F.when(none("filed"), S.UNKNOWABLE).otherwise(yes(F.col("gap").isNotNull())), F.col("gap")),
+        ("ownership_residual_unaccounted", F.when(rest.isNull(), S.UNKNOWABLE).otherwise(yes(rest >= F.lit(S.MIN_DIVERGENCE))), rest),
+        ("subthreshold_aggregate_over_50", F.when(none("holders"), S.UNKNOWABLE).when((F.col("n_under") >= 2) & (F.col("under") > half), S.UNKNOWN).otherwise(S.FALSE), F.when(~none("holders"), F.col("under"))),
+        ("ownership_register_events", F.when(none("n_days"), S.UNKNOWABLE).otherwise(yes(F.col("n_days") > 1)), F.when(~none("n_days"), F.col("n_days"))),
+        ("majority_owner_unresolvable", F.when(none("holders"), S.UNKNOWABLE).otherwise(yes(F.col("top").isNotNull())), F.col("top")),
+    )
+    stacked = F.array(*(F.struct(F.lit(n).alias("predicate"), v.alias("value"), r.cast(S.SHARE).alias("raw")) for n, v, r in results))
+    return rows.select("company", F.explode(stacked).alias("x")).select("company", "x.*")
+
+
 def same_day_changes(companies: DataFrame, owns: DataFrame, capital: DataFrame, on: date | str) -> DataFrame:
     """Days on which both capital and ownership changed."""
     days = lambda rows: started_by(rows, on).select("company", "valid_from").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from claimwright.functions.scalars import normal_text
 
@@ -12,7 +13,7 @@ from claimwright.functions.scalars import normal_text
 AROUND, SNAP = 600, 400
 
 
-@F.pandas_udf("struct<start:int,end:int>")
+@F.pandas_udf(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
 def located_words(texts: pd.Series, words: pd.Series) -> pd.DataFrame:
     """Offsets of words in a text, read as quotes are: white space collapsed, case folded, hyphenated line breaks joined; null if absent."""
     import re
@@ -239,7 +240,7 @@ def original_date(date: Column, words: Column, note: Column, text: Column) -> Co
     return F.when(good, date)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matching characters over all, by longest common blocks."""
     import difflib

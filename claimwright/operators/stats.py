@@ -54,14 +54,14 @@ def feature_separation(features: DataFrame, arms: DataFrame, least: int = 20) ->
     return rows.select("feature", "cases", "controls", ratio.alias("ratio"), low.alias("low"), high.alias("high"))
 
 
-def ranked(rows: DataFrame, keys: list[str], ident: str, out: str = "rank") -> DataFrame:
+def ranked(rows: DataFrame, keys: list[str], *ident: str, out: str = "rank") -> DataFrame:
     """Rows numbered from 1 within each stratum by id, however large a stratum is.
 
     Rows are dealt by ranges of (stratum, id); each range numbers its own, and
     adds what the ranges before it hold of the stratum.
     """
-    dealt = _cut(rows.repartitionByRange(*keys, ident).withColumn("__range", F.spark_partition_id()))
-    own = F.row_number().over(Window.partitionBy("__range", *keys).orderBy(ident))
+    dealt = _cut(rows.repartitionByRange(*keys, *ident).withColumn("__range", F.spark_partition_id()))
+    own = F.row_number().over(Window.partitionBy("__range", *keys).orderBy(*ident))
     counts = dealt.groupBy("__range", *keys).agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("__range", *keys, before.alias("__before"))

@@ -41,7 +41,11 @@ def valid_at(claims: DataFrame, predicate: str | None, on: date | str | Column |
 
 def started_by(rows: DataFrame, on: date | str | Column, start: str = "valid_from") -> DataFrame:
     """Rows that began by a day, whether or not they ended since."""
-    return rows.filter(F.col(start).isNotNull() & (F.col(start) <= _day(on)))
+    return rows.filter(has_begun(on, start))
+
+
+def has_begun(on: date | str | Column, start: str = "valid_from") -> Column:
+    return F.col(start).isNotNull() & (F.col(start) <= _day(on))
 
 
 def latest_at(claims: DataFrame, predicate: str | None, on: date | str | Column | None, keys: list[str], *, tiebreak: str = "object_repr") -> DataFrame:

@@ -326,18 +326,7 @@ def p15(spark, sf):
 
 
 def _all_results(spark, sf):
-    c, o, v = D.companies(spark, sf), D.owns(spark, sf), D.votes(spark, sf)
-    parts = [
-        shares.voting_exceeds_equity(c, o, v, AS_OF),
-        shares.ownership_residual(c, o, AS_OF),
-        shares.subthreshold_aggregate(c, o, AS_OF),
-        shares.ownership_events(c, o, AS_OF),
-        shares.majority_unresolvable(c, o, AS_OF, F.pmod("holder", F.lit(5)) == 0),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return shares.share_predicates(D.companies(spark, sf), D.owns(spark, sf), D.votes(spark, sf), AS_OF, F.pmod("holder", F.lit(5)) == 0)
 
 
 _FIVE = f"""WITH {HOLDINGS},
