@@ -842,3 +842,137 @@ def p26(spark, sf):
 @query("o2_agenda_order", "SELECT event_id % 5 AS cost, event_type AS key, user_id AS subject FROM events")
 def o2(spark, sf):
     return reports.agenda_order(D.table(spark, sf, "events").select((F.col("event_id") % 5).alias("cost"), F.col("event_type").alias("key"), F.col("user_id").alias("subject")))
+
+
+# ---- put together -------------------------------------------------------------------------------------
+QUOTES = ("Acme 00000019 was sold", "it was never sold", "Acme 00000019 is sold today", "words that are absent", "the Acme may be sold")
+CHECKED = ("closed", "closed_local", "open", "defect", "defect")
+
+
+@query("t12_checked", f"SELECT o_orderkey AS uid, {of_sql('o_orderkey', *CHECKED)} AS verdict, {of_sql('o_orderkey', '', '', '', 'quote_not_in_passage', '')} AS report, {of_sql('o_orderkey', '', '', '', '', 'not_rigid')} AS claim, {of_sql('o_orderkey', '', 'negation', '', '', 'hedge')} AS review FROM orders")
+def t12(spark, sf):
+    from claimwright.operators import assembly
+
+    k = "o_orderkey"
+    passage = F.lit("The ministry said Acme 00000019 was sold, it was never sold. Acme 00000019 is sold today; the Acme may be sold.")
+    a = D.table(spark, sf, "orders").select(F.col(k).alias("uid"), of(k, *QUOTES).alias("quote"), passage.alias("passage"), F.lit("s1").alias("source"), F.lit("The Ministry").alias("speaker"), of(k, "cvr:00000019", "local:s1#acme", "cvr:00000019", "cvr:00000019", "web:x").alias("subject"), F.lit("affirmed").alias("polarity"), F.lit(None).cast("string").alias("start"))
+    flat = lambda c: F.array_join(c, "|").alias(c.split("_")[0])
+    return assembly.checked(a).select("uid", "verdict", flat("report_defects"), flat("claim_defects"), flat("review"))
+
+
+@query("t19_support", f"SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'not_run' WHEN o_orderkey % 3 > 0 THEN 'review' END AS flag, CASE WHEN o_orderkey % 2 = 0 THEN 'the board says that it fell' ELSE 'it fell' END AS hypothesis FROM orders")
+def t19(spark, sf):
+    from claimwright.operators import assembly
+
+    k = F.col("o_orderkey")
+    speakers = F.when(k % 2 == 0, F.array(F.lit("the paper"), F.lit("the board"))).otherwise(F.array(F.lit("the paper")))
+    return D.table(spark, sf, "orders").select(k, assembly.support_flag(of("o_orderkey", "entailment", "neutral", "contradiction"), F.when(k % 7 == 0, 600).otherwise(90)).alias("flag"), assembly.hypothesis(F.lit("it fell in 2019-05"), speakers).alias("hypothesis"))
+
+
+@query("t20_eligible_atoms", "SELECT l_orderkey AS uid, bool_and(coalesce(CASE WHEN l_suppkey % 3 > 0 THEN l_linenumber % 6 > 0 END, false)) AS eligible FROM lineitem GROUP BY 1")
+def t20(spark, sf):
+    from claimwright.operators import assembly
+
+    return assembly.eligible_atoms(D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("uid"), F.when(F.col("l_suppkey") % 3 > 0, F.col("l_linenumber") % 6 > 0).alias("passed")))
+
+
+@query("t25_expectations", """SELECT l_orderkey AS "case", count(*) FILTER (WHERE CASE l_linenumber % 3 WHEN 0 THEN l_orderkey % 2 = 0 WHEN 1 THEN l_orderkey % 5 = 0 ELSE l_orderkey % 3 > 0 END) AS failed FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1""")
+def t25(spark, sf):
+    from claimwright.operators import assembly
+
+    k = F.col("o_orderkey")
+    out = D.table(spark, sf, "orders").select(k.alias("case"), F.array(F.when(k % 2 == 0, "it holds SECRET words").otherwise("nothing")).alias("fields"), F.when(k % 5 > 0, "negated").otherwise("affirmed").alias("polarity"), F.array(F.when(k % 3 == 0, "Ann").otherwise("Bo")).alias("speakers"))
+    asked = D.table(spark, sf, "lineitem").join(D.table(spark, sf, "orders"), F.col("l_orderkey") == k, "left_semi").select(F.col("l_orderkey").alias("case"), of("l_linenumber", "forbidden", "polarity", "speaker").alias("kind"), of("l_linenumber", "secret", "negated", "Ann").alias("value"))
+    return assembly.expectations_met(out, asked)
+
+
+@query("j21_imported", """WITH t AS (SELECT o_orderkey AS id, o_custkey % 50 AS r, o_orderkey % 4 AS c, o_orderkey % 3 AS s, row_number() OVER (PARTITION BY o_custkey % 50, o_orderkey % 4, o_orderkey % 3 ORDER BY o_orderkey) AS rn FROM orders)
+  SELECT id, CASE WHEN id % 10 = 0 THEN 'held' WHEN r < 10 AND c = 1 THEN 'conflict' WHEN rn > 1 THEN 'repeated' ELSE 'import' END AS outcome FROM t""")
+def j21(spark, sf):
+    from claimwright.operators import assembly
+
+    k = F.col("o_orderkey")
+    theirs = D.table(spark, sf, "orders").select(k.alias("id"), F.lit("cell").alias("kind"), (F.col("o_custkey") % 50).alias("row"), (k % 4).alias("cell"), (k % 3).alias("source"))
+    cells = spark.range(10).select((-F.col("id") - 1).alias("id"), F.lit("cell").alias("kind"), F.col("id").alias("row"), F.lit(1).cast("long").alias("cell"))
+    held = theirs.filter("id % 10 = 0").select("id", F.lit("other").alias("kind"), "row", "cell")
+    return assembly.imported(theirs, cells.unionByName(held))
+
+
+@query("a32_seeded_sample", "WITH r AS (SELECT o_orderstatus AS stratum, o_orderkey AS k, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('22|' || o_orderkey), o_orderkey) AS INTEGER) AS place FROM orders) SELECT * FROM r WHERE place <= 12")
+def a32(spark, sf):
+    from claimwright.operators import assembly
+
+    rows = D.table(spark, sf, "orders").select(F.col("o_orderstatus").alias("stratum"), F.col("o_orderkey").alias("k"))
+    return assembly.seeded_sample(rows, "stratum", "k", 12, "22")
+
+
+@query("s16_page_claims", f"""WITH p AS (SELECT page_id, page_id % 6 AS m FROM pages), v(m, predicate, object) AS (VALUES (0, 'claims_identifier', 'DK10000009'), (0, 'claims_identifier', 'DK00000051'), (1, 'member_of_group', 'Nordic Steel Group'), (1, 'member_of_group', 'the Big Blue Holding'), (2, 'has_location', '2200 København N'), (3, 'has_role', 'Anna Berg:founder'), (4, 'founded_on', '1998'))
+  SELECT page_id, predicate, object FROM p JOIN v USING (m)""")
+def s16(spark, sf):
+    from claimwright.operators import assembly
+
+    text = F.when(F.col("page_id") % 6 == 4, "founded in 1998").otherwise(of("page_id", *BLOCKS))
+    html = F.concat(F.lit("<html><body><div>"), text, F.lit("</div><p>"), text, F.lit("</p></body></html>"))
+    return assembly.page_claims(D.table(spark, sf, "pages").select("page_id", html.alias("html")))
+
+
+@query("i27_designated_domains", "SELECT 'site' || (c_custkey % 200) || '.example' AS domain, 'e' || min(c_custkey) AS id FROM customer WHERE c_custkey % 3 > 0 GROUP BY c_custkey % 200")
+def i27(spark, sf):
+    from claimwright.operators import assembly
+
+    k = F.col("c_custkey")
+    site = F.array(F.concat(F.lit("https://www.site"), (k % 200).cast("string"), F.lit(".example/x")), F.lit("none"))
+    text = F.to_json(F.struct(F.concat(F.lit("e"), k.cast("string")).alias("id"), of("c_custkey", "Vessel", "Company", "Organization").alias("schema"), F.struct(site.alias("website")).alias("properties")))
+    return assembly.designated_domains(D.table(spark, sf, "customer").select(k.alias("line"), text.alias("text")), ("Company", "Organization", "LegalEntity"))
+
+
+@query("i33_index_rows", "SELECT c_custkey AS resource_id, CASE c_custkey % 3 WHEN 0 THEN c_name ELSE '' END AS name, CASE c_custkey % 3 WHEN 0 THEN 'NORMAL' ELSE '' END AS status, CASE c_custkey % 3 WHEN 0 THEN '{\"name' WHEN 1 THEN 'no jso' END AS preview FROM customer")
+def i33(spark, sf):
+    from claimwright.operators import assembly
+
+    k = F.col("c_custkey")
+    body = F.when(k % 3 == 0, F.to_json(F.struct(F.col("c_name").alias("name"), F.lit("NORMAL").alias("status")))).otherwise("no json")
+    c = D.table(spark, sf, "customer")
+    return assembly.index_rows(c.select(k.alias("resource_id"), k.cast("string").alias("content_hash")), c.filter(k % 3 < 2).select(k.cast("string").alias("content_hash"), body.alias("body")), 6)
+
+
+@query("s9_address_label", "SELECT s_suppkey, 'Vej ' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN ' 3 tv' ELSE '' END || ' 2200 N' AS label FROM supplier")
+def s9(spark, sf):
+    from claimwright.operators import assembly
+
+    s = F.col("s_suppkey")
+    return D.table(spark, sf, "supplier").select(s, assembly.address_label(F.lit("Vej"), s.cast("string"), F.when(s % 2 == 0, " 3 tv"), F.lit(""), F.lit("2200 N")).alias("label"))
+
+
+@query("e24_coverage", "SELECT p_partkey AS doc, ((CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END) + (CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END)) || ' of 3 institutions assessed' AS statement FROM part")
+def e24(spark, sf):
+    from claimwright.operators import assembly
+
+    k = F.col("p_partkey")
+    text = F.concat(F.when(k % 2 == 0, "At ALPHA, alpha. ").otherwise(""), F.when(k % 3 == 0, "Beta!").otherwise("none"))
+    assessed = spark.createDataFrame([("Alpha",), ("beta",), ("Gamma",)], "name string")
+    return assembly.coverage_statement(assessed, D.table(spark, sf, "part").select(k.alias("doc"), text.alias("text")))
+
+
+@query("p27_screen_lines", f"WITH {RESULTS} SELECT company, CASE WHEN value = 'UNKNOWABLE' THEN 'limit' WHEN value = 'TRUE' AND predicate = 'a' THEN 'finding' ELSE 'fact' END AS section, predicate, value = 'UNKNOWABLE' AND predicate = 'b' AS blocks FROM r WHERE value <> 'FALSE'")
+def p27(spark, sf):
+    from claimwright.operators import assembly
+
+    return assembly.screen_lines(_results(spark, sf), ("b",), ("a",))
+
+
+@query("p29_factsheet", f"WITH {RESULTS} SELECT company, CAST(o_orderdate AS DATE) - 365 AS as_of, CASE value WHEN 'TRUE' THEN 'fired' WHEN 'FALSE' THEN 'not_fired' WHEN 'UNKNOWN' THEN 'open' ELSE 'not_evaluable' END AS section, predicate, CASE WHEN value = 'TRUE' AND predicate = 'a' THEN 0.25::DOUBLE END AS comparator FROM r JOIN orders ON o_orderkey = company")
+def p29(spark, sf):
+    from claimwright.operators import assembly
+
+    subjects = D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("company"), F.col("o_orderdate").cast("date").alias("event_date"))
+    return assembly.factsheet(subjects, _results(spark, sf), spark.createDataFrame([("a", 0.25)], "predicate string, rate double"))
+
+
+@query("t8_date_candidates", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'json-ld datePublished=2020-01-02;meta tag=2021-05' WHEN 1 THEN 'citation meta=2019;citation meta=2018-02' ELSE '' END AS dates FROM pages""")
+def t8(spark, sf):
+    from claimwright.operators import assembly
+
+    html = of("page_id", '<head><META property="article:published_time" content="2021-05"></head><script>{"datePublished": "2020-01-02T01:00"}</script><meta name="date" content="1999">', "<head><meta name='citation_date' content='2019'><meta name='citation_publication_date' content='2018-02'></head>", "<p>2017-01-01</p>")
+    found = F.transform(assembly.date_candidates(html), lambda c: F.concat_ws("=", c["basis"], c["value"]))
+    return D.table(spark, sf, "pages").select("page_id", F.array_join(found, ";").alias("dates"))
