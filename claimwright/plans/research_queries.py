@@ -976,3 +976,25 @@ def t8(spark, sf):
     html = of("page_id", '<head><META property="article:published_time" content="2021-05"></head><script>{"datePublished": "2020-01-02T01:00"}</script><meta name="date" content="1999">', "<head><meta name='citation_date' content='2019'><meta name='citation_publication_date' content='2018-02'></head>", "<p>2017-01-01</p>")
     found = F.transform(assembly.date_candidates(html), lambda c: F.concat_ws("=", c["basis"], c["value"]))
     return D.table(spark, sf, "pages").select("page_id", F.array_join(found, ";").alias("dates"))
+
+
+@query("s15_document_paths", """WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)) AS r FROM orders WHERE o_orderkey % 3 = 0)
+  SELECT p AS path, CASE WHEN contains(p, 'deltagerRelation') THEN r ELSE n END AS documents FROM n, (VALUES ('Vrvirksomhed'), ('Vrvirksomhed.cvrNummer'), ('Vrvirksomhed.navne'), ('Vrvirksomhed.virksomhedsstatus'), ('Vrvirksomhed.attributter'), ('Vrvirksomhed.deltagerRelation'),
+    ('Vrvirksomhed.navne.navn'), ('Vrvirksomhed.virksomhedsstatus.status'), ('Vrvirksomhed.attributter.type'), ('Vrvirksomhed.attributter.vaerdier'), ('Vrvirksomhed.deltagerRelation.deltager'), ('Vrvirksomhed.deltagerRelation.organisationer')) v(p)""")
+def s15(spark, sf):
+    from claimwright.sources import bodies
+
+    docs = _documents(spark, sf).filter(F.col("json").startswith('{"Vr'))
+    return bodies.document_paths(docs, ("periode", "hjemmeside", "virksomhedMetadata"))
+
+
+BODIES = ("%PDF-1.7", "<!DOCTYPE html><p>x", " {\"a\": 1}", "<?xml version='1.0'?>", "plain words", "PK\x03\x04")
+
+
+@query("t6_body_kinds", f"SELECT p_partkey, {of_sql('p_partkey', 'pdf', 'html', 'json', 'xml', 'text', 'zip')} AS kind, CASE WHEN p_partkey % 2 = 0 THEN 'é' ELSE 'Ã' END AS letter FROM part")
+def t6(spark, sf):
+    from claimwright.sources import bodies
+
+    # 0xE9 alone is no UTF-8, 0xC3 0x83 is
+    odd = F.when(F.col("p_partkey") % 2 == 0, F.unhex(F.lit("E9"))).otherwise(F.unhex(F.lit("C383")))
+    return D.table(spark, sf, "part").select("p_partkey", bodies.kind_of(bodies.unpacked(of("p_partkey", *BODIES).cast("binary"))).alias("kind"), bodies.decoded(odd).alias("letter"))
