@@ -33,10 +33,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimwright.llm.common import ship
+
 #: The split pattern of byte-level BPE vocabularies (a fixed value of the format).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_CHARS = 1 << 16
-CACHE_ENTRIES = 600_000
+#: Bytes that an encoder's memory of texts may hold.
+CACHE_BYTES = 96 << 20
+#: Token pairs whose staying apart is remembered (about 100 bytes each).
+PAIRS = 200_000
 #: Bytes read before the transducer looks for a common point to emit up to.
 FLUSH = 512
 
@@ -73,16 +78,25 @@ class Transducer:
         self.lookahead = max((len(a) + len(b) for a, b in as_bytes), default=1)
         self.single = [self.id_of[bytes([b])] for b in range(256)]
         self.automaton = ahocorasick.Automaton()
+        #: Of each token that an encoding can hold: the rank of its last merge and that merge's halves; single bytes have rank -1.
+        self.made: list[int] = [-1] * size
+        self.halves: list[tuple[int, int]] = [(-1, -1)] * size
         for token, i in self.id_of.items():
-            if self.merged([self.single[b] for b in token]) == [i]:  # else no encoding ever holds it
+            ids = [self.single[b] for b in token]
+            before = self.merged(ids, stop=2)
+            if before == [i]:
+                whole = True
+            elif whole := len(before) == 2 and before[0] >= 0 and self.rank.get(tuple(before), (0, -1))[1] == i:
+                self.made[i], self.halves[i] = self.rank[before[0], before[1]][0], (before[0], before[1])
+            if whole:  # else no encoding ever holds it
                 self.automaton.add_word(token.decode("latin-1"), (len(token), i))
         self.automaton.make_automaton()
         self.apart: dict[int, bool] = {}
 
-    def merged(self, ids: list[int]) -> list[int]:
-        """The definition: merge the pair of least rank, leftmost first, until none is left."""
+    def merged(self, ids: list[int], stop: int = 1) -> list[int]:
+        """The definition: merge the pair of least rank, leftmost first, until none or ``stop`` tokens are left."""
         ids = list(ids)
-        while len(ids) > 1:
+        while len(ids) > stop:
             best = min(((self.rank[p][0], k) for k, p in enumerate(zip(ids, ids[1:])) if p in self.rank), default=None)
             if best is None:
                 break
@@ -91,15 +105,34 @@ class Transducer:
         return ids
 
     def stays_apart(self, left: int, right: int) -> bool:
-        """Whether merging the bytes of both gives just these two tokens."""
+        """Whether merging the bytes of both gives just these two tokens.
+
+        The merges that made both are taken back, latest first (of equal ranks
+        the right one, as merging goes from the left).  At each step the pair that
+        then touches must not be one that would have been merged by then.
+        """
         key = left * 1_000_003 + right
         if (known := self.apart.get(key)) is None:
-            if len(self.apart) > 4_000_000:
+            if len(self.apart) >= PAIRS:
                 self.apart.clear()
-            both = [self.single[b] for b in self.bytes_of[left] + self.bytes_of[right]]
-            known = self.apart[key] = self.merged(both) == [left, right]
+            known = self.apart[key] = self._stays_apart(left, right)
         return known
 
+    def _stays_apart(self, left: int, right: int) -> bool:
+        rank, made, halves = self.rank, self.made, self.halves
+        before = 1 << 60
+        while True:
+            touching = rank.get((left, right))
+            if touching is not None and touching[0] < before:
+                return False
+            a, b = made[left], made[right]
+            if a < 0 and b < 0:
+                return True
+            if a > b:
+                before, left = a, halves[left][1]
+            else:
+                before, right = b + 1, halves[right][0]
+
     def piece(self, data: bytes) -> Iterator[int]:
         """Token ids of one pre-split piece, each as soon as it is final."""
         reach, apart = self.lookahead, self.apart
@@ -163,19 +196,30 @@ class Transducer:
         return heads.pop()
 
 
-class Pieces(dict):
-    """Piece -> int32 bytes of its token ids, remembered up to a bound."""
+class Remembered(dict):
+    """Text -> int32 bytes of its token ids, for the texts met of late.
+
+    When half its bound in bytes is reached, what it holds becomes the older
+    half, of which entries come back as they are met again.
+    """
 
-    def __init__(self, transducer: Transducer):
-        self.transducer = transducer
+    #: What an entry holds besides its characters and ids.
+    ENTRY_BYTES = 200
 
-    def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        ids = array("i", self.transducer.short(data) if len(data) <= FLUSH else self.transducer.piece(data)).tobytes()
-        if len(piece) <= 64:
-            if len(self) >= CACHE_ENTRIES:
+    def __init__(self, encode, bound: int):
+        self.encode, self.half, self.held, self.older = encode, bound // 2, 0, {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.encode(text)
+        if len(text) <= 64:
+            self.held += self.ENTRY_BYTES + 2 * len(text) + len(ids)
+            if self.held > self.half:
+                self.older = dict(self)
                 self.clear()
-            self[piece] = ids
+                self.held = 0
+            self[text] = ids
         return ids
 
 
@@ -193,44 +237,34 @@ def blocks(text: str, size: int = BLOCK_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-class Runs(dict):
-    """Text between two single spaces -> int32 bytes of the ids of space and text, remembered up to a bound."""
-
-    def __init__(self, plain):
-        self.plain = plain
-
-    def __missing__(self, run: str) -> bytes:
-        ids = self.plain(" " + run)
-        if len(run) <= 64:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[run] = ids
-        return ids
-
-
 class Encoder:
     def __init__(self, path: str):
         import regex
 
         self.transducer = Transducer(path)
-        self.pieces = Pieces(self.transducer)
         self.split = regex.compile(SPLIT).findall
-        self.runs = Runs(self._split_up)
+        # pieces, and whole stretches between single spaces that split into several
+        self.known = Remembered(self._encoded, CACHE_BYTES)
         self.wide = regex.compile(r"\s\x20").search
         added = sorted(self.transducer.added, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
 
-    def _split_up(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+    def _encoded(self, text: str) -> bytes:
+        pieces = self.split(text)
+        if len(pieces) > 1:
+            return b"".join(map(self.known.__getitem__, pieces))
+        data = text.encode()
+        return array("i", self.transducer.short(data) if len(data) <= FLUSH else self.transducer.piece(data)).tobytes()
 
     def _plain(self, text: str) -> bytes:
         out = []
         for block in blocks(text):
             if self.wide(block):
-                out.append(self._split_up(block))
+                out += map(self.known.__getitem__, self.split(block))
             else:  # each space follows a non-space, so the split pattern breaks before it
                 first, *rest = block.split(" ")
-                out += [self._split_up(first), *map(self.runs.__getitem__, rest)]
+                out += map(self.known.__getitem__, self.split(first))
+                out += map(self.known.__getitem__, [" " + run for run in rest])
         return b"".join(out)
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -244,12 +278,30 @@ class Encoder:
         return np.frombuffer(b"".join(parts), np.int32)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
-    """One per Python worker and file: what it has learnt serves all its tasks."""
+    """One per Python worker: what it has learnt serves all its tasks."""
     return Encoder(path)
 
 
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of every token id, all that decoding needs of a vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    back, vocab = byte_alphabet(), spec["model"]["vocab"]
+    out = [b""] * (max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1)
+    for token, i in vocab.items():
+        out[i] = bytes(back[c] for c in token)
+    for t in spec["added_tokens"]:
+        out[t["id"]] = t["content"].encode()
+    return out
+
+
+@lru_cache(maxsize=1)
+def decoder_of(path: str) -> Decoder:
+    return Decoder(token_bytes(path))
+
+
 class Decoder:
     """Incremental byte-to-text machine over token ids."""
 
@@ -267,35 +319,68 @@ class Decoder:
         return "".join(out)
 
 
-def bpe_encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """``id_col`` and ``ids_col`` array<int> for every row; no shuffle."""
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+#: Bytes of text whose results travel back together.
+SLICE_BYTES = 1 << 20
+
+
+def _slices(batch) -> Iterator:
+    """Stretches of a batch of about ``SLICE_BYTES`` each, at least a row."""
+    import pyarrow.compute as pc
+
+    at, held = 0, 0
+    for i, size in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+        held += size
+        if held >= SLICE_BYTES:
+            yield batch.slice(at, i + 1 - at)
+            at, held = i + 1, 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
+def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, ids_col: str, decoded_col: str | None) -> DataFrame:
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    ship(rows.sparkSession)
     kind = rows.schema[0].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
         encoder = encoder_of(path)
+        decoder = Decoder(encoder.transducer.bytes_of)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):  # bounds what one result batch holds
-                some = batch.slice(at, 512)
-                arrays = [encoder.ids(t) for t in some.column(1).to_pylist()]
+            for some in _slices(batch):
+                arrays = [encoder.ids(t.as_py()) for t in some.column(1)]
                 ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
                 values = np.concatenate(arrays) if arrays else np.empty(0, np.int32)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(ends, pa.array(values))], names=[id_col, ids_col])
+                out = {id_col: some.column(0), ids_col: pa.ListArray.from_arrays(ends, pa.array(values))}
+                if decoded_col:
+                    out[decoded_col] = pa.array(map(decoder.text, arrays), pa.string())
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    more = f", `{decoded_col}` string" if decoded_col else ""
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` array<int>{more}")
+
+
+def bpe_encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
+    """``id_col`` and ``ids_col`` array<int> for every row; no shuffle."""
+    return _coded(docs, path, id_col, text_col, ids_col, None)
+
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` array<int>")
+def bpe_round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "token_ids", decoded_col: str = "decoded") -> DataFrame:
+    """``bpe_encode`` with the text that the ids decode to, in one pass and so with one vocabulary in a worker."""
+    return _coded(docs, path, id_col, text_col, ids_col, decoded_col)
 
 
 def bpe_decode(tokens: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
     """``tokens`` with ``text_col`` added; no shuffle."""
     rows = tokens.select(id_col, ids_col)
+    ship(rows.sparkSession)
     kind = rows.schema[0].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        decoder = Decoder(encoder_of(path).transducer.bytes_of)
+        decoder = decoder_of(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
@@ -307,8 +392,7 @@ def bpe_decode(tokens: DataFrame, path: str, *, id_col: str = "doc_id", ids_col:
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """n_tokens, ids_sha256 and decoded_sha256 of every document, from the operator's own output."""
-    done = bpe_decode(bpe_encode(docs, path), path)
-    return done.select(
+    return bpe_round_trip(docs, path).select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
