@@ -2,14 +2,14 @@
 
 Every document of source ``s`` is repeated a Poisson number of times with mean
 ``weight_s * total / n_s``.  The number comes from inverting the Poisson
-distribution at a uniform value hashed from (seed, document id), so a re-run or
-a lost executor gives the same copies.  Means above ``MAX_MEAN`` are split into
+distribution at a uniform value hashed from (seed, document id, text), so a
+re-run or a lost executor gives the same copies.  Means above ``MAX_MEAN`` are split into
 equal sub-draws (a sum of independent Poisson draws is Poisson), which bounds
 the inverted table and avoids underflow.  The result is shuffled globally by a
-hash of (seed, id, draw, copy).
+hash of (seed, id, text, draw, copy).
 
-Nulls: a null source is a source of its own; a null id hashes as ``''``.  Rows
-that repeat an id draw the same number of copies.  An empty table gives an
+Nulls: a null source is a source of its own; a null id or text hashes as ``''``.
+Rows that repeat an id draw on their own unless they repeat the text too.  An empty table gives an
 empty result.  Extra columns are carried unchanged.
 """
 
@@ -72,6 +72,7 @@ def mix_sources(
     seed: int = 17,
     id_col: str = "doc_id",
     source_col: str = "source",
+    text_col: str = "text",
     copy_col: str | None = "copy",
 ) -> DataFrame:
     """All columns of ``docs``, plus ``copy_col`` (from 1) unless it is None.
@@ -82,7 +83,7 @@ def mix_sources(
     """
     names = docs.columns
     rates, n_sources = source_rates(docs, weights or {}, default_weight, total, source_col)
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    ident = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
     # drawn by the document's own hash: nothing but its source's few numbers is joined to it
     joined = docs.join(small_or_shuffled(rates, n_sources, BROADCAST_ROWS), F.col(source_col).eqNullSafe(F.col("__mix_key")))
     drawn = joined.withColumn("__mix_draw", F.explode(F.sequence(F.lit(1), F.col("__mix_draws"))))
