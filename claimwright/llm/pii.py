@@ -4,9 +4,11 @@ Base spans are e-mail addresses, IP addresses, card numbers and phone numbers,
 leftmost and non-overlapping per kind; matches that fail their check are
 dropped without retrying.
 
-The method adds spans for terms that reveal a protected entity (the value of a
-base span).  A context is the up to ``CONTEXT_WORDS`` words of letters on each
-side of a base span, however far they lie.  Over all distinct texts, ``n_e``
+The method adds spans for runs of mixed letters and digits that hold at least
+``SECRET_BITS`` bits (keys and access tokens), and for terms that reveal a
+protected entity (the value of a base span or of such a run).  A context is the
+up to ``CONTEXT_WORDS`` words of letters on each side of a span, however far
+they lie, but not beyond the third next span.  Over all distinct texts, ``n_e``
 counts the distinct contexts of entity e, ``n_te`` those that hold term t,
 ``n_t`` the texts with t and ``N`` all texts; copies of a text or a context
 count once.  The term discloses the share ``PMI(t; e) / IC(e)`` of what there
@@ -33,13 +35,20 @@ from pyspark.sql import functions as F
 from claimwright.llm.common import cut, small_or_shuffled
 
 CONTEXT_WORDS = 5
+#: Gaps between spans that a context reaches over.
+CONTEXT_GAPS = 3
 #: Where this many characters hold enough words, only they are searched.
 NEAR_CHARS = 200
 #: Weight, in contexts, of a term's share of the texts.
 PRIOR = 1.0
+#: A run of letters and digits without a break that holds so much, at 4 bits a character, is protected too.
+SECRET_BITS = 96
 GENERALISE = 0.5
 REMOVE = 0.8
+#: Tables of terms, one short row each, are broadcast up to this many rows; others are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Added spans are broadcast up to this many bytes, at ``SPAN_BYTES`` each.
+BROADCAST_BYTES, SPAN_BYTES = 16 << 20, 128
 
 #: kind -> pattern and the quick test that a text may hold one.
 PATTERNS = {
@@ -53,21 +62,47 @@ TERM = r"\p{L}{3,}+"
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
-def located(text: Column, pattern: str, kind: str) -> Column:
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(items: Column, add, few: bool = False) -> Column:
+    """array<int>: what ``add`` makes of 0 and all items before each one.
+
+    Blocks of about the square root of the number of items are summed first and
+    then gone through, so that no long array is copied for each item; not so
+    where items are known to be ``few``.
+    """
+
+    def gone_through(part: Column, start: Column, step) -> Column:
+        first = F.struct(start.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(part, first, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def in_blocks(all_items: Column) -> Column:
+        step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(all_items))).cast("int"))
+        last = F.floor((F.size(all_items) - 1) / step).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), last)), lambda k: F.slice(all_items, k * step + 1, step))
+        return _let(parts, lambda bs: _let(gone_through(bs, F.lit(0), lambda at, part: F.aggregate(part, at, add)), lambda starts: F.flatten(F.transform(bs, lambda part, k: gone_through(part, F.get(starts, k), add)))))
+
+    return gone_through(items, F.lit(0), add) if few else _let(items, in_blocks)
+
+
+def located(text: Column, pattern: str, kind: str, few: bool = False) -> Column:
     """array<SPAN> of a pattern's matches; offsets from the lengths of matches and of what lies between."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    empty = F.expr(f"cast(array() as array<{SPAN}>)")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    pairs = _let(found, lambda f: F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(f)), f, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m"))))
+
+    def spans(both: Column) -> Column:
+        before = running(both, lambda at, x: at + x["gap"] + F.length(x["m"]), few)
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["gap"])
-        b = a + F.length(x["m"])
-        span = F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("end"), x["m"].alias("value"))
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        def span(x: Column, at: Column) -> Column:
+            start = at + x["gap"]
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("value"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        return F.zip_with(both, before, span)
+
+    return _let(pairs, spans)
 
 
 def _digits(m: Column) -> Column:
@@ -112,6 +147,16 @@ def _checked(kind: str):
     return lambda s: _valid(kind, s["value"])
 
 
+def secrets(text: Column) -> Column:
+    """array<SPAN> of runs that hold at least ``SECRET_BITS`` bits by their length and alphabet: keys and access tokens."""
+    letters = lambda v: F.length(F.regexp_replace(v, "[^A-Za-z]", ""))
+    digits = lambda v: F.length(_digits(v))
+    # of n characters, half of them digits, half letters, each is one of 16 at least
+    dense = lambda s: (4 * F.length(s["value"]) >= SECRET_BITS) & (F.least(letters(s["value"]), digits(s["value"])) * 8 >= F.length(s["value"]))
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    return F.when(text.rlike(f"(?<![A-Za-z0-9])[A-Za-z0-9]{{{SECRET_BITS // 4}}}"), F.filter(located(text, r"(?:\G|(?<![A-Za-z0-9]))[A-Za-z0-9]++", "secret"), dense)).otherwise(none)
+
+
 def _value(kind: Column, value: Column) -> Column:
     return F.when(kind.isin("card", "phone"), _digits(value)).otherwise(F.lower(value))
 
@@ -125,16 +170,40 @@ def _nearest(side: Column) -> Column:
     return F.regexp_extract(F.when(enough, near).otherwise(side), words(f"0,{CONTEXT_WORDS + 1}"), 0)
 
 
-def _context(text: Column, span: Column) -> Column:
-    """array<SPAN> of the terms on both sides of a span, offsets within the text."""
-    before = F.reverse(_nearest(F.reverse(F.substr(text, F.lit(1), span["start"]))))
-    after = _nearest(F.substr(text, span["end"] + 1, F.length(text)))
-    moved = lambda terms, by: F.transform(terms, lambda t: F.struct(t["kind"].alias("kind"), (t["start"] + by).alias("start"), (t["end"] + by).alias("end"), F.lower(t["value"]).alias("value")))
+def _contexts(text: Column, entities: Column) -> Column:
+    """array<struct<entity, terms array<SPAN>>>: the terms on both sides of every span, offsets within the text.
+
+    Each gap between spans is searched once, from both ends.
+    """
+
+    def moved(terms: Column, by: Column) -> Column:
+        return F.transform(terms, lambda t: F.struct(t["kind"].alias("kind"), (t["start"] + by).alias("start"), (t["end"] + by).alias("end"), F.lower(t["value"]).alias("value")))
+
     # a term touching the span is not a word of it
-    on_left = F.filter(located(before, TERM, "term"), lambda t: t["end"] < F.length(before))
-    on_right = F.filter(located(after, TERM, "term"), lambda t: t["start"] > 0)
-    n = F.size(on_left)
-    return F.concat(moved(F.slice(on_left, F.greatest(F.lit(1), n - CONTEXT_WORDS + 1), CONTEXT_WORDS), span["start"] - F.length(before)), moved(F.slice(on_right, 1, CONTEXT_WORDS), span["end"]))
+    def tail(gap: Column, end: Column) -> Column:
+        part = F.reverse(_nearest(F.reverse(gap)))
+        return _let(part, lambda p: moved(F.filter(located(p, TERM, "term", few=True), lambda t: t["end"] < F.length(p)), end - F.length(p)))
+
+    def head(gap: Column, start: Column) -> Column:
+        return moved(F.filter(located(_nearest(gap), TERM, "term", few=True), lambda t: t["start"] > 0), start)
+
+    def of_gap(g: Column) -> Column:
+        return _let(F.substr(text, g["start"] + 1, g["end"] - g["start"]), lambda gap: F.struct(head(gap, g["start"]).alias("head"), tail(gap, g["end"]).alias("tail")))
+
+    def around(spans: Column) -> Column:
+        before = F.zip_with(spans, running(spans, lambda at, s: F.greatest(at, s["end"])), lambda s, at: F.struct(at.alias("start"), F.greatest(s["start"], at).alias("end")))
+        gaps = F.concat(before, F.array(F.struct(F.array_max(F.transform(spans, lambda s: s["end"])).alias("start"), F.length(text).alias("end"))))
+
+        def of_span(s: Column, i: Column, near: Column) -> Column:
+            first = F.greatest(F.lit(1), i + 2 - CONTEXT_GAPS)
+            left = F.flatten(F.transform(F.slice(near, first, i + 2 - first), lambda g: g["tail"]))
+            right = F.flatten(F.transform(F.slice(near, i + 2, F.lit(CONTEXT_GAPS)), lambda g: g["head"]))
+            last = _let(left, lambda x: F.slice(x, F.greatest(F.lit(1), F.size(x) - CONTEXT_WORDS + 1), F.lit(CONTEXT_WORDS)))
+            return F.struct(_value(s["kind"], s["value"]).alias("entity"), F.concat(last, F.slice(right, 1, CONTEXT_WORDS)).alias("terms"))
+
+        return _let(F.transform(gaps, of_gap), lambda near: F.transform(spans, lambda s, i: of_span(s, i, near)))
+
+    return _let(F.array_sort(F.transform(entities, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))), around)
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -145,9 +214,12 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row_hash"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spans = rows.withColumn("base", base_spans(F.col("text")))
-    contexts = F.transform("base", lambda s: F.struct(_value(s["kind"], s["value"]).alias("entity"), _context(F.col("text"), s).alias("terms")))
+    spans = spans.withColumn("secret", secrets(F.col("text")))
+    entities = F.concat("base", "secret")
+    contexts = _contexts(F.col("text"), entities)
     # one scan of the texts; what is kept of it is the spans and their contexts
-    found = cut(spans.select("doc_id", "row_hash", "base", F.when(F.size("base") > 0, contexts).alias("contexts")))
+    found = cut(spans.select("doc_id", "row_hash", "base", "secret", F.when(F.size(entities) > 0, contexts).alias("contexts")))
+    kept_secrets = found.filter(F.size("secret") > 0).select("doc_id", "row_hash", F.explode("secret").alias("s")).select("doc_id", "row_hash", "s.start", "s.end", "s.kind", F.col("s.value").alias("term"))
     n_docs = max(1, found.select("row_hash").distinct().count())
     seen = found.select("doc_id", "row_hash", F.explode("contexts").alias("c")).select("doc_id", "row_hash", "c.entity", "c.terms")
     words = F.transform("terms", lambda t: t["value"])
@@ -158,8 +230,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     terms = cut(pairs.select("term").distinct())
     n_terms = terms.count()
     if n_terms == 0:
-        added = found.filter(F.lit(False)).select("doc_id", "row_hash", F.col("base").alias("added"))
-        return found.select("doc_id", "row_hash", "base"), added
+        return found.select("doc_id", "row_hash", "base"), _gathered(kept_secrets)
     # distinct texts with each such term, over whole texts of all documents
     own = rows.select("row_hash", "text").dropDuplicates(["row_hash"])
     each = own.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
@@ -171,12 +242,15 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     telling = cut(told.filter((F.col("share") >= GENERALISE) & (F.col("n_e") < n)).select("entity", "term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("kind")))
     n_telling = telling.count()
     places = seen.select("doc_id", "row_hash", "entity", F.explode("terms").alias("t")).select("doc_id", "row_hash", "entity", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-    hits = places.join(small_or_shuffled(telling, n_telling, BROADCAST_ROWS), ["entity", "term"])
-    span = F.struct("kind", "start", "end", F.col("term").alias("value"))
-    # a place that two entities tell differently about is removed
+    hits = places.join(small_or_shuffled(telling, n_telling, BROADCAST_ROWS), ["entity", "term"]).select("doc_id", "row_hash", "start", "end", "kind", "term")
+    return found.select("doc_id", "row_hash", "base"), _gathered(hits.unionByName(kept_secrets))
+
+
+def _gathered(hits: DataFrame) -> DataFrame:
+    """The spans of each row, in order; a place that two entities tell differently about is removed."""
     by_kind = hits.groupBy("doc_id", "row_hash", "start", "end").agg(F.max("kind").alias("kind"), F.first("term").alias("term"))
-    added = by_kind.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_list(span)).alias("added"))
-    return found.select("doc_id", "row_hash", "base"), added
+    span = F.struct("kind", "start", "end", F.col("term").alias("value"))
+    return by_kind.groupBy("doc_id", "row_hash").agg(F.array_sort(F.collect_list(span)).alias("added"))
 
 
 def _joined(spans: Column) -> Column:
@@ -193,7 +267,8 @@ def digests(docs: DataFrame) -> DataFrame:
     """Counts, hash of the base spans and all spans of every row, from the operator's own output."""
     both = with_added(*find(docs))
     counts = [F.size(F.filter("base", _kind_is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return both.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"))
+    more = [F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans")]
+    return both.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"), *more)
 
 
 def _kind_is(kind: str):
@@ -205,20 +280,24 @@ def sanitised(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     names = docs.columns
     _, added = find(docs, text_col=text_col)
     added = cut(added.withColumnsRenamed({"doc_id": "__id", "row_hash": "__hash", "added": "__added"}))
+    held = added.agg(F.sum(F.size("__added") * SPAN_BYTES + SPAN_BYTES)).first()[0] or 0
     marked = docs.withColumn("__row", F.xxhash64(text_col))
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__hash"))
-    joined = marked.join(small_or_shuffled(added, added.count(), BROADCAST_ROWS), on, "left")
+    joined = marked.join(small_or_shuffled(added, held, BROADCAST_BYTES), on, "left")
     text = F.col(text_col).cast("string")
     none = F.expr(f"cast(array() as array<{SPAN}>)")
-    spans = joined.withColumn("__spans", F.when(text.isNull(), none).otherwise(F.concat(base_spans(text), F.coalesce("__added", none))))
+    joined = joined.withColumn("__spans", F.when(text.isNull(), none).otherwise(F.concat(base_spans(text), F.coalesce("__added", none))))
     by_start = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        tag = F.when(s["kind"] == "remove", F.lit("")).when(s["kind"] == "generalise", F.lit("[TERM]")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        before = F.substr(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], before, tag)).otherwise(acc["out"])  # overlapping: one tag covers both
-        return F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), out.alias("out"))
+    def pieces(spans: Column) -> Column:
+        def piece(s: Column, at: Column) -> Column:
+            wide = F.when(F.substr(text, s["start"] + 1, F.lit(1)).rlike(r"\p{Lu}"), F.lit("[NAME]")).otherwise(F.lit("[TERM]"))
+            tag = F.when(s["kind"] == "remove", F.lit("")).when(s["kind"] == "generalise", wide).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            # overlapping: one tag covers both
+            return F.when(s["start"] >= at, F.concat(F.substr(text, at + 1, s["start"] - at), tag)).otherwise("")
+
+        over = running(spans, lambda at, s: F.greatest(at, -s["back"]))
+        end = F.array_max(F.transform(spans, lambda s: -s["back"]))
+        return F.concat(F.array_join(F.zip_with(spans, over, piece), ""), F.substr(text, end + 1, F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    new = F.aggregate(by_start, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
-    return spans.withColumn("__new", F.when(F.size("__spans") > 0, new).otherwise(text)).select(*(F.col("__new").alias(c) if c == text_col else F.col(c) for c in names))
+    return joined.withColumn("__new", F.when(F.size("__spans") > 0, _let(by_start, pieces)).otherwise(text)).select(*(F.col("__new").alias(c) if c == text_col else F.col(c) for c in names))
