@@ -1,11 +1,13 @@
 """Document fingerprints by winnowing (native Spark SQL only).
 
-A text's words (runs of other than space and TAB..CR) are hashed; the rolling
-hash of every ``GRAM`` consecutive words is their polynomial modulo ``PRIME``
-(the last grams are shorter, so a text of n words has n grams).  Of every
-``WINDOW`` consecutive grams the least is kept, the rightmost on ties, with its
-position.  Two texts that share ``GRAM + WINDOW - 1`` consecutive words share a
-fingerprint; positions say where.
+A text's tokens are its words (runs of other than space and TAB..CR), but a
+word of over ``LONG`` characters, as in scripts without spaces, and a text of
+under ``SHORT`` characters give each character as a token.  Tokens are hashed;
+the rolling hash of every ``GRAM`` consecutive ones is their polynomial modulo
+``PRIME`` (the last grams are shorter, so a text of n tokens has n grams).  Of
+every ``WINDOW`` consecutive grams the least is kept, the rightmost on ties, with
+its position.  Two texts that share ``GRAM + WINDOW - 1`` consecutive tokens share
+a fingerprint; positions say where.
 
 Nulls: a null text is an empty one and has an empty fingerprint.  A text with
 fewer than ``WINDOW`` grams keeps its least one.  Equal texts have equal
@@ -19,8 +21,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimwright.llm.common import WORD_BREAK
-
 GRAM = 3
 WINDOW = 4
 #: Fixed values of the hash: a prime under 2^30 and a base below it.
@@ -28,15 +28,19 @@ PRIME = 1_073_741_789
 BASE = 358_441_823
 ROWS_PER_RANGE = 256
 MAX_RANGES = 65_536
-_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
+LONG, SHORT = 24, 120
+_INK = r"[^\x20\x09-\x0D]"
+#: A word of up to LONG characters, or one character (of a longer word).
+TOKEN = rf"(?<!{_INK}){_INK}{{1,{LONG}}}+(?!{_INK})|{_INK}"
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds ``out`` array<long>: gram hash in the high and inverted position in the low 32 bits, by position."""
     words, grams = f"__{out}_words", f"__{out}_grams"
     names = [c for c in df.columns if c != out]
-    trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(_SPACE))
-    hashed = F.when(trimmed == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(trimmed, WORD_BREAK), lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME))))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    tokens = F.regexp_extract_all(whole, F.when(F.length(whole) < SHORT, F.lit(_INK)).otherwise(F.lit(TOKEN)), F.lit(0))
+    hashed = F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME)))
     df = df.select(*names, hashed.alias(words))
 
     def gram(h: Column, i: Column) -> Column:
