@@ -9,18 +9,23 @@ neighbours, compared word by word, are repeats.
 
 * Equal windows have equal minimisers, so a minimiser that occurs once holds no
   repeat: only hashes travel to find that out, and such super-k-mers stay home.
-* Equal strings of a batch of documents are merged (and counted) before they go
-  to a bucket, and those of different batches where they meet, one after the
-  other, so copies of a passage, however many, are held as one.
+* Equal strings are counted by their hashes (160 bits with the minimiser's), and
+  of each just one row sends the words, so a passage travels once, however many
+  copies it has.
 * A minimiser with many distinct strings (some hundreds: enough to set all bits
   of a 64-bit sketch of them), as in a line that many documents share, is split:
-  each of its windows travels to a bucket of its own hash instead.
+  its windows are counted one by one, by 128-bit hashes, with partial sums where
+  they are made, so no bucket holds them all.  Before that the words that some
+  neighbouring windows have in common are counted in the same way; where those
+  occur once, their windows stay home.
 * A bucket's strings are streamed in order of the bucket; only one stretch of
-  whole buckets is held at a time.
+  whole buckets is held at a time.  What comes back of a string is one bit for
+  each of its windows.
 
 Nulls: a null text has no words, ``kept_sha256`` is then that of ``''``.  Ids
-may be null or repeat: a row is told by (doc_id, hash of its text), and rows
-that repeat both repeat all their windows.
+may be null or repeat: a row is told by 128 bits of (doc_id, text), and rows
+that repeat both repeat all their windows.  An empty table gives an empty
+result.  Extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -31,12 +36,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimwright.llm.common import WordHashes, cut, mix64, windows_hash
+from claimwright.llm.common import WordHashes, cut, mix64, row_keys, ship, windows_hash
 
 WIDTH = 35
 MER = 6
 #: Bits of a minimiser's sketch of distinct strings that split it: its windows are then dealt out singly.
 HOT = 64
+#: Windows in a super-k-mer at most, and the bits that hold their number: a mask of windows is a long.
+MOST, COUNT_BITS = 62, 6
+#: Neighbouring windows of a split minimiser that go together while what they have in common is counted.
+SPREAD = 6
 #: Words that a stretch of whole buckets may hold before it is worked off.
 STRETCH_WORDS = 1 << 20
 CHUNK_WORDS = 1 << 20
@@ -57,7 +66,11 @@ def super_kmers(hashes: np.ndarray, width: int = WIDTH, mer: int = MER) -> tuple
         left, right = at[: len(at) - step], at[step:]
         at = np.where(g[right] < g[left], right, left)
         reach += step
-    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    new = np.concatenate(([True], at[1:] != at[:-1]))
+    starts = np.flatnonzero(new)
+    if span > MOST:  # long runs go in parts, each with the run's minimiser
+        since = np.arange(n) - starts[np.cumsum(new) - 1]
+        starts = np.flatnonzero(since % MOST == 0)
     return starts, np.diff(np.append(starts, n)), g[at[starts]]
 
 
@@ -75,23 +88,26 @@ def _packed_words(column) -> Iterator[list[bytes]]:
 
 
 def compressed(rows: DataFrame) -> DataFrame:
-    """(doc_id, row, text) -> doc_id, row, z: texts as they are shuffled, at under half their size."""
+    """(doc_id, k1, k2, text) -> doc_id, k1, k2, z: texts as they are shuffled, at under half their size."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=False).compress
         for batch in batches:
-            z = [pack((t.as_py() or "").encode()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], names=["doc_id", "row", "z"])
+            z = [pack((t.as_py() or "").encode()) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(z, pa.binary())], names=["doc_id", "k1", "k2", "z"])
 
-    return rows.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {kind}, row long, z binary")
+    return rows.select("doc_id", "k1", "k2", "text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, z binary")
 
 
 def listed(rows: DataFrame, width: int) -> DataFrame:
-    """(doc_id, row, text) -> row, start, windows, mini, sid: every super-k-mer by hashes only."""
+    """(k1, k2, text) -> k1, k2, place, mini, sid, sid2: every super-k-mer by hashes only.
+
+    ``place`` is its first window and, in the low ``COUNT_BITS`` bits, how many it has.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -105,16 +121,16 @@ def listed(rows: DataFrame, width: int) -> DataFrame:
                 parts = list(zip(*held, strict=True))
                 columns = [np.concatenate(p) for p in parts]
                 held.clear()
-                return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns], names=["row", "start", "windows", "mini", "sid"])
+                return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=["k1", "k2", "place", "mini", "sid", "sid2"])
 
-            for row, words in zip(batch.column(0).to_pylist(), _word_lists(batch.column(1)), strict=True):
+            for k1, k2, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _word_lists(batch.column(2)), strict=True):
                 if len(words) < width:
                     continue
                 h = known.of(words)
                 starts, counts, minis = super_kmers(h, width)
-                # the string's hash from prefix sums of position-weighted words
-                sid = _range_hash(h, starts, counts + width - 1)
-                held.append((np.full(len(starts), row), starts, counts, minis, sid))
+                # the string's hashes from prefix sums of position-weighted words
+                sid, sid2 = (_range_hash(x, starts, counts + width - 1) for x in (h, mix64(h + np.uint64(1))))
+                held.append((np.full(len(starts), k1), np.full(len(starts), k2), starts << COUNT_BITS | counts, minis, sid, (sid2 >> np.uint64(32)).astype(np.int32)))
                 size += len(starts)
                 if size >= CHUNK_WORDS // 8:
                     yield flush()
@@ -122,7 +138,7 @@ def listed(rows: DataFrame, width: int) -> DataFrame:
             if held:
                 yield flush()
 
-    return rows.select("row", "text").mapInArrow(run, "row long, start long, windows long, mini long, sid long")
+    return rows.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, place long, mini long, sid long, sid2 int")
 
 
 _ODD = 0x9E3779B97F4A7C15
@@ -151,61 +167,74 @@ def _range_hash(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
         return mix64(part * down[starts] + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def packed(wanted: DataFrame, width: int, strings: bool) -> DataFrame:
-    """(row, z, runs) -> the wanted super-k-mers and single windows.
+def _sent(batches):
+    """Words, and places, minimisers and hashes of the strings to send, of every row that sends some."""
+    for batch in batches:
+        runs = batch.column(4)
+        for i in np.flatnonzero(runs.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            fields = runs[i].values
+            place, mini, sid, sid2, times = (fields.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+            yield next(_packed_words(batch.column(3).slice(i, 1))), place >> COUNT_BITS, place & (1 << COUNT_BITS) - 1, (mini, sid, sid2, times)
 
-    Their places (row, start, bucket, sid), or their strings (bucket, sid,
-    packed, times), merged within a batch of documents.
-    """
+
+def packed(senders: DataFrame, width: int) -> DataFrame:
+    """(doc_id, k1, k2, z, runs) -> mini, sid, sid2, times, words: the strings to send."""
 
     def run(batches):
         import pyarrow as pa
 
-        def emitted(out, merged):
-            if not strings:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["row", "start", "bucket", "sid"])
-            columns = [[k[0] for k in merged], [k[1] for k in merged], [v[0] for v in merged.values()], [v[1] for v in merged.values()]]
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "sid", "packed", "times"])
+        names = ("mini", "sid", "sid2", "times", "words")
+        held: list[tuple] = []
+        size = 0
+
+        def flush():
+            done = pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in list(zip(*held, strict=True))[:4]), pa.array([w for h in held for w in h[4]], pa.string())], names=names)
+            held.clear()
+            return done
+
+        for words, start, count, tags in _sent(batches):
+            strings = [b" ".join(words[a : a + n]).decode() for a, n in zip(start.tolist(), (count + width - 1).tolist(), strict=True)]
+            held.append((*tags, strings))
+            size += int(count.sum()) + width * len(strings)
+            if size >= CHUNK_WORDS // 4:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
+
+    return senders.select("doc_id", "k1", "k2", "z", "runs").mapInArrow(run, "mini long, sid long, sid2 int, times long, words string")
+
+
+def windows_of(senders: DataFrame, width: int) -> DataFrame:
+    """(doc_id, k1, k2, z, runs) -> c1, c2, mini, sid, sid2, times, first, w1, w2: the windows of the strings by their hashes, a few at a time.
+
+    Windows that hold the minimiser at about the same place have ``width + 1 -
+    SPREAD`` words in common, which c1 and c2 hash.  Equal windows have equal
+    such words, so where those occur once no window repeats.
+    """
+
+    def run(batches):
+        import pyarrow as pa
 
         known = WordHashes()
-        for batch in batches:
-            out: list[list] = [[] for _ in range(4)]
-            merged: dict[tuple[int, int], list] = {}
-            size = 0
-            for row, words, runs in zip(batch.column(0).to_pylist(), _packed_words(batch.column(1)), batch.column(2), strict=True):
-                h = known.of(words)
-                runs = runs.values
-                start, count, mini, hot = (runs.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-                inside = start + count + width - 1 <= len(words)
-                start, count, mini, hot = start[inside], count[inside], mini[inside], hot[inside].astype(bool)
-                spread = np.repeat(np.flatnonzero(hot), count[hot])  # a hot minimiser's windows go singly
-                first = np.arange(len(spread)) - np.repeat(np.cumsum(count[hot]) - count[hot], count[hot])
-                single = start[spread] + first
-                cold = ~hot
-                starts = np.concatenate((start[cold], single))
-                lengths = np.concatenate((count[cold] + width - 1, np.full(len(single), width)))
-                sid = _range_hash(h, starts, lengths).view(np.int64)
-                bucket = np.concatenate((mini[cold], windows_hash(h, width)[single].view(np.int64)))
-                if strings:
-                    for b, s, a, n in zip(bucket.tolist(), sid.tolist(), starts.tolist(), lengths.tolist(), strict=True):
-                        if (b, s) in merged:
-                            merged[b, s][1] += 1
-                        else:
-                            merged[b, s] = [b" ".join(words[a : a + n]).decode(), 1]
-                            size += n
-                else:
-                    for o, p in zip(out, (np.full(len(starts), row), starts, bucket, sid), strict=True):
-                        o.append(p)
-                    size += len(starts)
-                if size >= CHUNK_WORDS:
-                    yield emitted(out, merged)
-                    out, merged, size = [[] for _ in range(4)], {}, 0
-            if size:
-                yield emitted(out, merged)
-
-    kinds = "bucket long, sid long, packed string, times long" if strings else "row long, start long, bucket long, sid long"
-    return wanted.select("row", "z", "runs").mapInArrow(run, kinds)
+        for words, start, count, tags in _sent(batches):
+            h = known.of(words)
+            grams, span = windows_hash(h, MER).view(np.int64), width - MER + 1
+            at = np.array([a + int(np.argmax(grams[a : a + span] == m)) for a, m in zip(start.tolist(), tags[0].tolist(), strict=True)])
+            owner = np.repeat(np.arange(len(start)), count)
+            offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            place = start[owner] + offset
+            near = (at[owner] - place) // SPREAD
+            new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (near[1:] != near[:-1]))))
+            mine, common = owner[new], at[owner[new]] - near[new] * SPREAD
+            out = [tags[0][mine], tags[1][mine], tags[2][mine], tags[3][mine], offset[new].astype(np.int32)]
+            ends = np.append(new, len(owner)).astype(np.int32)
+            both = (h, mix64(h + np.uint64(1)))
+            shared = [mix64(windows_hash(x, width + 1 - SPREAD)[common] + near[new].astype(np.uint64)).view(np.int64) for x in both]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(windows_hash(x, width)[place].view(np.int64))) for x in both]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in (*shared, *out)), *lists], names=["c1", "c2", "mini", "sid", "sid2", "times", "first", "w1", "w2"])
+
+    return senders.select("doc_id", "k1", "k2", "z", "runs").mapInArrow(run, "c1 long, c2 long, mini long, sid long, sid2 int, times long, first int, w1 array<long>, w2 array<long>")
 
 
 def repeated_windows(strings: list[list[bytes]], counts: np.ndarray, width: int) -> list[np.ndarray]:
@@ -240,8 +269,8 @@ def repeated_windows(strings: list[list[bytes]], counts: np.ndarray, width: int)
     return [np.flatnonzero(repeat[e - n : e]) for e, n in zip(ends, n_windows, strict=True)]
 
 
-def counted(distinct: DataFrame, width: int) -> DataFrame:
-    """(bucket, sid, packed, times), dealt and sorted by bucket and sid -> (sid, bucket, offsets array<int>) of strings with repeats."""
+def counted(strings: DataFrame, width: int) -> DataFrame:
+    """(mini, sid, sid2, times, words), dealt and sorted by mini -> (mini, sid, sid2, mask) of strings with repeats: a bit for each window."""
 
     def run(batches):
         import pyarrow as pa
@@ -250,27 +279,32 @@ def counted(distinct: DataFrame, width: int) -> DataFrame:
         size = 0
 
         def work():
-            found = repeated_windows([s for _, _, s, _, _ in held], np.array([t for *_, t in held]), width)
+            found = repeated_windows([x[4] for x in held], np.array([x[3] for x in held]), width)
             some = [i for i, f in enumerate(found) if len(f)]
-            ends = np.cumsum([0, *(len(found[i]) for i in some)]).astype(np.int32)
-            flat = np.concatenate([found[i] for i in some]).astype(np.int32) if some else np.empty(0, np.int32)
-            return pa.RecordBatch.from_arrays([pa.array([held[i][1] for i in some], pa.int64()), pa.array([held[i][0] for i in some], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["sid", "bucket", "offsets"])
+            mask = [int(np.bitwise_or.reduce(np.int64(1) << found[i].astype(np.int64))) for i in some]
+            return pa.RecordBatch.from_arrays([*(pa.array([held[i][k] for i in some], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32()))), pa.array(mask, pa.int64())], names=["mini", "sid", "sid2", "mask"])
 
         for batch in batches:
-            for bucket, sid, text, times in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if size >= STRETCH_WORDS and held[-1][0] != bucket:
+            for mini, sid, sid2, times, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if size >= STRETCH_WORDS and held[-1][0] != mini:
                     yield work()
                     held, size = [], 0
-                if held and held[-1][:2] == [bucket, sid] and held[-1][3] == text:  # the same string from another batch
-                    held[-1][4] += times
-                    continue
                 words = text.encode().split()
-                held.append([bucket, sid, words, text, times])
+                if held and held[-1][:3] == [mini, sid, sid2] and held[-1][4] == words:  # rows that repeat have sent it too
+                    continue
+                held.append([mini, sid, sid2, times, words])
                 size += len(words)
         if held:
             yield work()
 
-    return distinct.select("bucket", "sid", "packed", "times").mapInArrow(run, "sid long, bucket long, offsets array<int>")
+    return strings.select("mini", "sid", "sid2", "times", "words").mapInArrow(run, "mini long, sid long, sid2 int, mask long")
+
+
+def _first_words(hits) -> np.ndarray:
+    """First words of the repeated windows, from (place, mask) pairs."""
+    place, mask = (hits.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    owner, offset = np.nonzero(mask[:, None] >> np.arange(1 << COUNT_BITS)[None, :] & 1)
+    return (place >> COUNT_BITS)[owner] + offset
 
 
 def without(words: list[bytes], starts: np.ndarray, width: int) -> tuple[list[bytes], int]:
@@ -286,26 +320,36 @@ def without(words: list[bytes], starts: np.ndarray, width: int) -> tuple[list[by
 
 def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", kept_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and ``kept``) for every row."""
+    ship(docs.sparkSession)
     ident, text = F.col(id_col), F.col(text_col).cast("string")
-    rows = docs.select(ident.alias("doc_id"), F.xxhash64(ident, text).alias("row"), text.alias("text"))
-    small = compressed(rows)
+    rows = docs.select(ident.alias("doc_id"), *row_keys(ident, text), text.alias("text"))
+    small, string = compressed(rows), ["mini", "sid", "sid2"]
     every = listed(rows, width)
     # by hashes alone: minimisers that occur again, and those with many different strings
     sketch = F.expr("bit_or(shiftleft(1L, cast(sid & 63 as int)))")
     minis = every.groupBy("mini").agg(F.count(F.lit(1)).alias("times"), F.bit_count(sketch).alias("bits")).filter("times > 1")
-    again = minis.select("mini", (F.col("bits") >= HOT).alias("hot"))
-    runs = every.select("row", F.col("start").cast("int"), F.col("windows").cast("int"), "mini", "sid").join(again, "mini")
-    runs = cut(runs.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "windows", "mini", "hot", "sid"))).alias("runs")))
-    wanted = small.join(runs, "row")
-    strings = packed(wanted, width, True).repartition("bucket").sortWithinPartitions("bucket", "sid", "packed")
-    found = cut(counted(strings, width))
-    # where strings stand: known from the hashes, but for the single windows of hot minimisers
-    cold = runs.select("row", F.explode(F.filter("runs", lambda r: ~r["hot"])).alias("r")).select("row", F.col("r.start").cast("long").alias("start"), F.col("r.mini").alias("bucket"), F.col("r.sid").alias("sid"))
-    hot = cut(runs.select("row", F.filter("runs", lambda r: r["hot"]).alias("runs")).filter(F.size("runs") > 0))
-    single = packed(small.join(hot, "row"), width, False)
-    hits = (cold.unionByName(single) if hot.limit(1).count() else cold).join(found, ["bucket", "sid"]).select("row", "start", F.explode("offsets").alias("offset")).select("row", (F.col("start") + F.col("offset")).alias("at"))
-    starts = hits.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("starts"))
-    judged = small.join(starts, "row", "left").select("doc_id", "z", "starts")
+    again = cut(every.join(minis.select("mini", (F.col("bits") >= HOT).alias("hot")), "mini"))
+    # one row sends each distinct string
+    sender = F.min(F.struct("k1", "k2", "place")).alias("x")
+    distinct = again.groupBy(*string, "hot").agg(F.count(F.lit(1)).alias("times"), sender)
+
+    def sending(hot: bool) -> DataFrame:
+        """Every row, with the strings it sends.  Always joined alike, so that the texts are shuffled once for all uses."""
+        sent = F.collect_list(F.struct(F.col("x.place").alias("place"), *string, "times")).alias("runs")
+        runs = distinct.filter(F.col("hot") == hot).groupBy(F.col("x.k1").alias("k1"), F.col("x.k2").alias("k2")).agg(sent)
+        return small.join(runs, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "z", "runs")
+
+    cold = counted(packed(sending(False), width).repartition("mini").sortWithinPartitions("mini", "sid", "sid2"), width)
+    few = windows_of(sending(True), width)
+    common = few.groupBy("c1", "c2").agg(F.sum("times").alias("all")).filter("all > 1").select("c1", "c2")
+    each = few.join(common, ["c1", "c2"]).select(*string, "times", "first", F.posexplode(F.arrays_zip("w1", "w2")).alias("at", "w"))
+    single = each.select(*string, "times", (F.col("first") + F.col("at")).alias("offset"), "w.w1", "w.w2")
+    repeated = single.groupBy("w1", "w2").agg(F.sum("times").alias("all")).filter("all > 1").select("w1", "w2")
+    bits = F.bit_or(F.expr("shiftleft(1L, offset)")).alias("mask")
+    found = cold.unionByName(single.join(repeated, ["w1", "w2"]).groupBy(*string).agg(bits))
+    hits = again.join(found, string).select("k1", "k2", "place", "mask")
+    starts = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "mask")).alias("starts"))
+    judged = small.join(starts, ["k1", "k2"], "left").select("doc_id", "z", "starts")
     kind = judged.schema["doc_id"].dataType.simpleString()
     more = ", kept string" if kept_text else ""
 
@@ -317,7 +361,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id
         for batch in batches:
             n_words, n_removed, digest, kept = [], [], [], []
             for words, at in zip(_packed_words(batch.column(1)), batch.column(2), strict=True):
-                left, gone = without(words, at.values.to_numpy() if at.is_valid else np.empty(0, np.int64), width)
+                left, gone = without(words, _first_words(at.values) if at.is_valid else np.empty(0, np.int64), width)
                 whole = b" ".join(left)
                 n_words.append(len(words))
                 n_removed.append(gone)
