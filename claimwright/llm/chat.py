@@ -6,8 +6,8 @@ probabilities are counted on a bounded sample of transcripts with known roles.
 The Viterbi path recovers roles where markers are missing, and each turn is
 rendered as ``<|role|>`` and its lines without markers.
 
-A transcript may be of any length, so it is cut into chunks of ``span``
-sequence numbers.  Each chunk gives the matrix of best path scores from any
+A transcript may be of any length, so its lines are numbered by ranges and it
+is cut into chunks of ``span`` lines.  Each chunk gives the matrix of best path scores from any
 state before it to any state at its end; products of such matrices (maximum for
 sum) combine ``FAN`` chunks at a time until one is left for each transcript,
 and the best path then goes down the same tree: the states at chunk borders
@@ -17,7 +17,7 @@ that crosses a chunk border is given in parts, later ones marked
 ``continued``.
 
 Nulls: a null line is an empty one; null transcript ids make a transcript of
-their own; null sequence numbers come first.  Lines that share a sequence number are
+their own, of any size; null sequence numbers come first.  Lines that share a sequence number are
 ordered by their text.  Ties go to the first role.  An empty table gives an
 empty result.
 """
@@ -30,13 +30,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimwright.llm.common import cut
+from claimwright.llm.common import cut, ship
+from claimwright.operators.stats import ranked
 
 ROLES = ("system", "user", "assistant")
 #: Marker -> role; a marker is at the start of a line, in any case, and may be bracketed or followed by a colon.
 MARKERS = {"system": ("system", "instructions"), "user": ("user", "human", "q"), "assistant": ("assistant", "ai", "bot", "a")}
-SAMPLE_TRANSCRIPTS = 2_000
+#: Chunks that the model is fitted on, at most about so many.
+SAMPLE_CHUNKS = 2_000
 FAN = 64
+#: Lines in a chunk.
+SPAN = 64
 STATES = 2 * len(ROLES)
 SYMBOLS = (len(ROLES) + 1) * 8
 
@@ -60,11 +64,17 @@ def unmarked(line: Column) -> Column:
     return F.regexp_replace(line, _marker(tuple(w for r in ROLES for w in MARKERS[r])), "")
 
 
+def numbered(lines: DataFrame, span: int) -> DataFrame:
+    """``lines`` with ``chunk``: ``span`` lines each in the order of (seq, line), however long a transcript is."""
+    place = ranked(lines, ["conv_id"], "seq", "line", out="__rank")
+    return place.withColumn("chunk", F.floor((F.col("__rank") - 1) / span).cast("long")).drop("__rank")
+
+
 def fit(labelled: DataFrame) -> dict[str, np.ndarray]:
-    """Log probabilities from (conv_id, chunk, seq, line, role, first) of transcripts with known roles: a hash-chosen sample of about SAMPLE_TRANSCRIPTS."""
-    n = labelled.agg(F.approx_count_distinct("conv_id")).first()[0] or 0
-    one_in = max(1, math.ceil(n / SAMPLE_TRANSCRIPTS))
-    sample = labelled.filter(F.pmod(F.xxhash64(F.col("conv_id"), F.lit("chat")), F.lit(one_in)) == 0)
+    """Log probabilities from (conv_id, chunk, seq, line, role, first) of transcripts with known roles: a hash-chosen sample of about SAMPLE_CHUNKS chunks."""
+    n = labelled.agg(F.approx_count_distinct(F.struct("conv_id", "chunk"))).first()[0] or 0
+    one_in = max(1, math.ceil(n / SAMPLE_CHUNKS))
+    sample = labelled.filter(F.pmod(F.xxhash64(F.col("conv_id"), F.col("chunk"), F.lit("chat")), F.lit(one_in)) == 0)
     role = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int") - 1
     state = role * 2 + F.when(F.col("first"), 0).otherwise(1)
     known = sample.withColumn("state", state).filter("state >= 0").withColumn("obs", observed(F.coalesce("line", F.lit(""))))
@@ -180,11 +190,17 @@ def _bordered(level: DataFrame, above: DataFrame | None) -> DataFrame:
     return groups.select("conv_id", "parts", "before", "end").mapInArrow(run, f"conv_id {kind}, idx long, before int, end int")
 
 
-def parse_transcripts(lines: DataFrame, model: dict[str, np.ndarray], *, conv_col: str = "conv_id", seq_col: str = "seq", line_col: str = "line", span: int = 64) -> DataFrame:
-    """conv_id, seq (of a turn's first line), role, n_lines, continued, rendered: one row for each recovered turn."""
+def parse_transcripts(lines: DataFrame, model: dict[str, np.ndarray], *, conv_col: str = "conv_id", seq_col: str = "seq", line_col: str = "line", span: int = SPAN) -> DataFrame:
+    """conv_id, seq (of a turn's first line), role, n_lines, continued, rendered: one row for each recovered turn.
+
+    Lines that are ``numbered`` already keep their chunks.
+    """
+    ship(lines.sparkSession)
     line = F.coalesce(F.col(line_col).cast("string"), F.lit(""))
     seq = F.coalesce(F.col(seq_col).cast("long"), F.lit(-(2**62)))
-    rows = lines.select(F.col(conv_col).alias("conv_id"), seq.alias("seq"), F.greatest(F.lit(0), F.floor(seq / span)).cast("long").alias("chunk"), observed(line).alias("obs"), unmarked(line).alias("line"))
+    plain = lines.select(F.col(conv_col).alias("conv_id"), seq.alias("seq"), line.alias("line"), *(["chunk"] if "chunk" in lines.columns else []))
+    plain = plain if "chunk" in lines.columns else numbered(plain, span)
+    rows = plain.select("conv_id", "seq", "chunk", observed(F.col("line")).alias("obs"), unmarked(F.col("line")).alias("line"))
     parts = rows.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("seq", "line", "obs"))).alias("lines"))
     firsts = rows.groupBy("conv_id").agg(F.min("chunk").alias("__first")).withColumnRenamed("conv_id", "__c")
     chunks = cut(parts.join(firsts, F.col("conv_id").eqNullSafe(F.col("__c"))).select("conv_id", "chunk", (F.col("chunk") == F.col("__first")).alias("first"), "lines"))
@@ -226,13 +242,12 @@ def parse_transcripts(lines: DataFrame, model: dict[str, np.ndarray], *, conv_co
     return both.select("conv_id", "first", "lines", "before", "end").mapInArrow(run, f"conv_id {kind}, seq long, role string, n_lines int, continued boolean, rendered string")
 
 
-#: In a transcript made of a turn table, a turn's lines have this many sequence numbers.
-TURN_LINES = 1 << 20
-TURNS_PER_CHUNK = 32
+#: In a transcript made of a turn table, a turn's lines have this many sequence numbers: a line has a character at least.
+TURN_LINES = 1 << 31
 
 
 def transcript_of(turns: DataFrame) -> DataFrame:
-    """Lines (conv_id, chunk, seq, line, role, first) of the transcripts that ``conversations`` would have been scraped from.
+    """Lines (conv_id, seq, line, role, first) of the transcripts that ``conversations`` would have been scraped from.
 
     A transcript writes its speakers in one of four styles; one turn in eight
     lost its marker (both by hash).
@@ -244,11 +259,11 @@ def transcript_of(turns: DataFrame) -> DataFrame:
     marker = F.when(lost, F.lit("")).when(style == 0, F.concat(F.initcap(role), F.lit(": "))).when(style == 1, F.concat(name, F.lit(": "))).when(style == 2, F.concat(F.lit("### "), F.initcap(role), F.lit(": "))).otherwise(F.concat(F.lit("<|"), role, F.lit("|> ")))
     each = turns.select("conv_id", "turn", role.alias("role"), F.posexplode(F.split(F.concat(marker, F.coalesce("text", F.lit(""))), "\n")).alias("pos", "line"))
     seq = F.coalesce(F.col("turn").cast("long"), F.lit(0).cast("long")) * TURN_LINES + F.col("pos")
-    return each.select("conv_id", F.floor(seq / (TURNS_PER_CHUNK * TURN_LINES)).cast("long").alias("chunk"), seq.alias("seq"), "line", "role", (F.col("pos") == 0).alias("first"))
+    return each.select("conv_id", seq.alias("seq"), "line", "role", (F.col("pos") == 0).alias("first"))
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """Canonical turns of the transcripts of a turn table."""
-    lines = transcript_of(turns)
-    model = fit(lines)
-    return parse_transcripts(lines, model, span=TURNS_PER_CHUNK * TURN_LINES)
+    ship(turns.sparkSession)
+    lines = numbered(transcript_of(turns), SPAN)
+    return parse_transcripts(lines, fit(lines))

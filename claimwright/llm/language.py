@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimwright.llm.common import cut, small_or_shuffled
+from claimwright.llm.common import cut, ship, small_or_shuffled
 
 #: The sample that trigram models are fitted on holds about this many rows at most.
 SAMPLE_ROWS = 12_000
@@ -82,7 +82,7 @@ def fit_text_model(docs: DataFrame, text: str, declared: str, key: str) -> TextM
     """Trigram counts of a hash-chosen sample of declared rows, for every label in it."""
     known = docs.filter(F.col(declared).isNotNull() & F.col(text).isNotNull())
     one_in = max(1, math.ceil(docs.count() / SAMPLE_ROWS))
-    sample = known.filter(F.pmod(F.xxhash64(F.col(key), F.lit("language")), F.lit(one_in)) == 0).select(F.col(declared).cast("string"), F.col(text).cast("string"))
+    sample = known.filter(F.pmod(F.xxhash64(F.col(key), F.col(text).cast("string"), F.lit("language")), F.lit(one_in)) == 0).select(F.col(declared).cast("string"), F.col(text).cast("string"))
 
     def run(batches):
         import pyarrow as pa
@@ -142,6 +142,7 @@ def _plus(a: Column, b: Column) -> Column:
 
 def identify(docs: DataFrame, *, text: str = "text", declared: str = "declared", suffix: str = "suffix", host: str = "host", parent: str = "parent", key: str = "doc_id", min_posterior: float = 0.5) -> DataFrame:
     """``key``, row_hash (of the text), language, posterior, n_trigrams, kept: one row for every row of ``docs``."""
+    ship(docs.sparkSession)
     base = docs.select(
         F.col(key),
         F.xxhash64(F.col(text)).alias("row_hash"),

@@ -12,7 +12,7 @@ Fitting uses a bounded sample, ``LABELLED`` labelled and ``UNLABELLED`` other
 documents by hash, whole texts; features and scores cover all documents.
 
 Nulls: a null text is an empty one, a null language or source a value of its
-own.  Labels that are null are left out; without labels of both kinds every
+own.  Labels that are null are left out, of labels that differ the bad one counts; without labels of both kinds every
 document scores the share of good ones (1 without any) and is kept.  Repeated
 rows get equal scores.
 """
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimwright.llm.common import cut
+from claimwright.llm.common import cut, ship
 
 LABELLED = 4_000
 UNLABELLED = 4_000
@@ -65,6 +65,7 @@ def meta_features(lang: str | None, source: str | None, n_chars: int | None, n_l
 
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, text_x, meta_x: float32 bytes of both views for every row."""
+    ship(docs.sparkSession)
     rows = docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"), F.col("text").cast("string"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -153,15 +154,19 @@ def co_train(views: list[np.ndarray], y: np.ndarray, other: list[np.ndarray]) ->
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     clean = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    by_hash = lambda name, n, bound: F.pmod(F.xxhash64("doc_id", F.lit(name)), F.lit(max(1, math.ceil(n / bound)))) == 0
-    sample = cut(clean.filter(by_hash("labelled", clean.count(), LABELLED)).dropDuplicates(["doc_id"]))
-    # both samples are bounded, so their ids may be broadcast
-    labelled = features(docs.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")).join(sample, "doc_id").orderBy("doc_id").collect()
+    # of labels that differ the bad one counts
+    each = clean.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    by_hash = lambda n, bound, *cols: F.pmod(F.xxhash64(*cols), F.lit(max(1, math.ceil(n / bound)))) == 0
+    sample = cut(each.filter(by_hash(each.count(), LABELLED, "doc_id", F.lit("labelled"))))
+    # both samples are bounded, so their ids may be broadcast; rows that repeat an id count once
+    once = F.min(F.struct("text_x", "meta_x")).alias("x")
+    labelled = features(docs.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")).groupBy("doc_id").agg(once).join(sample, "doc_id").select("doc_id", "x.*", "quality").orderBy("doc_id").collect()
     y = np.array([r["quality"] for r in labelled], float)
     if len(set(y.tolist())) < 2:
         return {"constant": float(y.mean()) if len(y) else 1.0, "auc": [0.5, 0.5]}
-    free = docs.filter(by_hash("unlabelled", docs.count(), UNLABELLED)).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")
-    unlabelled = features(free).orderBy("doc_id").collect()
+    # told by id and text, so rows without ids are sampled too, and copies of a row count once
+    free = docs.filter(by_hash(docs.count(), UNLABELLED, "doc_id", F.col("text").cast("string"), F.lit("unlabelled"))).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")
+    unlabelled = features(free).distinct().orderBy("doc_id", "text_x", "meta_x").collect()
     rows = lambda some, name, dim: np.array([np.frombuffer(r[name], np.float32) for r in some], np.float64).reshape(-1, dim)
     dims = (("text_x", TEXT_DIM), ("meta_x", META_DIM))
     return co_train([rows(labelled, n, d) for n, d in dims], y, [rows(unlabelled, n, d) for n, d in dims])

@@ -4,9 +4,11 @@ Vectors are integers ``floor(64 * x)``; their components are dealt to ``M``
 segments, and a candidate's score is the sum of its M segment scores, the M
 local lists of the method.  Queries meet all candidates in blocks.
 
-1. Every block sends, per query, its local list: the best entries of each
-   segment list with their full scores.  The k-th best score seen anywhere is a
-   safe cutoff: k candidates reach it.
+1. Every block takes, per query, the best entries of each segment's sorted list.
+   What an entry's segment scores add up to, with the block's least score for
+   segments whose list doesn't hold it, is a bound that its score reaches; the k
+   best bounds are sent.  The k-th best bound of all blocks is a safe cutoff: k
+   candidates reach it.  No full score is computed.
 2. The cutoff goes back with the query.  A candidate that reaches ``cutoff``
    has a segment score of at least ``cutoff / M``, so the entries at or above
    this uniform threshold are sufficient.
@@ -30,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimwright.llm.common import cut
+from claimwright.llm.common import cut, ship
 
 SEGMENTS = 4
 CHUNK = 4096
@@ -119,20 +121,23 @@ def _pairs(batches):
 
 
 def local_lists(pairs: DataFrame, k: int) -> DataFrame:
-    """Phase 1: (q_chunk, qi, score), at most k of each block and query."""
+    """Phase 1: (q_chunk, qi, score): the k best bounds at most of each block and query."""
 
     def run(batches):
         import pyarrow as pa
 
         for x, _, q_rids, ids, rids, parts in _pairs(batches):
-            total = np.sum(parts, axis=0)
             best = min(k + 1, len(ids))  # one more: the query's own row may be among them
-            seen = np.zeros(total.shape, bool)
+            lists = []
             for p in parts:
-                np.put_along_axis(seen, np.argpartition(-p, best - 1, axis=1)[:, :best], True, axis=1)
-            seen &= q_rids[:, None] != rids[None, :]
+                held = np.zeros(p.shape, bool)
+                np.put_along_axis(held, np.argpartition(-p, best - 1, axis=1)[:, :best], True, axis=1)
+                lists.append(held)
+            seen = np.logical_or.reduce(lists) & (q_rids[:, None] != rids[None, :])
             qi, ci = np.nonzero(seen)
-            score = total[qi, ci]
+            score = np.zeros(len(qi), parts[0].dtype)
+            for p, held in zip(parts, lists, strict=True):
+                score = score + np.where(held[qi, ci], p[qi, ci], p.min(axis=1)[qi])
             keep = _best(qi, score, ids[ci], k)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), x["q_chunk"], np.int64)), pa.array(qi[keep].astype(np.int32)), pa.array(score[keep].astype(np.int64))], names=["q_chunk", "qi", "score"])
 
@@ -172,6 +177,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: st
 
     ``is_query`` is a column over ``vec_id``.
     """
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     rows = rows.filter("embedding IS NOT NULL").withColumn("rid", F.monotonically_increasing_id())
     n = vectors.count()
