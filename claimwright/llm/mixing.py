@@ -85,14 +85,16 @@ def mix_sources(
     rates, n_sources = source_rates(docs, weights or {}, default_weight, total, source_col)
     ident = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
     # drawn by the document's own hash: nothing but its source's few numbers is joined to it
-    joined = docs.join(small_or_shuffled(rates, n_sources, BROADCAST_ROWS), F.col(source_col).eqNullSafe(F.col("__mix_key")))
+    # hashed once, before copies are made
+    keyed = docs.withColumn("__mix_ident", ident)
+    joined = keyed.join(small_or_shuffled(rates, n_sources, BROADCAST_ROWS), F.col(source_col).eqNullSafe(F.col("__mix_key")))
     drawn = joined.withColumn("__mix_draw", F.explode(F.sequence(F.lit(1), F.col("__mix_draws"))))
-    uniform = hashed_uniform(F.lit(str(seed)), ident, F.col("__mix_draw").cast("string"))
-    drawn = drawn.withColumn("__mix_u", uniform)
-    times = F.size(F.filter("__mix_cdf", lambda c: c <= F.col("__mix_u")))
+    uniform = hashed_uniform(F.lit(str(seed)), F.col("__mix_ident"), F.col("__mix_draw").cast("string"))
+    # bound to a variable, else it would be hashed again for each value that it is compared with
+    times = F.element_at(F.transform(F.array(uniform), lambda u: F.size(F.filter("__mix_cdf", lambda c: c <= u))), 1)
     copies = drawn.withColumn("__mix_times", times).filter("__mix_times > 0")
-    copies = copies.select(*names, "__mix_draw", F.explode(F.sequence(F.lit(1), F.col("__mix_times"))).alias("__mix_copy"))
-    order = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), ident, F.col("__mix_draw").cast("string"), F.col("__mix_copy").cast("string")))
+    copies = copies.select(*names, "__mix_ident", "__mix_draw", F.explode(F.sequence(F.lit(1), F.col("__mix_times"))).alias("__mix_copy"))
+    order = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.col("__mix_ident"), F.col("__mix_draw").cast("string"), F.col("__mix_copy").cast("string")))
     shuffled = copies.withColumn("__mix_order", order).repartition("__mix_order").sortWithinPartitions("__mix_order")
     extra = [] if copy_col is None else [(F.col("__mix_copy") + (F.col("__mix_draw") - 1) * TERMS).cast("int").alias(copy_col)]
     return shuffled.select(*names, *extra)
