@@ -218,7 +218,10 @@ def windows_of(senders: DataFrame, width: int) -> DataFrame:
 
         known = WordHashes()
         for words, start, count, tags in _sent(batches):
-            h = known.of(words)
+            # only the words of the strings, one string after the other, are hashed
+            sizes = count + width - 1
+            h = known.of([w for a, n in zip(start.tolist(), sizes.tolist(), strict=True) for w in words[a : a + n]])
+            start = np.cumsum(sizes) - sizes
             grams, span = windows_hash(h, MER).view(np.int64), width - MER + 1
             at = np.array([a + int(np.argmax(grams[a : a + span] == m)) for a, m in zip(start.tolist(), tags[0].tolist(), strict=True)])
             owner = np.repeat(np.arange(len(start)), count)
