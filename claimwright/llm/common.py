@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimwright.cluster import ship
@@ -56,6 +56,27 @@ def row_keys(*columns: Column) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), *columns).alias("k1"), F.xxhash64(F.lit(2), *columns).alias("k2")
 
 
+def numbered_copies(df: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """``out`` long: rows equal in ``keys`` are numbered from 0, in no order among them.
+
+    Where no row repeats, which one narrow count tells, nothing is shuffled.
+    Otherwise a key's rows are numbered by partition, so a key that holds any
+    share of the rows is dealt to as many tasks as it came in.
+    """
+    same = ["__copy_k1", "__copy_k2"]
+    keyed = df.select("*", *(k.alias(s) for k, s in zip(row_keys(*(F.col(k) for k in keys)), same, strict=True)))
+    if keyed.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return df.withColumn(out, F.lit(0).cast("long"))
+    placed = cut(keyed.withColumn("__copy_part", F.spark_partition_id()))
+    counts = placed.groupBy(*same, "__copy_part").agg(F.count(F.lit(1)).alias("__copy_n"))
+    before = F.sum("__copy_n").over(Window.partitionBy(*same).orderBy("__copy_part").rowsBetween(Window.unboundedPreceding, -1))
+    # only keys that go on in a later partition say how many rows are before
+    starts = counts.select(*same, "__copy_part", before.alias("__copy_before")).filter("__copy_before > 0")
+    own = F.row_number().over(Window.partitionBy(*same, "__copy_part").orderBy(F.lit(0)))
+    told = placed.withColumn("__copy_own", own).join(starts, [*same, "__copy_part"], "left")
+    return told.select(*df.columns, (F.col("__copy_own") - 1 + F.coalesce("__copy_before", F.lit(0))).cast("long").alias(out))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 over uint64 (wraps on purpose)."""
     with np.errstate(over="ignore"):

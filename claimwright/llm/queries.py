@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimwright.llm import bpe, chat, language, mixing, near, pii, quality, substring, topk, winnow
+from claimwright.llm import bpe, chat, language, mixing, near, oracles, pii, quality, sharding, spelling, substring, topk, winnow
 from claimwright.llm.common import read
 
 #: The hot source is held back, the others share the rest equally.
@@ -71,6 +71,15 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"), MIX_WEIGHTS)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.sharded(read(spark, sf_dir, "documents"), 8)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version", "next_shard")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
@@ -82,10 +91,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_source_mixing": op10_source_mixing,
+    "op11_spelling": op11_spelling,
+    "op13_sharding": op13_sharding,
     "llm_language_id_pages": llm_language_id_pages,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_spelling": oracles.OP11,
+    "op13_sharding": oracles.OP13,
     "op1_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         p AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
