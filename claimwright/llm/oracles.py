@@ -42,6 +42,35 @@ OP11 = rf"""
 """
 
 
+OP12 = rf"""
+        WITH RECURSIVE {CRC_TABLE},
+        t AS (
+          SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+          FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, {crc32("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t), crc),
+        b AS (
+          SELECT c.conv_id, 0 AS own, p, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND p <= h
+          UNION ALL SELECT c.conv_id, 1, p, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND p > h),
+        r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, p) AS d, role, text FROM b),
+        x(conv_id, d, k, words) AS (
+          SELECT conv_id, CAST(0 AS BIGINT), '', CAST(0 AS BIGINT) FROM c
+          UNION ALL SELECT r.conv_id, r.d, md5(x.k || md5(role) || md5(text)), CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT)
+          FROM x JOIN r ON r.conv_id = x.conv_id AND r.d = x.d + 1),
+        n AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM x GROUP BY d, k),
+        l AS (SELECT conv_id, max(d) AS d FROM x GROUP BY conv_id),
+        e AS (SELECT d, k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM x JOIN l USING (conv_id, d) GROUP BY d, k),
+        a AS (SELECT n.d, n.k, n.conv_id, n_convs, n.words, x.d AS up_d, x.k AS up_k FROM n JOIN x ON x.conv_id = n.conv_id AND x.d <= n.d),
+        h AS (SELECT up_d AS d, up_k AS k, count(*) AS n_children FROM a WHERE d = up_d + 1 GROUP BY 1, 2),
+        s AS (
+          SELECT up_d AS d, up_k AS k, count(*) FILTER (WHERE h.k IS NULL) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+          FROM a LEFT JOIN h ON h.d = a.d AND h.k = a.k GROUP BY up_d, up_k),
+        p AS (SELECT a.d, a.k, n.conv_id AS parent_conv_id FROM a JOIN n ON n.d = a.up_d AND n.k = a.up_k WHERE a.d = a.up_d + 1)
+        SELECT n.conv_id, n.d AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM n JOIN s USING (d, k) LEFT JOIN h USING (d, k) LEFT JOIN e USING (d, k) LEFT JOIN p USING (d, k)
+"""
+
+
 def dealt(sizes: str, before: str, shards: int, out: str) -> str:
     """CTEs that deal slots (rn, slot, b, here) to shards one after the other, by falling bytes; ``here`` is null in the first version."""
     load = "list_min(loads)"

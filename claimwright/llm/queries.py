@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimwright.llm import bpe, chat, language, mixing, near, oracles, pii, quality, sharding, spelling, substring, topk, winnow
+from claimwright.llm import bpe, chat, language, mixing, near, oracles, pii, quality, sharding, spelling, substring, topk, trie, winnow
 from claimwright.llm.common import read
 
 #: The hot source is held back, the others share the rest equally.
@@ -75,6 +75,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(read(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = trie.conversation_trie(read(spark, sf_dir, "conversations"), shared_openings=True)
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.sharded(read(spark, sf_dir, "documents"), 8)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version", "next_shard")
@@ -92,12 +97,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_source_mixing": op10_source_mixing,
     "op11_spelling": op11_spelling,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_sharding": op13_sharding,
     "llm_language_id_pages": llm_language_id_pages,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op11_spelling": oracles.OP11,
+    "op12_prefix_trie": oracles.OP12,
     "op13_sharding": oracles.OP13,
     "op1_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
