@@ -123,27 +123,24 @@ def near_pairs(words: DataFrame) -> DataFrame:
     first = F.lit(BANDS - 1)
     for k in reversed(range(BANDS - 1)):
         first = F.when(band(x, k) == band(y, k), F.lit(k)).otherwise(first)
-    met = a.join(
-        b,
-        (F.col("a.key") == F.col("b.key"))
-        & (F.col("b.longer") | (F.col("a.word") < F.col("b.word")))
-        & (F.bit_count(x.bitwiseXOR(y)) <= 2)
-        & (F.col("a.band") == first)
-        & (F.levenshtein("a.word", "b.word", 1) == 1),
-    )
     # an edit between two stretches, or in a run of one letter, is seen in both; it is told in the first
 
     def meets(k: Column) -> Column:
         return _rest(F.col("a.word"), F.col("a.short"), k) == _rest(F.col("b.word"), F.col("a.short"), k)
 
     before = F.filter(F.sequence(F.lit(0), F.col("a.stretch")), lambda k: (k < F.col("a.stretch")) & meets(k))
-    return met.filter(F.size(before) == 0).select(F.col("a.word").alias("a"), F.col("a.n").alias("a_n"), F.col("b.word").alias("b"), F.col("b.n").alias("b_n"))
+    # one expression, so that what is cheap is asked first
+    no = F.lit(False)
+    holds = F.when(~F.col("b.longer") & (F.col("a.word") >= F.col("b.word")), no).when(F.bit_count(x.bitwiseXOR(y)) > 2, no).when(F.col("a.band") != first, no)
+    holds = holds.when(F.levenshtein("a.word", "b.word", 1) != 1, no).otherwise(F.size(before) == 0)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & holds)
+    return met.select(F.col("a.word").alias("a"), F.col("a.n").alias("a_n"), F.col("b.word").alias("b"), F.col("b.n").alias("b_n"))
 
 
 def forms(words: DataFrame, times: int = 10) -> DataFrame:
     """word, n, n_near, form, form_n: the most frequent near word, where it occurs at least ``times`` as often."""
-    pairs = near_pairs(words)
-    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")).union(pairs.select("b", "a", "a_n"))
+    sides = F.array(*(F.struct(F.col(x).alias("word"), F.col(y).alias("near"), F.col(f"{y}_n").alias("near_n")) for x, y in ("ab", "ba")))
+    both = near_pairs(words).select(F.explode(sides).alias("side")).select("side.*")
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near"))).alias("best"))
     told = words.join(best, "word", "left")
     enough = -F.col("best.less") >= F.lit(times) * F.col("n")
