@@ -18,7 +18,9 @@ that crosses a chunk border is given in parts, later ones marked
 
 Nulls: a null line is an empty one; null transcript ids make a transcript of
 their own, of any size; null sequence numbers come first.  Lines that share a sequence number are
-ordered by their text.  Ties go to the first role.  An empty table gives an
+ordered by their text.  In transcripts of a turn table, turns of one number come one after the
+other whole, by a hash of role and text, null turns (whose ``seq`` is null) before all others.
+Ties go to the first role.  An empty table gives an
 empty result.
 """
 
@@ -30,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimwright.llm.common import cut, ship
+from claimwright.llm.common import cut, numbered_copies, ship
 from claimwright.operators.stats import ranked
 
 ROLES = ("system", "user", "assistant")
@@ -64,21 +66,27 @@ def unmarked(line: Column) -> Column:
     return F.regexp_replace(line, _marker(tuple(w for r in ROLES for w in MARKERS[r])), "")
 
 
+#: Columns that order the lines of a turn table, and the number that any line gets.
+_TURN = ["__turn", "__row", "__copy", "__pos"]
+_AT = "__at"
+
+
 def numbered(lines: DataFrame, span: int) -> DataFrame:
-    """``lines`` with ``chunk``: ``span`` lines each in the order of (seq, line), however long a transcript is."""
-    place = ranked(lines, ["conv_id"], "seq", "line", out="__rank")
-    return place.withColumn("chunk", F.floor((F.col("__rank") - 1) / span).cast("long")).drop("__rank")
+    """``lines`` with ``chunk``: ``span`` lines each in their order, however long a transcript is."""
+    order = _TURN if _TURN[0] in lines.columns else ["seq", "line"]
+    place = ranked(lines, ["conv_id"], *order, out=_AT)
+    return place.withColumn("chunk", F.floor((F.col(_AT) - 1) / span).cast("long"))
 
 
 def fit(labelled: DataFrame) -> dict[str, np.ndarray]:
-    """Log probabilities from (conv_id, chunk, seq, line, role, first) of transcripts with known roles: a hash-chosen sample of about SAMPLE_CHUNKS chunks."""
+    """Log probabilities from ``numbered`` lines (with role, first) of transcripts with known roles: a hash-chosen sample of about SAMPLE_CHUNKS chunks."""
     n = labelled.agg(F.approx_count_distinct(F.struct("conv_id", "chunk"))).first()[0] or 0
     one_in = max(1, math.ceil(n / SAMPLE_CHUNKS))
     sample = labelled.filter(F.pmod(F.xxhash64(F.col("conv_id"), F.col("chunk"), F.lit("chat")), F.lit(one_in)) == 0)
     role = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int") - 1
     state = role * 2 + F.when(F.col("first"), 0).otherwise(1)
     known = sample.withColumn("state", state).filter("state >= 0").withColumn("obs", observed(F.coalesce("line", F.lit(""))))
-    before = F.lag("state").over(Window.partitionBy("conv_id", "chunk").orderBy("seq"))
+    before = F.lag("state").over(Window.partitionBy("conv_id", "chunk").orderBy(_AT))
     moves = known.withColumn("before", before).withColumn("lead", (F.col("chunk") == 0) & F.col("before").isNull())
     rows = moves.groupBy("before", "state", "obs", "lead").count().collect()  # at most (STATES + 2) * STATES * SYMBOLS rows
     start, move, emit = np.full(STATES, 0.1), np.full((STATES, STATES), 0.1), np.full((STATES, SYMBOLS), 0.1)
@@ -193,15 +201,16 @@ def _bordered(level: DataFrame, above: DataFrame | None) -> DataFrame:
 def parse_transcripts(lines: DataFrame, model: dict[str, np.ndarray], *, conv_col: str = "conv_id", seq_col: str = "seq", line_col: str = "line", span: int = SPAN) -> DataFrame:
     """conv_id, seq (of a turn's first line), role, n_lines, continued, rendered: one row for each recovered turn.
 
-    Lines that are ``numbered`` already keep their chunks.
+    Lines that are ``numbered`` already keep their chunks.  ``seq`` is the line's own.
     """
     ship(lines.sparkSession)
     line = F.coalesce(F.col(line_col).cast("string"), F.lit(""))
-    seq = F.coalesce(F.col(seq_col).cast("long"), F.lit(-(2**62)))
-    plain = lines.select(F.col(conv_col).alias("conv_id"), seq.alias("seq"), line.alias("line"), *(["chunk"] if "chunk" in lines.columns else []))
-    plain = plain if "chunk" in lines.columns else numbered(plain, span)
-    rows = plain.select("conv_id", "seq", "chunk", observed(F.col("line")).alias("obs"), unmarked(F.col("line")).alias("line"))
-    parts = rows.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("seq", "line", "obs"))).alias("lines"))
+    known = [_AT, "chunk"] if _AT in lines.columns else []
+    order = [c for c in _TURN if c in lines.columns]
+    plain = lines.select(F.col(conv_col).alias("conv_id"), F.col(seq_col).cast("long").alias("seq"), line.alias("line"), *known, *order)
+    plain = plain if known else numbered(plain, span)
+    rows = plain.select("conv_id", "seq", "chunk", F.col(_AT).alias("at"), observed(F.col("line")).alias("obs"), unmarked(F.col("line")).alias("line"))
+    parts = rows.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "seq", "line", "obs"))).alias("lines"))
     firsts = rows.groupBy("conv_id").agg(F.min("chunk").alias("__first")).withColumnRenamed("conv_id", "__c")
     chunks = cut(parts.join(firsts, F.col("conv_id").eqNullSafe(F.col("__c"))).select("conv_id", "chunk", (F.col("chunk") == F.col("__first")).alias("first"), "lines"))
     levels = [cut(_matrices(chunks, model))]
@@ -254,12 +263,16 @@ def transcript_of(turns: DataFrame) -> DataFrame:
     """
     style = F.pmod(F.xxhash64("conv_id", F.lit("style")), F.lit(4))
     lost = F.pmod(F.xxhash64("conv_id", "turn", F.lit("lost")), F.lit(8)) == 0
-    role = F.coalesce("role", F.lit("user"))
+    role = F.coalesce(F.col("role").cast("string"), F.lit("user"))
     name = F.when(style == 1, F.when(role == "user", F.lit("Human")).when(role == "assistant", F.lit("AI")).otherwise(F.initcap(role))).otherwise(role)
     marker = F.when(lost, F.lit("")).when(style == 0, F.concat(F.initcap(role), F.lit(": "))).when(style == 1, F.concat(name, F.lit(": "))).when(style == 2, F.concat(F.lit("### "), F.initcap(role), F.lit(": "))).otherwise(F.concat(F.lit("<|"), role, F.lit("|> ")))
-    each = turns.select("conv_id", "turn", role.alias("role"), F.posexplode(F.split(F.concat(marker, F.coalesce("text", F.lit(""))), "\n")).alias("pos", "line"))
-    seq = F.coalesce(F.col("turn").cast("long"), F.lit(0).cast("long")) * TURN_LINES + F.col("pos")
-    return each.select("conv_id", seq.alias("seq"), "line", "role", (F.col("pos") == 0).alias("first"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = turns.select("conv_id", F.col("turn").cast("long").alias("__turn"), role.alias("role"), text.alias("text"), F.concat(marker, text).alias("marked"))
+    # rows that repeat are turns of their own
+    named = numbered_copies(named.withColumn("__row", F.xxhash64("role", "text")), ["conv_id", "__turn", "role", "text"], "__copy")
+    each = named.select("conv_id", "__turn", "__row", "__copy", "role", F.posexplode(F.split("marked", "\n")).alias("__pos", "line"))
+    seq = F.try_add(F.try_multiply(F.col("__turn"), F.lit(TURN_LINES)), F.col("__pos"))
+    return each.select("conv_id", seq.alias("seq"), "line", "role", (F.col("__pos") == 0).alias("first"), *_TURN)
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
