@@ -1,9 +1,10 @@
 """Document fingerprints by winnowing (native Spark SQL only).
 
-A text's tokens are its words (runs of other than space and TAB..CR), but a
-word of over ``LONG`` characters, as in scripts without spaces, and a text of
-under ``SHORT`` characters give each character as a token.  Tokens are hashed;
-the rolling hash of every ``GRAM`` consecutive ones is their polynomial modulo
+A text's tokens are the pieces of its words (runs of other than space and
+TAB..CR): a piece ends behind each character that is not an ASCII letter other than
+``a``, ``o`` and ``u`` (so behind every character of a script without spaces), at
+the word's end, or after ``PIECE`` characters.  Where pieces end depends on the few characters
+before, never on a text's or word's length.  Tokens are hashed; the rolling hash of every ``GRAM`` consecutive ones is their polynomial modulo
 ``PRIME`` (the last grams are shorter, so a text of n tokens has n grams).  Of
 every ``WINDOW`` consecutive grams the least is kept, the rightmost on ties, with
 its position.  Two texts that share ``GRAM + WINDOW - 1`` consecutive tokens share
@@ -16,22 +17,22 @@ fingerprints.  Two empty fingerprints have likeness 1.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GRAM = 3
+from claimwright.llm.common import cut, numbered_copies, row_keys
+
+GRAM = 4
 WINDOW = 4
 #: Fixed values of the hash: a prime under 2^30 and a base below it.
 PRIME = 1_073_741_789
 BASE = 358_441_823
-ROWS_PER_RANGE = 256
-MAX_RANGES = 65_536
-LONG, SHORT = 24, 120
-_INK = r"[^\x20\x09-\x0D]"
-#: A word of up to LONG characters, or one character (of a longer word).
-TOKEN = rf"(?<!{_INK}){_INK}{{1,{LONG}}}+(?!{_INK})|{_INK}"
+#: Characters of a piece at most.
+PIECE = 8
+_INSIDE = "[b-np-tv-zB-NP-TV-Z]"
+TOKEN = rf"{_INSIDE}{{0,{PIECE - 1}}}+[^\x20\x09-\x0Db-np-tv-zB-NP-TV-Z]|{_INSIDE}{{1,{PIECE}}}+"
+#: Documents in a group of neighbours.
+GROUP_ROWS = 256
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -39,7 +40,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     words, grams = f"__{out}_words", f"__{out}_grams"
     names = [c for c in df.columns if c != out]
     whole = F.coalesce(F.col(text), F.lit(""))
-    tokens = F.regexp_extract_all(whole, F.when(F.length(whole) < SHORT, F.lit(_INK)).otherwise(F.lit(TOKEN)), F.lit(0))
+    tokens = F.regexp_extract_all(whole, F.lit(TOKEN), F.lit(0))
     hashed = F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME)))
     df = df.select(*names, hashed.alias(words))
 
@@ -82,56 +83,48 @@ def likeness(a: str, b: str) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def with_range(docs: DataFrame, key: str) -> DataFrame:
-    """Rows with ``__range`` by quantiles of the key; each range also gets, marked, the first row of the next lower one.
+def with_neighbours(docs: DataFrame) -> DataFrame:
+    """doc_id, text (no row twice), ``__group``, ``__place`` and ``__mark``: ``GROUP_ROWS`` consecutive rows in descending order of id, and, marked, the first row of the next group.
 
-    In descending order the row after a range's last is the one at the next
-    lower range's upper bound, which is a quantile and so a key that occurs.
-    The lowest range (with null keys) is followed by the highest key's row.
+    Only ids and hashes are ordered, by ranges; equal ids are told apart by the
+    hash of the text, so a range may end between them.
     """
-    n, top = docs.agg(F.count(F.lit(1)), F.max(key)).first()
-    ranges = min(MAX_RANGES, max(1, math.ceil(n / ROWS_PER_RANGE)))
-    bounds: list[int] = []
-    if ranges > 1 and top is not None:
-        shares = [i / ranges for i in range(1, ranges)]
-        found = docs.agg(F.percentile_approx(key, shares, max(10_000, 20 * ranges))).first()[0]
-        bounds = sorted(b for b in set(found or ()) if b is not None and b < top)
-    step = max(1, math.isqrt(len(bounds)))
-    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    id_ = F.col(key)
-    if not bounds:
-        here = F.lit(0)
-    else:
-        def longs(values: list[int]) -> Column:
-            return F.expr(f"array({', '.join(f'{v}L' for v in values)})")
-
-        lower = longs([b[-1] for b in blocks])
-        block = F.size(F.filter(lower, lambda b: b < id_))
-        fine = F.get(F.expr(f"array({', '.join('array(' + ', '.join(f'{v}L' for v in b) + ')' for b in blocks)})"), block)
-        here = block * step + F.coalesce(F.size(F.filter(fine, lambda b: b < id_)), F.lit(0))
-        # past the last block every bound is lower
-        here = F.when(id_.isNull(), 0).when(block >= len(blocks), len(bounds)).otherwise(here)
-    at_bound = F.lit(False) if not bounds else F.array_contains(fine, id_)
-    places = F.array(
-        F.struct(here.cast("int").alias("range"), F.lit(0).alias("mark")),
-        F.when(F.coalesce(at_bound, F.lit(False)), F.struct((here + 1).cast("int").alias("range"), F.lit(1).alias("mark"))),
-        F.when(id_ == F.lit(top), F.struct(F.lit(0).alias("range"), F.lit(2).alias("mark"))),
-    )
-    return docs.withColumn("__place", F.explode(F.filter(places, lambda p: p.isNotNull()))).select(*docs.columns, F.col("__place.range").alias("__range"), F.col("__place.mark").alias("__mark"))
+    keyed = docs.select("doc_id", "text", *row_keys(F.col("doc_id"), F.col("text")))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("k1"), F.col("k2")]
+    ranged = cut(keyed.select("doc_id", "k1", "k2").repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))  # a row for each partition
+    everything = Window.orderBy("part")
+    before = parts.select("part", (F.sum("rows").over(everything) - F.col("rows")).alias("before"), F.sum("rows").over(Window.partitionBy()).alias("all"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    placed = ranged.withColumn("own", own).join(F.broadcast(before), "part").select("k1", "k2", (F.col("before") + F.col("own")).alias("place"), "all")
+    at = F.col("place")
+    previous = F.when(at == 0, F.col("all") - 1).otherwise(at - 1)
+
+    def spot(place: Column, mark: int) -> Column:
+        return F.struct(F.floor(place / GROUP_ROWS).cast("long").alias("__group"), F.lit(mark).alias("__mark"))
+
+    spots = F.when(at % GROUP_ROWS == 0, F.array(spot(at, 0), spot(previous, 1))).otherwise(F.array(spot(at, 0)))
+    both = keyed.join(placed, ["k1", "k2"]).select("doc_id", "text", at.alias("__place"), F.explode(spots).alias("__spot"))
+    return both.select("doc_id", "text", "__place", "__spot.*")
 
 
 def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text, of its edited text (last third replaced from the next document's start), and likenesses.
 
     The next document follows by descending id, nulls last, and the first
-    follows the last; rows that repeat an id are ordered by a hash of the text.
+    follows the last; rows that repeat an id are ordered by a hash of the text,
+    and of rows that repeat both all but one are followed by their own text.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    placed = with_range(base, "doc_id")
+    base = numbered_copies(base, ["doc_id", "text"], "__copy")
     # dealt once with the text; the window below then needs no other shuffle
-    own = with_fingerprint(placed.repartition("__range"), "text", "fp").withColumn("hs", hashes("fp"))
-    order = Window.partitionBy("__range").orderBy((F.col("__mark") == 2).asc(), F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    after = own.select("*", F.lead("text").over(order).alias("next_text"), F.lead("hs").over(order).alias("next_hs")).filter("__mark = 0")
+    placed = with_neighbours(base.filter("__copy = 0")).repartition("__group")
+    own = with_fingerprint(placed, "text", "fp").withColumn("hs", hashes("fp"))
+    order = Window.partitionBy("__group").orderBy("__mark", "__place")
+    followed = own.select("*", F.lead("text").over(order).alias("next_text"), F.lead("hs").over(order).alias("next_hs")).filter("__mark = 0")
+    wanted = ["doc_id", "text", "fp", "hs", "next_text", "next_hs"]
+    copies = with_fingerprint(base.filter("__copy > 0"), "text", "fp").withColumn("hs", hashes("fp"))
+    after = followed.select(*wanted).unionByName(copies.withColumn("next_text", F.col("text")).withColumn("next_hs", F.col("hs")).select(*wanted))
     edited = after.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
