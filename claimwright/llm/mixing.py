@@ -9,7 +9,9 @@ the inverted table and avoids underflow.  The result is shuffled globally by a
 hash of (seed, id, text, draw, copy).
 
 Nulls: a null source is a source of its own; a null id or text hashes as ``''``.
-Rows that repeat an id draw on their own unless they repeat the text too.  An empty table gives an
+Rows that repeat an id, or id and text, draw on their own: equal ones are numbered, and the
+number is hashed with them (a table that repeats rows must be read alike again, as
+files and checkpoints are).  An empty table gives an
 empty result.  Extra columns are carried unchanged.
 """
 
@@ -20,7 +22,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimwright.llm.common import cut, small_or_shuffled
+from claimwright.llm.common import cut, numbered_copies, small_or_shuffled
 
 MAX_MEAN = 32.0
 #: Terms of the inverted distribution: P(X > 160 | mean 32) < 1e-50.
@@ -86,7 +88,8 @@ def mix_sources(
     ident = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
     # drawn by the document's own hash: nothing but its source's few numbers is joined to it
     # hashed once, before copies are made
-    keyed = docs.withColumn("__mix_ident", ident)
+    keyed = numbered_copies(docs.withColumn("__mix_ident", ident), ["__mix_ident"], "__mix_number")
+    keyed = keyed.withColumn("__mix_ident", F.concat_ws("|", "__mix_ident", F.when(F.col("__mix_number") > 0, F.col("__mix_number").cast("string")))).drop("__mix_number")
     joined = keyed.join(small_or_shuffled(rates, n_sources, BROADCAST_ROWS), F.col(source_col).eqNullSafe(F.col("__mix_key")))
     drawn = joined.withColumn("__mix_draw", F.explode(F.sequence(F.lit(1), F.col("__mix_draws"))))
     uniform = hashed_uniform(F.lit(str(seed)), F.col("__mix_ident"), F.col("__mix_draw").cast("string"))

@@ -160,13 +160,13 @@ ORACLE_SQL: dict[str, str] = {
           UNION ALL
           SELECT source, draws, mean, k + 1, p * mean / (k + 1), cdf + p * mean / (k + 1) FROM c WHERE k < 159),
         u AS (
-          SELECT doc_id, source, lang, text, n_chars, draw,
-                 CAST(('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) || '|' || draw), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
-          FROM (SELECT x.*, unnest(range(1, d.draws + 1)) AS draw FROM documents x JOIN d ON d.source IS NOT DISTINCT FROM x.source)),
+          SELECT doc_id, source, lang, text, n_chars, number, draw,
+                 CAST(('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) || CASE WHEN number > 0 THEN '|' || number ELSE '' END || '|' || draw), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+          FROM (SELECT x.*, unnest(range(1, d.draws + 1)) AS draw FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text) - 1 AS number FROM documents) x JOIN d ON d.source IS NOT DISTINCT FROM x.source)),
         k AS (
-          SELECT u.doc_id, u.draw, u.text, any_value(u.source) AS source, any_value(u.lang) AS lang,
+          SELECT u.doc_id, u.number, u.draw, u.text, any_value(u.source) AS source, any_value(u.lang) AS lang,
                  any_value(u.n_chars) AS n_chars, count(*) FILTER (WHERE c.cdf <= u.u) AS times
-          FROM u JOIN c ON c.source IS NOT DISTINCT FROM u.source GROUP BY u.doc_id, u.text, u.draw)
+          FROM u JOIN c ON c.source IS NOT DISTINCT FROM u.source GROUP BY u.doc_id, u.text, u.number, u.draw)
         SELECT doc_id, text, lang, source, n_chars, CAST((draw - 1) * 160 + i AS INTEGER) AS copy
         FROM (SELECT *, unnest(range(1, times + 1)) AS i FROM k)
     """,
