@@ -211,15 +211,33 @@ def _prefixes(texts: DataFrame, percent: int) -> DataFrame:
     return placed.filter((F.col("place") <= longest) & (100 * F.col("r") >= percent * F.col("n"))).select("s", "i", "n", "r", "place")
 
 
+def _apart(known: DataFrame) -> DataFrame:
+    """``known`` for the pairs of different labels that share a shingle: with ``bit``, ``up`` and ``side``.
+
+    Shingles of one label drop out.  Of others the labels are numbered; two
+    numbers differ first at one bit, above which they are equal, and meet there on
+    different sides.  So rows of one label, however many, never meet.
+    """
+    each = Window.partitionBy("s")
+    labels = known.select("s", "label").distinct().select("s", "label", (F.row_number().over(each.orderBy("label")) - 1).alias("number"), F.count(F.lit(1)).over(each).alias("labels"))
+    many = known.join(labels.filter("labels > 1"), ["s", "label"])
+    bits = F.length(F.bin(F.col("labels") - 1))
+    dealt = many.withColumn("bit", F.explode(F.sequence(F.lit(0), bits - 1)))
+    return dealt.select(*known.columns, "bit", F.expr("shiftright(number, bit + 1)").alias("up"), F.expr("shiftright(number, bit) & 1").alias("side"))
+
+
 def _across(prefixes: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b) of different components that may link."""
     known = prefixes.join(members.select("i", "sig"), "i").join(labels.withColumnRenamed("node", "i"), "i", "left").withColumn("label", F.coalesce("label", "i"))
-    twin = known.select(*(F.col(c).alias(f"t_{c}") for c in known.columns))
+    apart = _apart(known)
+    one = apart.filter("side = 0")
+    twin = apart.filter("side = 1").select(*(F.col(c).alias(f"t_{c}") for c in apart.columns))
     total = percent * (F.col("n") + F.col("t_n"))
     bound = F.least(F.col("r"), F.col("t_r"), F.col("n") - F.col("place") + 1, F.col("t_n") - F.col("t_place") + 1)
-    may = (F.col("i") < F.col("t_i")) & (F.col("label") != F.col("t_label")) & _sizes_allow("n", "t_n", percent) & ((100 + percent) * bound >= total)
-    met = known.join(twin, (F.col("s") == F.col("t_s")) & may & (estimate("sig", "t_sig") >= least_estimate(percent / 100)))
-    return met.select(F.col("i").alias("a"), F.col("t_i").alias("b")).distinct()
+    may = _sizes_allow("n", "t_n", percent) & ((100 + percent) * bound >= total)
+    here = (F.col("s") == F.col("t_s")) & (F.col("bit") == F.col("t_bit")) & (F.col("up") == F.col("t_up"))
+    met = one.join(twin, here & may & (estimate("sig", "t_sig") >= least_estimate(percent / 100)))
+    return met.select(F.least("i", "t_i").alias("a"), F.greatest("i", "t_i").alias("b")).distinct()
 
 
 def grouped(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
