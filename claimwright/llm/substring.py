@@ -327,7 +327,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, id_col: str = "doc_id
     ident, text = F.col(id_col), F.col(text_col).cast("string")
     rows = docs.select(ident.alias("doc_id"), *row_keys(ident, text), text.alias("text"))
     small, string = compressed(rows), ["mini", "sid", "sid2"]
-    every = listed(rows, width)
+    every = cut(listed(rows, width))  # texts are hashed once, for both uses
     # by hashes alone: minimisers that occur again, and those with many different strings
     sketch = F.expr("bit_or(shiftleft(1L, cast(sid & 63 as int)))")
     minis = every.groupBy("mini").agg(F.count(F.lit(1)).alias("times"), F.bit_count(sketch).alias("bits")).filter("times > 1")
