@@ -5,9 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from claimwright.functions.scalars import normal_text
+from claimwright.operators.likeness import close_ids  # noqa: F401  nearest known ids
 
 #: How far a passage reaches around its anchor, and how far it is moved to a sentence's end.
 AROUND, SNAP = 600, 400
@@ -240,33 +241,6 @@ def original_date(date: Column, words: Column, note: Column, text: Column) -> Co
     return F.when(good, date)
 
 
-@F.pandas_udf(DoubleType())
-def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matching characters over all, by longest common blocks."""
-    import difflib
-
-    return pd.Series([difflib.SequenceMatcher(None, y, x).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype=float)
-
-
-def close_ids(new: DataFrame, known: DataFrame, cutoff: float = 0.75, most: int = 3) -> DataFrame:
-    """id, near, place: known ids that a new one resembles, nearest first.
-
-    A ratio of ``cutoff`` means that at least ``cutoff`` of the longer one's
-    characters match in blocks; ids of at least six characters then share a
-    pair of neighbouring characters, shorter ones meet by single characters.
-    """
-    pairs_of = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2))))
-    singles = lambda c: F.array_distinct(F.split(c, ""))
-    keys = lambda c: F.concat(pairs_of(c), F.when(F.length(c) < 9, singles(c)).otherwise(F.array().cast("array<string>")))
-    a = new.select("id", F.explode(keys(F.col("id"))).alias("__g"))
-    b = known.select(F.col("id").alias("near"), F.explode(keys(F.col("id"))).alias("__g"))
-    la, lb = F.length("id"), F.length("near")
-    met = a.join(b, "__g").filter(2.0 * F.least(la, lb) >= cutoff * (la + lb)).select("id", "near").distinct()
-    scored = met.withColumn("__r", likeness("id", "near")).filter(F.col("__r") >= cutoff)
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("__r").desc(), F.col("near").desc()))
-    return scored.withColumn("place", place).filter(F.col("place") <= most).select("id", "near", "place")
-
-
 def intake(atoms: DataFrame, held: DataFrame) -> DataFrame:
     """uid, outcome: refused for defects, a duplicate of one held or of an earlier one, else open or closed."""
     known = held.select(F.col("uid").alias("__uid")).distinct()
