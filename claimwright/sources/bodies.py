@@ -5,28 +5,44 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StringType
 
 #: Bytes that a compressed body may unpack to; a larger one is taken for none.
 MOST_BYTES = 64 << 20
 
 
-@F.pandas_udf(BinaryType())
-def unpacked(bodies: pd.Series) -> pd.Series:
-    """Gunzipped bodies; others as they are; null if a body is broken or unpacks to more than MOST_BYTES."""
+def _unpack(body: bytes | None) -> tuple[bytes | None, str]:
+    """Bytes and what became of them: plain, unpacked, broken or too large."""
     import zlib
 
-    def one(body):
-        if body is None or body[:2] != b"\x1f\x8b":
-            return body
-        try:
+    if body is None or body[:2] != b"\x1f\x8b":
+        return body, "plain"
+    parts, left, rest = [], MOST_BYTES, body
+    try:
+        while rest[:2] == b"\x1f\x8b":  # members follow one another
             machine = zlib.decompressobj(31)
-            out = machine.decompress(body, MOST_BYTES)
-            return out if machine.eof else None
-        except zlib.error:
-            return None
+            parts.append(machine.decompress(rest, left + 1))
+            left -= len(parts[-1])
+            if left < 0:
+                return None, "too large"
+            if not machine.eof:
+                return None, "broken"
+            rest = machine.unused_data.lstrip(b"\0")  # padding
+    except zlib.error:
+        return None, "broken"
+    return b"".join(parts), "unpacked"
+
+
+@F.pandas_udf(BinaryType())
+def unpacked(bodies: pd.Series) -> pd.Series:
+    """Gunzipped bodies, all their members; others as they are; null where ``unpack_status`` says so."""
+    return bodies.map(lambda b: _unpack(b)[0])
+
 
-    return bodies.map(one)
+@F.pandas_udf(StringType())
+def unpack_status(bodies: pd.Series) -> pd.Series:
+    """plain, unpacked, broken, or too large (over MOST_BYTES)."""
+    return bodies.map(lambda b: _unpack(b)[1])
 
 
 def kind_of(body: Column) -> Column:
