@@ -14,26 +14,6 @@ from claimwright.functions.website import stated_groups, stated_identifiers, sta
 from claimwright.operators.statements import id_defect, named_in
 
 
-def checked(atoms: DataFrame) -> DataFrame:
-    """uid, report_defects, claim_defects, open, review, verdict: two levels, each a list of what is wrong.
-
-    ``atoms``: (uid, quote, passage, source, speaker, subject, polarity, start).
-    The report fails if its quote or speaker is not in the passage; the claim
-    fails on its identifier.  Words that tie it to an unstated now leave it
-    open, negations and hedges that its polarity doesn't show ask for a review.
-    ``closed_local`` says that the identifier means something in its source only.
-    """
-    listed = lambda *pairs: F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in pairs)), lambda x: x.isNotNull())
-    quote, there = normal_text(F.col("quote")), F.contains(normal_text(F.col("passage")), normal_text(F.col("quote")))
-    report = listed(("quote_not_in_passage", ~there | (quote == "")), ("speaker_not_in_passage", F.col("speaker").isNotNull() & ~named_in(F.col("speaker"), F.col("passage"))))
-    claim = F.filter(F.array(id_defect(F.col("subject"), F.col("source"), F.col("passage"))), lambda x: x.isNotNull())
-    open_ = listed(("no_time", F.col("quote").rlike(INDEXICAL) & F.col("start").isNull()))
-    review = listed(("negation", F.col("quote").rlike(NEGATION) != (F.col("polarity") == "negated")), ("hedge", F.col("quote").rlike(HEDGE)))
-    rows = atoms.select("uid", "subject", report.alias("report_defects"), claim.alias("claim_defects"), open_.alias("open"), review.alias("review"))
-    verdict = F.when(F.size("report_defects") + F.size("claim_defects") > 0, "defect").when(F.size("open") > 0, "open").when(F.col("subject").startswith("local:"), "closed_local").otherwise("closed")
-    return rows.select("uid", "report_defects", "claim_defects", "open", "review", verdict.alias("verdict"))
-
-
 def support_flag(label: Column, tokens: Column, most: int = 512) -> Column:
     """What a model's answer about a statement asks for: nothing if it is entailed, a review if not; texts that are too long are not run."""
     return F.when(tokens > most, "not_run").when(label == "entailment", None).otherwise("review")
@@ -42,7 +22,7 @@ def support_flag(label: Column, tokens: Column, most: int = 512) -> Column:
 def hypothesis(statement: Column, speakers: Column) -> Column:
     """A statement as a question to a model: time phrases stripped, inner speakers (all but the outermost) before it."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(statement, r"(?i)\b(?:in|on|since|by)\s+\d{4}(?:-\d{2}){0,2}\b", ""), r"\s+", " "))
-    inner = F.slice(speakers, 2, 1000)
+    inner = F.slice(speakers, 2, F.greatest(F.size(speakers) - 1, F.lit(0)))
     return F.when(F.size(inner) > 0, F.concat(F.array_join(F.transform(inner, lambda s: F.concat(s, F.lit(" says that "))), ""), bare)).otherwise(bare)
 
 

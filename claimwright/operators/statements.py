@@ -86,18 +86,35 @@ def id_defect(ident: Column, source: Column, passage: Column) -> Column:
 OPENS = '[a-zæøåäöü0-9"“(]'
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def context_of(text: Column, q: Column) -> Column:
+    """struct(before, after) in normal forms: the words of the quote's own sentence on both sides of it; '' if the quote is not there."""
+    none = F.struct(F.lit("").alias("before"), F.lit("").alias("after"))
+
+    def parts(x: Column) -> Column:
+        # a sentence begins behind an end mark and white space; the quote's own first letter may begin one
+        lead = F.length(F.regexp_extract(x["head"], rf"(?s)^(.*[.!?]\s+){OPENS}", 1))
+        before = F.substr(x["head"], lead + 1, F.length(x["head"]) - 1 - lead)
+        stop = F.regexp_extract(x["tail"], rf"(?s)^(.*?[.!?]\s+){OPENS}", 1)
+        after = F.substr(F.when(stop != "", stop).otherwise(x["tail"]), F.lit(2), F.length(x["tail"]))
+        return F.struct(before.alias("before"), after.alias("after"))
+
+    def around(y: Column) -> Column:
+        at = y["at"]
+        pieces = F.struct(F.substr(y["text"], F.lit(1), at).alias("head"), F.substr(y["text"], at - 1 + F.length(y["q"]), F.length(y["text"])).alias("tail"))
+        return F.when((at >= 1) & (y["q"] != ""), _let(pieces, parts)).otherwise(none)
+
+    return _let(F.struct(text.alias("text"), q.alias("q"), F.instr(text, q).alias("at")), around)
+
+
 def sentence_context(passage: Column, quote: Column) -> tuple[Column, Column]:
     """The words of the quote's own sentence before it and after it, in normal form; '' if the quote is not there."""
-    text, q = normal_text(passage), normal_text(quote)
-    at = F.instr(text, q) - 1
-    head = F.substr(text, F.lit(1), at + 1)
-    lead = F.substr(head, F.length(F.regexp_extract(head, rf"(?s)^(.*[.!?]\s+){OPENS}", 1)) + 1, F.length(head))
-    before = F.substr(lead, F.lit(1), F.length(lead) - 1)
-    tail = F.substr(text, at + F.length(q), F.length(text))
-    stop = F.regexp_extract(tail, rf"(?s)^(.*?[.!?]\s+){OPENS}", 1)
-    after = F.substr(F.when(stop != "", stop).otherwise(tail), F.lit(2), F.length(tail))
-    there = (at >= 0) & (q != "")
-    return F.when(there, before).otherwise(""), F.when(there, after).otherwise("")
+    found = _let(F.struct(normal_text(passage).alias("t"), normal_text(quote).alias("q")), lambda x: context_of(x["t"], x["q"]))
+    return found["before"], found["after"]
 
 
 # Words of a label that name nobody.

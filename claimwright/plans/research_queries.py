@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimwright.functions import names as N
-from claimwright.functions.scalars import day_of
-from claimwright.operators import graph, reports, screening, stats, statements
+from claimwright.functions.scalars import HEDGE, NEGATION, REPORTING, day_of, normal_text
+from claimwright.operators import atoms, graph, reports, screening, stats, statements
+from claimwright.operators.atoms import FRAME, HEDGE_START
 from claimwright.plans.queries import AS_OF, EVENTS_AS_OF, HISTORY, query
 from claimwright.sources import datasets as D
 
@@ -845,19 +846,56 @@ def o2(spark, sf):
 
 
 # ---- put together -------------------------------------------------------------------------------------
-QUOTES = ("Acme 00000019 was sold", "it was never sold", "Acme 00000019 is sold today", "words that are absent", "the Acme may be sold")
-CHECKED = ("closed", "closed_local", "open", "defect", "defect")
 
 
-@query("t12_checked", f"SELECT o_orderkey AS uid, {of_sql('o_orderkey', *CHECKED)} AS verdict, {of_sql('o_orderkey', '', '', '', 'quote_not_in_passage', '')} AS report, {of_sql('o_orderkey', '', '', '', '', 'not_rigid')} AS claim, {of_sql('o_orderkey', '', 'negation', '', '', 'hedge')} AS review FROM orders")
+def _edges(pattern: str) -> str:
+    """A pattern whose word boundaries know all letters, as SQL text."""
+    return pattern.replace(r"\b(", r"(?:^|[^\pL\pN_])(").replace(r")\b", r")(?:$|[^\pL\pN_])").replace("'", "''")
+
+
+NO_SQL, MAY_SQL, SAYS_SQL, FRAME_SQL = map(_edges, (NEGATION, HEDGE, REPORTING, FRAME))
+PLAIN_NO_SQL = r"(?i)(^|[^\pL\pN_])no($|[^\pL\pN_.])"
+_T12_SQL = rf"""
+  WITH t AS (SELECT doc_id, source, {NORMAL} AS t FROM documents), w AS (SELECT *, regexp_extract(t, '[a-z]{{5,}}') AS word, trim(substr(t, length(t) // 3 + 1, 60)) AS inside FROM t),
+  q AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN inside || ' zq' ELSE inside END AS q FROM w WHERE inside <> '' AND word <> ''),
+  a AS (SELECT *, CASE WHEN contains(t, q) THEN instr(t, q) - 1 END AS pos FROM q), h AS (SELECT *, substr(t, 1, pos + 1) AS h, substr(t, pos + length(q), length(t)) AS r FROM a),
+  l AS (SELECT *, substr(h, length(regexp_extract(h, '(?s)^(.*[.!?]\s+){BEGINS}', 1)) + 1) AS l, regexp_extract(r, '(?s)^(.*?[.!?]\s+){BEGINS}', 1) AS s FROM h),
+  c AS (SELECT *, CASE WHEN pos IS NULL THEN ' ' ELSE substr(l, 1, length(l) - 1) || ' ' || CASE WHEN s <> '' THEN substr(s, 2) ELSE substr(r, 2) END END AS around FROM l),
+  f AS (
+    SELECT *, doc_id % 3 = 0 AS own, doc_id % 4 = 0 AS negated, regexp_matches(around, '{FRAME_SQL}') AS framed,
+           regexp_matches(around, '{NO_SQL}') OR regexp_matches(around, '{PLAIN_NO_SQL}') AS around_no, regexp_matches(q, '{NO_SQL}') OR regexp_matches(q, '{PLAIN_NO_SQL}') AS quote_no,
+           regexp_matches(around, '{MAY_SQL}') OR regexp_matches(around, '{HEDGE_START}') AS around_may, regexp_matches(q, '{MAY_SQL}') OR regexp_matches(q, '{HEDGE_START}') AS quote_may,
+           regexp_matches(around, '{SAYS_SQL}') AS around_says, regexp_matches(q, '{SAYS_SQL}') AS quote_says,
+           contains(' ' || regexp_replace(q, '[^0-9A-Za-z_]+', ' ', 'g') || ' ', ' ' || word || ' ') AS named FROM c),
+  i AS (
+    SELECT doc_id, list_filter([CASE WHEN pos IS NULL THEN 'quote_not_in_passage' END, CASE WHEN doc_id % 11 = 0 THEN 'outer_speaker_not_source' END, CASE WHEN own AND quote_says THEN 'attribution_dropped' END,
+           CASE WHEN doc_id % 7 = 0 THEN 'subject_local_id_not_in_passage' END, CASE WHEN doc_id % 6 = 0 THEN 'predicate_not_in_vocabulary' END, CASE WHEN doc_id % 9 = 0 THEN 'asserted_time_not_source_date' END], lambda x: x IS NOT NULL) AS defects,
+           list_filter([CASE WHEN framed OR around_no OR around_may OR (around_says AND own) THEN 'frame_outside_quote' END, CASE WHEN quote_may THEN 'hedge_review' END, CASE WHEN quote_no AND NOT negated THEN 'polarity_review' END,
+           CASE WHEN NOT named THEN 'subject_outside_quote' END], lambda x: x IS NOT NULL) AS review FROM f)
+  SELECT doc_id AS uid, array_to_string(defects, '|') AS defects, array_to_string(review, '|') AS review, false AS closed, len(defects) = 0 AND len(review) = 0 AS closed_local,
+         CASE WHEN list_contains(defects, 'quote_not_in_passage') THEN 'quote' WHEN list_has_any(defects, ['outer_speaker_not_source', 'attribution_dropped']) THEN 'report_chain' WHEN list_contains(defects, 'subject_local_id_not_in_passage') THEN 'subject'
+              WHEN list_contains(defects, 'predicate_not_in_vocabulary') THEN 'relation' WHEN list_contains(defects, 'asserted_time_not_source_date') THEN 'time' WHEN len(review) > 0 THEN 'support' END AS first_failure FROM i"""
+
+
+@query("t12_checked", _T12_SQL)
 def t12(spark, sf):
-    from claimwright.operators import assembly
-
-    k = "o_orderkey"
-    passage = F.lit("The ministry said Acme 00000019 was sold, it was never sold. Acme 00000019 is sold today; the Acme may be sold.")
-    a = D.table(spark, sf, "orders").select(F.col(k).alias("uid"), of(k, *QUOTES).alias("quote"), passage.alias("passage"), F.lit("s1").alias("source"), F.lit("The Ministry").alias("speaker"), of(k, "cvr:00000019", "local:s1#acme", "cvr:00000019", "cvr:00000019", "web:x").alias("subject"), F.lit("affirmed").alias("polarity"), F.lit(None).cast("string").alias("start"))
-    flat = lambda c: F.array_join(c, "|").alias(c.split("_")[0])
-    return assembly.checked(a).select("uid", "verdict", flat("report_defects"), flat("claim_defects"), flat("review"))
+    """Statements made of documents' own words: a stretch of the text as the quote, its first long word as the subject."""
+    k = F.col("doc_id")
+    d = D.table(spark, sf, "documents").select(k, "source", F.coalesce("text", F.lit("")).alias("text")).withColumn("t", normal_text(F.col("text")))
+    inside = F.btrim(F.substr("t", F.floor(F.length("t") / 3).cast("int") + 1, F.lit(60)), F.lit(" "))
+    d = d.withColumn("word", F.regexp_extract("t", "[a-z]{5,}", 0)).withColumn("inside", inside).filter("inside <> '' AND word <> ''")
+    entity = lambda i, label: F.struct(i.alias("id"), label.alias("label"))
+    ident = F.concat(F.lit("local:"), "source", F.lit("#"), F.when(k % 7 == 0, F.concat("word", F.lit("zq"))).otherwise(F.col("word")))
+    speaker = F.struct(F.when(k % 11 == 0, F.lit("elsewhere")).otherwise(F.col("source")).alias("id"), F.lit("the source").alias("label"), F.when(k % 3 == 0, "asserts").otherwise("reports").alias("verb"))
+    none = F.lit(None).cast("string")
+    a = d.select(
+        k.alias("uid"), k.cast("string").alias("passage_id"), F.when(k % 5 == 0, F.concat("inside", F.lit(" zq"))).otherwise(F.col("inside")).alias("quote"), F.array(speaker).alias("reports"), entity(ident, F.col("word")).alias("subject"),
+        F.when(k % 6 == 0, "sells").otherwise("uses").alias("predicate"), F.lit(None).cast("struct<id string, label string>").alias("object"), F.lit("x").alias("value"), F.lit("It holds in that year.").alias("statement"), none.alias("start"),
+        F.when(k % 9 == 0, "2019").otherwise("2020").alias("end"), F.lit("asserted").alias("basis"), F.when(k % 4 == 0, "negated").otherwise("affirmed").alias("polarity"), none.alias("hedge"), F.lit("actual").alias("modality"), F.array().cast("array<string>").alias("open_reasons"),
+    )
+    p = d.select(k.cast("string").alias("passage_id"), F.col("source").alias("source_id"), F.lit("2020").alias("source_date"), "text")
+    flat = lambda c: F.array_join(c, "|").alias(c)
+    return atoms.verdicts(a, p).select("uid", flat("defects"), flat("review"), "closed", "closed_local", "first_failure")
 
 
 @query("t19_support", f"SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'not_run' WHEN o_orderkey % 3 > 0 THEN 'review' END AS flag, CASE WHEN o_orderkey % 2 = 0 THEN 'the board says that it fell' ELSE 'it fell' END AS hypothesis FROM orders")
