@@ -102,11 +102,19 @@ def founded_years(text: Column) -> Column:
     return F.array_distinct(F.filter(years, lambda y: (y > 1600) & (y < 2100)))
 
 
+def employee_statements(text: Column) -> Column:
+    """array<struct(n, pattern)>: plausible headcounts, those before the noun, then those after it."""
+
+    def counts(pattern: str, name: str) -> Column:
+        numbers = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda n: F.regexp_replace(n, r"[.\s]", "").try_cast("int"))
+        return F.transform(F.filter(numbers, lambda n: (n > 0) & (n < 500_000)), lambda n: F.struct(n.alias("n"), F.lit(name).alias("pattern")))
+
+    return F.concat(counts(EMPLOYEES, "count_then_noun"), counts(EMPLOYEES_REV, "noun_then_count"))
+
+
 def employee_counts(text: Column) -> Column:
     """Distinct plausible headcounts: those before the noun, then those after it."""
-    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (EMPLOYEES, EMPLOYEES_REV)))
-    counts = F.transform(found, lambda n: F.regexp_replace(n, r"[.\s]", "").try_cast("int"))
-    return F.array_distinct(F.filter(counts, lambda n: (n > 0) & (n < 500_000)))
+    return F.array_distinct(F.transform(employee_statements(text), lambda e: e["n"]))
 
 
 def founded_year(text: Column) -> Column:

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimwright import schemas as S
 from claimwright.functions.names import domain_of
-from claimwright.functions.scalars import HEDGE, INDEXICAL, NEGATION, employee_counts, founded_years, normal_text
-from claimwright.functions.website import stated_groups, stated_identifiers, stated_people, stated_towns, text_blocks
-from claimwright.operators.statements import id_defect, named_in
 
 
 def support_flag(label: Column, tokens: Column, most: int = 512) -> Column:
@@ -59,23 +54,6 @@ def seeded_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: str) ->
     return rows.withColumn("place", place).filter(F.col("place") <= n)
 
 
-def page_claims(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, predicate, object: what the blocks of a page state, each once."""
-    blocks = pages.select(key, F.explode(text_blocks(F.col(html))).alias("b"))
-    b = F.col("b")
-    people = F.transform(stated_people("b"), lambda p: F.concat_ws(":", p["name"], p["role"]))
-    parts = {
-        "claims_identifier": stated_identifiers(b),
-        "founded_on": founded_years(b).cast("array<string>"),
-        "employs": employee_counts(b).cast("array<string>"),
-        "member_of_group": stated_groups(b),
-        "has_location": stated_towns(b),
-        "has_role": people,
-    }
-    each = [blocks.select(key, F.lit(p).alias("predicate"), F.explode(values).alias("object")) for p, values in parts.items()]
-    return reduce(DataFrame.unionByName, each).distinct()
-
-
 def designated_domains(lines: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """domain, id: the websites of listed entities (JSON lines), each domain for the first entity that has it."""
     d = lines.select("line", F.from_json("text", "id string, schema string, properties struct<website:array<string>>").alias("x"))

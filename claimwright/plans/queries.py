@@ -788,4 +788,4 @@ def j20(spark, sf):
 
 
 # these register themselves in the same tables
-from claimwright.plans import matching_queries, research_queries  # noqa: E402, F401
+from claimwright.plans import matching_queries, page_queries, research_queries  # noqa: E402, F401

@@ -639,15 +639,6 @@ def s23(spark, sf):
     return _block(spark, sf).select("page_id", F.array_join(people, "|").alias("found"))
 
 
-@query("s17_text_blocks", "SELECT page_id, 'T' || page_id || '|one two|three|x' AS blocks, 4 AS n FROM pages")
-def s17(spark, sf):
-    from claimwright.functions import website
-
-    html = F.concat(F.lit("<html><head><title>T"), F.col("page_id").cast("string"), F.lit("</title><style>p {}</style></head><body><p>one <b>two</b>\n</p><script>no()</script><div>three<br>x<!-- y --></div></body></html>"))
-    blocks = website.text_blocks(html)
-    return D.table(spark, sf, "pages").select("page_id", F.array_join(blocks, "|").alias("blocks"), F.size(blocks).alias("n"))
-
-
 # ---- publications and patents -----------------------------------------------------------------------
 def _author_json(spark, sf):
     k = F.col("l_orderkey")
@@ -944,16 +935,6 @@ def a32(spark, sf):
     return assembly.seeded_sample(rows, "stratum", "k", 12, "22")
 
 
-@query("s16_page_claims", f"""WITH p AS (SELECT page_id, page_id % 6 AS m FROM pages), v(m, predicate, object) AS (VALUES (0, 'claims_identifier', 'DK10000009'), (0, 'claims_identifier', 'DK00000051'), (1, 'member_of_group', 'Nordic Steel Group'), (1, 'member_of_group', 'the Big Blue Holding'), (2, 'has_location', '2200 København N'), (3, 'has_role', 'Anna Berg:founder'), (4, 'founded_on', '1998'))
-  SELECT page_id, predicate, object FROM p JOIN v USING (m)""")
-def s16(spark, sf):
-    from claimwright.operators import assembly
-
-    text = F.when(F.col("page_id") % 6 == 4, "founded in 1998").otherwise(of("page_id", *BLOCKS))
-    html = F.concat(F.lit("<html><body><div>"), text, F.lit("</div><p>"), text, F.lit("</p></body></html>"))
-    return assembly.page_claims(D.table(spark, sf, "pages").select("page_id", html.alias("html")))
-
-
 @query("i27_designated_domains", "SELECT 'site' || (c_custkey % 200) || '.example' AS domain, 'e' || min(c_custkey) AS id FROM customer WHERE c_custkey % 3 > 0 GROUP BY c_custkey % 200")
 def i27(spark, sf):
     from claimwright.operators import assembly
