@@ -11,7 +11,7 @@ from claimwright.sources import pages
 _BARE = r"regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')"
 _PLAIN = "{x}"
 for _name, _sign in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):  # an ampersand last
-    _PLAIN = f"replace({_PLAIN}, '&{_name};', '{_sign}')"
+    _PLAIN = f"regexp_replace({_PLAIN}, '&{_name};?', '{_sign}', 'g')"
 _SPACED = r"trim(regexp_replace({x}, '[ \t\n\r\f\v]+', ' ', 'g'))"
 
 

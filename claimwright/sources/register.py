@@ -86,38 +86,61 @@ def address_key(a: Column) -> Column:
     return F.concat_ws("|", *(F.coalesce(p, F.lit("")) for p in parts))
 
 
+_CLAIM = f"array<struct<predicate:string,object_repr:string,valid_from:date,valid_to:date,share:{S.SHARE},role:string>>"
+
+
+def _claim(predicate: Column | str, obj: Column, period: Column | None = None, role: str | None = None, start: Column | None = None) -> Column:
+    """One claim of a company: dated by a period, by a day, or not at all."""
+    day = F.lit(None).cast("date")
+    return F.struct(
+        (F.lit(predicate) if isinstance(predicate, str) else predicate).alias("predicate"),
+        obj.cast("string").alias("object_repr"),
+        (_day(period["gyldigFra"]) if period is not None else day if start is None else start).alias("valid_from"),
+        (_day(period["gyldigTil"]) if period is not None else day).alias("valid_to"),
+        F.lit(None).cast(S.SHARE).alias("share"),
+        F.lit(role).cast("string").alias("role"),
+    )
+
+
 def company_claims(docs: DataFrame) -> DataFrame:
     """Names, states, forms, websites, mail domains, addresses, industries, life, founding, headcount and mapped attributes of each company.
 
     A composite state counts from the newest start of a state.  ``role`` tells
-    composite states and the addresses of production units from others.
+    composite states and the addresses of production units from others.  All
+    claims of a document are one array, so it is parsed once.
     """
-    me = company_key(F.col("company.cvrNummer"))
-    parts = []
-    for field, value, predicate in (("navne", "navn", "has_name"), ("virksomhedsstatus", "status", "has_status"), ("virksomhedsform", "langBeskrivelse", "has_form")):
-        x = docs.select(me.alias("me"), F.explode(f"company.{field}").alias("v"))
-        parts.append(_rows(x, predicate, F.col("me"), F.col(f"v.{value}"), F.col("v.periode")))
-    for field, predicate, obj in (("hjemmeside", "has_website", F.col("v.kontaktoplysning")), ("elektroniskPost", "has_mail_domain", F.lower(F.substring_index("v.kontaktoplysning", "@", -1)))):
-        x = docs.select(me.alias("me"), F.explode(f"company.{field}").alias("v")).filter("NOT coalesce(v.hemmelig, false)")  # secret rows never become claims
-        parts.append(_rows(x, predicate, F.col("me"), obj, F.col("v.periode")))
-    for field, predicate, obj in (("livsforloeb", "has_lifecycle", F.lit("active")), ("hovedbranche", "has_industry", F.col("v.branchekode")), ("beliggenhedsadresse", "registered_at", address_key(F.col("v")))):
-        x = docs.select(me.alias("me"), F.explode(f"company.{field}").alias("v"))
-        parts.append(_rows(x, predicate, F.col("me"), obj, F.col("v.periode"), role=F.lit("registered_office") if predicate == "registered_at" else None))
-    x = docs.select(me.alias("me"), F.explode("company.penheder").alias("u")).select("me", F.explode("u.beliggenhedsadresse").alias("v"))
-    parts.append(_rows(x, "registered_at", F.col("me"), address_key(F.col("v")), F.col("v.periode"), role=F.lit("production_unit")))
-    meta = F.col("company.virksomhedMetadata")
-    never = F.lit(None).cast("string")
-    undated = F.struct(never.alias("gyldigFra"), never.alias("gyldigTil"))
-    starts = F.array_max(F.transform("company.virksomhedsstatus", lambda v: _day(v["periode"]["gyldigFra"])))
-    since = F.struct(starts.cast("string").alias("gyldigFra"), never.alias("gyldigTil"))
-    parts.append(_rows(docs.filter(meta["sammensatStatus"] != ""), "has_status", me, meta["sammensatStatus"], since, role=F.lit("composite")))
-    parts.append(_rows(docs.filter(meta["stiftelsesDato"] != ""), "founded_on", me, _day(meta["stiftelsesDato"]).cast("string"), undated))
+    c = lambda field: F.col(f"company.{field}")
+
+    def each(values: Column, predicate: str, obj, role: str | None = None) -> Column:
+        return F.transform(values, lambda v: _claim(predicate, obj(v), v["periode"], role))
+
+    def one(when: Column, claim: Column) -> Column:
+        return F.when(when, F.array(claim))
+
+    shown = lambda field: F.filter(c(field), lambda v: ~F.coalesce(v["hemmelig"], F.lit(False)))  # noqa: E731  secret rows never become claims
+    meta = c("virksomhedMetadata")
+    starts = F.array_max(F.transform(c("virksomhedsstatus"), lambda v: _day(v["periode"]["gyldigFra"])))
     staff = F.coalesce(*(meta[k]["antalAnsatte"] for k in HEADCOUNTS))
-    parts.append(_rows(docs.filter(staff.isNotNull()), "employs", me, staff.cast("string"), undated))
     known = F.create_map(*(F.lit(x) for kv in ATTRIBUTES.items() for x in kv))
-    x = docs.select(me.alias("me"), F.explode("company.attributter").alias("a")).select("me", known[F.col("a.type")].alias("p"), F.explode("a.vaerdier").alias("v")).filter("p IS NOT NULL")
-    parts.append(_rows(x, F.col("p"), F.col("me"), F.col("v.vaerdi"), F.col("v.periode")))
-    return reduce(DataFrame.unionByName, parts)
+    mapped = F.filter(c("attributter"), lambda a: known[a["type"]].isNotNull())
+    parts = [
+        each(c("navne"), "has_name", lambda v: v["navn"]),
+        each(c("virksomhedsstatus"), "has_status", lambda v: v["status"]),
+        each(c("virksomhedsform"), "has_form", lambda v: v["langBeskrivelse"]),
+        each(shown("hjemmeside"), "has_website", lambda v: v["kontaktoplysning"]),
+        each(shown("elektroniskPost"), "has_mail_domain", lambda v: F.lower(F.substring_index(v["kontaktoplysning"], "@", -1))),
+        each(c("livsforloeb"), "has_lifecycle", lambda v: F.lit("active")),
+        each(c("hovedbranche"), "has_industry", lambda v: v["branchekode"]),
+        each(c("beliggenhedsadresse"), "registered_at", address_key, "registered_office"),
+        each(F.flatten(F.filter(F.transform(c("penheder"), lambda u: u["beliggenhedsadresse"]), lambda a: a.isNotNull())), "registered_at", address_key, "production_unit"),
+        one(meta["sammensatStatus"] != "", _claim("has_status", meta["sammensatStatus"], None, "composite", starts)),
+        one(meta["stiftelsesDato"] != "", _claim("founded_on", _day(meta["stiftelsesDato"]))),
+        one(staff.isNotNull(), _claim("employs", staff)),
+        F.flatten(F.transform(mapped, lambda a: F.coalesce(F.transform(a["vaerdier"], lambda v: _claim(known[a["type"]], v["vaerdi"], v["periode"])), F.array().cast(_CLAIM)))),
+    ]
+    none = F.array().cast(_CLAIM)
+    made = docs.select(company_key(F.col("company.cvrNummer")).alias("subject_key"), F.explode(F.concat(*(F.coalesce(p, none) for p in parts))).alias("x"))
+    return made.select("subject_key", "x.*")
 
 
 # Legal forms at the end of a name.
