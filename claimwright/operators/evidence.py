@@ -134,6 +134,16 @@ def report_chain(turns: DataFrame, conv: str, turn: str, speaker: str) -> DataFr
     return turns.withColumn("chain", F.array_join(F.collect_list(speaker).over(before), ">"))
 
 
+def report_ranks(turns: DataFrame, conv: str, turn: str, speaker: str) -> DataFrame:
+    """conv, turn, speaker, rank (from 1, outermost first): chains as rows, for conversations of any length.
+
+    The chain of a statement is what its conversation has at smaller ranks.
+    """
+    from claimwright.operators.stats import ranked
+
+    return ranked(turns.select(conv, turn, speaker), [conv], turn, speaker)
+
+
 def severity(status: Column) -> Column:
     return F.when(status == "defect", 2).when(status == "open", 1).otherwise(0)
 

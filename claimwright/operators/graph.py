@@ -4,21 +4,28 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimwright import schemas as S
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        there = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs in one process."""
+    sc = spark.sparkContext
+    there = sc.getCheckpointDir()
+    if there is None:
+        there = spark.conf.get("spark.checkpoint.dir", None)
         if there is None:
             if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             there = tempfile.mkdtemp(prefix="cw-checkpoint-")
         sc.setCheckpointDir(there)
+    return there
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -174,27 +181,47 @@ def statement_graph(statements: DataFrame, reports: DataFrame) -> tuple[DataFram
     return every.groupBy("id").agg(F.min_by(F.struct("kind", "label"), F.struct("uid", "kind", "label")).alias("x")).select("id", "x.kind", "x.label"), joined
 
 
-def lineage(items: DataFrame, most: int = 64) -> DataFrame:
+def _linked_up(items: DataFrame) -> DataFrame:
+    """id, up: the parent, where it is an item; of rows that repeat an id the least parent counts."""
+    own = items.groupBy("id").agg(F.min("parent").alias("parent"))
+    there = own.select(F.col("id").alias("__known"))
+    return own.join(there, F.col("parent") == F.col("__known"), "left").select("id", F.col("__known").alias("up"))
+
+
+def lineage(items: DataFrame) -> DataFrame:
     """id, chain (own id first): parents until one is missing or comes round again.
 
-    Chains grow by one for each round of one join; ``most`` bounds the rounds of
-    a run, and chains that are longer than that raise an error.
+    Every round joins each chain with the chain of its last parent, so a chain of any
+    length is whole after as many rounds as its length has bits.  All chains together hold as
+    many ids as they have members; ``lineage_ranks`` tells long ones in a row each.
     """
-    parents = items.select(F.col("id").alias("__p"), F.col("parent").alias("__next"))
-    known = items.select(F.col("id").alias("__known"))
-    start = items.select("id", F.array("id").alias("chain"), "parent")
-    done: DataFrame | None = None
-    for _ in range(most):
-        step = start.join(known, F.col("parent") == F.col("__known"), "left")
-        more = F.col("__known").isNotNull() & ~F.array_contains("chain", F.col("parent"))
-        step = _cut(step.withColumn("__more", F.coalesce(more, F.lit(False))))
-        ended = step.filter("NOT __more").select("id", "chain")
-        done = ended if done is None else done.unionByName(ended)
-        going = step.filter("__more").select("id", F.concat("chain", F.array("parent")).alias("chain"), F.col("parent").alias("at"))
-        if not going.limit(1).count():
-            return done
-        start = going.join(parents, F.col("at") == F.col("__p")).select("id", "chain", F.col("__next").alias("parent"))
-    raise ValueError(f"a chain of parents has more than {most} members")
+    state = _cut(_linked_up(items).select("id", F.array("id").alias("chain"), F.col("up").alias("at")))
+    while state.filter("at IS NOT NULL").limit(1).count():
+        other = state.select(F.col("id").alias("__i"), F.col("chain").alias("__c"), F.col("at").alias("__a"))
+        both = state.join(other, F.col("at") == F.col("__i"), "left").withColumn("__all", F.when(F.col("__c").isNull(), F.col("chain")).otherwise(F.concat("chain", "__c")))
+        # parents that come round again add nothing new behind the first that does
+        own = F.array_distinct("__all")
+        state = _cut(both.select("id", own.alias("chain"), F.when(F.size(own) == F.size("__all"), F.col("__a")).alias("at")))
+    return state.select("id", "chain")
+
+
+def lineage_ranks(items: DataFrame) -> DataFrame:
+    """id, parent, top, rank: the end of each item's line of parents and how many steps lead there; both null where the line comes round again.
+
+    The line of an item is told by rows: those with its ``top`` and smaller ranks that its parents lead to.  Distances
+    double in every round.
+    """
+    linked = _cut(_linked_up(items))
+    state = _cut(linked.select("id", F.col("up").alias("parent"), F.col("up").alias("jump"), F.when(F.col("up").isNull(), F.col("id")).alias("top"), F.col("up").isNotNull().cast("long").alias("rank")))
+    reach, n = 1, state.count()
+    while reach < 2 * n:
+        other = state.select(F.col("id").alias("__i"), F.col("jump").alias("__j"), F.col("top").alias("__t"), F.col("rank").alias("__r"))
+        both = state.join(other, F.col("jump") == F.col("__i"), "left")
+        state = _cut(both.select("id", "parent", F.col("__j").alias("jump"), F.coalesce("top", "__t").alias("top"), (F.col("rank") + F.coalesce("__r", F.lit(0).cast("long"))).alias("rank")))
+        reach *= 2
+        if not state.filter("jump IS NOT NULL").limit(1).count():
+            break
+    return state.select("id", "parent", "top", F.when(F.col("top").isNotNull(), F.col("rank")).alias("rank"))
 
 
 def foreign_expansions(entries: DataFrame, registers: DataFrame, resolved: DataFrame, home: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimwright.operators.graph import connected
 from claimwright.operators.temporal import in_force
 
 
@@ -83,10 +84,16 @@ def context_window(text: Column, start: Column, end: Column, margin: int = 600,
     return F.substr(text, left + 1, F.least(F.lit(most), right - left))
 
 
+def canonical_ids(aliases: DataFrame) -> DataFrame:
+    """alias, canonical: ids that accepted aliases link, through any number of them, and the least of each group."""
+    accepted = aliases.filter("accepted").select(F.col("alias").alias("a"), F.col("canonical").alias("b")).filter("a <> b")
+    return connected(accepted).select(F.col("node").alias("alias"), F.col("component").alias("canonical"))
+
+
 def resolved(keys: DataFrame, aliases: DataFrame, key: str = "key") -> DataFrame:
-    """Keys with the canonical id of their accepted alias."""
-    accepted = aliases.filter("accepted").select(F.col("alias").alias(key), "canonical")
-    return keys.join(accepted, key, "left").withColumn("canonical", F.coalesce("canonical", F.col(key)))
+    """Keys with the canonical id of all that accepted aliases link them with; their own where nothing does."""
+    known = canonical_ids(aliases).select(F.col("alias").alias(key), "canonical")
+    return keys.join(known, key, "left").withColumn("canonical", F.coalesce("canonical", F.col(key)))
 
 
 def flag_in_force(observations: DataFrame, current: DataFrame) -> DataFrame:

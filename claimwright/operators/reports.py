@@ -134,9 +134,20 @@ def cohort(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.groupBy("company").agg(F.min(F.struct("page", "pos", "arm")).alias("x")).select("company", F.col("x.arm").alias("arm"), F.col("x.page").alias("page"))
 
 
-def blob_text(log: DataFrame, blobs: DataFrame, preview: int = 200_000) -> DataFrame:
-    """The log with its stored bodies by hash, cut to a preview; a body that is missing is null."""
-    return log.join(blobs.select("content_hash", F.substring("body", 1, preview).alias("body")), "content_hash", "left")
+def blob_text(log: DataFrame, blobs: DataFrame) -> DataFrame:
+    """The log with its stored bodies by hash, whole; a body that is missing is null."""
+    return log.join(blobs.select("content_hash", "body"), "content_hash", "left")
+
+
+def blob_preview(log: DataFrame, blobs: DataFrame, most: int = 200_000) -> DataFrame:
+    """``blob_text`` cut to its first characters, with ``whole``: whether that is all."""
+    cut = blobs.select("content_hash", F.substring("body", 1, most).alias("body"), (F.length("body") <= most).alias("whole"))
+    return log.join(cut, "content_hash", "left")
+
+
+def blob_json(log: DataFrame, blobs: DataFrame, schema: str) -> DataFrame:
+    """The log with its stored bodies parsed by a schema; null where a body is missing or is no such JSON."""
+    return blob_text(log, blobs).withColumn("body", F.from_json("body", schema))
 
 
 def licensed(rows: DataFrame, registry: DataFrame) -> DataFrame:

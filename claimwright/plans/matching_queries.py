@@ -38,7 +38,7 @@ _SUBJECTS = f"""
 _PAIRS = "SELECT x.subject, x.as_of, coalesce(x.why, CASE WHEN control IS NULL THEN 'no matching control' ELSE 'matched' END) AS outcome, control FROM x LEFT JOIN n ON n.subject = x.subject LEFT JOIN m ON m.i = n.i"
 
 
-def _pairs(spark, sf):
+def case_pairs(spark, sf):
     event = F.min(F.when(F.col("o_totalprice") > EVENT_PRICE, F.col("o_orderdate"))).cast("date")
     of = D.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("subject")).agg(F.min("o_orderdate").cast("date").alias("born"), F.max("o_orderdate").cast("date").alias("gone"), event.alias("event"), F.max("o_totalprice").alias("top"))
     form = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("subject"), F.col("c_mktsegment").alias("form"))
@@ -50,12 +50,12 @@ def _pairs(spark, sf):
 
 @query("j16_case_date_pairs", f"WITH RECURSIVE {_SUBJECTS} {_PAIRS}")
 def j16_case_date_pairs(spark, sf):
-    return _pairs(spark, sf)
+    return case_pairs(spark, sf)
 
 
 @query("j16_drop_reasons", f"WITH RECURSIVE {_SUBJECTS} SELECT outcome, count(*) AS n FROM ({_PAIRS}) GROUP BY 1")
 def j16_drop_reasons(spark, sf):
-    return matching.drop_reasons(_pairs(spark, sf))
+    return matching.drop_reasons(case_pairs(spark, sf))
 
 
 # ---- names and identifiers that look alike -------------------------------------------------------------

@@ -615,7 +615,7 @@ def j19(spark, sf):
     return evidence.missing_references(D.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", D.table(spark, sf, "lineitem"), "l_orderkey")
 
 
-@query("g10_report_chains", "SELECT conv_id, turn, role, array_to_string(coalesce(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), []), '>') AS chain FROM conversations")
+@query("g10_report_chains", "SELECT conv_id, turn, role, array_to_string(coalesce(list(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []), '>') AS chain FROM conversations")
 def g10(spark, sf):
     return evidence.report_chain(D.table(spark, sf, "conversations"), "conv_id", "turn", "role").select("conv_id", "turn", "role", "chain")
 
@@ -788,4 +788,4 @@ def j20(spark, sf):
 
 
 # these register themselves in the same tables
-from claimwright.plans import matching_queries, page_queries, research_queries  # noqa: E402, F401
+from claimwright.plans import cohort_queries, matching_queries, page_queries, research_queries  # noqa: E402, F401

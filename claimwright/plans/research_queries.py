@@ -462,12 +462,12 @@ def i29(spark, sf):
     return reports.first_pages(e, "click").select("resource_id", "page")
 
 
-@query("i3_blob_read", "SELECT event_id AS seq, CASE WHEN length(props) % 2 = 0 THEN substr(props, 1, 12) END AS body FROM events")
+@query("i3_blob_read", "SELECT event_id AS seq, CASE WHEN length(props) % 2 = 0 THEN props END AS body FROM events")
 def i3(spark, sf):
     log = D.fetches(spark, sf).select("seq", "content_hash")
     e = D.table(spark, sf, "events").select("props").distinct().filter(F.length("props") % 2 == 0)
     blobs = e.select(F.md5(F.col("props").cast("binary")).alias("content_hash"), F.col("props").alias("body"))
-    return reports.blob_text(log, blobs, 12).select("seq", "body")
+    return reports.blob_text(log, blobs).select("seq", "body")
 
 
 @query("i24_licensed", "SELECT event_id AS seq, event_type IN ('view', 'click') AS quotable FROM events")

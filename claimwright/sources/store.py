@@ -10,6 +10,7 @@ were new.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +41,8 @@ def published(chunks: DataFrame, root: str) -> DataFrame:
         import pyarrow as pa
         from pyarrow import fs
 
-        where, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        uri = re.sub(r"^file:/(?!/)", "file:///", root)
+        where, base = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), root)
         where.create_dir(f"{base}/.tmp", recursive=True)
 
         def rows():
