@@ -39,7 +39,7 @@ from claimwright.llm.common import ship
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_CHARS = 1 << 16
 #: Bytes that an encoder's memory of texts may hold.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 192 << 20
 #: Token pairs whose staying apart is remembered (about 100 bytes each).
 PAIRS = 200_000
 #: Bytes read before the transducer looks for a common point to emit up to.
