@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from claimwright.functions import network
-from claimwright.operators import evidence, graph, pairing, reports, separation
+from claimwright.operators import evidence, graph, pairing, profile, reports, separation, shares
 from claimwright.plans.matching_queries import _PAIRS, _SUBJECTS, case_pairs
-from claimwright.plans.queries import query
+from claimwright.plans.queries import _ROLES, AS_OF, HOLDINGS, _roles, query
 from claimwright.plans.research_queries import of, of_sql
 from claimwright.sources import arrays, store
 from claimwright.sources import datasets as D
@@ -51,6 +51,40 @@ def a26_gap_rates(spark, sf):
     return found.select("expectation", "n_gaps", "n_agenda", F.round("base_rate", 9).alias("base_rate"), F.round("agenda_rate", 9).alias("agenda_rate"))
 
 
+@query("a10_full_rates", f"""WITH {HOLDINGS}, {_ROLES},
+  vl AS (SELECT company, holder, vbp AS v FROM hold WHERE valid_from <= DATE '{AS_OF}' AND (valid_to IS NULL OR valid_to >= DATE '{AS_OF}')),
+  b AS (SELECT company, holder, bp AS e, v FROM live FULL JOIN vl USING (company, holder)), k AS (SELECT r.company, max(directorships) AS most FROM r JOIN ix USING (person) GROUP BY 1),
+  g AS (SELECT company, count(e) AS owners, coalesce(bool_or(v - coalesce(e, 0) >= 1), false) AS voting, coalesce(bool_or(holder % 5 = 0 AND e > 5000), false) AS unresolvable, coalesce(bool_or(e NOT IN (10000, 5000, 3333, 1000, 2500, 500, 2000, 6667, 1500, 9000, 0)), false) AS unusual,
+    count(*) FILTER (WHERE e < 5000) >= 2 AND coalesce(sum(e) FILTER (WHERE e < 5000), 0) > 5000 AS sub, sum(e) < 9999 AS residual FROM b GROUP BY 1 HAVING count(e) > 0)
+  SELECT least(owners, 6) AS stratum, count(*) AS n, round(avg(coalesce(most >= 100, false)::INT), 9) AS nominee_density, round(avg(voting::INT), 9) AS voting_exceeds_equity, round(avg(unresolvable::INT), 9) AS majority_owner_unresolvable,
+    round(avg(unusual::INT), 9) AS unusual_ownership_percentage, round(avg(sub::INT), 9) AS subthreshold_aggregate_over_50, round(avg(residual::INT), 9) AS ownership_residual_unaccounted FROM g LEFT JOIN k USING (company) GROUP BY 1""")
+def a10_full(spark, sf):
+    roles = _roles(spark, sf)
+    people = roles.join(roles.groupBy("person").agg(F.count_distinct("company").alias("directorships")), "person").select("company", "directorships")
+    rates = profile.stratified_rates(profile.company_profile(D.owns(spark, sf), D.votes(spark, sf), people, AS_OF, F.pmod("holder", F.lit(5)) == 0))
+    return rates.select("stratum", "n", *(F.round(p, 9).alias(p) for p in profile.PROFILE))
+
+
+@query("a27_bunching_ratios", f"""WITH {HOLDINGS}, t(threshold) AS (VALUES (500), (1000), (2500), (3333), (5000), (6667), (9000)),
+  c AS (SELECT threshold, count(*) FILTER (WHERE bp >= threshold - 200 AND bp < threshold) AS below2, count(*) FILTER (WHERE bp >= threshold - 100 AND bp < threshold) AS below1, count(*) FILTER (WHERE bp = threshold) AS "at", count(*) FILTER (WHERE bp > threshold AND bp <= threshold + 100) AS above1 FROM live, t GROUP BY 1)
+  SELECT threshold, below2, below1, "at", above1, CASE WHEN above1 > 0 THEN round(below1::DOUBLE / above1, 9) END AS ratio FROM c""")
+def a27_ratios(spark, sf):
+    rows = profile.bunching_ratios(shares.per_holder(D.owns(spark, sf), AS_OF))
+    return rows.select(F.round(F.col("threshold") * 10_000).cast("int").alias("threshold"), "below2", "below1", "at", "above1", F.round("ratio", 9).alias("ratio"))
+
+
+@query("a27_common_shares", f"WITH {HOLDINGS} SELECT CAST(bp AS INTEGER) AS share_bp, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS rate FROM live GROUP BY 1 ORDER BY n DESC, 1 LIMIT 12")
+def a27_common(spark, sf):
+    rows = profile.common_values(shares.per_holder(D.owns(spark, sf), AS_OF))
+    return rows.select(F.round(F.col("share") * 10_000).cast("int").alias("share_bp"), "n", F.round("rate", 9).alias("rate"))
+
+
+@query("a27_roles_per_person", f"WITH {_ROLES}, c AS (SELECT person, count(*) AS n_roles FROM r GROUP BY 1), d AS (SELECT n_roles, count(*) AS people FROM c GROUP BY 1) SELECT n_roles, people, round(sum(people) OVER (ORDER BY n_roles) / sum(people) OVER (), 9) AS cumulative FROM d")
+def a27_roles(spark, sf):
+    rows = profile.roles_per_person(_roles(spark, sf).distinct())
+    return rows.select("n_roles", "people", F.round("cumulative", 9).alias("cumulative"))
+
+
 # ---- lines of parents, aliases ----------------------------------------------------------------------
 @query("g13_lineage_ranks", """WITH RECURSIVE h AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 50 <> 0 THEN o_orderkey - 1 WHEN o_orderkey % 400 = 0 AND o_orderkey > 0 THEN o_orderkey + 20 END AS parent FROM orders),
   w(id, here, n) AS (SELECT id, id, CAST(0 AS BIGINT) FROM h UNION ALL SELECT w.id, p.id, n + 1 FROM w JOIN h ON h.id = w.here JOIN h p ON p.id = h.parent WHERE n < 60),
