@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from claimwright.functions import network
-from claimwright.operators import evidence, graph, pairing, profile, reports, separation, shares
+from claimwright.operators import evidence, graph, matrix, pairing, profile, reports, separation, shares
 from claimwright.plans.matching_queries import _PAIRS, _SUBJECTS, case_pairs
 from claimwright.plans.queries import _ROLES, AS_OF, HOLDINGS, _roles, query
 from claimwright.plans.research_queries import of, of_sql
@@ -111,6 +111,43 @@ def j22(spark, sf):
     return pairing.resolved(p.select(name(k).alias("key")), aliases)
 
 
+# ---- evidence and explanations ----------------------------------------------------------------------
+_READINGS = ("consistent", "inconsistent", "consistent", "narrows", "neutral", "not_applicable", "consistent")
+
+
+@query("m4_matrix", f"""WITH x AS (SELECT i // 4 AS question, i AS explanation, CASE WHEN i % 4 = 3 THEN i - 1 WHEN i % 4 = 2 AND i > 4 THEN i - 1 END AS parent FROM range(16) r(i)),
+  up AS (SELECT explanation, explanation AS above FROM x UNION SELECT explanation, parent FROM x WHERE parent IS NOT NULL UNION SELECT a.explanation, b.parent FROM x a JOIN x b ON b.explanation = a.parent WHERE b.parent IS NOT NULL),
+  kin AS (SELECT explanation AS a, above AS b FROM up UNION SELECT above, explanation FROM up), p AS (SELECT i // 2 AS explanation, i AS prediction, i % 3 > 0 AND i < 24 AS observable, CASE WHEN i % 5 > 0 THEN 1985 + i END AS made FROM range(28) r(i)),
+  own AS (SELECT DISTINCT up.explanation, prediction, observable, made FROM p JOIN up ON up.above = p.explanation), r AS (SELECT p_partkey AS row, CASE WHEN p_partkey % 9 > 0 THEN 1985 + p_partkey % 40 END AS year, p_partkey % 7 = 0 AS contested FROM part),
+  c AS (SELECT l_partkey AS row, l_suppkey % 15 AS explanation, min(l_orderkey) AS k FROM lineitem WHERE l_partkey IN (SELECT row FROM r) GROUP BY 1, 2),
+  d AS (SELECT c.row, c.explanation, x.question, year, contested, {of_sql('k', *_READINGS)} AS reading, CASE WHEN k % 4 > 0 THEN (CASE WHEN k % 8 = 1 AND parent IS NOT NULL THEN parent ELSE c.explanation END) * 2 + k % 2 END AS tests FROM c JOIN x USING (explanation) JOIN r USING (row)),
+  t AS (SELECT question, row FROM d WHERE reading <> 'not_applicable' GROUP BY 1, 2 HAVING bool_or(reading = 'inconsistent') AND NOT bool_and(reading = 'inconsistent')),
+  f AS (SELECT d.*, own.observable, own.made, t.row IS NOT NULL AS tells, d.reading = 'consistent' AND d.tests IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d o WHERE o.question = d.question AND o.row = d.row AND o.reading = 'consistent' AND NOT EXISTS (SELECT 1 FROM kin WHERE kin.a = d.explanation AND kin.b = o.explanation)) AS alone
+        FROM d LEFT JOIN own ON own.explanation = d.explanation AND own.prediction = d.tests LEFT JOIN t ON t.question = d.question AND t.row = d.row),
+  g AS (SELECT question, explanation, count(*) FILTER (WHERE reading = 'inconsistent' AND NOT contested) AS inconsistent, count(*) FILTER (WHERE reading = 'inconsistent' AND contested) AS inconsistent_disputed,
+    count(*) FILTER (WHERE reading = 'inconsistent' AND tests IS NOT NULL AND NOT contested) AS contradicted, count(*) FILTER (WHERE reading = 'inconsistent' AND tests IS NOT NULL AND contested) AS contradicted_disputed,
+    count(*) FILTER (WHERE alone AND NOT coalesce(year <= made, false) AND NOT contested) AS confirmed, count(*) FILTER (WHERE alone AND NOT coalesce(year <= made, false) AND contested) AS confirmed_disputed, count(*) FILTER (WHERE alone AND coalesce(year <= made, false)) AS accommodated,
+    count(*) FILTER (WHERE reading = 'consistent') AS consistent, count(*) FILTER (WHERE reading = 'consistent' AND tells) AS consistent_discriminating, count(*) FILTER (WHERE reading = 'narrows') AS narrowed, count(*) FILTER (WHERE reading = 'neutral') AS neutral,
+    count(*) FILTER (WHERE reading = 'not_applicable') AS not_applicable, count(*) AS assessed, count(*) FILTER (WHERE observable) AS tested FROM f GROUP BY 1, 2),
+  s AS (SELECT explanation, count(*) AS n, count(*) FILTER (WHERE observable) AS seen FROM own GROUP BY 1),
+  h AS (SELECT x.question, x.explanation, COLUMNS(lambda c: c IN ('inconsistent', 'inconsistent_disputed', 'contradicted', 'contradicted_disputed', 'confirmed', 'confirmed_disputed', 'accommodated', 'consistent', 'consistent_discriminating', 'narrowed', 'neutral', 'not_applicable')), assessed, tested, n, seen FROM x LEFT JOIN g ON g.explanation = x.explanation LEFT JOIN s ON s.explanation = x.explanation)
+  SELECT question, explanation, coalesce(inconsistent, 0) AS inconsistent, coalesce(inconsistent_disputed, 0) AS inconsistent_disputed, coalesce(contradicted, 0) AS contradicted, coalesce(contradicted_disputed, 0) AS contradicted_disputed, coalesce(confirmed, 0) AS confirmed, coalesce(confirmed_disputed, 0) AS confirmed_disputed,
+    coalesce(accommodated, 0) AS accommodated, coalesce(consistent, 0) AS consistent, coalesce(consistent_discriminating, 0) AS consistent_discriminating, coalesce(narrowed, 0) AS narrowed, coalesce(neutral, 0) AS neutral, coalesce(not_applicable, 0) AS not_applicable,
+    (SELECT count(*) FROM r) - coalesce(assessed, 0) AS unassessed, CASE WHEN n IS NULL THEN '{matrix.NO_PREDICTION}' WHEN seen = 0 THEN '{matrix.NOT_OBSERVABLE}' WHEN coalesce(tested, 0) = 0 THEN '{matrix.NOT_TESTED}' END AS immune,
+    CAST(row_number() OVER (PARTITION BY question ORDER BY coalesce(inconsistent, 0), coalesce(inconsistent_disputed, 0), coalesce(confirmed, 0) DESC, coalesce(confirmed, 0) + coalesce(confirmed_disputed, 0) DESC, explanation) AS INTEGER) AS place FROM h""")
+def m4_matrix(spark, sf):
+    i = F.col("id")
+    x = spark.range(16).select(F.floor(i / 4).alias("question"), i.alias("explanation"), F.when((i % 4 == 3) | ((i % 4 == 2) & (i > 4)), i - 1).alias("parent"))
+    p = spark.range(28).select(F.floor(i / 2).alias("explanation"), i.alias("prediction"), ((i % 3 > 0) & (i < 24)).alias("observable"), F.when(i % 5 > 0, i + 1985).alias("made"))
+    k = F.col("p_partkey")
+    r = D.table(spark, sf, "part").select(k.alias("row"), F.when(k % 9 > 0, k % 40 + 1985).alias("year"), (k % 7 == 0).alias("contested"))
+    least = F.col("k")
+    c = D.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("row"), (F.col("l_suppkey") % 15).alias("explanation")).agg(F.min("l_orderkey").alias("k"))
+    c = c.join(x.select("explanation", "parent"), "explanation")
+    tests = F.when(least % 4 > 0, F.when((least % 8 == 1) & F.col("parent").isNotNull(), F.col("parent")).otherwise(F.col("explanation")) * 2 + least % 2)
+    return matrix.matrix(x, p, r, c.select("row", "explanation", of("k", *_READINGS).alias("reading"), tests.alias("tests")))
+
+
 # ---- networks ------------------------------------------------------------------------------------------
 _ASNS = ("13335", "24940", "64512", "16509", "15169")
 
