@@ -101,19 +101,3 @@ def factsheet(subjects: DataFrame, results: DataFrame, rates: DataFrame, lead: i
     section = F.when(F.col("value") == S.TRUE, "fired").when(F.col("value") == S.FALSE, "not_fired").when(F.col("value") == S.UNKNOWN, "open").otherwise("not_evaluable")
     rows = results.join(dated, "company").join(F.broadcast(rates), "predicate", "left")  # one rate a predicate
     return rows.select("company", "as_of", section.alias("section"), "predicate", F.when(F.col("value") == S.TRUE, F.col("rate")).alias("comparator"))
-
-
-def date_candidates(html: Column) -> Column:
-    """array<struct<basis, pos, value>>: dates that a page states of itself, by JSON-LD, citation and other meta tags of its head."""
-    head = F.substring_index(F.lower(html), "</head>", 1)
-    day = r"(\d{4}(?:-\d{2}(?:-\d{2})?)?)"
-    patterns = (
-        ("json-ld datePublished", html, rf'"datePublished"\s*:\s*"{day}'),
-        ("citation meta", head, rf'<meta[^>]*name=["\']citation_(?:publication_)?date["\'][^>]*content=["\']{day}'),
-        ("meta tag", head, rf'<meta[^>]*(?:property|name)=["\'](?:article:published_time|date|dc\.date)["\'][^>]*content=["\']{day}'),
-    )
-
-    def stated(basis: str, text: Column, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v, i: F.struct(F.lit(basis).alias("basis"), i.alias("pos"), v.alias("value")))
-
-    return F.concat(*(stated(*p) for p in patterns))

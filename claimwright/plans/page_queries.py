@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claimwright.functions.dates import date_candidates
 from claimwright.plans.queries import query
 from claimwright.sources import datasets as D
 from claimwright.sources import pages
@@ -56,3 +57,22 @@ def s16(spark, sf):
     html = F.replace("html", F.lit("</article>"), facts)
     said = pages.page_statements(D.table(spark, sf, "pages").select(k, html.cast("binary").alias("body")))
     return said.select("page_id", "predicate", "object", "pattern", "role", "distance", "checks_against")
+
+
+@query("t8_date_candidates", """WITH p AS (SELECT page_id, 1990 + page_id % 40 AS y, 1 + page_id % 14 AS m, 1 + page_id % 31 AS d FROM pages),
+  v AS (
+    SELECT page_id, 0 AS o, 'json-ld datePublished' AS basis, try_cast(y || '-' || m || '-' || d AS DATE) AS day, NULL AS plain FROM p WHERE page_id % 3 = 0
+    UNION ALL SELECT page_id, 1, 'citation meta', NULL, CASE WHEN m <= 12 THEN y || '-' || lpad(CAST(m AS VARCHAR), 2, '0') END FROM p WHERE page_id % 2 = 0
+    UNION ALL SELECT page_id, 2, 'meta tag', NULL, CAST(y AS VARCHAR) FROM p WHERE page_id % 5 = 0)
+  SELECT p.page_id, coalesce(string_agg(basis || '=' || coalesce(strftime(day, '%Y-%m-%d'), plain), ';' ORDER BY o) FILTER (WHERE day IS NOT NULL OR plain IS NOT NULL), '') AS dates FROM p LEFT JOIN v USING (page_id) GROUP BY 1""")
+def t8(spark, sf):
+    """Pages with dates put into their heads, and others in their bodies, which do not count."""
+    k = F.col("page_id")
+    year, month, day = ((k % n + start).cast("string") for n, start in ((40, 1990), (14, 1), (31, 1)))
+    join = lambda *parts: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in parts))
+    ld = F.when(k % 3 == 0, join('<script type="application/ld+json">{"@graph": [{"@type": ["WebPage"], "datePublished": "1901"}, {"@type": "NewsArticle", "datePublished": "', year, "-", month, "-", day, '"}]}</script>')).otherwise("")
+    cited = F.when(k % 2 == 0, join("<meta content='", year, "/", month, "' name='Citation_Date'>")).otherwise("")
+    plain = F.when(k % 5 == 0, join('<meta property="article:published_time" content="', year, '">')).otherwise("")
+    html = F.replace(F.replace("html", F.lit("</head>"), join(ld, cited, plain, "</head>")), F.lit("<article>"), F.lit('<article><meta name="date" content="1999">'))
+    found = F.transform(date_candidates(html, F.lit("html"), F.col("url")), lambda c: F.concat_ws("=", c["basis"], c["value"]))
+    return D.table(spark, sf, "pages").select("page_id", F.array_join(found, ";").alias("dates"))

@@ -988,15 +988,6 @@ def p29(spark, sf):
     return assembly.factsheet(subjects, _results(spark, sf), spark.createDataFrame([("a", 0.25)], "predicate string, rate double"))
 
 
-@query("t8_date_candidates", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'json-ld datePublished=2020-01-02;meta tag=2021-05' WHEN 1 THEN 'citation meta=2019;citation meta=2018-02' ELSE '' END AS dates FROM pages""")
-def t8(spark, sf):
-    from claimwright.operators import assembly
-
-    html = of("page_id", '<head><META property="article:published_time" content="2021-05"></head><script>{"datePublished": "2020-01-02T01:00"}</script><meta name="date" content="1999">', "<head><meta name='citation_date' content='2019'><meta name='citation_publication_date' content='2018-02'></head>", "<p>2017-01-01</p>")
-    found = F.transform(assembly.date_candidates(html), lambda c: F.concat_ws("=", c["basis"], c["value"]))
-    return D.table(spark, sf, "pages").select("page_id", F.array_join(found, ";").alias("dates"))
-
-
 @query("s15_document_paths", """WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)) AS r FROM orders WHERE o_orderkey % 3 = 0)
   SELECT p AS path, CASE WHEN contains(p, 'deltagerRelation') THEN r ELSE n END AS documents FROM n, (VALUES ('Vrvirksomhed'), ('Vrvirksomhed.cvrNummer'), ('Vrvirksomhed.navne'), ('Vrvirksomhed.virksomhedsstatus'), ('Vrvirksomhed.attributter'), ('Vrvirksomhed.deltagerRelation'),
     ('Vrvirksomhed.navne.navn'), ('Vrvirksomhed.virksomhedsstatus.status'), ('Vrvirksomhed.attributter.type'), ('Vrvirksomhed.attributter.vaerdier'), ('Vrvirksomhed.deltagerRelation.deltager'), ('Vrvirksomhed.deltagerRelation.organisationer')) v(p)""")

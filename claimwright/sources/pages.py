@@ -24,7 +24,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("script style noscript svg template".split())
 ENDS = {"p": {"p"}, "div": {"p"}, "ul": {"p"}, "ol": {"p"}, "table": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, **{f"h{n}": {"p"} for n in range(1, 7)}}
 CHARSET = re.compile(rb"""<meta[^>]+charset=["']?\s*([\w-]+)""", re.IGNORECASE)
-HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(?:\.0+)?\s*(?:;|$)|font-size\s*:\s*0(?:px|em|rem|%)?\s*(?:;|$)|(?:left|top)\s*:\s*-\d{3,}px", re.IGNORECASE)
 BLOCKS = ArrayType(StructType([StructField(n, StringType()) for n in ("text", "tag", "path")]))
 
 
