@@ -61,6 +61,8 @@ def j16_drop_reasons(spark, sf):
 # ---- names and identifiers that look alike -------------------------------------------------------------
 @query("j13_name_candidates")
 def j13_name_candidates(spark, sf):
-    """Documents' opening words as names in different sources, by block matching, which SQL cannot express; a test holds it against all pairs."""
-    d = D.table(spark, sf, "documents").filter("text IS NOT NULL")
-    return likeness.name_candidates(d.select(F.col("doc_id").alias("entity"), F.substring("text", 1, 24).alias("label"), "source", F.col("doc_id").alias("linked")))
+    """Names of sites under different suffixes by block matching, which SQL cannot express; a test holds it against all pairs."""
+    host = F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)
+    sites = D.table(spark, sf, "pages").select(host.alias("host")).filter("host <> ''").distinct()
+    name = F.regexp_replace(F.regexp_replace("host", r"\.[^.]+\.[^.]+$", ""), "^m\\.", "")
+    return likeness.name_candidates(sites.select(F.col("host").alias("entity"), name.alias("label"), F.substring_index("host", ".", -1).alias("source"), F.col("host").alias("linked")))
