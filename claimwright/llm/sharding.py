@@ -54,11 +54,17 @@ def edited(sizes: dict[int, tuple[int, int]], shards: int, before: dict[int, int
 
     Slots are taken by falling bytes.  One without a shard (in the first
     version, or of a shard that is given up) goes to the shard with fewest
-    bytes; so does one whose shard holds the mean and more without it.
+    bytes; so does one whose shard holds the mean and more without it (the mean
+    of what is left when slots larger than it have shards of their own).
     """
     before = {s: k for s, k in (before or {}).items() if k < shards}
     weight = {s: sizes.get(s, (0, 0))[0] for s in range(slots)}
-    total, loads = sum(weight.values()), [0] * shards
+    # the mean of what can be shared out: a slot above it fills a shard alone
+    total, left, loads = sum(weight.values()), shards, [0] * shards
+    for w in sorted(weight.values(), reverse=True):
+        if left == 1 or w * left <= total:
+            break
+        total, left = total - w, left - 1
     for s, k in before.items():
         loads[k] += weight[s]
     least = [(load, k) for k, load in enumerate(loads)]
@@ -66,7 +72,7 @@ def edited(sizes: dict[int, tuple[int, int]], shards: int, before: dict[int, int
     after = {}
     for s in sorted(weight, key=lambda s: (-weight[s], s)):
         here = before.get(s)
-        if here is not None and (not weight[s] or (loads[here] - weight[s]) * shards < total):
+        if here is not None and (not weight[s] or (loads[here] - weight[s]) * left < total):
             after[s] = here
             continue
         while least[0][0] != loads[least[0][1]]:  # told before its shard changed
