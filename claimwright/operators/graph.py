@@ -34,6 +34,16 @@ def owner_edges(claims: DataFrame) -> DataFrame:
     return claims.groupBy("owned", "owner").agg(F.max("share").alias("share"))
 
 
+def of_members(rows: DataFrame, members: DataFrame, *columns: str) -> DataFrame:
+    """What holds of a group, as a row of each of its ``members`` (root, group); of ``columns``, the group's own name becomes the member's.
+
+    Roots with equal edges to owners are one group, worked out once; no root of a group may own anything.
+    """
+    own = lambda c: F.when(F.col(c) == F.col("group"), F.col("__member")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
+    both = rows.withColumnRenamed("root", "group").join(members.select(F.col("root").alias("__member"), "group"), "group")
+    return both.select(*(F.col("__member").alias("root") if c == "root" else own(c) for c in rows.columns))
+
+
 def effective_ownership(roots: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
     """root, owner, effective, routes, incomplete, terminal.
 
@@ -55,32 +65,35 @@ def effective_ownership(roots: DataFrame, edges: DataFrame, max_depth: int = 4)
     return total.join(owned, "owner", "left").select("root", "owner", "effective", "routes", "incomplete", F.col("__more").isNull().alias("terminal"))
 
 
-def expand(roots: DataFrame, edges: DataFrame, kinds: DataFrame, *, max_depth: int = 4, max_nodes: int = 200) -> DataFrame:
+def expand(roots: DataFrame, edges: DataFrame, kinds: DataFrame, *, max_depth: int = 4, max_nodes: int | None = 200) -> DataFrame:
     """root, node, depth, stop: level-wise expansion with budgets.
 
     ``kinds`` (node, kind) has kind person, company or opaque; a company without
     an entry was not found.  A node stops as natural_person, unresolvable,
     max_depth, budget or not_found, in that order of tests; others are expanded.
     The budget holds exactly: nodes are ranked as discovered, by depth, parent
-    and id.
+    and id.  None is no budget.
     """
     from pyspark.sql import Window
 
     known = _cut(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("stop"), F.lit(0).cast("long").alias("rank")))
     frontier = known
     for depth in range(1, max_depth + 1):
-        seen = known.groupBy("root").agg(F.count(F.lit(1)).alias("__seen"))
         step = frontier.filter("stop IS NULL").join(edges.select(F.col("owned").alias("node"), "owner"), "node")
         new = step.groupBy("root", F.col("owner").alias("next")).agg(F.min("node").alias("parent"))
         new = new.join(known.select("root", F.col("node").alias("next")), ["root", "next"], "left_anti")
-        order = Window.partitionBy("root").orderBy("parent", "next")
-        ranked = new.join(seen, "root").withColumn("rank", F.row_number().over(order) - 1 + F.col("__seen"))
+        if max_nodes is None:
+            ranked = new.withColumn("rank", F.lit(None).cast("long"))
+        else:
+            seen = known.groupBy("root").agg(F.count(F.lit(1)).alias("__seen"))
+            order = Window.partitionBy("root").orderBy("parent", "next")
+            ranked = new.join(seen, "root").withColumn("rank", F.row_number().over(order) - 1 + F.col("__seen"))
         typed = ranked.join(kinds.select(F.col("node").alias("next"), "kind"), "next", "left")
         stop = (
             F.when(F.col("kind") == "person", "natural_person")
             .when(F.col("kind") == "opaque", "unresolvable")
             .when(F.lit(depth) >= max_depth, "max_depth")
-            .when(F.col("rank") >= max_nodes, "budget")
+            .when(F.col("rank") >= F.lit(max_nodes), "budget")
             .when(F.col("kind").isNull(), "not_found")
         )
         frontier = _cut(typed.select("root", F.col("next").alias("node"), F.lit(depth).alias("depth"), stop.alias("stop"), F.col("rank").cast("long").alias("rank")))
