@@ -222,17 +222,18 @@ def lineage_ranks(items: DataFrame) -> DataFrame:
     """id, parent, top, rank: the end of each item's line of parents and how many steps lead there; both null where the line comes round again.
 
     The line of an item is told by rows: those with its ``top`` and smaller ranks that its parents lead to.  Distances
-    double in every round.
+    double in every round.  Of lines that end, each round ends some, so what is left of a round without any comes round again.
     """
     linked = _cut(_linked_up(items))
     state = _cut(linked.select("id", F.col("up").alias("parent"), F.col("up").alias("jump"), F.when(F.col("up").isNull(), F.col("id")).alias("top"), F.col("up").isNotNull().cast("long").alias("rank")))
-    reach, n = 1, state.count()
-    while reach < 2 * n:
+    left = state.filter("jump IS NOT NULL").count()
+    while left:
         other = state.select(F.col("id").alias("__i"), F.col("jump").alias("__j"), F.col("top").alias("__t"), F.col("rank").alias("__r"))
-        both = state.join(other, F.col("jump") == F.col("__i"), "left")
-        state = _cut(both.select("id", "parent", F.col("__j").alias("jump"), F.coalesce("top", "__t").alias("top"), (F.col("rank") + F.coalesce("__r", F.lit(0).cast("long"))).alias("rank")))
-        reach *= 2
-        if not state.filter("jump IS NOT NULL").limit(1).count():
+        both = state.filter("jump IS NOT NULL").join(other, F.col("jump") == F.col("__i"))
+        moved = both.select("id", "parent", F.col("__j").alias("jump"), F.col("__t").alias("top"), (F.col("rank") + F.col("__r")).alias("rank"))
+        state = _cut(state.filter("jump IS NULL").unionByName(moved))
+        before, left = left, state.filter("jump IS NOT NULL").count()
+        if left == before:
             break
     return state.select("id", "parent", "top", F.when(F.col("top").isNotNull(), F.col("rank")).alias("rank"))
 
