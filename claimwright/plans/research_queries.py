@@ -192,7 +192,8 @@ LISTED = "tg AS (SELECT c_custkey, 't' || lpad(CAST(c_custkey AS VARCHAR), 9, '0
     CASE WHEN n.company IS NULL THEN 'no holders filed' WHEN n.named = 0 THEN 'no holder carries a name' END AS reason, b.hit, 't' || lpad(CAST(b.hit AS VARCHAR), 9, '0') AS target
   FROM orders o LEFT JOIN n ON n.company = o.o_orderkey LEFT JOIN b ON b.company = o.o_orderkey""")
 def p5(spark, sf):
-    lines = D.table(spark, sf, "lineitem").filter("l_orderkey % 11 <> 0").select(F.col("l_orderkey").alias("company"), F.col("l_suppkey").alias("holder")).distinct()
+    lines = D.table(spark, sf, "lineitem")
+    lines = D.dealt(lines.filter("l_orderkey % 11 <> 0").select(F.col("l_orderkey").alias("company"), F.col("l_suppkey").alias("holder")), lines, "company").distinct()
     number = F.lpad(F.col("holder").cast("string"), 9, "0")
     kind = F.pmod("holder", F.lit(4))
     label = F.when(F.col("company") % 13 == 0, "").when(kind == 1, F.concat(F.lit("kunde "), number)).when(kind == 2, F.concat(F.lit("CUSTOMER: "), number)).when(kind == 3, F.lit("Nobody"))
@@ -723,9 +724,9 @@ def m5(spark, sf):
   SELECT uid, seq, CASE WHEN bad THEN 'refused' WHEN uid % 10 = 0 OR rn > 1 THEN 'duplicate' WHEN op THEN 'open' ELSE 'closed' END AS outcome FROM a""")
 def t23(spark, sf):
     k = F.col("l_suppkey")
-    atoms = D.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("uid"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (k % 4 == 0).cast("int").alias("defects"), (k % 3 == 0).cast("int").alias("open"))
+    atoms = D.placed(spark, sf, "lineitem").select(F.col("l_partkey").alias("uid"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (k % 4 == 0).cast("int").alias("defects"), (k % 3 == 0).cast("int").alias("open"), "file", "place")
     held = D.table(spark, sf, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("uid"))
-    return statements.intake(atoms, held)
+    return statements.intake(atoms, held, ("file", "place"))
 
 
 @query("t24_cached_verdicts", """WITH w AS (SELECT DISTINCT l_partkey AS span, l_linenumber AS words FROM lineitem), m AS (SELECT span, words FROM w WHERE span % 2 = 1 ORDER BY span, words LIMIT 50)
@@ -773,6 +774,7 @@ def g13(spark, sf):
 
 def _statement_graph(spark, sf):
     o, k = D.table(spark, sf, "orders"), F.col("o_orderkey")
+    o = D.dealt(o.select(k, "o_custkey", "o_orderpriority"), o, "o_orderkey")  # serves statements and reports alike
     s = o.select(k.alias("uid"), F.concat(F.lit("s"), (k % 9).cast("string")).alias("source"), F.col("o_orderpriority").alias("claim"), F.concat(F.lit("e"), F.col("o_custkey").cast("string")).alias("subject"), F.when(k % 2 == 0, F.concat(F.lit("e"), (k % 100).cast("string"))).alias("object"), F.when(k % 3 > 0, "owns").alias("predicate"), (k % 11 == 0).cast("int").alias("defects"))
     r = o.select(k.alias("uid"), F.explode(F.sequence(F.lit(0), (k % 2).cast("int"))).alias("depth"))
     return graph.statement_graph(s, r.select("uid", "depth", F.lit("says").alias("verb"), F.concat(F.lit("p"), (F.col("uid") % 5 + F.col("depth")).cast("string")).alias("speaker")))
