@@ -69,13 +69,14 @@ def decoded(body: Column) -> Column:
 
 def document_paths(documents: DataFrame, boring: tuple[str, ...] = (), depth: int = 3, col: str = "json") -> DataFrame:
     """path, documents: paths of values down to ``depth``, by the first element of lists; empty values and boring keys are left out."""
-    level = documents.select(F.monotonically_increasing_id().alias("__doc"), F.lit("").alias("path"), F.col(col).alias("value"))
-    found: DataFrame | None = None
+    level = documents.select(F.lit("").alias("path"), F.col(col).alias("value"))
     for _ in range(depth):
-        keys = level.select("__doc", "path", "value", F.explode(F.json_object_keys("value")).alias("key")).filter(~F.col("key").isin(*boring, ""))
-        inner = F.expr("get_json_object(value, concat('$[\\'', key, '\\']'))")
-        first = F.when(F.ltrim(inner).startswith("["), F.get_json_object(inner, "$[0]")).otherwise(inner)
-        level = keys.select("__doc", F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), "key").alias("path"), first.alias("value")).filter("value IS NOT NULL AND value NOT IN ('', '{}', '[]')")
-        here = level.groupBy("path").agg(F.count(F.lit(1)).alias("documents"))
-        found = here if found is None else found.unionByName(here)
-    return found
+        # a value is parsed once for all its keys, and goes on beside them without being read again
+        inner = F.map_entries(F.from_json("value", "map<string,string>"))
+        named = F.filter(inner, lambda e: ~e["key"].isin(*boring, ""))
+        first = lambda v: F.when(F.ltrim(v).startswith("["), F.get_json_object(v, "$[0]")).otherwise(v)
+        keys = F.transform(named, lambda e: F.struct(F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), e["key"]).alias("path"), first(e["value"]).alias("value")))
+        full = F.filter(keys, lambda k: k["value"].isNotNull() & ~k["value"].isin("", "{}", "[]"))
+        itself = F.array(F.struct("path", F.lit(None).cast("string").alias("value")))
+        level = level.select(F.inline(F.concat(itself, F.coalesce(full, F.array().cast("array<struct<path:string,value:string>>")))))
+    return level.filter("path <> ''").groupBy("path").agg(F.count(F.lit(1)).alias("documents"))
