@@ -6,8 +6,6 @@ own, undated ones included, and nothing is merged.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,18 +67,6 @@ def company_key(number: Column) -> Column:
     return F.lpad(number.cast("string"), 8, "0")
 
 
-def _rows(d: DataFrame, predicate: Column | str, subject: Column, obj: Column, period: Column, share: Column | None = None, role: Column | None = None) -> DataFrame:
-    return d.select(
-        subject.alias("subject_key"),
-        (F.lit(predicate) if isinstance(predicate, str) else predicate).alias("predicate"),
-        obj.alias("object_repr"),
-        _day(period["gyldigFra"]).alias("valid_from"),
-        _day(period["gyldigTil"]).alias("valid_to"),
-        (F.lit(None).cast(S.SHARE) if share is None else share).alias("share"),
-        (F.lit(None).cast("string") if role is None else role).alias("role"),
-    )
-
-
 def address_key(a: Column) -> Column:
     parts = (a["vejkode"], a["husnummerFra"], a["etage"], a["sidedoer"], a["postnummer"], a["kommune"]["kommuneKode"])
     return F.concat_ws("|", *(F.coalesce(p, F.lit("")) for p in parts))
@@ -173,29 +159,40 @@ def relation_claims(docs: DataFrame) -> DataFrame:
     """Ownership, voting and role claims: the participant is the subject, the company the object.
 
     An owner without a percentage is kept with a null share.  A role's own
-    period is cut to the membership's.
+    period is cut to the membership's.  All claims of a membership are one
+    array, so a document is parsed once.
     """
     me = company_key(F.col("company.cvrNummer"))
     rel = docs.select(me.alias("me"), F.explode("company.deltagerRelation").alias("r"))
     org = rel.select("me", participant_key(F.col("r.deltager"), F.col("r.organisationer.hovedtype")).alias("who"), F.explode("r.organisationer").alias("o"))
     name = F.element_at(F.col("o.organisationsNavn.navn"), -1)
     member = org.select("me", "who", F.col("o.hovedtype").alias("kind"), name.alias("name"), F.explode_outer("o.medlemsData").alias("m"))
-    attr = member.select("me", "who", "kind", "name", F.col("m.periode").alias("outer"), F.explode_outer("m.attributter").alias("a"))
-    value = attr.select("me", "who", "kind", "name", "outer", F.col("a.type").alias("type"), F.explode_outer("a.vaerdier").alias("v"))
-    share = F.replace(F.col("v.vaerdi"), F.lit(","), F.lit(".")).try_cast(S.SHARE)
-    is_owner = F.col("kind") == "REGISTER"
-    owns = _rows(value.filter(is_owner & (F.col("type") == "EJERANDEL_PROCENT")), S.OWNS, F.col("who"), F.col("me"), F.col("v.periode"), share)
-    votes = _rows(value.filter(is_owner & (F.col("type") == "EJERANDEL_STEMMERET_PROCENT")), S.VOTES, F.col("who"), F.col("me"), F.col("v.periode"), share)
-    has = F.coalesce(F.exists("m.attributter", lambda a: a["type"].startswith("EJERANDEL")), F.lit(False))
-    bare = _rows(member.filter(is_owner & ~has), S.OWNS, F.col("who"), F.col("me"), F.col("m.periode"))
+    no_share, no_role = F.lit(None).cast(S.SHARE), F.lit(None).cast("string")
+    none = F.array().cast("array<struct<predicate:string,valid_from:date,valid_to:date,share:" + S.SHARE + ",role:string>>")
+
+    def claim(predicate: Column | str, period: Column, share: Column = no_share, role: Column = no_role) -> Column:
+        first, last = _day(period["gyldigFra"]), _day(period["gyldigTil"])
+        return F.struct((F.lit(predicate) if isinstance(predicate, str) else predicate).alias("predicate"), first.alias("valid_from"), last.alias("valid_to"), share.alias("share"), role.alias("role"))
+
+    def values(kind: str, made) -> Column:
+        """A claim for each value of the attributes of a kind; an attribute without values has one of nulls."""
+        given = lambda a: F.when(F.size(a["vaerdier"]) > 0, a["vaerdier"]).otherwise(F.array(F.get(a["vaerdier"], F.lit(0))))
+        some = F.filter("m.attributter", lambda a: a["type"] == kind)
+        return F.coalesce(F.flatten(F.transform(some, lambda a: F.transform(given(a), made))), none)
+
+    def states(test) -> Column:
+        return F.coalesce(F.exists("m.attributter", test), F.lit(False))
+
+    share = lambda v: F.replace(v["vaerdi"], F.lit(","), F.lit(".")).try_cast(S.SHARE)
+    bare = F.when(~states(lambda a: a["type"].startswith("EJERANDEL")), F.array(claim(S.OWNS, F.col("m.periode")))).otherwise(none)
+    owner = F.concat(values("EJERANDEL_PROCENT", lambda v: claim(S.OWNS, v["periode"], share(v))), values("EJERANDEL_STEMMERET_PROCENT", lambda v: claim(S.VOTES, v["periode"], share(v))), bare)
     predicate = F.coalesce(F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv))[F.col("kind")], F.lit(S.ROLE))
-    role = value.filter(~is_owner & (F.col("type") == "FUNKTION"))
-    inner, outer = F.col("v.periode"), F.col("outer")
-    period = F.struct(F.greatest(inner["gyldigFra"], outer["gyldigFra"]).alias("gyldigFra"), F.least(inner["gyldigTil"], outer["gyldigTil"]).alias("gyldigTil"))
-    roles = _rows(role.withColumn("__p", period), predicate, F.col("who"), F.col("me"), F.col("__p"), None, F.col("v.vaerdi"))
-    named = ~F.coalesce(F.exists("m.attributter", lambda a: a["type"] == "FUNKTION"), F.lit(False))
-    plain = _rows(member.filter(~is_owner & named), predicate, F.col("who"), F.col("me"), F.col("m.periode"), None, F.col("name"))
-    return reduce(DataFrame.unionByName, (owns, votes, bare, roles, plain))
+    outer = F.col("m.periode")
+    within = lambda p: F.struct(F.greatest(p["gyldigFra"], outer["gyldigFra"]).alias("gyldigFra"), F.least(p["gyldigTil"], outer["gyldigTil"]).alias("gyldigTil"))
+    plain = F.when(~states(lambda a: a["type"] == "FUNKTION"), F.array(claim(predicate, outer, no_share, F.col("name")))).otherwise(none)
+    role = F.concat(values("FUNKTION", lambda v: claim(predicate, within(v["periode"]), no_share, v["vaerdi"])), plain)
+    made = member.select(F.col("who").alias("subject_key"), F.col("me").alias("object_repr"), F.inline(F.when(F.col("kind") == "REGISTER", owner).when(F.col("kind") != "REGISTER", role)))
+    return made.select("subject_key", "predicate", "object_repr", "valid_from", "valid_to", "share", "role")
 
 
 def silent_drops(documents: DataFrame, claims: DataFrame, required: dict[str, str], ignored: tuple[str, ...], col: str = "json") -> DataFrame:
