@@ -42,10 +42,13 @@ def work_claims(documents: DataFrame, author: str, col: str = "json") -> DataFra
     own = F.get(F.filter("w.authorships", lambda a: bare_id(a["author"]["id"]) == author), F.lit(0))["author"]["display_name"]
     base = works.select(bare_id(F.col("w.id")).alias("work"), day.alias("valid_from"), person_key(F.coalesce(own, F.lit(author)), F.lit(author)).alias("subject_key"), F.explode("w.authorships").alias("a"))
     mine = bare_id(F.col("a.author.id")) == author
-    stated = base.filter(mine).select("subject_key", F.lit("has_affiliation").alias("predicate"), F.explode("a.institutions").alias("i"), "work", "valid_from").filter("i.display_name <> ''")
-    stated = stated.select("subject_key", "predicate", institution_key(F.col("i")).alias("object_key"), "work", "valid_from")
-    others = base.filter(~mine & (F.coalesce("a.author.display_name", F.lit("")) != "")).select("subject_key", F.lit("co_authored_with").alias("predicate"), person_key(F.col("a.author.display_name"), bare_id(F.col("a.author.id"))).alias("object_key"), "work", "valid_from")
-    return stated.unionByName(others)
+    claim = lambda predicate, key: F.struct(F.lit(predicate).alias("predicate"), key.alias("object_key"))
+    stated = F.transform(F.filter("a.institutions", lambda i: i["display_name"] != ""), lambda i: claim("has_affiliation", institution_key(i)))
+    name = F.col("a.author.display_name")
+    other = F.array(claim("co_authored_with", person_key(name, bare_id(F.col("a.author.id")))))
+    # all claims of an authorship are one array, so a page of results is parsed once
+    each = base.select("subject_key", "work", "valid_from", F.inline(F.when(mine, stated).when(F.coalesce(name, F.lit("")) != "", other)))
+    return each.select("subject_key", "predicate", "object_key", "work", "valid_from")
 
 
 def clean_party(name: Column) -> Column:
