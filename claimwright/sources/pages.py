@@ -9,6 +9,7 @@ left out with all they hold; for the visible text hidden elements are, too.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -98,10 +99,20 @@ def page_string(body: bytes) -> str:
     return body.decode("utf-8", errors="replace")
 
 
+#: Pages whose blocks a worker holds at once.
+PAGES_AT_ONCE = 100
+
+
+def _blocks_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for bodies in batches:
+        for at in range(0, len(bodies), PAGES_AT_ONCE):
+            yield bodies.iloc[at : at + PAGES_AT_ONCE].map(lambda b: Tree(page_string(bytes(b))).blocks() if b is not None else [])
+
+
 @F.pandas_udf(BLOCKS)
-def element_blocks(bodies: pd.Series) -> pd.Series:
+def element_blocks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """(text, tag, path) of each element with text of its own, of two characters or more, in the order in which elements begin."""
-    return bodies.map(lambda b: Tree(page_string(bytes(b))).blocks() if b is not None else [])
+    return _blocks_of(batches)
 
 
 @F.pandas_udf(StringType())
