@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimwright.llm.common import ship
+from claimwright.llm.common import ship, slices
 
 #: The split pattern of byte-level BPE vocabularies (a fixed value of the format).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -238,13 +238,13 @@ def blocks(text: str, size: int = BLOCK_CHARS) -> Iterator[str]:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = CACHE_BYTES):
         import regex
 
         self.transducer = Transducer(path)
         self.split = regex.compile(SPLIT).findall
         # pieces, and whole stretches between single spaces that split into several
-        self.known = Remembered(self._encoded, CACHE_BYTES)
+        self.known = Remembered(self._encoded, remembered)
         self.wide = regex.compile(r"\s\x20").search
         added = sorted(self.transducer.added, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
@@ -279,9 +279,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, remembered: int = CACHE_BYTES) -> Encoder:
     """One per Python worker: what it has learnt serves all its tasks."""
-    return Encoder(path)
+    return Encoder(path, remembered)
 
 
 def token_bytes(path: str) -> list[bytes]:
@@ -323,21 +323,7 @@ class Decoder:
 SLICE_BYTES = 1 << 20
 
 
-def _slices(batch) -> Iterator:
-    """Stretches of a batch of about ``SLICE_BYTES`` each, at least a row."""
-    import pyarrow.compute as pc
-
-    at, held = 0, 0
-    for i, size in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
-        held += size
-        if held >= SLICE_BYTES:
-            yield batch.slice(at, i + 1 - at)
-            at, held = i + 1, 0
-    if at < batch.num_rows:
-        yield batch.slice(at)
-
-
-def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, ids_col: str, decoded_col: str | None) -> DataFrame:
+def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, ids_col: str, decoded_col: str | None, remembered: int = CACHE_BYTES) -> DataFrame:
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     ship(rows.sparkSession)
     kind = rows.schema[0].dataType.simpleString()
@@ -345,10 +331,10 @@ def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, ids_col: str,
     def run(batches):
         import pyarrow as pa
 
-        encoder = encoder_of(path)
+        encoder = encoder_of(path, remembered)
         decoder = Decoder(encoder.transducer.bytes_of)
         for batch in batches:
-            for some in _slices(batch):
+            for some in slices(batch, 1, SLICE_BYTES):
                 arrays = [encoder.ids(t.as_py()) for t in some.column(1)]
                 ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
                 values = np.concatenate(arrays) if arrays else np.empty(0, np.int32)
@@ -366,9 +352,9 @@ def bpe_encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
     return _coded(docs, path, id_col, text_col, ids_col, None)
 
 
-def bpe_round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "token_ids", decoded_col: str = "decoded") -> DataFrame:
-    """``bpe_encode`` with the text that the ids decode to, in one pass and so with one vocabulary in a worker."""
-    return _coded(docs, path, id_col, text_col, ids_col, decoded_col)
+def bpe_round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "token_ids", decoded_col: str = "decoded", remembered: int = CACHE_BYTES) -> DataFrame:
+    """``bpe_encode`` with the text that the ids decode to, in one pass and so with one vocabulary in a worker, which remembers pieces up to ``remembered`` bytes."""
+    return _coded(docs, path, id_col, text_col, ids_col, decoded_col, remembered)
 
 
 def bpe_decode(tokens: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -390,9 +376,9 @@ def bpe_decode(tokens: DataFrame, path: str, *, id_col: str = "doc_id", ids_col:
     return rows.mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` array<int>, `{text_col}` string")
 
 
-def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
+def bpe_digests(docs: DataFrame, path: str, remembered: int = CACHE_BYTES) -> DataFrame:
     """n_tokens, ids_sha256 and decoded_sha256 of every document, from the operator's own output."""
-    return bpe_round_trip(docs, path).select(
+    return bpe_round_trip(docs, path, remembered=remembered).select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimwright.llm.common import cut, ship, small_or_shuffled
+from claimwright.llm.common import cut, ship, slices, small_or_shuffled
 
 #: The sample that trigram models are fitted on holds about this many rows at most.
 SAMPLE_ROWS = 12_000
@@ -39,7 +39,8 @@ TEXT_TRIGRAMS = 60
 #: Evidence tables up to this many keys are broadcast, larger ones shuffled.
 BROADCAST_KEYS = 50_000
 SMOOTH = 4.0
-CHUNK_BYTES = 1 << 22
+#: Text that a worker scores or counts at once; arrays hold some 60 bytes for each of its bytes with four languages.
+CHUNK_BYTES = 1 << 18
 
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,14 +89,14 @@ def fit_text_model(docs: DataFrame, text: str, declared: str, key: str) -> TextM
         import pyarrow as pa
 
         for batch in batches:
-            labels, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            by_label: dict[str, list[str]] = {}
-            for label, t in zip(labels, texts, strict=True):
-                by_label.setdefault(label, []).append(t)
-            for label, some in by_label.items():
-                keys, _ = trigrams(some)
-                found, n = np.unique(keys[keys < BUCKETS], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.string()), pa.array(found.astype(np.int32)), pa.array(n.astype(np.int64))], names=["label", "bucket", "n"])
+            for part in slices(batch, 1, CHUNK_BYTES):
+                by_label: dict[str, list[str]] = {}
+                for label, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    by_label.setdefault(label, []).append(t)
+                for label, some in by_label.items():
+                    keys, _ = trigrams(some)
+                    found, n = np.unique(keys[keys < BUCKETS], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.string()), pa.array(found.astype(np.int32)), pa.array(n.astype(np.int64))], names=["label", "bucket", "n"])
 
     # the sample bounds the rows, so the (label, trigram) counts are bounded too, however many labels there are
     counted = sample.mapInArrow(run, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -121,7 +122,8 @@ def text_evidence(docs: DataFrame, model: TextModel, text: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            mean, n = model.score(batch.column(batch.num_columns - 1).to_pylist())
+            at = batch.num_columns - 1
+            mean, n = map(np.concatenate, zip(model.score([]), *(model.score(some.column(at).to_pylist()) for some in slices(batch, at, CHUNK_BYTES))))
             ends = np.arange(0, mean.size + 1, mean.shape[1], dtype=np.int32)
             ll = pa.ListArray.from_arrays(ends, pa.array(mean.ravel().astype(np.float64)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ll, pa.array(n)], names=[*rest, "ll", "n_trigrams"])

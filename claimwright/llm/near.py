@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimwright.llm.common import WORD_BREAK, WordHashes, cut, cut_counted, mix64, row_keys, ship, windows_hash
+from claimwright.llm.common import WORD_BREAK, WordHashes, cut, cut_counted, mix64, row_keys, ship, slices, windows_hash
 from claimwright.llm.graph import components
 
 SHINGLE = 5
@@ -44,7 +44,8 @@ ROWS = 4
 BANDS = 24
 BITS = 2
 PLACES = ROWS * BANDS
-CHUNK_WORDS = 1 << 20
+#: Text whose shingles a worker holds at once.
+CHUNK_BYTES = 1 << 20
 NO_ID = 2**63 - 1
 
 _A = mix64(np.arange(1, PLACES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -85,15 +86,8 @@ def signed(docs: DataFrame) -> DataFrame:
 
         hashes = WordHashes()
         for batch in batches:
-            texts = batch.column(3).to_pylist()
-            at = 0
-            while at < len(texts):
-                stop, held = at, 0
-                sets = []
-                while stop < len(texts) and (stop == at or held < CHUNK_WORDS):
-                    sets.append(shingle_set(texts[stop], hashes))
-                    held += len(sets[-1])
-                    stop += 1
+            for rows in slices(batch, 3, CHUNK_BYTES):
+                sets = [shingle_set(t, hashes) for t in rows.column(3).to_pylist()]
                 some = [i for i, s in enumerate(sets) if len(s)]
                 sigs: list = [None] * len(sets)
                 bands: list = [None] * len(sets)
@@ -111,7 +105,6 @@ def signed(docs: DataFrame) -> DataFrame:
                     bh = bh.astype(np.int64)
                     for j, i in enumerate(some):
                         sigs[i], bands[i] = packed[j], bh[j]
-                rows = batch.slice(at, stop - at)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *rows.columns[:3],
@@ -122,7 +115,6 @@ def signed(docs: DataFrame) -> DataFrame:
                     ],
                     names=["doc_id", "k1", "k2", "c", "n", "sig", "bands"],
                 )
-                at = stop
 
     return docs.select("doc_id", "k1", "k2", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, c binary, n long, sig array<long>, bands array<long>")
 
@@ -163,16 +155,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         hashes = WordHashes()
         last: tuple[int, np.ndarray] | None = None
         for batch in batches:
-            a, ta, tb = (batch.column(i).to_pylist() for i in (0, 2, 3))
-            keep = []
-            for i in range(len(a)):
-                if last is None or last[0] != a[i]:
-                    last = (a[i], shingle_set(ta[i], hashes))
-                x, y = last[1], shingle_set(tb[i], hashes)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], names=["a", "b"])
+            for some in slices(batch, 3, CHUNK_BYTES):
+                a, ta, tb = (some.column(i).to_pylist() for i in (0, 2, 3))
+                keep = []
+                for i in range(len(a)):
+                    if last is None or last[0] != a[i]:
+                        last = (a[i], shingle_set(ta[i], hashes))
+                    x, y = last[1], shingle_set(tb[i], hashes)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        keep.append(i)
+                yield pa.RecordBatch.from_arrays([some.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], names=["a", "b"])
 
     left = texts.select(F.col("i").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("i").alias("b"), F.col("text").alias("text_b"))

@@ -19,6 +19,8 @@ from claimwright.llm.queries import MIN_POSTERIOR, MIX_WEIGHTS, vocabulary
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Documents whose 5-word shingle sets reach this similarity are one group.
 NEAR_PERCENT = 80
+#: Bytes of pieces that a worker remembers: workers live on from stage to stage, beside the memory of the others.
+REMEMBERED = 64 << 20
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text."""
-    return bpe.bpe_digests(docs, vocabulary())
+    return bpe.bpe_digests(docs, vocabulary(), REMEMBERED)
 
 
 STAGES: list[tuple[str, Stage]] = [
