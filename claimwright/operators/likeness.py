@@ -19,6 +19,7 @@ the join; what is left is verified by the ratio itself.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -116,10 +117,67 @@ def alike(left: DataFrame, right: DataFrame, cutoff: float, where: Column | None
     return scored.filter(F.col("similarity") >= cutoff)
 
 
+#: Known and new ids that meet in one row.
+KNOWN_BLOCK, NEW_BLOCK = 10_000, 250
+
+
+def _nearest(known: list[str], new: list[str], cutoff: float, most: int) -> Iterator[tuple[str, str, float]]:
+    """(id, near, similarity) of the ``most`` nearest at the cutoff: by falling bounds, until none left can be among them."""
+    import difflib
+    import heapq
+
+    import numpy as np
+
+    def letters(texts: list[str]) -> np.ndarray:  # of 64 kinds, so that shared ones are never too few
+        out = np.zeros((64, len(texts)), np.int32)
+        for k, t in enumerate(texts):
+            for c in t:
+                out[ord(c) % 64, k] += 1
+        return out
+
+    of_known, of_new, lengths = letters(known), letters(new), np.array([len(t) for t in known])
+    for k, text in enumerate(new):
+        shared = np.zeros(len(known), np.int64)
+        for kind in np.flatnonzero(of_new[:, k]):
+            shared += np.minimum(of_known[kind], of_new[kind, k])
+        bound = 2.0 * shared / (lengths + len(text))
+        may = np.flatnonzero(bound >= cutoff)
+        machine, best = difflib.SequenceMatcher(None, "", text), []
+        for i in may[np.argsort(-bound[may], kind="stable")]:
+            if len(best) == most and bound[i] < best[0][0]:
+                break
+            machine.set_seq1(known[i])
+            found = (machine.ratio(), known[i])
+            if found[0] >= cutoff:
+                (heapq.heappushpop if len(best) == most else heapq.heappush)(best, found)
+        yield from ((text, near, similarity) for similarity, near in best)
+
+
 def close_ids(new: DataFrame, known: DataFrame, cutoff: float = 0.75, most: int = 3) -> DataFrame:
-    """id, near, place: known ids that a new one resembles, nearest first, ties to the later in order."""
-    sides = [df.select("id", F.col("id").alias("text")).filter(F.col("id").isNotNull()).distinct() for df in (known, new)]
-    scored = alike(*sides, cutoff).select(F.col("b").alias("id"), F.col("a").alias("near"), "similarity")
+    """id, near, place: known ids that a new one resembles, nearest first, ties to the later in order.
+
+    Ids share most of their letters, so a filter by grams leaves nearly all
+    pairs.  Each block of new ids meets each block of known ones; a block gives
+    the nearest of its own, found by bounds, and these are ranked.
+    """
+
+    def blocks(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+        ids = df.select("id").filter(F.length("id") > 0).distinct()
+        n = max(1, math.ceil(ids.count() / size))
+        return ids.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"{name}_block")).agg(F.collect_list("id").alias(name)), n
+
+    (olds, n), (news, m) = blocks(known, KNOWN_BLOCK, "known"), blocks(new, NEW_BLOCK, "new")
+    met = olds.crossJoin(news).repartition(n * m, "known_block", "new_block").select("known", "new")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = list(_nearest(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), cutoff, most))
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.float64()))], names=["id", "near", "similarity"])
+
+    scored = met.mapInArrow(run, "id string, near string, similarity double")
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("similarity").desc(), F.col("near").desc()))
     return scored.withColumn("place", place).filter(F.col("place") <= most).select("id", "near", "place")
 
