@@ -127,8 +127,11 @@ PATTERNS = {"claims_identifier": "cvr_context_checksum", "founded_on": "founded_
 CONFIDENCE = {"member_of_group": 0.6, "has_location": 0.7, "has_role": 0.6}
 
 
-def statements_of(text: Column) -> Column:
-    """array<struct(predicate, object, pattern, role, distance)>: all that a block states, in the order of the predicates of ``CHECKS`` as pages are read."""
+def statements_of(text: Column, longest: int = 8) -> Column:
+    """array<struct(predicate, object, pattern, role, distance)>: all that a block states, in the order of the predicates of ``CHECKS`` as pages are read.
+
+    Company numbers have eight digits, or up to ``longest``.
+    """
     none, no_number = F.lit(None).cast("string"), F.lit(None).cast("int")
 
     def plain(predicate: str, values: Column) -> Column:
@@ -137,16 +140,16 @@ def statements_of(text: Column) -> Column:
     counts = F.transform(employee_statements(text), lambda e: F.struct(F.lit("employs").alias("predicate"), e["n"].cast("string").alias("object"), e["pattern"].alias("pattern"), none.alias("role"), no_number.alias("distance")))
     people = F.transform(stated_people(text), lambda p: F.struct(F.lit("has_role").alias("predicate"), p["name"].alias("object"), F.lit(PATTERNS["has_role"]).alias("pattern"), p["role"].alias("role"), p["distance"].alias("distance")))
     years = F.transform(founded_years(text), lambda y: F.make_date(y, F.lit(1), F.lit(1)))
-    return F.concat(plain("claims_identifier", stated_identifiers(text)), plain("founded_on", years), counts, plain("member_of_group", stated_groups(text)), plain("has_location", stated_towns(text)), people)
+    return F.concat(plain("claims_identifier", stated_identifiers(text, longest)), plain("founded_on", years), counts, plain("member_of_group", stated_groups(text)), plain("has_location", stated_towns(text)), people)
 
 
-def page_statements(pages: DataFrame, key: str = "page_id", body: str = "body") -> DataFrame:
+def page_statements(pages: DataFrame, key: str = "page_id", body: str = "body", longest: int = 8) -> DataFrame:
     """key, predicate, object, pattern, role, distance, element, source_text, tier, confidence, checks_against: each (predicate, object) of a page once, as it is first stated.
 
-    A page is parsed and its blocks are read in one pass.
+    A page is parsed and its blocks are read in one pass.  Rows that share a key are one page.
     """
     blocks = pages.select(key, F.posexplode(element_blocks(F.col(body).cast("binary"))).alias("b_at", "b"))
-    said = blocks.select(key, "b_at", "b.text", "b.path", F.posexplode(statements_of(F.col("b.text"))).alias("s_at", "s"))
+    said = blocks.select(key, "b_at", "b.text", "b.path", F.posexplode(statements_of(F.col("b.text"), longest)).alias("s_at", "s"))
     first = F.min(F.struct("b_at", "s_at", F.col("s.pattern").alias("pattern"), F.col("s.role").alias("role"), F.col("s.distance").alias("distance"), F.col("path").alias("element"), F.substring("text", 1, 300).alias("source_text")))
     once = said.groupBy(key, F.col("s.predicate").alias("predicate"), F.col("s.object").alias("object")).agg(first.alias("x"))
     of = lambda values: F.create_map(*(F.lit(v) for kv in values.items() for v in kv))[F.col("predicate")]
