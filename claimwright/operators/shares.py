@@ -93,19 +93,29 @@ def ownership_events(companies: DataFrame, owns: DataFrame, on: date | str) -> D
 
 
 def share_predicates(companies: DataFrame, owns: DataFrame, votes: DataFrame, on: date | str, opaque: Column) -> DataFrame:
-    """Five predicates of the cap table at once: equity and votes are dealt by company and gone through once.
+    """Five predicates of the cap table at once: equity and votes are gone through once.
 
     The rows are those of ``voting_exceeds_equity``, ``ownership_residual``,
     ``subthreshold_aggregate``, ``ownership_events`` and ``majority_unresolvable``.
     """
-    side = lambda rows, kind: rows.select("company", "holder", "share", "valid_from", in_force(on).alias("live"), has_begun(on).alias("begun"), F.lit(kind).alias("kind"))
-    both = side(owns, "equity").unionByName(side(votes, "votes")).repartition("company")
-    live = lambda kind: F.col("live") & (F.col("kind") == kind)
+    dates, none = ("company", "holder", "valid_from", "valid_to"), F.lit(None).cast(S.SHARE)
+    filed = owns.select(*dates, "share", none.alias("votes"), F.lit(True).alias("is_equity"))
+    voted = votes.select(*dates, none.alias("share"), F.col("share").alias("votes"), F.lit(False).alias("is_equity"))
+    return _five(companies, filed.unionByName(voted), on, opaque)
+
+
+def holding_predicates(companies: DataFrame, holdings: DataFrame, on: date | str, opaque: Column) -> DataFrame:
+    """``share_predicates`` of holdings that have ``share`` and ``votes`` in one row; where they are dealt by company they stay as they are."""
+    return _five(companies, holdings.withColumn("is_equity", F.lit(True)), on, opaque)
+
+
+def _five(companies: DataFrame, both: DataFrame, on: date | str, opaque: Column) -> DataFrame:
+    live, equity = in_force(on), F.col("is_equity")
     each = both.groupBy("company", "holder").agg(
-        F.max(F.when(live("equity"), F.col("share"))).alias("equity"),
-        F.max(F.when(live("votes"), F.col("share"))).alias("votes"),
-        F.count_if(live("equity") & F.col("share").isNull()).alias("bare"),
-        F.collect_set(F.when(F.col("begun") & (F.col("kind") == "equity"), F.col("valid_from"))).alias("days"),
+        F.max(F.when(live, F.col("share"))).alias("equity"),
+        F.max(F.when(live, F.col("votes"))).alias("votes"),
+        F.count_if(live & equity & F.col("share").isNull()).alias("bare"),
+        F.collect_set(F.when(has_begun(on) & equity, F.col("valid_from"))).alias("days"),
     )
     zero, half = F.lit(0).cast(S.SHARE), F.lit("0.5").cast(S.SHARE)
     gap = F.col("votes") - F.coalesce("equity", zero)
