@@ -117,39 +117,89 @@ def alike(left: DataFrame, right: DataFrame, cutoff: float, where: Column | None
     return scored.filter(F.col("similarity") >= cutoff)
 
 
-#: Known and new ids that meet in one row.
-KNOWN_BLOCK, NEW_BLOCK = 10_000, 250
+#: Known and new ids that meet in one row, of 25 characters on average at most, and new ones that are worth a task.
+KNOWN_BLOCK, NEW_BLOCK, NEW_TASK = 750_000, 2_000, 50
 
 
 def _nearest(known: list[str], new: list[str], cutoff: float, most: int) -> Iterator[tuple[str, str, float]]:
-    """(id, near, similarity) of the ``most`` nearest at the cutoff: by falling bounds, until none left can be among them."""
+    """(id, near, similarity) of the ``most`` nearest at the cutoff: by falling bounds, until none left can be among them.
+
+    Matching blocks hold no more than the letters that two texts share in any order, counted once for all known ids with
+    the same letters, and no more than their longest common subsequence (or those of a text's pieces together), counted for
+    the ids that the first bound leaves.  What is left is measured.
+    """
     import difflib
     import heapq
+    from os.path import commonprefix
 
     import numpy as np
 
-    def letters(texts: list[str]) -> np.ndarray:  # of 64 kinds, so that shared ones are never too few
-        out = np.zeros((64, len(texts)), np.int32)
-        for k, t in enumerate(texts):
-            for c in t:
-                out[ord(c) % 64, k] += 1
-        return out
-
-    of_known, of_new, lengths = letters(known), letters(new), np.array([len(t) for t in known])
-    for k, text in enumerate(new):
-        shared = np.zeros(len(known), np.int64)
-        for kind in np.flatnonzero(of_new[:, k]):
-            shared += np.minimum(of_known[kind], of_new[kind, k])
-        bound = 2.0 * shared / (lengths + len(text))
-        may = np.flatnonzero(bound >= cutoff)
-        machine, best = difflib.SequenceMatcher(None, "", text), []
-        for i in may[np.argsort(-bound[may], kind="stable")]:
-            if len(best) == most and bound[i] < best[0][0]:
+    def letters(texts: list[str]) -> np.ndarray:  # of 256 kinds, so that shared ones are never too few
+        return (np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) % 256).astype(np.uint8)
+
+    lengths = np.array([len(t) for t in known], np.int64)
+    flat, owner = letters(known), np.repeat(np.arange(len(known), dtype=np.int32), lengths)
+    small = np.min_scalar_type(int(lengths.max(initial=0)))
+    held = {k: np.bincount(owner[flat == k], minlength=len(known)).astype(small) for k in np.unique(letters(new))}
+    # ids with the same letters and length have one bound: they are numbered, stand together, and one stands for all
+    code, room = lengths, int(lengths.max(initial=0)) + 1
+    for n in held.values():
+        more = int(n.max(initial=0)) + 1
+        if room * more > 1 << 62:
+            code = np.unique(code, return_inverse=True)[1]
+            room = len(known)
+        code, room = code * more + n, room * more
+    _, first, code, sizes = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+    held = {k: n[first] for k, n in held.items()}
+    same = {k: int(n[0]) for k, n in held.items() if n.size and n.min() == n.max()}
+    together, begins = np.argsort(code, kind="stable"), np.cumsum(sizes) - sizes
+    known, lengths = [known[i] for i in together], lengths[together]
+    flat, starts, head = letters(known), np.cumsum(lengths) - lengths, commonprefix(known)
+    del owner, code, together
+
+    def common(text: str, some: np.ndarray, skip: int) -> np.ndarray:
+        """Length of the longest common subsequence of 64 characters at most with some of the known ids from a place on, which are gone through side by side."""
+        masks = np.zeros(256, np.uint64)
+        for i, k in enumerate(letters([text])):
+            masks[k] |= np.uint64(1 << i)
+        at, left = starts[some] + skip, lengths[some] - skip
+        open_ = np.full(len(some), (1 << 64) - 1, np.uint64)
+        for j in range(int(left.max())):
+            letter = masks[flat[np.minimum(at + j, len(flat) - 1)]]
+            met = open_ & (letter if j < left.min() else np.where(left > j, letter, np.uint64(0)))
+            open_ = (open_ + met) | (open_ - met)
+        return np.bitwise_count(~open_ & np.uint64((1 << len(text)) - 1)).astype(np.int64)
+
+    steps = [*np.arange(0.95, cutoff, -0.05), cutoff]
+    for text in new:
+        shared, always = np.zeros(len(first), small), 0
+        for k, n in zip(*np.unique(letters([text]), return_counts=True)):
+            if k in same:
+                always += min(same[k], int(n))
+            else:
+                shared += np.minimum(held[k], small.type(min(int(n), np.iinfo(small).max)))
+        bound = 2.0 * (shared.astype(np.int64) + always) / (lengths[begins] + len(text))
+        skip = len(commonprefix([head, text]))
+        machine, best, last = difflib.SequenceMatcher(None, "", text), [], np.inf
+        waiting, may = np.zeros(0, np.int64), np.zeros(0)
+        for step in steps:
+            kinds = np.flatnonzero((bound >= step) & (bound < last))
+            n = sizes[kinds]
+            fresh = np.repeat(begins[kinds] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            pieces = sum((common(text[i : i + 64], fresh, skip) for i in range(skip, len(text) if fresh.size else 0, 64)), np.full(len(fresh), skip))
+            may = np.concatenate((may, np.minimum(np.repeat(bound[kinds], n), 2.0 * pieces / (lengths[fresh] + len(text)))))
+            waiting = np.concatenate((waiting, fresh))
+            now = may >= step
+            for most_like, near in sorted(zip(may[now].tolist(), (known[i] for i in waiting[now])), reverse=True):
+                if len(best) == most and (most_like, near) < best[0]:
+                    break
+                machine.set_seq1(near)
+                found = (machine.ratio(), near)
+                if found[0] >= cutoff:
+                    (heapq.heappushpop if len(best) == most else heapq.heappush)(best, found)
+            if len(best) == most and best[0][0] >= step:
                 break
-            machine.set_seq1(known[i])
-            found = (machine.ratio(), known[i])
-            if found[0] >= cutoff:
-                (heapq.heappushpop if len(best) == most else heapq.heappush)(best, found)
+            waiting, may, last = waiting[~now], may[~now], step
         yield from ((text, near, similarity) for similarity, near in best)
 
 
@@ -161,13 +211,16 @@ def close_ids(new: DataFrame, known: DataFrame, cutoff: float = 0.75, most: int
     the nearest of its own, found by bounds, and these are ranked.
     """
 
+    few = new.sparkSession.sparkContext.defaultParallelism
+
     def blocks(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
         ids = df.select("id").filter(F.length("id") > 0).distinct()
-        n = max(1, math.ceil(ids.count() / size))
+        rows, characters = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("id")), F.lit(0))).first()
+        n = max(1, math.ceil(rows / size), math.ceil(characters / (25 * size)), min(few, rows // NEW_TASK) if name == "new" else 1)
         return ids.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"{name}_block")).agg(F.collect_list("id").alias(name)), n
 
     (olds, n), (news, m) = blocks(known, KNOWN_BLOCK, "known"), blocks(new, NEW_BLOCK, "new")
-    met = olds.crossJoin(news).repartition(n * m, "known_block", "new_block").select("known", "new")
+    met = olds.crossJoin(news).repartitionById(n * m, (F.col("known_block") * m + F.col("new_block")).cast("int")).select("known", "new")
 
     def run(batches):
         import pyarrow as pa
